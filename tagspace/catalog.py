@@ -171,3 +171,128 @@ def q_tag_cooccurrence(spark, d):
     posts = FX.posts_event(spark, d)
     common = TG.common_tags(TG.mentions(posts), num_groups=5, threshold=50)
     return TG.tag_cooccurrence(posts, common)
+
+
+# --- vectors and distance matrices ---------------------------------------------------
+
+from tagspace.operators import distance as DS  # noqa: E402
+from tagspace.operators import salience as SL  # noqa: E402
+from tagspace.operators.mantel import mantel  # noqa: E402
+from tagspace.plans import experiment as XP  # noqa: E402
+from tagspace.plans.grid import Config, readme_grid  # noqa: E402
+
+# listed groups of the event fixture (the reference's ``parties`` argument)
+EVENT_GROUPS = ["click", "error", "purchase", "signup", "view"]
+SALIENCE_YEAR = 1997
+
+
+def _label_vectors(spark, d):
+    return (FX.table(spark, d, "embeddings")
+            .select(F.col("label").cast("string").alias("grp"), "vec_id", "embedding"))
+
+
+@register("category_distance", O.with_views(
+    """SELECT a.grp AS g1, b.grp AS g2, round(sum(1 - list_dot_product(a.u, b.u)), 4) AS dist_sum,
+              round(avg(1 - list_dot_product(a.u, b.u)), 6) AS dist_mean
+       FROM lv a JOIN lv b ON a.grp < b.grp GROUP BY a.grp, b.grp""",
+    lvraw="SELECT vec_id AS post_id, CAST(label AS VARCHAR) AS grp, embedding FROM embeddings",
+    lvu=O.unit_of("lvraw"),
+    lv="SELECT r.grp, u.u FROM lvraw r JOIN lvu u USING (post_id)"))
+def q_category_distance(spark, d):
+    v = _label_vectors(spark, d)
+    s = DS.category_distance(v, "sum").withColumnRenamed("value", "dist_sum")
+    m = DS.category_distance(v, "mean").withColumnRenamed("value", "dist_mean")
+    return s.join(m, ["g1", "g2"]).select("g1", "g2", _r(F.col("dist_sum"), 4).alias("dist_sum"),
+                                          _r(F.col("dist_mean")).alias("dist_mean"))
+
+
+def _event_profile(spark, d, num_groups=5, threshold=50):
+    posts = FX.posts_event(spark, d)
+    ments = TG.mentions(posts)
+    common = TG.common_tags(ments, num_groups, threshold)
+    ments = TG.restrict_to(ments, common)
+    emb = DS.unit_embeddings(FX.event_embeddings(spark, d))
+    prof = DS.tag_group_vectors(ments, emb, EVENT_GROUPS)
+    return DS.complete_tags(prof, len(EVENT_GROUPS))
+
+
+_EV_VEC = dict(posts_event=O.posts_event(), mentions0=O.mentions_of("posts_event"),
+               emb=O.EVENT_EMB, eu=O.unit_of("emb"),
+               mentions="SELECT m.*, eu.u FROM mentions0 m JOIN eu USING (post_id)")
+
+
+@register("tag_group_vectors", O.with_views(
+    """SELECT tag, grp, CAST(count(*) AS BIGINT) AS n FROM mc GROUP BY tag, grp""",
+    **_EV_VEC, **{k: v for k, v in O.tag_matrix_views("mentions", EVENT_GROUPS, 5, 50).items()
+                  if k in ("common", "mu", "complete", "mc")}))
+def q_tag_group_vectors(spark, d):
+    return _event_profile(spark, d).select("tag", "grp", "n")
+
+
+def _tag_matrix_sql(agg):
+    v = O.tag_matrix_views("mentions", EVENT_GROUPS, 5, 50, agg=agg)
+    return O.with_views(f"SELECT g1, g2, round(value, {4 if agg == 'sum' else 6}) AS value "
+                        "FROM xmat", **_EV_VEC, **v)
+
+
+@register("tag_distance_matrix", _tag_matrix_sql("sum"))
+def q_tag_distance_matrix(spark, d):
+    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "sum")
+    return m.select("g1", "g2", _r(F.col("value"), 4).alias("value"))
+
+
+@register("tag_distance_matrix_mean", _tag_matrix_sql("mean"))
+def q_tag_distance_matrix_mean(spark, d):
+    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "mean")
+    return m.select("g1", "g2", _r(F.col("value")).alias("value"))
+
+
+def _salience_query(mode):
+    def sql_of(drop):
+        v = O.salience_matrix_views(mode, drop, mapped=False)
+        return f"SELECT g1, g2, {str(drop).upper()} AS drop_first, round(value, 6) AS value FROM ({O.with_views('SELECT * FROM ymat', **v)})"
+    sql = sql_of(True) + " UNION ALL " + sql_of(False)
+
+    def fn(spark, d):
+        wide = FX.salience_wide(spark, d)
+        segs = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+        out = None
+        for drop in (True, False):
+            m = SL.salience_matrix(wide, SALIENCE_YEAR, segs, mode, drop_first=drop)
+            m = m.select("g1", "g2", F.lit(drop).alias("drop_first"), _r(F.col("value")).alias("value"))
+            out = m if out is None else out.unionByName(m)
+        return out
+    register(f"salience_matrix_{mode}", sql)(fn)
+
+
+for _mode in SL.MODES:
+    _salience_query(_mode)
+
+
+def event_salience(spark, d, mode="full"):
+    """Salience matrix with segments renamed to the event groups (group_map)."""
+    gm = FX.group_map(spark, d).select("seg", "grp")
+    return SL.salience_matrix(FX.salience_wide(spark, d), SALIENCE_YEAR, EVENT_GROUPS, mode,
+                              name_map=gm)
+
+
+def _mantel_sql(method):
+    v = O.tag_matrix_views("mentions", EVENT_GROUPS, 5, 50)
+    s = O.salience_matrix_views("full", True, mapped=True)
+    mv = O.mantel_views(EVENT_GROUPS, methods=(method,))
+    return O.with_views("SELECT method, round(r, 6) AS r, round(p, 6) AS p, round(z, 6) AS z, "
+                        "n_perm FROM mres", **_EV_VEC, **v, **s, **mv)
+
+
+def _mantel_query(method):
+    def fn(spark, d):
+        x = DS.tag_distance_matrix(_event_profile(spark, d))
+        y = event_salience(spark, d)
+        res = mantel(x, y, EVENT_GROUPS, methods=(method,))
+        return res.select("method", _r(F.col("r")).alias("r"), _r(F.col("p")).alias("p"),
+                          _r(F.col("z")).alias("z"), "n_perm")
+    register(f"mantel_{method}", _mantel_sql(method))(fn)
+
+
+_mantel_query("pearson")
+_mantel_query("spearman")

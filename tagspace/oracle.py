@@ -103,3 +103,138 @@ MENTIONS_OF = """
 
 def mentions_of(src: str) -> str:
     return MENTIONS_OF.format(re=TAG_RE, src=src)
+
+
+# --- vectors, matrices and tests -------------------------------------------------
+
+UNIT_OF = """
+  SELECT post_id, list_transform(e, lambda x: x / greatest(nrm, 1e-12)) AS u
+  FROM (SELECT post_id, e, sqrt(list_dot_product(e, e)) AS nrm
+        FROM (SELECT post_id, CAST(embedding AS DOUBLE[]) AS e FROM {src}))"""
+
+
+def unit_of(src: str) -> str:
+    return UNIT_OF.format(src=src)
+
+
+def symmetric(cells: str, groups: str, keys: str = "", value: str = "value",
+              diag: str = "0.0") -> str:
+    """Mirror g1 < g2 cells of ``cells`` and add the diagonal for ``groups`` (grp)."""
+    k = f"{keys}, " if keys else ""
+    return f"""
+  SELECT {k}g1, g2, {value} AS value FROM {cells}
+  UNION ALL SELECT {k}g2 AS g1, g1 AS g2, {value} AS value FROM {cells}
+  UNION ALL SELECT {k}grp AS g1, grp AS g2, {diag} AS value FROM {groups}"""
+
+
+def tag_matrix_views(mentions: str, groups: list[str], num_groups: int, threshold: int,
+                     keys: str = "", agg: str = "sum") -> dict:
+    """Brute-force V3: every pair of mentions of a tag across two groups.
+
+    ``mentions`` has (keys…, post_id, grp, tag, u)."""
+    k = f"{keys}, " if keys else ""
+    on = " AND ".join([f"a.{c.strip()} = b.{c.strip()}" for c in keys.split(",") if c.strip()]
+                      + ["a.tag = b.tag", "a.grp < b.grp"])
+    glist = ", ".join(f"'{g}'" for g in groups)
+    per = "s" if agg == "sum" else "s / c"
+    return {
+        "common": f"""SELECT {k}tag FROM {mentions} GROUP BY {k}tag
+                      HAVING count(DISTINCT grp) + max(CASE WHEN grp IS NULL THEN 1 ELSE 0 END)
+                             >= {num_groups} AND count(*) >= {threshold}""",
+        "mu": f"""SELECT m.* FROM {mentions} m SEMI JOIN common USING ({k}tag)
+                  WHERE grp IN ({glist})""",
+        "complete": f"""SELECT {k}tag FROM mu GROUP BY {k}tag
+                        HAVING count(DISTINCT grp) = {len(groups)}""",
+        "mc": f"SELECT m.* FROM mu m SEMI JOIN complete USING ({k}tag)",
+        "pairs": f"""SELECT {', '.join('a.' + c.strip() for c in keys.split(',') if c.strip()) +
+                            ', ' if keys else ''}a.tag, a.grp AS g1, b.grp AS g2,
+                            sum(1 - list_dot_product(a.u, b.u)) AS s, count(*) AS c
+                     FROM mc a JOIN mc b ON {on} GROUP BY ALL""",
+        "cells": f"SELECT {k}g1, g2, avg({per}) AS value FROM pairs GROUP BY {k}g1, g2",
+        "xgroups": f"SELECT DISTINCT {k}grp FROM mc",
+        "xmat": symmetric("cells", "xgroups", keys),
+    }
+
+
+def salience_cols(mode: str, drop_first: bool = True) -> list[str]:
+    from tagspace.operators.salience import salience_columns
+    cols = ["date", "countryname", "partyabbrev", "pervote", "peruncod"]
+    cols += [f"per{100 + b}" for b in range(1, 4)] + ["per103_1"]
+    cols += [f"per{100 + b}" for b in range(4, 26)]
+    cols += ["per201", "per202", "per203", "per305", "per401", "per402", "per403", "per501",
+             "per601"]
+    sel = salience_columns(cols, mode)
+    return sel[1:] if drop_first else sel
+
+
+def salience_matrix_views(mode: str, drop_first: bool, mapped: bool) -> dict:
+    """V7 over the salience view; ``mapped`` renames segments to event groups."""
+    cols = salience_cols(mode, drop_first)
+    grp = "gm.grp" if mapped else "s.partyabbrev"
+    join = "JOIN group_map gm ON gm.seg = s.partyabbrev" if mapped else ""
+    unions = "\n  UNION ALL ".join(
+        f"SELECT {grp} AS grp, '{c}' AS category, coalesce(CAST(s.{c} AS DOUBLE), 0.0) AS v "
+        f"FROM salience s {join} WHERE CAST(s.date AS VARCHAR) LIKE '1997%' "
+        f"AND s.countryname = 'Germany'" for c in cols)
+    return {
+        "salience": salience_wide(),
+        "group_map": GROUP_MAP,
+        "slong": unions,
+        "scells": """SELECT a.grp AS g1, b.grp AS g2, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS value
+                     FROM slong a JOIN slong b ON a.category = b.category AND a.grp < b.grp
+                     GROUP BY a.grp, b.grp""",
+        "sgroups": "SELECT DISTINCT grp FROM slong",
+        "ymat": symmetric("scells", "sgroups"),
+    }
+
+
+def mantel_views(groups: list[str], keys: str = "", methods=("pearson", "spearman")) -> dict:
+    """Exhaustive Mantel test of xmat (keys…, g1, g2, value) against ymat (g1, g2, value)."""
+    import math
+    n = len(groups)
+    k = f"{keys}, " if keys else ""
+    idx = " UNION ALL ".join(f"SELECT '{g}' AS g, {i} AS i" for i, g in enumerate(groups))
+    pcols = ", ".join(f"t{i}.i AS p{i}" for i in range(n))
+    pfrom = ", ".join(f"gi t{i}" for i in range(n))
+    pwhere = " AND ".join(f"t{i}.i <> t{j}.i" for i in range(n) for j in range(i + 1, n))
+    ident = " AND ".join(f"p{i} = {i}" for i in range(n))
+
+    def pick(c):
+        return "CASE " + " ".join(f"WHEN {c} = {i} THEN p{i}" for i in range(n)) + " END"
+
+    views = {
+        "gi": idx,
+        "perms": f"SELECT {pcols}, CASE WHEN {ident} THEN 1 ELSE 0 END AS ident "
+                 f"FROM {pfrom} WHERE {pwhere}",
+        "xc": f"""SELECT {k}a.i AS i, b.i AS j, CAST(x.value AS DOUBLE) AS x FROM xmat x
+                  JOIN gi a ON a.g = x.g1 JOIN gi b ON b.g = x.g2 WHERE a.i < b.i""",
+        "yc": """SELECT a.i AS i, b.i AS j, CAST(y.value AS DOUBLE) AS y FROM ymat y
+                 JOIN gi a ON a.g = y.g1 JOIN gi b ON b.g = y.g2 WHERE a.i < b.i""",
+    }
+    part = f"PARTITION BY {keys}" if keys else ""
+    part2 = f"PARTITION BY {k}round(x, 10)"
+    views["xr"] = f"""SELECT {k}i, j, rank() OVER ({part} ORDER BY round(x, 10))
+                        + (count(*) OVER ({part2}) - 1) / 2.0 AS x FROM xc"""
+    views["yr"] = """SELECT i, j, rank() OVER (ORDER BY round(y, 10))
+                       + (count(*) OVER (PARTITION BY round(y, 10)) - 1) / 2.0 AS y FROM yc"""
+    selects = []
+    for m in methods:
+        xs, ys = ("xc", "yc") if m == "pearson" else ("xr", "yr")
+        views[f"rs_{m}"] = f"""
+          SELECT {k}pid, ident, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r
+          FROM (SELECT {k}p.pid, p.ident, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy,
+                       sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy
+                FROM {xs} x, (SELECT row_number() OVER () AS pid, * FROM perms) p
+                JOIN {ys} y ON y.i = least({pick('x.i')}, {pick('x.j')})
+                           AND y.j = greatest({pick('x.i')}, {pick('x.j')})
+                GROUP BY ALL)"""
+        join_on = f"USING ({keys})" if keys else "ON TRUE"
+        selects.append(f"""
+          SELECT {k}'{m}' AS method, max(o.r_obs) AS r,
+                 avg(CASE WHEN abs(round(r, 12)) >= abs(round(o.r_obs, 12)) THEN 1.0 ELSE 0.0 END) AS p,
+                 (max(o.r_obs) - avg(r)) / stddev_pop(r) AS z, CAST(count(*) AS BIGINT) AS n_perm
+          FROM rs_{m} JOIN (SELECT {k}r AS r_obs FROM rs_{m} WHERE ident = 1) o {join_on}
+          GROUP BY {keys if keys else 'ALL'}""")
+    views["mres"] = " UNION ALL ".join(selects)
+    assert math.factorial(n) > 0
+    return views
