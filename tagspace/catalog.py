@@ -296,3 +296,20 @@ def _mantel_query(method):
 
 _mantel_query("pearson")
 _mantel_query("spearman")
+
+
+# --- the experiment ------------------------------------------------------------------
+
+def _experiment_query(name, configs):
+    def fn(spark, d):
+        posts = FX.posts_event(spark, d)
+        emb = FX.event_embeddings(spark, d)
+        res = XP.experiment_grid(posts, emb, event_salience(spark, d), EVENT_GROUPS, configs,
+                                 num_groups=5, threshold=50)
+        return res.select("config", "marker", "method", _r(F.col("r")).alias("r"),
+                          _r(F.col("p")).alias("p"), _r(F.col("z")).alias("z"), "n_perm")
+    register(name, O.experiment_sql(configs, EVENT_GROUPS, 5, 50))(fn)
+
+
+_experiment_query("experiment", [Config("full")])
+_experiment_query("experiment_grid", readme_grid())

@@ -13,12 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspace.functions.vectors import dot, unit, vector_sum
+from tagspace.functions.vectors import as_double, dot, vector_sum
 
 
 def unit_embeddings(emb: DataFrame, col: str = "embedding") -> DataFrame:
-    """Normalise once; everything downstream uses unit vectors."""
-    return emb.withColumn("u", unit(col)).drop(col)
+    """Normalise once; everything downstream uses unit vectors (array<double> ``u``).
+
+    Spark ML's ``Normalizer`` runs in the JVM on dense vectors (the interpreted
+    array lambdas are an order of magnitude slower). A zero vector stays zero,
+    so its cosine with anything is 0.
+    """
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    v = emb.withColumn("_v", array_to_vector(as_double(col))).drop(col)
+    w = Normalizer(p=2.0, inputCol="_v", outputCol="_w").transform(v)
+    return w.withColumn("u", vector_to_array("_w")).drop("_v", "_w")
 
 
 def group_profile(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,17 +106,20 @@ def symmetrise(cells: DataFrame, keys: tuple[str, ...] = (), diagonal: float = 0
                groups: DataFrame | None = None) -> DataFrame:
     """V8: mirror the g1 < g2 cells and add the diagonal.
 
-    The diagonal groups come from ``groups`` (keys…, grp) or from the cells.
+    One pass over the cells: each emits itself, its mirror and the two diagonal
+    cells of its groups; duplicates of a diagonal cell are merged by a small
+    aggregation. ``groups`` (keys…, grp) adds diagonal cells of groups without
+    any pair.
     """
-    cols = [*keys, "g1", "g2", "value"]
-    upper = cells.select(*cols)
-    lower = cells.select(*keys, F.col("g2").alias("g1"), F.col("g1").alias("g2"), "value")
-    if groups is None:
-        groups = (cells.select(*keys, F.col("g1").alias("grp"))
-                  .union(cells.select(*keys, F.col("g2").alias("grp"))).distinct())
-    diag = groups.select(*keys, F.col("grp").alias("g1"), F.col("grp").alias("g2"),
-                         F.lit(float(diagonal)).alias("value"))
-    return upper.unionByName(lower).unionByName(diag)
+    d = F.lit(float(diagonal))
+    cell = lambda a, b, v: F.struct(F.col(a).alias("g1"), F.col(b).alias("g2"), v.alias("value"))
+    out = cells.select(*keys, F.explode(F.array(
+        cell("g1", "g2", F.col("value")), cell("g2", "g1", F.col("value")),
+        cell("g1", "g1", d), cell("g2", "g2", d))).alias("c")).select(*keys, "c.*")
+    if groups is not None:
+        out = out.unionByName(groups.select(*keys, F.col("grp").alias("g1"),
+                                            F.col("grp").alias("g2"), d.alias("value")))
+    return out.groupBy(*keys, "g1", "g2").agg(F.max("value").alias("value"))
 
 
 def tag_distance_matrix(profile: DataFrame, keys: tuple[str, ...] = (),
@@ -118,5 +130,4 @@ def tag_distance_matrix(profile: DataFrame, keys: tuple[str, ...] = (),
     """
     per_tag = pair_distances(profile, [*keys, "tag"], agg)
     mean = mean_over_tags(per_tag, keys)
-    groups = profile.select(*keys, "grp").distinct()
-    return symmetrise(mean.drop("n_tags"), keys, 0.0, groups)
+    return symmetrise(mean.drop("n_tags"), keys, 0.0)

@@ -76,47 +76,59 @@ def mantel(x: DataFrame, y: DataFrame, groups: list[str], keys: tuple[str, ...]
            y_keys: tuple[str, ...] = (), methods=("pearson", "spearman"), perms: int = 10000,
            seed: int = 0) -> DataFrame:
     """(keys…, method, r, p, z, n_perm) for matrices ``x`` (keys…, g1, g2, value) and
-    ``y`` (y_keys…, g1, g2, value); ``y_keys`` ⊆ ``keys`` lets one Y serve many X."""
+    ``y`` (y_keys…, g1, g2, value); ``y_keys`` ⊆ ``keys`` lets one Y serve many X.
+
+    Both methods come from one pass: each row carries the value and its average
+    rank, and one aggregation per (keys, permutation) sums both.
+    """
+    for m in methods:
+        if m not in ("pearson", "spearman"):
+            raise ValueError("method must be 'pearson' or 'spearman'")
     n = len(groups)
     n_perm, exhaustive = n_permutations(n, perms)
     drop_key = not keys
     if drop_key:  # one matrix: give it a constant key so every step joins on keys
         x, keys = x.withColumn("_m", F.lit(0)), ("_m",)
     xc = _indexed(x, groups, keys, "x")
+    xc = xc.withColumn("xr", F.col("x"))
+    xc = _avg_rank(xc, keys, "xr")
     yc = _indexed(y, groups, y_keys, "y")
-    out = None
-    for method in methods:
-        xm, ym = xc, yc
-        if method == "spearman":
-            xm, ym = _avg_rank(xc, keys, "x"), _avg_rank(yc, y_keys, "y")
-        elif method != "pearson":
-            raise ValueError("method must be 'pearson' or 'spearman'")
-        rows = xm.select(*keys, "i", "j", "x",
-                         F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("pid"))
-        rows = rows.withColumn("pi", permutation(F.col("pid"), n, exhaustive, seed))
-        a = F.element_at("pi", F.col("i") + 1)
-        b = F.element_at("pi", F.col("j") + 1)
-        rows = rows.select(*keys, "pid", "x", F.least(a, b).alias("i"),
-                           F.greatest(a, b).alias("j"))
-        joined = rows.join(ym, [*y_keys, "i", "j"])
-        s = joined.groupBy(*keys, "pid").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("sx"),
-            F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
-            F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"))
-        num = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-        den = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") ** 2)
-                     * (F.col("n") * F.col("syy") - F.col("sy") ** 2))
-        rs = s.select(*keys, "pid", F.try_divide(num, den).alias("r"))
-        obs = rs.filter(F.col("pid") == 0).select(*keys, F.col("r").alias("r_obs"))
-        both = rs.join(obs, list(keys))
-        ge = (F.abs(F.round("r", R_DIGITS)) >= F.abs(F.round("r_obs", R_DIGITS))).cast("double")
-        res = both.groupBy(*keys).agg(
-            F.first("r_obs").alias("r"),
-            F.avg(ge).alias("p"),
-            F.avg("r").alias("_mean"), F.stddev_pop("r").alias("_std"),
-            F.count(F.lit(1)).cast("bigint").alias("n_perm"))
-        res = res.select(*keys, F.lit(method).alias("method"), "r", "p",
-                         F.try_divide(F.col("r") - F.col("_mean"), F.col("_std")).alias("z"),
-                         "n_perm")
-        out = res if out is None else out.unionByName(res)
-    return out.drop("_m") if drop_key else out
+    yc = _avg_rank(yc.withColumn("yr", F.col("y")), y_keys, "yr")
+    rows = xc.select(*keys, "i", "j", "x", "xr",
+                     F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("pid"))
+    rows = rows.withColumn("pi", permutation(F.col("pid"), n, exhaustive, seed))
+    a = F.element_at("pi", F.col("i") + 1)
+    b = F.element_at("pi", F.col("j") + 1)
+    rows = rows.select(*keys, "pid", "x", "xr", F.least(a, b).alias("i"),
+                       F.greatest(a, b).alias("j"))
+    joined = rows.join(yc, [*y_keys, "i", "j"])
+    sums = []
+    for m, (u, v) in (("pearson", ("x", "y")), ("spearman", ("xr", "yr"))):
+        if m not in methods:
+            continue
+        sums += [F.sum(u).alias(f"{m}_sx"), F.sum(v).alias(f"{m}_sy"),
+                 F.sum(F.col(u) * F.col(v)).alias(f"{m}_sxy"),
+                 F.sum(F.col(u) * F.col(u)).alias(f"{m}_sxx"),
+                 F.sum(F.col(v) * F.col(v)).alias(f"{m}_syy")]
+    s = joined.groupBy(*keys, "pid").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
+
+    def r_of(m):
+        c = lambda k: F.col(f"{m}_{k}")
+        num = F.col("n") * c("sxy") - c("sx") * c("sy")
+        den = F.sqrt((F.col("n") * c("sxx") - c("sx") ** 2) * (F.col("n") * c("syy") - c("sy") ** 2))
+        return F.struct(F.lit(m).alias("method"), F.try_divide(num, den).alias("r"))
+
+    rs = s.select(*keys, "pid", F.explode(F.array(*[r_of(m) for m in methods])).alias("mr"))
+    rs = rs.select(*keys, "pid", "mr.method", "mr.r")
+    # the observed r (identity permutation) beside every permuted r; a window holds
+    # the permutations of one matrix and method (at most ``perms`` rows)
+    w = Window.partitionBy(*keys, "method")
+    rs = rs.withColumn("r_obs", F.max(F.when(F.col("pid") == 0, F.col("r"))).over(w))
+    ge = (F.abs(F.round("r", R_DIGITS)) >= F.abs(F.round("r_obs", R_DIGITS))).cast("double")
+    res = rs.groupBy(*keys, "method").agg(
+        F.first("r_obs").alias("r"), F.avg(ge).alias("p"),
+        F.avg("r").alias("_mean"), F.stddev_pop("r").alias("_std"),
+        F.count(F.lit(1)).cast("bigint").alias("n_perm"))
+    res = res.select(*keys, "method", "r", "p",
+                     F.try_divide(F.col("r") - F.col("_mean"), F.col("_std")).alias("z"), "n_perm")
+    return res.drop("_m") if drop_key else res

@@ -238,3 +238,51 @@ def mantel_views(groups: list[str], keys: str = "", methods=("pearson", "spearma
     views["mres"] = " UNION ALL ".join(selects)
     assert math.factorial(n) > 0
     return views
+
+
+def config_values(configs) -> str:
+    rows = ", ".join(f"({i}, '{c.mode}', {c.seed}, CAST({float(c.fraction)} AS DOUBLE), "
+                     f"{c.month_start}, {c.month_end})" for i, c in enumerate(configs))
+    return (f"SELECT * FROM (VALUES {rows}) AS t(config, mode, seed, fraction, month_start, "
+            "month_end)")
+
+
+MARKER = """CASE WHEN mode = 'full' THEN 'full'
+     WHEN mode = 'random' THEN 'random-seed' || CAST(seed AS VARCHAR) || '-' || CAST(fraction AS VARCHAR)
+     WHEN mode = 'time' THEN 'time-(' || CAST(month_start AS VARCHAR) || ', ' || CAST(month_end AS VARCHAR) || ')'
+     ELSE mode END"""
+
+
+def experiment_views(configs, groups, num_groups, threshold) -> dict:
+    """Per-configuration posts by explicit predicates, then brute-force V3 and Mantel."""
+    member = f"""
+  SELECT c.config, p.post_id, p.grp, p.text FROM posts_event p JOIN cfg c ON
+     (c.mode = 'full')
+  OR (c.mode = 'random' AND {h32(key('c.seed', 'p.post_id'))} < c.fraction * 4294967296)
+  OR (c.mode = 'time' AND month(p.created_at) BETWEEN c.month_start AND c.month_end)
+  OR (c.mode = 'elected' AND p.elected = 1)
+  OR (c.mode = 'incumbent' AND p.incumbent = 1)
+  OR (c.mode = 'reelected' AND p.elected = 1 AND p.incumbent = 1)
+  OR (c.mode = 'newly_elected' AND p.elected = 1 AND p.incumbent = 0)
+  OR (c.mode = 'not_reelected' AND p.elected = 0 AND p.incumbent = 1)
+  OR (c.mode = 'content' AND p.is_retweet = 0 AND p.is_quoted = 0 AND p.is_reply = 0
+      AND NOT ends_with(p.text, '…'))"""
+    views = {
+        "posts_event": posts_event(), "emb": EVENT_EMB, "eu": unit_of("emb"),
+        "cfg": config_values(configs), "member": member,
+        "cm0": f"""SELECT config, post_id, grp, unnest(regexp_extract_all(coalesce(text, ''), '{TAG_RE}')) AS tag
+                   FROM member""",
+        "cm": "SELECT m.*, eu.u FROM cm0 m JOIN eu USING (post_id)",
+    }
+    views.update(tag_matrix_views("cm", groups, num_groups, threshold, keys="config"))
+    views.update(salience_matrix_views("full", True, mapped=True))
+    views.update(mantel_views(groups, keys="config"))
+    return views
+
+
+def experiment_sql(configs, groups, num_groups, threshold) -> str:
+    v = experiment_views(configs, groups, num_groups, threshold)
+    return with_views(f"""
+  SELECT m.config, {MARKER} AS marker, m.method, round(m.r, 6) AS r, round(m.p, 6) AS p,
+         round(m.z, 6) AS z, m.n_perm
+  FROM mres m JOIN cfg USING (config)""", **v)

@@ -26,7 +26,7 @@ from tagspace.functions.hashing import unit_draw
 from tagspace.functions.predicates import content as content_pred
 from tagspace.functions.vectors import vector_sum
 from tagspace.operators import tags as TG
-from tagspace.operators.distance import complete_tags, tag_distance_matrix, unit_embeddings
+from tagspace.operators.distance import tag_distance_matrix, unit_embeddings
 from tagspace.operators.mantel import mantel
 from tagspace.plans.grid import Config, config_table
 
@@ -81,42 +81,63 @@ def _membership(configs: list[Config], fr) -> F.Column:
     return F.filter(F.array(*ids), lambda x: x.isNotNull())
 
 
+def _atom_rows(rows: DataFrame, atoms, cols) -> DataFrame:
+    """Explode each row into its atoms; random atoms drop the structured fields."""
+    rows = rows.select(*cols, "month", "el", "inc", "cont", F.explode(atoms).alias("a"))
+    rows = rows.select(*cols, "a.kind", "a.seed", "a.b",
+                       F.when(F.col("a.kind") == "s", F.col("month")).otherwise(0).alias("month"),
+                       F.when(F.col("a.kind") == "s", F.col("el")).otherwise(2).alias("el"),
+                       F.when(F.col("a.kind") == "s", F.col("inc")).otherwise(2).alias("inc"),
+                       ((F.col("a.kind") == "s") & F.col("cont")).alias("cont"))
+    return rows.filter((F.col("kind") == "s") | F.col("b").isNotNull())
+
+
+ATOM = ["kind", "seed", "b", "month", "el", "inc", "cont"]
+
+
 def config_profiles(posts: DataFrame, emb: DataFrame, configs: list[Config], groups,
                     num_groups: int = 6, threshold: int = 50,
                     count_null_group: bool = True) -> DataFrame:
-    """(config, tag, grp, n, s) for the complete common tags of every configuration."""
+    """(config, tag, grp, n, s) for the complete common tags of every configuration.
+
+    Which (config, tag) pairs qualify is decided on counts alone; the vectors
+    are aggregated once and only for those pairs.
+    """
     atoms, fr = _atoms(configs)
+    member = _membership(configs, fr)
     base = posts.select(
         "post_id", "grp", "text",
         F.coalesce(F.month("created_at"), F.lit(0)).alias("month"),
         _flag3("elected").alias("el"), _flag3("incumbent").alias("inc"),
         F.coalesce(content_pred(), F.lit(False)).alias("cont"))
     ments = TG.mentions(base, keep=("month", "el", "inc", "cont"))
+    # every configuration is a subset of the posts: tags failing on all posts fail everywhere
     cand = TG.common_tags(ments, num_groups, threshold, count_null_group=count_null_group)
     ments = TG.restrict_to(ments, cand)
-    rows = ments.join(unit_embeddings(emb), "post_id")
-    rows = rows.select("tag", "grp", "month", "el", "inc", "cont", "u",
-                       F.explode(atoms).alias("a")).select(
-        "tag", "grp", "month", "el", "inc", "cont", "u", "a.kind", "a.seed", "a.b")
-    rows = rows.filter(F.col("kind") == "s").unionByName(
-        rows.filter((F.col("kind") == "r") & F.col("b").isNotNull())
-        .withColumn("month", F.lit(0)).withColumn("el", F.lit(2))
-        .withColumn("inc", F.lit(2)).withColumn("cont", F.lit(False)))
-    agg1 = rows.groupBy("kind", "seed", "b", "month", "el", "inc", "cont", "tag", "grp").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"), vector_sum("u").alias("s"))
-    per_cfg = agg1.select(F.explode(_membership(configs, fr)).alias("config"), "tag", "grp",
-                          "n", "s")
-    agg2 = per_cfg.groupBy("config", "tag", "grp").agg(F.sum("n").alias("n"),
-                                                       vector_sum("s").alias("s"))
+
+    # counts: (config, tag, grp) → common and complete (config, tag)
+    c1 = (_atom_rows(ments, atoms, ["tag", "grp"]).groupBy(*ATOM, "tag", "grp")
+          .agg(F.count(F.lit(1)).alias("n")))
+    c2 = (c1.select(F.explode(member).alias("config"), "tag", "grp", "n")
+          .groupBy("config", "tag", "grp").agg(F.sum("n").alias("n")))
     nq = F.count_distinct("grp")
     if count_null_group:
         nq = nq + F.max(F.col("grp").isNull().cast("int"))
-    common = (agg2.groupBy("config", "tag")
-              .agg(F.sum("n").alias("_n"), nq.alias("_g"))
-              .filter((F.col("_g") >= num_groups) & (F.col("_n") >= threshold)))
-    prof = agg2.filter(F.col("grp").isin(list(groups))).join(common.select("config", "tag"),
-                                                             ["config", "tag"], "left_semi")
-    return complete_tags(prof, len(groups), ("config",))
+    listed = F.count_distinct(F.when(F.col("grp").isin(list(groups)), F.col("grp")))
+    keep = (c2.groupBy("config", "tag")
+            .agg(F.sum("n").alias("_n"), nq.alias("_g"), listed.alias("_l"))
+            .filter((F.col("_g") >= num_groups) & (F.col("_n") >= threshold)
+                    & (F.col("_l") == len(groups)))
+            .select("config", "tag"))
+
+    # vectors: one shuffle of the vectors by post_id, then partial sums per atom
+    rows = ments.filter(F.col("grp").isin(list(groups))).join(unit_embeddings(emb), "post_id")
+    v1 = (_atom_rows(rows, atoms, ["tag", "grp", "u"]).groupBy(*ATOM, "tag", "grp")
+          .agg(F.count(F.lit(1)).cast("bigint").alias("n"), vector_sum("u").alias("s")))
+    v2 = v1.select(F.explode(member).alias("config"), "tag", "grp", "n", "s")
+    v2 = v2.join(keep, ["config", "tag"], "left_semi")
+    return v2.groupBy("config", "tag", "grp").agg(F.sum("n").alias("n"),
+                                                  vector_sum("s").alias("s"))
 
 
 def experiment_grid(posts: DataFrame, emb: DataFrame, salience: DataFrame, groups,

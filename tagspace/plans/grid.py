@@ -40,10 +40,15 @@ def readme_grid(content: bool = True) -> list[Config]:
 
 
 def config_table(spark: SparkSession, configs: list[Config]) -> DataFrame:
-    """(config, mode, seed, fraction, month_start, month_end, marker) — a parameter table."""
-    rows = [(i, c.mode, c.seed, float(c.fraction), c.month_start, c.month_end)
+    """(config, mode, seed, fraction, month_start, month_end, marker) — a parameter table.
+
+    Built from literals in the JVM (no Python worker is started for it).
+    """
+    rows = [F.struct(F.lit(i).alias("config"), F.lit(c.mode).alias("mode"),
+                     F.lit(int(c.seed)).alias("seed"), F.lit(float(c.fraction)).alias("fraction"),
+                     F.lit(int(c.month_start)).alias("month_start"),
+                     F.lit(int(c.month_end)).alias("month_end"))
             for i, c in enumerate(configs)]
-    df = spark.createDataFrame(rows, "config int, mode string, seed int, fraction double, "
-                                     "month_start int, month_end int")
+    df = spark.range(1).select(F.inline(F.array(*rows)))
     return df.withColumn("marker", config_marker(F.col("mode"), F.col("seed"), F.col("fraction"),
                                                  F.col("month_start"), F.col("month_end")))

@@ -92,12 +92,13 @@ def salience_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("brand"),
                     "p_type", "l_quantity"))
     brands = list(range(1, N_BRANDS + 1))
-    by_brand = rows.groupBy("seg").pivot("brand", brands).agg(F.sum("l_quantity"))
-    types = sorted(r[0] for r in rows.select("p_type").distinct().collect())
-    by_type = rows.groupBy("seg").pivot("p_type", types).agg(F.sum("l_quantity"))
-    total = rows.groupBy("seg").agg(F.sum("l_quantity").alias("q"))
+    # p_type values in name order (a handful of category names, read as metadata)
+    types = sorted(r[0] for r in part.select("p_type").distinct().collect())
+    q = F.col("l_quantity")
+    sums = [F.sum(F.when(F.col("brand") == b, q)).alias(f"b{b}") for b in brands]
+    sums += [F.sum(F.when(F.col("p_type") == t, q)).alias(f"t{i}") for i, t in enumerate(types)]
+    wide = rows.groupBy("seg").agg(F.sum(q).alias("q"), *sums)
     grand = F.sum("q").over(_whole())
-    wide = total.join(by_brand, "seg").join(by_type, "seg")
 
     def pct(c):
         return F.coalesce(F.col(c), F.lit(0.0)) * 100.0 / F.col("q")
@@ -106,11 +107,11 @@ def salience_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("seg").alias("partyabbrev"), (F.col("q") * 100.0 / grand).alias("pervote"),
             F.lit(0.0).alias("peruncod")]
     for b in brands:
-        cols.append(pct(str(b)).alias(f"per{100 + b}"))
+        cols.append(pct(f"b{b}").alias(f"per{100 + b}"))
         if b == 3:
-            cols.append((pct(str(b)) / 2.0).alias("per103_1"))
+            cols.append((pct(f"b{b}") / 2.0).alias("per103_1"))
     for i, name in enumerate(SALIENCE_TYPE_COLUMNS):
-        cols.append(pct(types[i % len(types)]).alias(name))
+        cols.append(pct(f"t{i % len(types)}").alias(name))
     return wide.select(*cols)
 
 
