@@ -313,3 +313,68 @@ def _experiment_query(name, configs):
 
 _experiment_query("experiment", [Config("full")])
 _experiment_query("experiment_grid", readme_grid())
+
+
+# --- twin matching -----------------------------------------------------------------
+
+from tagspace.operators import twin as TW  # noqa: E402
+
+
+def _twin_vectors(spark, d):
+    return _label_vectors(spark, d).select(F.col("vec_id").alias("id"), "grp", "embedding")
+
+
+@register("twin_similarity_matrix", O.with_views(
+    "SELECT g1, g2, round(value, 6) AS value FROM sim", **O.twin_views()))
+def q_twin_similarity(spark, d):
+    m = TW.twin_similarity_matrix(_twin_vectors(spark, d))
+    return m.select("g1", "g2", _r(F.col("value")).alias("value"))
+
+
+@register("twin_distance_matrix", O.with_views(
+    "SELECT g1, g2, round(value, 6) AS value FROM dist", **O.twin_views()))
+def q_twin_distance(spark, d):
+    m = TW.twin_distance_matrix(_twin_vectors(spark, d))
+    return m.select("g1", "g2", _r(F.col("value")).alias("value"))
+
+
+# --- pair datasets --------------------------------------------------------------------
+
+from tagspace.operators import pairs as PR  # noqa: E402
+
+PAIR_ARGS = dict(num_groups=5, threshold=10, seed=42, n_samples=230)
+_PV = O.pair_views(5, 10, 42, 230)
+
+
+@register("positive_pairs", O.with_views("SELECT tag, id1, id2 FROM pp", **_PV))
+def q_positive_pairs(spark, d):
+    _, pos, _ = PR.pair_parts(FX.posts_event(spark, d), **PAIR_ARGS)
+    return pos
+
+
+@register("clean_negatives", O.with_views("SELECT tag, post_id FROM neg", **_PV))
+def q_clean_negatives(spark, d):
+    posts = FX.posts_event(spark, d)
+    tp = PR.tagged_posts(posts)
+    ments = tp.select("post_id", "grp", F.posexplode("tags").alias("pos", "tag"))
+    common = TG.common_tags(ments, 5, 10).select("tag")
+    cooc = TG.tag_cooccurrence(tp, common)
+    return PR.clean_negatives(tp.select("post_id", "tags"), common, cooc, 42).select(
+        "tag", "post_id")
+
+
+@register("negative_pairs", O.with_views("SELECT tag, id1, id2 FROM np", **_PV))
+def q_negative_pairs(spark, d):
+    _, _, neg = PR.pair_parts(FX.posts_event(spark, d), **PAIR_ARGS)
+    return neg
+
+
+@register("pair_dataset", O.with_views("SELECT * FROM pairs", **_PV))
+def q_pair_dataset(spark, d):
+    return PR.pair_dataset(FX.posts_event(spark, d), **PAIR_ARGS)
+
+
+@register("pair_split", O.with_views("SELECT * FROM split", **_PV))
+def q_pair_split(spark, d):
+    ds = PR.pair_dataset(FX.posts_event(spark, d), **PAIR_ARGS)
+    return PR.split_dataset(ds, seed=42).select("tag", "id1", "id2", "label", "split")

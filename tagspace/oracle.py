@@ -286,3 +286,78 @@ def experiment_sql(configs, groups, num_groups, threshold) -> str:
   SELECT m.config, {MARKER} AS marker, m.method, round(m.r, 6) AS r, round(m.p, 6) AS p,
          round(m.z, 6) AS z, m.n_perm
   FROM mres m JOIN cfg USING (config)""", **v)
+
+
+def twin_views() -> dict:
+    """Brute-force twin matching over the labelled embeddings (label = group)."""
+    return {
+        "lvraw": "SELECT vec_id AS post_id, CAST(label AS VARCHAR) AS grp, embedding FROM embeddings",
+        "lvu": unit_of("lvraw"),
+        "v": "SELECT r.post_id AS id, r.grp, u.u FROM lvraw r JOIN lvu u USING (post_id)",
+        "sims": """SELECT a.id AS a_id, a.grp AS ga, b.id AS b_id, b.grp AS gb,
+                          list_dot_product(a.u, b.u) AS s FROM v a, v b""",
+        "mx": "SELECT a_id, ga, gb, max(s) AS best FROM sims GROUP BY ALL",
+        "tw": """SELECT m.a_id, m.ga, m.gb, m.best, min(s.b_id) AS t_id FROM mx m
+                 JOIN sims s ON s.a_id = m.a_id AND s.gb = m.gb AND s.s = m.best GROUP BY ALL""",
+        "cc": """SELECT a_id, greatest(0.0, coalesce(max(s) FILTER (WHERE b_id <> a_id AND gb = ga), 0.0)) AS c
+                 FROM sims GROUP BY a_id""",
+        "sim": """SELECT tw.ga AS g1, tw.gb AS g2, avg(tw.best / nullif(ca.c + ct.c, 0)) AS value
+                  FROM tw JOIN cc ca ON ca.a_id = tw.a_id JOIN cc ct ON ct.a_id = tw.t_id GROUP BY ALL""",
+        "sim1": "SELECT g1, g2, CASE WHEN g1 = g2 THEN 1.0 ELSE value END AS value FROM sim",
+        "dist": """SELECT a.g1, a.g2, 1.0 - (a.value + b.value) / 2.0 AS value FROM sim1 a
+                   JOIN sim1 b ON a.g1 = b.g2 AND a.g2 = b.g1""",
+    }
+
+
+def pair_views(num_groups: int, threshold: int, seed: int, n_samples: int, k: int = 100) -> dict:
+    """Pair generator by full joins: anti join for clean posts, row_number for samples."""
+    s = str(seed)
+    return {
+        "posts_event": posts_event(),
+        "tp": f"""SELECT * FROM (SELECT post_id, grp, text,
+                      regexp_extract_all(coalesce(text, ''), '{TAG_RE}') AS tags FROM posts_event)
+                  WHERE len(tags) > 0""",
+        "ments": "SELECT post_id, grp, unnest(tags) AS tag FROM tp",
+        "common": f"""SELECT tag FROM ments GROUP BY tag
+                      HAVING count(DISTINCT grp) + max(CASE WHEN grp IS NULL THEN 1 ELSE 0 END)
+                             >= {num_groups} AND count(*) >= {threshold}""",
+        "tpost": "SELECT DISTINCT tag, post_id FROM ments",
+        "cooc": """SELECT DISTINCT a.tag, b.tag AS other FROM ments a JOIN ments b USING (post_id)
+                   WHERE a.tag IN (SELECT tag FROM common)""",
+        "pos1": f"""SELECT * FROM (SELECT tag, post_id, row_number() OVER (PARTITION BY tag
+                      ORDER BY md5({key(s, "'pos'", 'tag', 'post_id')})) AS rnk
+                    FROM tpost WHERE tag IN (SELECT tag FROM common)) WHERE rnk <= {k}""",
+        "pos2": f"""SELECT * FROM (SELECT tag, post_id, row_number() OVER (PARTITION BY tag
+                      ORDER BY md5({key(s, "'pos2'", 'tag', 'post_id')})) AS rnk
+                    FROM tpost WHERE tag IN (SELECT tag FROM common)) WHERE rnk <= {k}""",
+        "pp": f"""SELECT tag, id1, id2 FROM (
+                    SELECT a.tag, a.post_id AS id1, b.post_id AS id2, row_number() OVER (
+                      PARTITION BY a.tag ORDER BY md5({key(s, "'pp'", 'a.tag', 'a.post_id', 'b.post_id')})) AS rnk
+                    FROM pos1 a JOIN pos1 b ON a.tag = b.tag AND a.rnk < b.rnk)
+                  WHERE rnk <= {n_samples}""",
+        "cand": "SELECT c.tag, p.post_id, p.tags FROM common c, tp p",
+        "dirty": """SELECT DISTINCT x.tag, x.post_id FROM
+                      (SELECT tag, post_id, unnest(tags) AS other FROM cand) x
+                    JOIN cooc USING (tag, other)""",
+        "neg": f"""SELECT tag, post_id FROM (
+                     SELECT c.tag, c.post_id, row_number() OVER (PARTITION BY c.tag ORDER BY
+                       ((({h32(key(s, 'c.post_id'))}) - ({h32(key(s, 'c.tag'))})) % 4294967296
+                          + 4294967296) % 4294967296, c.post_id) AS rnk
+                     FROM cand c ANTI JOIN dirty d ON c.tag = d.tag AND c.post_id = d.post_id)
+                   WHERE rnk <= {k}""",
+        "np": f"""SELECT tag, id1, id2 FROM (
+                    SELECT a.tag, a.post_id AS id1, b.post_id AS id2, row_number() OVER (
+                      PARTITION BY a.tag ORDER BY md5({key(s, "'np'", 'a.tag', 'a.post_id', 'b.post_id')})) AS rnk
+                    FROM pos2 a JOIN neg b ON a.tag = b.tag)
+                  WHERE rnk <= {n_samples}""",
+        "pairs": """SELECT x.tag, x.id1, x.id2, t1.text AS sent1, t2.text AS sent2, x.label FROM
+                      (SELECT tag, id1, id2, 1 AS label FROM pp
+                       UNION ALL SELECT tag, id1, id2, 0 AS label FROM np) x
+                    JOIN tp t1 ON t1.post_id = x.id1 JOIN tp t2 ON t2.post_id = x.id2""",
+        "ranked": f"""SELECT *, row_number() OVER (ORDER BY
+                        md5({key(s, "'split'", 'tag', 'id1', 'id2', 'label')})) AS rnk,
+                        count(*) OVER () AS n FROM pairs""",
+        "split": """SELECT tag, id1, id2, label,
+                           CASE WHEN rnk <= floor(0.8 * n) THEN 'train' ELSE 'val' END AS split
+                    FROM ranked""",
+    }
