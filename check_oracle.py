@@ -17,7 +17,7 @@ if __name__ == "__main__":
     for n in names:
         t = time.time()
         try:
-            res = compare(spark, sf_dir, QUERIES[n], ORACLE.get(n), con)
+            res = compare(spark, sf_dir, QUERIES[n], ORACLE.get(n), duck_connect(sf_dir))
         except Exception as e:  # report and go on
             res = {"error": repr(e)[:600]}
         res["sec"] = round(time.time() - t, 2)

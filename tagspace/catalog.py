@@ -378,3 +378,79 @@ def q_pair_dataset(spark, d):
 def q_pair_split(spark, d):
     ds = PR.pair_dataset(FX.posts_event(spark, d), **PAIR_ARGS)
     return PR.split_dataset(ds, seed=42).select("tag", "id1", "id2", "label", "split")
+
+
+# --- masked embeddings, pair evaluation, encoders -------------------------------------
+
+from tagspace.operators import embed as EM  # noqa: E402
+from tagspace.operators import masks as MK  # noqa: E402
+from tagspace.operators.evaluate import pair_similarity_eval  # noqa: E402
+
+
+@register("masked_embeddings", O.with_views(
+    """SELECT p.post_id, p.grp, round(CAST(e.embedding[1] AS DOUBLE), 6) AS e0
+       FROM posts_event p JOIN emb e USING (post_id)
+       WHERE p.is_retweet = 0 AND p.is_quoted = 0 AND p.is_reply = 0 AND NOT ends_with(p.text, '…')""",
+    posts_event=O.posts_event(), emb=O.EVENT_EMB))
+def q_masked_embeddings(spark, d):
+    m = MK.apply_mask(FX.posts_event(spark, d), FX.event_embeddings(spark, d), P.content(),
+                      EVENT_GROUPS, check=True)
+    return m.select("post_id", "grp", _r(F.col("embedding")[0]).alias("e0"))
+
+
+@register("pair_similarity_eval", O.with_views(
+    "SELECT metric, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM res",
+    **O.eval_views()))
+def q_pair_similarity_eval(spark, d):
+    pairs = FX.label_pairs(spark, d)
+    emb = FX.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    r = pair_similarity_eval(pairs, emb)
+    return r.select("metric", _r(F.col("pearson")).alias("pearson"),
+                    _r(F.col("spearman")).alias("spearman"))
+
+
+@register("word_average", O.with_views(
+    """SELECT t.post_id, CAST(sum(t.c) AS BIGINT) AS n_tokens,
+              round(sum(t.c * w.first_u) / sum(t.c), 6) AS first,
+              round(sum(t.c * w.total_u) / sum(t.c), 6) AS total
+       FROM tc t JOIN wv w ON w.vec_id = t.vec_id
+       GROUP BY t.post_id""",
+    **O.doc_token_views(),
+    ne="SELECT count(*) AS n FROM embeddings",
+    tc="SELECT th.post_id, th.h % ne.n AS vec_id, count(*) AS c FROM th, ne GROUP BY ALL",
+    wraw="SELECT vec_id AS post_id, embedding FROM embeddings",
+    wu=O.unit_of("wraw"),
+    wv="SELECT post_id AS vec_id, u[1] AS first_u, list_sum(u) AS total_u FROM wu"))
+def q_word_average(spark, d):
+    wa = EM.word_average(FX.posts_doc(spark, d), FX.table(spark, d, "embeddings"))
+    return wa.select("post_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                     _r(F.col("embedding")[0]).alias("first"),
+                     _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+_HASH_SQL = O.with_views(
+    """SELECT post_id, n_tokens, round(coalesce(v0, 0.0) / nrm, 6) AS first, round(vs / nrm, 6) AS total
+       FROM (SELECT post_id, CAST(sum(c) AS BIGINT) AS n_tokens, sqrt(sum(v * v)) AS nrm, sum(v) AS vs,
+                    max(CASE WHEN b = 0 THEN v END) AS v0
+             FROM (SELECT post_id, h % 32 AS b, sum(CASE WHEN h < 2147483648 THEN 1.0 ELSE -1.0 END) AS v,
+                          count(*) AS c FROM th GROUP BY ALL)
+             GROUP BY post_id)""", **O.doc_token_views())
+
+
+@register("hash_embeddings", _HASH_SQL)
+def q_hash_embeddings(spark, d):
+    he = EM.hash_embed(FX.posts_doc(spark, d), 32)
+    return he.select("post_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                     _r(F.col("embedding")[0]).alias("first"),
+                     _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+# the hook stores float32 vectors (as encoders do), so it is compared at 4 digits
+@register("encoder_hook", "SELECT post_id, round(first, 4) AS first, round(total, 4) AS total FROM ("
+          + _HASH_SQL + ")")
+def q_encoder_hook(spark, d):
+    e = EM.encode_batches(FX.posts_doc(spark, d), lambda: EM.numpy_hash_encoder(32), 32)
+    return e.select("post_id",
+                    _r(F.col("embedding")[0], 4).alias("first"),
+                    _r(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0),
+                                   lambda a, x: a + x), 4).alias("total"))

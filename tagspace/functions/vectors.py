@@ -41,7 +41,7 @@ def cosine(a, b) -> Column:
     return dot(unit(a), unit(b))
 
 
-def vector_sum(v) -> Column:
+def vector_sum(v, weight: str | None = None) -> Column:
     """Aggregate: element-wise sum of equal-length arrays (partial + final, JVM).
 
     ``Summarizer`` is a typed imperative aggregate, so the sum is combined map
@@ -49,4 +49,5 @@ def vector_sum(v) -> Column:
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    return vector_to_array(Summarizer.sum(array_to_vector(as_double(v))))
+    w = None if weight is None else F.col(weight).cast("double")
+    return vector_to_array(Summarizer.sum(array_to_vector(as_double(v)), w))

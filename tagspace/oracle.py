@@ -361,3 +361,38 @@ def pair_views(num_groups: int, threshold: int, seed: int, n_samples: int, k: in
                            CASE WHEN rnk <= floor(0.8 * n) THEN 'train' ELSE 'val' END AS split
                     FROM ranked""",
     }
+
+
+def eval_views() -> dict:
+    """Pair scores of consecutive embeddings and their correlations with the label."""
+    m = ["cosine", "manhattan", "euclidean", "dot"]
+    ranks = " UNION ALL ".join(
+        f"""SELECT '{x}' AS metric, label,
+              rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS rs,
+              rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0 AS rl,
+              {x} AS score FROM scores""" for x in m)
+    return {
+        "ev": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings",
+        "lp": """SELECT a.vec_id AS id1, b.vec_id AS id2,
+                        CAST(CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS DOUBLE) AS label
+                 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+        "scores": """SELECT lp.label,
+                       list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS cosine,
+                       -list_sum(list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))) AS manhattan,
+                       -sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS euclidean,
+                       list_dot_product(a.e, b.e) AS dot
+                     FROM lp JOIN ev a ON a.id = lp.id1 JOIN ev b ON b.id = lp.id2""",
+        "rk": ranks,
+        "res": """SELECT metric, corr(label, score) AS pearson, corr(rl, rs) AS spearman
+                  FROM rk GROUP BY metric""",
+    }
+
+
+def doc_token_views(n_vec_sql: str = "(SELECT count(*) FROM embeddings)") -> dict:
+    tok = r"[^ \t\n\x0B\f\r]+"
+    return {
+        "posts_doc": POSTS_DOC,
+        "toks": f"""SELECT post_id, unnest(regexp_extract_all(replace(text, chr(10), ' '), '{tok}')) AS tok
+                    FROM posts_doc""",
+        "th": f"SELECT post_id, tok, {h32('tok')} AS h FROM toks",
+    }
