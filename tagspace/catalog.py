@@ -445,12 +445,9 @@ def q_hash_embeddings(spark, d):
                      _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-# the hook stores float32 vectors (as encoders do), so it is compared at 4 digits
-@register("encoder_hook", "SELECT post_id, round(first, 4) AS first, round(total, 4) AS total FROM ("
-          + _HASH_SQL + ")")
+@register("encoder_hook", "SELECT post_id, first, total FROM (" + _HASH_SQL + ")")
 def q_encoder_hook(spark, d):
-    e = EM.encode_batches(FX.posts_doc(spark, d), lambda: EM.numpy_hash_encoder(32), 32)
-    return e.select("post_id",
-                    _r(F.col("embedding")[0], 4).alias("first"),
-                    _r(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0),
-                                   lambda a, x: a + x), 4).alias("total"))
+    e = EM.encode_batches(FX.posts_doc(spark, d), lambda: EM.numpy_hash_encoder(32), 32,
+                          out_type="double")
+    return e.select("post_id", _r(F.col("embedding")[0]).alias("first"),
+                    _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))

@@ -76,19 +76,24 @@ def hash_embed(posts: DataFrame, dim: int = 32, text: str = "text") -> DataFrame
 
 
 def encode_batches(posts: DataFrame, make_encoder: Callable[[], Callable], dim: int,
-                   text: str = "text", batch_size: int = ENCODE_BATCH) -> DataFrame:
-    """(post_id, embedding) by an encoder over Arrow batches of texts."""
+                   text: str = "text", batch_size: int = ENCODE_BATCH,
+                   out_type: str = "float") -> DataFrame:
+    """(post_id, embedding) by an encoder over Arrow batches of texts.
+
+    ``out_type`` is the stored element type (``float`` as encoders give, or ``double``).
+    """
+    np_type = "float32" if out_type == "float" else "float64"
     def run(batches):
         enc = make_encoder()  # built once per task
         for pdf in batches:
             for i in range(0, len(pdf), batch_size):
                 part = pdf.iloc[i:i + batch_size]
                 vecs = np.asarray(enc(part[text].fillna("").str.replace("\n", " ").tolist()),
-                                  dtype="float32")
+                                  dtype=np_type)
                 yield pd.DataFrame({"post_id": part["post_id"].to_numpy(),
                                     "embedding": list(vecs)})
     return posts.select("post_id", text).mapInPandas(
-        run, f"post_id long, embedding array<float>")
+        run, f"post_id long, embedding array<{out_type}>")
 
 
 def numpy_hash_encoder(dim: int = 32):
