@@ -451,3 +451,67 @@ def q_encoder_hook(spark, d):
                           out_type="double")
     return e.select("post_id", _r(F.col("embedding")[0]).alias("first"),
                     _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+# --- jobs: files in and out ------------------------------------------------------------
+
+from tagspace.plans import jobs as JB  # noqa: E402
+from tagspace.sources import sinks as SK  # noqa: E402
+
+EVENT_POST_SCHEMA = ("post_id long, grp string, created_at timestamp_ntz, text string, "
+                     "elected int, incumbent int, is_retweet int, is_quoted int, is_reply int")
+DOC_POST_SCHEMA = ("post_id long, party string, text string, lang string, "
+                   "created_at timestamp_ntz, elected int, incumbent int, grp string")
+
+
+def _as_csv(df, spark, name):
+    path = SK.scratch_path(spark, name)
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@register("filter_job", O.with_views(
+    """SELECT p.post_id, p.grp, round(CAST(e.embedding[1] AS DOUBLE), 6) AS e0
+       FROM posts_event p JOIN emb e USING (post_id)
+       WHERE p.is_retweet = 0 AND p.is_quoted = 0 AND p.is_reply = 0 AND NOT ends_with(p.text, '…')""",
+    posts_event=O.posts_event(), emb=O.EVENT_EMB))
+def q_filter_job(spark, d):
+    out = JB.filter_job(FX.posts_event(spark, d), FX.event_embeddings(spark, d),
+                        SK.scratch_path(spark, "filtered"), "content", EVENT_GROUPS)
+    back = spark.read.parquet(out).filter((F.col("mode") == "content")
+                                          & (F.col("config") == "content"))
+    return back.select("post_id", "grp", _r(F.col("embedding")[0]).alias("e0"))
+
+
+@register("gather_job", O.with_views("SELECT sent1, sent2, label, split FROM split_texts", **_PV))
+def q_gather_job(spark, d):
+    src = _as_csv(FX.posts_event(spark, d), spark, "posts-event-csv")
+    out = JB.gather_job(spark, src, SK.scratch_path(spark, "pairs"), 2024, 2024,
+                        num_groups=5, threshold=10, n_samples=230, seed=42,
+                        schema=EVENT_POST_SCHEMA, id_col="post_id", group_col="grp", merge={})
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
+        .schema("sent1 string, sent2 string, label int, year string, split string").csv(out)
+    return back.select("sent1", "sent2", "label", "split")
+
+
+@register("embed_job", "SELECT post_id, first, total FROM (" + O.with_views(
+    _HASH_SQL[_HASH_SQL.index("\nSELECT"):], **O.doc_token_views(1997)) + ")")
+def q_embed_job(spark, d):
+    src = _as_csv(FX.posts_doc(spark, d), spark, "posts-doc-csv")
+    out = JB.embed_job(spark, src, SK.scratch_path(spark, "emb"), 1997, model="hash/32",
+                       schema=DOC_POST_SCHEMA, id_col="post_id", group_col="party",
+                       merge=FX.DOC_MERGE)
+    back = spark.read.parquet(out).filter((F.col("model") == "hash_32") & (F.col("year") == 1997))
+    return back.select("post_id", _r(F.col("embedding")[0]).alias("first"),
+                       _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@register("evaluate_job")
+def q_evaluate_job(spark, d):
+    src = _as_csv(FX.posts_event(spark, d), spark, "posts-event-csv")
+    out = JB.gather_job(spark, src, SK.scratch_path(spark, "pairs"), 2024, 2024,
+                        num_groups=5, threshold=10, n_samples=230, seed=42,
+                        schema=EVENT_POST_SCHEMA, id_col="post_id", group_col="grp", merge={})
+    r = JB.evaluate_job(spark, out, "val")
+    return r.select("metric", _r(F.col("pearson")).alias("pearson"),
+                    _r(F.col("spearman")).alias("spearman"))

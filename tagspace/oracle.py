@@ -357,6 +357,9 @@ def pair_views(num_groups: int, threshold: int, seed: int, n_samples: int, k: in
         "ranked": f"""SELECT *, row_number() OVER (ORDER BY
                         md5({key(s, "'split'", 'tag', 'id1', 'id2', 'label')})) AS rnk,
                         count(*) OVER () AS n FROM pairs""",
+        "split_texts": """SELECT sent1, sent2, label,
+                           CASE WHEN rnk <= floor(0.8 * n) THEN 'train' ELSE 'val' END AS split
+                    FROM ranked""",
         "split": """SELECT tag, id1, id2, label,
                            CASE WHEN rnk <= floor(0.8 * n) THEN 'train' ELSE 'val' END AS split
                     FROM ranked""",
@@ -388,10 +391,11 @@ def eval_views() -> dict:
     }
 
 
-def doc_token_views(n_vec_sql: str = "(SELECT count(*) FROM embeddings)") -> dict:
+def doc_token_views(year: int | None = None) -> dict:
     tok = r"[^ \t\n\x0B\f\r]+"
+    where = "" if year is None else f" WHERE year(o.o_orderdate) = {int(year)}"
     return {
-        "posts_doc": POSTS_DOC,
+        "posts_doc": POSTS_DOC + where,
         "toks": f"""SELECT post_id, unnest(regexp_extract_all(replace(text, chr(10), ' '), '{tok}')) AS tok
                     FROM posts_doc""",
         "th": f"SELECT post_id, tok, {h32('tok')} AS h FROM toks",
