@@ -186,6 +186,12 @@ EVENT_GROUPS = ["click", "error", "purchase", "signup", "view"]
 SALIENCE_YEAR = 1997
 
 
+def emb_dim(spark, d):
+    """Vector length of the embeddings table (one row of the file is read)."""
+    from tagspace.functions.vectors import vector_dim
+    return vector_dim(FX.table(spark, d, "embeddings", spread_small=False))
+
+
 def _label_vectors(spark, d):
     return (FX.table(spark, d, "embeddings")
             .select(F.col("label").cast("string").alias("grp"), "vec_id", "embedding"))
@@ -200,8 +206,9 @@ def _label_vectors(spark, d):
     lv="SELECT r.grp, u.u FROM lvraw r JOIN lvu u USING (post_id)"))
 def q_category_distance(spark, d):
     v = _label_vectors(spark, d)
-    s = DS.category_distance(v, "sum").withColumnRenamed("value", "dist_sum")
-    m = DS.category_distance(v, "mean").withColumnRenamed("value", "dist_mean")
+    dim = emb_dim(spark, d)
+    s = DS.category_distance(v, "sum", dim=dim).withColumnRenamed("value", "dist_sum")
+    m = DS.category_distance(v, "mean", dim=dim).withColumnRenamed("value", "dist_mean")
     return s.join(m, ["g1", "g2"]).select("g1", "g2", _r(F.col("dist_sum"), 4).alias("dist_sum"),
                                           _r(F.col("dist_mean")).alias("dist_mean"))
 
@@ -211,8 +218,9 @@ def _event_profile(spark, d, num_groups=5, threshold=50):
     ments = TG.mentions(posts)
     common = TG.common_tags(ments, num_groups, threshold)
     ments = TG.restrict_to(ments, common)
-    emb = DS.unit_embeddings(FX.event_embeddings(spark, d))
-    prof = DS.tag_group_vectors(ments, emb, EVENT_GROUPS)
+    dim = emb_dim(spark, d)
+    emb = DS.unit_embeddings(FX.event_embeddings(spark, d), dim=dim)
+    prof = DS.tag_group_vectors(ments, emb, EVENT_GROUPS, dim=dim)
     return DS.complete_tags(prof, len(EVENT_GROUPS))
 
 
@@ -237,13 +245,13 @@ def _tag_matrix_sql(agg):
 
 @register("tag_distance_matrix", _tag_matrix_sql("sum"))
 def q_tag_distance_matrix(spark, d):
-    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "sum")
+    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "sum", dim=emb_dim(spark, d))
     return m.select("g1", "g2", _r(F.col("value"), 4).alias("value"))
 
 
 @register("tag_distance_matrix_mean", _tag_matrix_sql("mean"))
 def q_tag_distance_matrix_mean(spark, d):
-    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "mean")
+    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "mean", dim=emb_dim(spark, d))
     return m.select("g1", "g2", _r(F.col("value")).alias("value"))
 
 
@@ -286,7 +294,7 @@ def _mantel_sql(method):
 
 def _mantel_query(method):
     def fn(spark, d):
-        x = DS.tag_distance_matrix(_event_profile(spark, d))
+        x = DS.tag_distance_matrix(_event_profile(spark, d), dim=emb_dim(spark, d))
         y = event_salience(spark, d)
         res = mantel(x, y, EVENT_GROUPS, methods=(method,))
         return res.select("method", _r(F.col("r")).alias("r"), _r(F.col("p")).alias("p"),
@@ -305,7 +313,7 @@ def _experiment_query(name, configs):
         posts = FX.posts_event(spark, d)
         emb = FX.event_embeddings(spark, d)
         res = XP.experiment_grid(posts, emb, event_salience(spark, d), EVENT_GROUPS, configs,
-                                 num_groups=5, threshold=50)
+                                 num_groups=5, threshold=50, dim=emb_dim(spark, d))
         return res.select("config", "marker", "method", _r(F.col("r")).alias("r"),
                           _r(F.col("p")).alias("p"), _r(F.col("z")).alias("z"), "n_perm")
     register(name, O.experiment_sql(configs, EVENT_GROUPS, 5, 50))(fn)
@@ -422,7 +430,8 @@ def q_pair_similarity_eval(spark, d):
     wu=O.unit_of("wraw"),
     wv="SELECT post_id AS vec_id, u[1] AS first_u, list_sum(u) AS total_u FROM wu"))
 def q_word_average(spark, d):
-    wa = EM.word_average(FX.posts_doc(spark, d), FX.table(spark, d, "embeddings"))
+    wa = EM.word_average(FX.posts_doc(spark, d), FX.table(spark, d, "embeddings"),
+                         dim=emb_dim(spark, d))
     return wa.select("post_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                      _r(F.col("embedding")[0]).alias("first"),
                      _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))

@@ -13,16 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspace.functions.vectors import as_double, dot, vector_sum
+from tagspace.functions.vectors import NORM_EPS, as_double, dot, norm_fixed, scaled_fixed, vector_sum
 
 
-def unit_embeddings(emb: DataFrame, col: str = "embedding") -> DataFrame:
+def unit_embeddings(emb: DataFrame, col: str = "embedding", dim: int | None = None,
+                    expand: bool = False) -> DataFrame:
     """Normalise once; everything downstream uses unit vectors (array<double> ``u``).
 
-    Spark ML's ``Normalizer`` runs in the JVM on dense vectors (the interpreted
-    array lambdas are an order of magnitude slower). A zero vector stays zero,
-    so its cosine with anything is 0.
+    By default Spark ML's ``Normalizer`` runs in the JVM (measured fastest inside
+    the full plans); ``expand=True`` with a known length writes the norm and
+    quotients as per-element column expressions instead. A zero vector stays
+    zero, so its cosine with anything is 0.
     """
+    if dim is not None and expand:
+        e = emb.withColumn("_n", F.greatest(norm_fixed(col, dim), F.lit(NORM_EPS)))
+        return e.withColumn("u", scaled_fixed(col, F.col("_n"), dim)).drop(col, "_n")
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
     v = emb.withColumn("_v", array_to_vector(as_double(col))).drop(col)
@@ -30,14 +35,14 @@ def unit_embeddings(emb: DataFrame, col: str = "embedding") -> DataFrame:
     return w.withColumn("u", vector_to_array("_w")).drop("_v", "_w")
 
 
-def group_profile(rows: DataFrame, keys: list[str]) -> DataFrame:
+def group_profile(rows: DataFrame, keys: list[str], dim: int | None = None) -> DataFrame:
     """(keys…, n, s): count and summed unit vector per key (A5 without the lists)."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                   vector_sum("u").alias("s"))
+                                   vector_sum("u", dim=dim).alias("s"))
 
 
 def tag_group_vectors(ments: DataFrame, uemb: DataFrame, groups=None,
-                      keys: tuple[str, ...] = ()) -> DataFrame:
+                      keys: tuple[str, ...] = (), dim: int | None = None) -> DataFrame:
     """A5: per (keys…, tag, grp): mentions n and summed unit vector s.
 
     ``ments`` has (post_id, grp, tag, …); ``uemb`` has (post_id, u). One vector per
@@ -47,7 +52,7 @@ def tag_group_vectors(ments: DataFrame, uemb: DataFrame, groups=None,
     if groups is not None:
         m = m.filter(F.col("grp").isin(list(groups)))
     rows = m.join(uemb, "post_id")
-    return group_profile(rows, [*keys, "tag", "grp"])
+    return group_profile(rows, [*keys, "tag", "grp"], dim)
 
 
 def complete_tags(profile: DataFrame, n_groups: int, keys: tuple[str, ...] = (),
@@ -63,7 +68,7 @@ def complete_tags(profile: DataFrame, n_groups: int, keys: tuple[str, ...] = (),
 
 
 def pair_distances(profile: DataFrame, keys: list[str], agg: str = "sum",
-                   strict: bool = True) -> DataFrame:
+                   strict: bool = True, dim: int | None = None) -> DataFrame:
     """V2 for every pair of groups inside each key: (keys…, g1, g2, value).
 
     ``strict`` pairs g1 < g2 (combinations); otherwise g1 <= g2.
@@ -76,6 +81,7 @@ def pair_distances(profile: DataFrame, keys: list[str], agg: str = "sum",
                        F.col("s").alias("s2"))
     cond = (F.col("g1") < F.col("g2")) if strict else (F.col("g1") <= F.col("g2"))
     j = a.join(b, keys).filter(cond)
+    # one row per tag and group pair: the array lambda is cheap here
     total = (F.col("n1") * F.col("n2")).cast("double") - dot("s1", "s2")
     if agg == "sum":
         value = total
@@ -87,13 +93,13 @@ def pair_distances(profile: DataFrame, keys: list[str], agg: str = "sum",
 
 
 def category_distance(emb_groups: DataFrame, agg: str = "sum",
-                      keys: tuple[str, ...] = ()) -> DataFrame:
+                      keys: tuple[str, ...] = (), dim: int | None = None) -> DataFrame:
     """V2 over groups of vectors: (keys…, g1, g2, value) for g1 < g2.
 
     ``emb_groups`` has (keys…, grp, embedding).
     """
-    prof = group_profile(unit_embeddings(emb_groups), [*keys, "grp"])
-    return pair_distances(prof, list(keys), agg)
+    prof = group_profile(unit_embeddings(emb_groups, dim=dim), [*keys, "grp"], dim)
+    return pair_distances(prof, list(keys), agg, dim=dim)
 
 
 def mean_over_tags(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -123,11 +129,11 @@ def symmetrise(cells: DataFrame, keys: tuple[str, ...] = (), diagonal: float = 0
 
 
 def tag_distance_matrix(profile: DataFrame, keys: tuple[str, ...] = (),
-                        agg: str = "sum") -> DataFrame:
+                        agg: str = "sum", dim: int | None = None) -> DataFrame:
     """V3: per-tag pair distances, mean over tags, mirrored with zero diagonal.
 
     ``profile`` is (keys…, tag, grp, n, s) restricted to complete common tags.
     """
-    per_tag = pair_distances(profile, [*keys, "tag"], agg)
+    per_tag = pair_distances(profile, [*keys, "tag"], agg, dim=dim)
     mean = mean_over_tags(per_tag, keys)
     return symmetrise(mean.drop("n_tags"), keys, 0.0)

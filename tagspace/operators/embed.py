@@ -41,7 +41,8 @@ def word_table_from_vectors(vecs: DataFrame) -> DataFrame:
     return vecs.select("vec_id", "embedding")
 
 
-def word_average(posts: DataFrame, vecs: DataFrame, text: str = "text") -> DataFrame:
+def word_average(posts: DataFrame, vecs: DataFrame, text: str = "text",
+                 dim: int | None = None) -> DataFrame:
     """(post_id, n_tokens, embedding): mean of the unit vectors of the tokens.
 
     A token's vector is row ``md5(token) mod |vecs|`` of ``vecs`` (vec_id, embedding).
@@ -54,7 +55,7 @@ def word_average(posts: DataFrame, vecs: DataFrame, text: str = "text") -> DataF
     cnt = toks.groupBy("post_id", "vec_id").agg(F.count(F.lit(1)).alias("c"))
     rows = cnt.join(unit, "vec_id")
     agg = rows.groupBy("post_id").agg(F.sum("c").alias("n_tokens"),
-                                      vector_sum("u", weight="c").alias("s"))
+                                      vector_sum("u", weight="c", dim=dim).alias("s"))
     return agg.select("post_id", "n_tokens",
                       F.transform("s", lambda x: x / F.col("n_tokens")).alias("embedding"))
 

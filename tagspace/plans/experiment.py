@@ -29,6 +29,7 @@ from tagspace.operators import tags as TG
 from tagspace.operators.distance import tag_distance_matrix, unit_embeddings
 from tagspace.operators.mantel import mantel
 from tagspace.plans.grid import Config, config_table
+from tagspace.session import cut_lineage
 
 
 def _flag3(c: str):
@@ -36,90 +37,118 @@ def _flag3(c: str):
     return F.when(F.col(c) == 1, 1).when(F.col(c) == 0, 0).otherwise(2)
 
 
-def _atoms(configs: list[Config]):
+def _fractions(configs: list[Config]) -> dict[int, list[float]]:
     seeds = sorted({c.seed for c in configs if c.mode == "random"})
-    fr = {s: sorted({float(c.fraction) for c in configs if c.mode == "random" and c.seed == s})
-          for s in seeds}
-    items = [F.struct(F.lit("s").alias("kind"), F.lit(None).cast("int").alias("seed"),
-                      F.lit(None).cast("int").alias("b"))]
-    for s in seeds:
-        u = unit_draw(F.lit(s), F.col("post_id"))
-        b = None
-        for k, f in reversed(list(enumerate(fr[s]))):
-            b = F.when(u < F.lit(f), F.lit(k)) if b is None else F.when(u < F.lit(f), F.lit(k)).otherwise(b)
-        items.append(F.struct(F.lit("r").alias("kind"), F.lit(s).alias("seed"), b.alias("b")))
-    return F.array(*items), fr
-
-
-def _membership(configs: list[Config], fr) -> F.Column:
-    """Array of config ids containing an atom row."""
+    return {s: sorted({float(c.fraction) for c in configs if c.mode == "random" and c.seed == s})
+            for s in seeds}
+
+
+def _bucket_columns(fr: dict[int, list[float]]) -> list:
+    """Per post and seed: index of the smallest grid fraction keeping it (-1: none)."""
+    cols = []
+    for s, fracs in fr.items():
+        u = F.col(f"_u{s}")
+        b = F.lit(-1)
+        for k, f in reversed(list(enumerate(fracs))):
+            b = F.when(u < F.lit(f), F.lit(k)).otherwise(b)
+        cols.append((f"_u{s}", unit_draw(F.lit(s), F.col("post_id")), f"_b{s}", b))
+    return cols
+
+
+def _atoms(fr: dict[int, list[float]]):
+    """Array of the atoms of a row: one structured atom and one per seed."""
+    items = [F.struct(F.lit("s").alias("kind"), F.lit(-1).alias("seed"), F.lit(-1).alias("b"),
+                      F.col("month").alias("month"), F.col("el").alias("el"),
+                      F.col("inc").alias("inc"), F.col("cont").alias("cont"))]
+    for s in fr:
+        items.append(F.struct(F.lit("r").alias("kind"), F.lit(s).alias("seed"),
+                              F.col(f"_b{s}").alias("b"), F.lit(0).alias("month"),
+                              F.lit(2).alias("el"), F.lit(2).alias("inc"),
+                              F.lit(False).alias("cont")))
+    return F.array(*items)
+
+
+def _member(c: Config, fr) -> F.Column:
+    """Predicate on an atom row: does configuration ``c`` contain it."""
     s_kind = F.col("kind") == "s"
-    ids = []
-    for i, c in enumerate(configs):
-        if c.mode == "random":
-            k = fr[c.seed].index(float(c.fraction))
-            cond = (F.col("kind") == "r") & (F.col("seed") == c.seed) & (F.col("b") <= k)
-        elif c.mode == "full":
-            cond = s_kind
-        elif c.mode == "time":
-            cond = s_kind & F.col("month").between(c.month_start, c.month_end)
-        elif c.mode == "elected":
-            cond = s_kind & (F.col("el") == 1)
-        elif c.mode == "incumbent":
-            cond = s_kind & (F.col("inc") == 1)
-        elif c.mode == "reelected":
-            cond = s_kind & (F.col("el") == 1) & (F.col("inc") == 1)
-        elif c.mode == "newly_elected":
-            cond = s_kind & (F.col("el") == 1) & (F.col("inc") == 0)
-        elif c.mode == "not_reelected":
-            cond = s_kind & (F.col("el") == 0) & (F.col("inc") == 1)
-        elif c.mode == "content":
-            cond = s_kind & F.col("cont")
-        else:
-            raise ValueError(f"mode {c.mode!r} not supported in the grid")
-        ids.append(F.when(cond, F.lit(i)))
-    return F.filter(F.array(*ids), lambda x: x.isNotNull())
-
-
-def _atom_rows(rows: DataFrame, atoms, cols) -> DataFrame:
-    """Explode each row into its atoms; random atoms drop the structured fields."""
-    rows = rows.select(*cols, "month", "el", "inc", "cont", F.explode(atoms).alias("a"))
-    rows = rows.select(*cols, "a.kind", "a.seed", "a.b",
-                       F.when(F.col("a.kind") == "s", F.col("month")).otherwise(0).alias("month"),
-                       F.when(F.col("a.kind") == "s", F.col("el")).otherwise(2).alias("el"),
-                       F.when(F.col("a.kind") == "s", F.col("inc")).otherwise(2).alias("inc"),
-                       ((F.col("a.kind") == "s") & F.col("cont")).alias("cont"))
-    return rows.filter((F.col("kind") == "s") | F.col("b").isNotNull())
+    if c.mode == "random":
+        k = fr[c.seed].index(float(c.fraction))
+        return ((F.col("kind") == "r") & (F.col("seed") == c.seed) & (F.col("b") >= 0)
+                & (F.col("b") <= k))
+    table = {
+        "full": lambda: s_kind,
+        "time": lambda: s_kind & F.col("month").between(c.month_start, c.month_end),
+        "elected": lambda: s_kind & (F.col("el") == 1),
+        "incumbent": lambda: s_kind & (F.col("inc") == 1),
+        "reelected": lambda: s_kind & (F.col("el") == 1) & (F.col("inc") == 1),
+        "newly_elected": lambda: s_kind & (F.col("el") == 1) & (F.col("inc") == 0),
+        "not_reelected": lambda: s_kind & (F.col("el") == 0) & (F.col("inc") == 1),
+        "content": lambda: s_kind & F.col("cont"),
+    }
+    if c.mode not in table:
+        raise ValueError(f"mode {c.mode!r} not supported in the grid")
+    return table[c.mode]()
 
 
 ATOM = ["kind", "seed", "b", "month", "el", "inc", "cont"]
 
 
+def atom_configs(spark, configs: list[Config], fr) -> DataFrame:
+    """(atom…, config): every possible atom with each configuration containing it.
+
+    The atom domain is fixed by construction (13 months × 3 × 3 flags × 2, plus
+    one atom per seed and fraction), so the table has at most a few hundred
+    atoms times the number of configurations and is broadcast.
+    """
+    rows = [F.struct(F.lit("s").alias("kind"), F.lit(-1).alias("seed"), F.lit(-1).alias("b"),
+                     F.lit(m).alias("month"), F.lit(e).alias("el"), F.lit(i).alias("inc"),
+                     F.lit(c).alias("cont"))
+            for m in range(13) for e in range(3) for i in range(3) for c in (False, True)]
+    rows += [F.struct(F.lit("r").alias("kind"), F.lit(s).alias("seed"), F.lit(k).alias("b"),
+                      F.lit(0).alias("month"), F.lit(2).alias("el"), F.lit(2).alias("inc"),
+                      F.lit(False).alias("cont"))
+             for s, fracs in fr.items() for k in range(len(fracs))]
+    atoms = spark.range(1).select(F.inline(F.array(*rows)))
+    member = F.array(*[F.when(_member(c, fr), F.lit(i)) for i, c in enumerate(configs)])
+    out = atoms.select(*ATOM, F.explode(member).alias("config")).filter(
+        F.col("config").isNotNull())
+    return F.broadcast(out)
+
+
 def config_profiles(posts: DataFrame, emb: DataFrame, configs: list[Config], groups,
                     num_groups: int = 6, threshold: int = 50,
-                    count_null_group: bool = True) -> DataFrame:
+                    count_null_group: bool = True, dim: int | None = None) -> DataFrame:
     """(config, tag, grp, n, s) for the complete common tags of every configuration.
 
     Which (config, tag) pairs qualify is decided on counts alone; the vectors
     are aggregated once and only for those pairs.
     """
-    atoms, fr = _atoms(configs)
-    member = _membership(configs, fr)
+    spark = posts.sparkSession
+    fr = _fractions(configs)
     base = posts.select(
         "post_id", "grp", "text",
         F.coalesce(F.month("created_at"), F.lit(0)).alias("month"),
         _flag3("elected").alias("el"), _flag3("incumbent").alias("inc"),
         F.coalesce(content_pred(), F.lit(False)).alias("cont"))
-    ments = TG.mentions(base, keep=("month", "el", "inc", "cont"))
+    for u_name, u, b_name, b in _bucket_columns(fr):  # one draw per post and seed
+        base = base.withColumn(u_name, u).withColumn(b_name, b).drop(u_name)
+    keep_cols = ("month", "el", "inc", "cont", *[f"_b{s}" for s in fr])
+    ments = TG.mentions(base, keep=keep_cols)
     # every configuration is a subset of the posts: tags failing on all posts fail everywhere
     cand = TG.common_tags(ments, num_groups, threshold, count_null_group=count_null_group)
-    ments = TG.restrict_to(ments, cand)
+    # the mention table feeds three branches: written once instead of re-extracted
+    ments = cut_lineage(TG.restrict_to(ments, cand))
+    atoms = _atoms(fr)
+    ac = atom_configs(spark, configs, fr)
+
+    def atom_rows(df, cols):
+        return (df.select(*cols, F.explode(atoms).alias("a")).select(*cols, "a.*")
+                .filter((F.col("kind") == "s") | (F.col("b") >= 0)))
 
     # counts: (config, tag, grp) → common and complete (config, tag)
-    c1 = (_atom_rows(ments, atoms, ["tag", "grp"]).groupBy(*ATOM, "tag", "grp")
+    c1 = (atom_rows(ments, ["tag", "grp"]).groupBy(*ATOM, "tag", "grp")
           .agg(F.count(F.lit(1)).alias("n")))
-    c2 = (c1.select(F.explode(member).alias("config"), "tag", "grp", "n")
-          .groupBy("config", "tag", "grp").agg(F.sum("n").alias("n")))
+    c2 = c1.join(ac, ATOM).groupBy("config", "tag", "grp").agg(F.sum("n").alias("n"))
     nq = F.count_distinct("grp")
     if count_null_group:
         nq = nq + F.max(F.col("grp").isNull().cast("int"))
@@ -131,24 +160,25 @@ def config_profiles(posts: DataFrame, emb: DataFrame, configs: list[Config], gro
             .select("config", "tag"))
 
     # vectors: one shuffle of the vectors by post_id, then partial sums per atom
-    rows = ments.filter(F.col("grp").isin(list(groups))).join(unit_embeddings(emb), "post_id")
-    v1 = (_atom_rows(rows, atoms, ["tag", "grp", "u"]).groupBy(*ATOM, "tag", "grp")
-          .agg(F.count(F.lit(1)).cast("bigint").alias("n"), vector_sum("u").alias("s")))
-    v2 = v1.select(F.explode(member).alias("config"), "tag", "grp", "n", "s")
+    rows = ments.filter(F.col("grp").isin(list(groups))).join(unit_embeddings(emb, dim=dim),
+                                                              "post_id")
+    v1 = (atom_rows(rows, ["tag", "grp", "u"]).groupBy(*ATOM, "tag", "grp")
+          .agg(F.count(F.lit(1)).cast("bigint").alias("n"), vector_sum("u", dim=dim).alias("s")))
+    v2 = v1.join(ac, ATOM).select("config", "tag", "grp", "n", "s")
     v2 = v2.join(keep, ["config", "tag"], "left_semi")
     return v2.groupBy("config", "tag", "grp").agg(F.sum("n").alias("n"),
-                                                  vector_sum("s").alias("s"))
+                                                  vector_sum("s", dim=dim).alias("s"))
 
 
 def experiment_grid(posts: DataFrame, emb: DataFrame, salience: DataFrame, groups,
                     configs: list[Config], num_groups: int = 6, threshold: int = 50,
                     agg: str = "sum", perms: int = 10000,
-                    methods=("pearson", "spearman")) -> DataFrame:
+                    methods=("pearson", "spearman"), dim: int | None = None) -> DataFrame:
     """One result row per (configuration, method): r, p, z of the Mantel test of the
     tag distance matrix against the salience matrix (g1, g2, value)."""
     spark = posts.sparkSession
-    prof = config_profiles(posts, emb, configs, groups, num_groups, threshold)
-    x = tag_distance_matrix(prof, ("config",), agg)
+    prof = config_profiles(posts, emb, configs, groups, num_groups, threshold, dim=dim)
+    x = tag_distance_matrix(prof, ("config",), agg, dim=dim)
     res = mantel(x, salience, list(groups), keys=("config",), methods=methods, perms=perms)
     cfg = F.broadcast(config_table(spark, configs))  # one row per configuration
     return res.join(cfg, "config")

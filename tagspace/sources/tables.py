@@ -7,8 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# natural key of each table, used to spread a small scan over the cores
+KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
+        "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
+        "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
+        "labels": "doc_id", "conversations": "conv_id", "benchmark": "item_id"}
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def spread(df: DataFrame, key: str | None) -> DataFrame:
+    """Hash-partition ``df`` over the cores when its scan has fewer splits than cores.
+
+    Big inputs (many files and row groups) already have more splits than cores
+    and are returned unchanged, so no shuffle is added at scale; a small file
+    read as one split would otherwise keep the CPU-heavy work after the scan
+    (regex, explode, vector arithmetic) in one task.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if key is None or par <= 1 or key not in df.columns:
+        return df
+    if df.rdd.getNumPartitions() >= par:  # planning only: counts the file splits
+        return df
+    return df.repartition(par, key)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, KEYS.get(name)) if spread_small else df
