@@ -1,0 +1,58 @@
+import importlib
+import os
+import sys
+
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+
+
+def _entry():
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    return importlib.import_module("__spark_entry__")
+
+
+def test_entry_contract(spark):
+    e = _entry()
+    df = e.entry(spark)
+    assert df.count() >= 0 and {"marker", "method", "r", "p", "z"} <= set(df.columns)
+    q, o = e.queries(), e.oracle_sql()
+    assert set(o) <= set(q) and len(q) >= 40
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_have_no_cartesian_or_python_udf(spark):
+    from tagspace.catalog import QUERIES
+    for name in ("tag_distance_matrix", "common_tags", "mantel_pearson", "experiment"):
+        p = _plan(QUERIES[name](spark, SF))
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+                    "ArrowEvalPython"):
+            assert bad not in p, (name, bad)
+
+
+def test_scan_prunes_columns_and_pushes_filters(spark):
+    from tagspace.sources.tables import table
+    df = table(spark, SF, "events").filter(F.col("event_type") == "click").select("event_id")
+    p = _plan(df)
+    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in p
+    assert "ReadSchema: struct<event_id:bigint,event_type:string>" in p
+
+
+def test_streaming_tag_counts_equal_batch(spark):
+    from tagspace.operators import tags as TG
+    from tagspace.sources import fixtures as FX
+    from tagspace.sources.sinks import scratch_path
+    from tagspace.streaming.tag_stream import common_from_counts, start_tag_counts
+    posts = FX.posts_event(spark, SF).select("post_id", "grp", "text")
+    src = scratch_path(spark, "stream-src")
+    posts.repartition(3).write.parquet(src)
+    q = start_tag_counts(spark, src, posts.schema, scratch_path(spark, "stream-ckpt"),
+                         "tag_counts_test")
+    q.awaitTermination(120)
+    got = {(r.tag, r.n, r.n_groups) for r in
+           common_from_counts(spark.table("tag_counts_test"), 5, 5).collect()}
+    want = {(r.tag, r.n, r.n_groups) for r in TG.common_tags(TG.mentions(posts), 5, 5).collect()}
+    assert got == want and len(want) == 70
