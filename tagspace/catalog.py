@@ -13,6 +13,7 @@ from tagspace import oracle as O
 from tagspace.functions import predicates as P
 from tagspace.functions import text as T
 from tagspace.operators import tags as TG
+from tagspace.session import cut_lineage
 from tagspace.sources import fixtures as FX
 
 QUERIES: dict = {}
@@ -221,7 +222,8 @@ def _event_profile(spark, d, num_groups=5, threshold=50):
     dim = emb_dim(spark, d)
     emb = DS.unit_embeddings(FX.event_embeddings(spark, d), dim=dim)
     prof = DS.tag_group_vectors(ments, emb, EVENT_GROUPS, dim=dim)
-    return DS.complete_tags(prof, len(EVENT_GROUPS))
+    # tags × groups rows, the narrow waist every matrix reads: written once
+    return cut_lineage(DS.complete_tags(prof, len(EVENT_GROUPS)))
 
 
 _EV_VEC = dict(posts_event=O.posts_event(), mentions0=O.mentions_of("posts_event"),

@@ -10,7 +10,7 @@ partial aggregation, and no pair of posts is ever formed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagspace.functions.vectors import NORM_EPS, as_double, dot, norm_fixed, scaled_fixed, vector_sum
@@ -57,14 +57,17 @@ def tag_group_vectors(ments: DataFrame, uemb: DataFrame, groups=None,
 
 def complete_tags(profile: DataFrame, n_groups: int, keys: tuple[str, ...] = (),
                   on_incomplete: str = "drop") -> DataFrame:
-    """Keep tags present in all listed groups (or raise)."""
-    cnt = profile.groupBy(*keys, "tag").agg(F.count_distinct("grp").alias("_g"))
-    full = cnt.filter(F.col("_g") == n_groups).drop("_g")
+    """Keep tags present in all listed groups (or raise).
+
+    ``profile`` has one row per (keys…, tag, grp), so a window over (keys…, tag)
+    holds at most G rows and counts the groups without a second pass.
+    """
+    w = Window.partitionBy(*keys, "tag")
+    cnt = profile.withColumn("_g", F.count(F.lit(1)).over(w))
     if on_incomplete == "error":
-        bad = cnt.filter(F.col("_g") != n_groups).limit(1).count()
-        if bad:
+        if not cnt.filter(F.col("_g") != n_groups).isEmpty():
             raise ValueError("a common tag lacks one of the listed groups")
-    return profile.join(full, [*keys, "tag"], "left_semi")
+    return cnt.filter(F.col("_g") == n_groups).drop("_g")
 
 
 def pair_distances(profile: DataFrame, keys: list[str], agg: str = "sum",

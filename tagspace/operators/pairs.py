@@ -68,8 +68,14 @@ def positive_pairs(sample: DataFrame, seed: int, n_samples: int = N_SAMPLES) ->
 
 def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int,
                     k: int = K_POSTS, bucket_posts: int = 64,
-                    first_buckets: int = 4) -> DataFrame:
-    """(tag, post_id, rank) — the first k clean posts in t's circular order."""
+                    first_buckets: int | None = None) -> DataFrame:
+    """(tag, post_id, rank) — the first k clean posts in t's circular order.
+
+    Each tag's first range is sized from a lower bound of its clean share
+    (N minus the posts of its co-occurring tags), so most tags close in one
+    round; a tag whose range held too few clean posts doubles its range.
+    ``first_buckets`` fixes the first range instead (tests use it to force rounds).
+    """
     n = tp.count()
     bits = max(0, math.ceil(math.log2(max(1, n) / bucket_posts)))
     nb = 1 << bits
@@ -79,33 +85,44 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
     posts = posts.withColumn("bucket", F.shiftright("h", shift).cast("int"))
     tags = common.select("tag", hash32(F.lit(seed), F.col("tag")).alias("ht"))
     tags = tags.withColumn("b0", F.shiftright("ht", shift).cast("int"))
-    open_tags = cut_lineage(tags)
+    if first_buckets is None:
+        # posts per tag, summed over each tag's co-occurring tags: an upper bound of its dirty posts
+        per_tag = tag_post(tp).groupBy("tag").agg(F.count(F.lit(1)).alias("np"))
+        dirty = (cooc.join(per_tag.withColumnRenamed("tag", "other"), "other")
+                 .groupBy("tag").agg(F.sum("np").alias("dirty_ub")))
+        clean_lb = F.greatest(F.lit(n) - F.coalesce("dirty_ub", F.lit(0)), F.lit(max(1, n // 20)))
+        want = F.ceil(F.lit(1.25 * k * n) / clean_lb / F.lit(n / nb))
+        tags = (tags.join(dirty, "tag", "left")
+                .withColumn("hi", F.least(F.lit(nb), F.greatest(F.lit(1), want)).cast("int"))
+                .drop("dirty_ub"))
+    else:
+        tags = tags.withColumn("hi", F.lit(min(first_buckets, nb)))
+    open_tags = cut_lineage(tags.withColumn("lo", F.lit(0)))
     found = None
-    lo, hi = 0, min(first_buckets, nb)
     while True:
-        rng = open_tags.select("tag", "ht", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))
-                               .alias("step"), "b0")
+        rng = open_tags.select("tag", "ht", "b0", F.explode(
+            F.sequence(F.col("lo"), F.col("hi") - 1)).alias("step"))
         rng = rng.withColumn("bucket", F.pmod(F.col("b0") + F.col("step"), F.lit(nb)))
         cand = rng.join(posts, "bucket").select("tag", "ht", "post_id", "tags", "h")
-        dirty = (cand.select("tag", "post_id", F.explode("tags").alias("other"))
-                 .join(cooc, ["tag", "other"], "left_semi").select("tag", "post_id").distinct())
-        clean = (cand.join(dirty, ["tag", "post_id"], "left_anti")
+        dirty_c = (cand.select("tag", "post_id", F.explode("tags").alias("other"))
+                   .join(cooc, ["tag", "other"], "left_semi").select("tag", "post_id").distinct())
+        clean = (cand.join(dirty_c, ["tag", "post_id"], "left_anti")
                  .select("tag", "post_id",
                          F.pmod(F.col("h") - F.col("ht"), F.lit(TWO32)).alias("off")))
         clean = cut_lineage(clean)
         found = clean if found is None else found.unionByName(clean)
-        if hi >= nb:
-            break
-        # offsets below the end of the scanned range are complete for each tag
-        limit = (F.col("b0") + F.lit(hi)).cast("bigint") * F.lit(width) - F.col("ht")
-        status = (open_tags.join(found, "tag", "left")
+        # offsets below the end of each tag's scanned range are complete
+        limit = (F.col("b0") + F.col("hi")).cast("bigint") * F.lit(width) - F.col("ht")
+        status = (open_tags.filter(F.col("hi") < nb).join(found, "tag", "left")
                   .groupBy("tag").agg(F.sum(F.when(F.col("off") < limit, 1).otherwise(0))
                                       .alias("_c")))
         still = status.filter(F.col("_c") < k).select("tag")
-        open_tags = cut_lineage(open_tags.join(still, "tag", "left_semi"))
+        open_tags = cut_lineage(
+            open_tags.join(still, "tag", "left_semi")
+            .select("tag", "ht", "b0", F.col("hi").alias("lo"),
+                    F.least(F.col("hi") * 2, F.lit(nb)).alias("hi")))
         if open_tags.isEmpty():
             break
-        lo, hi = hi, min(hi * 2, nb)
     return top_k(found, ["tag"], [F.col("off"), F.col("post_id")], k).drop("off")
 
 

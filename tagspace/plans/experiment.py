@@ -177,7 +177,9 @@ def experiment_grid(posts: DataFrame, emb: DataFrame, salience: DataFrame, group
     """One result row per (configuration, method): r, p, z of the Mantel test of the
     tag distance matrix against the salience matrix (g1, g2, value)."""
     spark = posts.sparkSession
-    prof = config_profiles(posts, emb, configs, groups, num_groups, threshold, dim=dim)
+    # (config, tag, grp) rows, read by both sides of the group-pair join: written once
+    prof = cut_lineage(config_profiles(posts, emb, configs, groups, num_groups, threshold,
+                                       dim=dim))
     x = tag_distance_matrix(prof, ("config",), agg, dim=dim)
     res = mantel(x, salience, list(groups), keys=("config",), methods=methods, perms=perms)
     cfg = F.broadcast(config_table(spark, configs))  # one row per configuration

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagspace.functions.text import ELLIPSIS, merge_groups
+from tagspace.session import cut_lineage
 from tagspace.sources.tables import table
 
 # --- fixed values of the test views --------------------------------------------
@@ -112,7 +113,8 @@ def salience_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols.append((pct(f"b{b}") / 2.0).alias("per103_1"))
     for i, name in enumerate(SALIENCE_TYPE_COLUMNS):
         cols.append(pct(f"t{i % len(types)}").alias(name))
-    return wide.select(*cols)
+    # one row per segment, read by every matrix built from it: written once
+    return cut_lineage(wide.select(*cols))
 
 
 def _whole():
