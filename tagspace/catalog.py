@@ -526,3 +526,11 @@ def q_evaluate_job(spark, d):
     r = JB.evaluate_job(spark, out, "val")
     return r.select("metric", _r(F.col("pearson")).alias("pearson"),
                     _r(F.col("spearman")).alias("spearman"))
+
+
+@register("results_job", O.experiment_sql([Config("full")], EVENT_GROUPS, 5, 50))
+def q_results_job(spark, d):
+    """X1 + S9: run the experiment, append its result rows, read them back."""
+    res = QUERIES["experiment"](spark, d)
+    out = SK.write_results(res, SK.scratch_path(spark, "results"))
+    return spark.read.parquet(out).select("config", "marker", "method", "r", "p", "z", "n_perm")

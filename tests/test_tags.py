@@ -35,3 +35,14 @@ def test_cooccurrence_includes_self_and_all_partners(spark):
     # a text filter is a substring regex, as in the reference
     m = TG.text_matches_tags(_posts(spark, [(1, "A", "#k10"), (2, "A", "#k2")]), ["k1"])
     assert [r.post_id for r in m.collect()] == [1]
+
+
+def test_encoder_dispatch():
+    from tagspace.operators import embed as EM
+    assert EM.encoder_for("cc.de.300.fasttext") == "word_average"
+    assert EM.encoder_for("bert-base-german-cased") == "batched"
+    assert EM.encoder_for("sbert-ht") == "batched"  # the legacy name rule (D22)
+    assert EM.encoder_for("paraphrase-multilingual") == "sentence"
+    EM.register_encoder("sbert-ht", lambda: EM.numpy_hash_encoder(8))
+    assert EM.encoder_for("sbert-ht") == "registered"
+    assert EM.encoder_for("sbert-ht", legacy_dispatch=True) == "batched"
