@@ -232,11 +232,15 @@ _EV_VEC = dict(posts_event=O.posts_event(), mentions0=O.mentions_of("posts_event
 
 
 @register("tag_group_vectors", O.with_views(
-    """SELECT tag, grp, CAST(count(*) AS BIGINT) AS n FROM mc GROUP BY tag, grp""",
+    """SELECT a.tag, a.grp, CAST(count(DISTINCT a.post_id || ':' || a.pos) AS BIGINT) AS n,
+              round(sqrt(sum(list_dot_product(a.u, b.u))), 6) AS s_norm
+       FROM mcp a JOIN mcp b ON a.tag = b.tag AND a.grp = b.grp GROUP BY a.tag, a.grp""",
     **_EV_VEC, **{k: v for k, v in O.tag_matrix_views("mentions", EVENT_GROUPS, 5, 50).items()
-                  if k in ("common", "mu", "complete", "mc")}))
+                  if k in ("common", "mu", "complete", "mc")},
+    mcp="SELECT * FROM mc"))
 def q_tag_group_vectors(spark, d):
-    return _event_profile(spark, d).select("tag", "grp", "n")
+    p = _event_profile(spark, d)
+    return p.select("tag", "grp", "n", _r(F.sqrt(DS.dot("s", "s"))).alias("s_norm"))
 
 
 def _tag_matrix_sql(agg):
