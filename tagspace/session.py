@@ -40,7 +40,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder; make a scratch one only where none is set."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext (remote session): the server's setting applies
+        return conf_dir or ""
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -14,7 +14,10 @@ KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
         "labels": "doc_id", "conversations": "conv_id", "benchmark": "item_id"}
 
 
-def spread(df: DataFrame, key: str | None) -> DataFrame:
+_SPLITS: dict[str, int] = {}
+
+
+def spread(df: DataFrame, key: str | None, path: str | None = None) -> DataFrame:
     """Hash-partition ``df`` over the cores when its scan has fewer splits than cores.
 
     Big inputs (many files and row groups) already have more splits than cores
@@ -22,10 +25,21 @@ def spread(df: DataFrame, key: str | None) -> DataFrame:
     read as one split would otherwise keep the CPU-heavy work after the scan
     (regex, explode, vector arithmetic) in one task.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # a session without a SparkContext: leave the plan as it is
+        return df
     if key is None or par <= 1 or key not in df.columns:
         return df
-    if df.rdd.getNumPartitions() >= par:  # planning only: counts the file splits
+    splits = _SPLITS.get(path) if path else None
+    if splits is None:
+        try:
+            splits = df.rdd.getNumPartitions()  # planning only: counts the file splits
+        except Exception:
+            return df
+        if path:
+            _SPLITS[path] = splits
+    if splits >= par:
         return df
     return df.repartition(par, key)
 
@@ -33,5 +47,6 @@ def spread(df: DataFrame, key: str | None) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, KEYS.get(name)) if spread_small else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, KEYS.get(name), path) if spread_small else df
