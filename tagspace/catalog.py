@@ -521,7 +521,9 @@ def q_embed_job(spark, d):
                        _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-@register("evaluate_job")
+@register("evaluate_job", O.with_views(
+    "SELECT metric, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM res",
+    **O.evaluate_job_views()))
 def q_evaluate_job(spark, d):
     src = _as_csv(FX.posts_event(spark, d), spark, "posts-event-csv")
     out = JB.gather_job(spark, src, SK.scratch_path(spark, "pairs"), 2024, 2024,

@@ -14,6 +14,7 @@ from tagspace.functions.vectors import as_double, dot, norm
 from tagspace.operators.ranks import global_average_rank, pearson
 
 METRICS = ("cosine", "manhattan", "euclidean", "dot")
+RANK_DIGITS = 10
 
 
 def pair_scores(pairs: DataFrame, emb: DataFrame) -> DataFrame:
@@ -25,7 +26,8 @@ def pair_scores(pairs: DataFrame, emb: DataFrame) -> DataFrame:
     d = dot("e1", "e2")
     return j.select(
         "id1", "id2", F.col("label").cast("double").alias("label"),
-        F.try_divide(d, norm("e1") * norm("e2")).alias("cosine"),
+        # a zero vector has cosine 0 with anything (normalised zero stays zero)
+        F.coalesce(F.try_divide(d, norm("e1") * norm("e2")), F.lit(0.0)).alias("cosine"),
         (-F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + F.abs(x))).alias("manhattan"),
         (-F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + x * x))).alias("euclidean"),
         d.alias("dot"))
@@ -40,8 +42,9 @@ def pair_similarity_eval(pairs: DataFrame, emb: DataFrame) -> DataFrame:
     p = pearson(long, "label", "score", ("metric",)).withColumnRenamed("r", "pearson")
     ranked = None
     for m in METRICS:
-        one = long.filter(F.col("metric") == m)
-        one = global_average_rank(one, "score", "rs")
+        # scores are ranked at RANK_DIGITS so float noise does not split ties
+        one = long.filter(F.col("metric") == m).withColumn("_sr", F.round("score", RANK_DIGITS))
+        one = global_average_rank(one, "_sr", "rs")
         one = global_average_rank(one, "label", "rl")
         ranked = one if ranked is None else ranked.unionByName(one)
     sp = pearson(ranked, "rl", "rs", ("metric",)).withColumnRenamed("r", "spearman")

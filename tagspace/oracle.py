@@ -371,7 +371,7 @@ def eval_views() -> dict:
     m = ["cosine", "manhattan", "euclidean", "dot"]
     ranks = " UNION ALL ".join(
         f"""SELECT '{x}' AS metric, label,
-              rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS rs,
+              rank() OVER (ORDER BY round({x}, 10)) + (count(*) OVER (PARTITION BY round({x}, 10)) - 1) / 2.0 AS rs,
               rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0 AS rl,
               {x} AS score FROM scores""" for x in m)
     return {
@@ -380,7 +380,7 @@ def eval_views() -> dict:
                         CAST(CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS DOUBLE) AS label
                  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
         "scores": """SELECT lp.label,
-                       list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS cosine,
+                       coalesce(list_dot_product(a.e, b.e) / nullif(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 0), 0.0) AS cosine,
                        -list_sum(list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))) AS manhattan,
                        -sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS euclidean,
                        list_dot_product(a.e, b.e) AS dot
@@ -400,3 +400,37 @@ def doc_token_views(year: int | None = None) -> dict:
                     FROM posts_doc""",
         "th": f"SELECT post_id, tok, {h32('tok')} AS h FROM toks",
     }
+
+
+def evaluate_job_views() -> dict:
+    """Validation pairs of the pair generator → hashed 32-dim text vectors → M3."""
+    tok = r"[^ \t\n\x0B\f\r]+"
+    v = dict(pair_views(5, 10, 42, 230))
+    m = ["cosine", "manhattan", "euclidean", "dot"]
+    v.update({
+        "val": "SELECT sent1, sent2, CAST(label AS DOUBLE) AS label FROM split_texts WHERE split = 'val'",
+        "texts": "SELECT DISTINCT t FROM (SELECT sent1 AS t FROM val UNION ALL SELECT sent2 FROM val)",
+        "ttoks": f"SELECT t, unnest(regexp_extract_all(replace(t, chr(10), ' '), '{tok}')) AS tok FROM texts",
+        "tcells": f"""SELECT t, h % 32 AS b, sum(CASE WHEN h < 2147483648 THEN 1.0 ELSE -1.0 END) AS v
+                      FROM (SELECT t, {h32('tok')} AS h FROM ttoks) GROUP BY ALL""",
+        "tnorm": "SELECT t, sqrt(sum(v * v)) AS nrm FROM tcells GROUP BY t",
+        "tgrid": "SELECT t, range AS b FROM texts, range(32)",
+        "tvec": """SELECT g.t, list(CASE WHEN n.nrm > 0 THEN coalesce(c.v, 0.0) / n.nrm ELSE 0.0 END
+                                ORDER BY g.b) AS e
+                   FROM tgrid g LEFT JOIN tcells c ON c.t = g.t AND c.b = g.b
+                   LEFT JOIN tnorm n ON n.t = g.t GROUP BY g.t""",
+        "scores": """SELECT val.label,
+                       coalesce(list_dot_product(a.e, b.e) / nullif(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 0), 0.0) AS cosine,
+                       -list_sum(list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))) AS manhattan,
+                       -sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS euclidean,
+                       list_dot_product(a.e, b.e) AS dot
+                     FROM val JOIN tvec a ON a.t = val.sent1 JOIN tvec b ON b.t = val.sent2""",
+        "rk": " UNION ALL ".join(
+            f"""SELECT '{x}' AS metric, label,
+                  rank() OVER (ORDER BY round({x}, 10)) + (count(*) OVER (PARTITION BY round({x}, 10)) - 1) / 2.0 AS rs,
+                  rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0 AS rl,
+                  {x} AS score FROM scores""" for x in m),
+        "res": """SELECT metric, corr(label, score) AS pearson, corr(rl, rs) AS spearman
+                  FROM rk GROUP BY metric""",
+    })
+    return v
