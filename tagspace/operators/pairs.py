@@ -138,11 +138,15 @@ def negative_pairs(pos2: DataFrame, neg: DataFrame, seed: int,
 
 def pair_parts(posts: DataFrame, num_groups: int = 3, threshold: int = 50, seed: int = 42,
                n_samples: int = N_SAMPLES, k: int = K_POSTS):
-    """(tagged posts, positive pairs, negative pairs) of the pair generator."""
-    tp = cut_lineage(tagged_posts(posts))
+    """(tagged posts, positive pairs, negative pairs) of the pair generator.
+
+    The tagged posts are written once without their text (post_id, grp, tags):
+    every step reads them, and texts are attached to the final pairs only.
+    """
+    tp = cut_lineage(tagged_posts(posts).drop("text"))
     ments = tp.select("post_id", "grp", F.posexplode("tags").alias("pos", "tag"))
     common = cut_lineage(TG.common_tags(ments, num_groups, threshold).select("tag"))
-    cooc = TG.tag_cooccurrence(tp, common)
+    cooc = tag_cooccurrence_of_lists(tp, common)
     tpost = tag_post(tp)
     pos = positive_pairs(positive_sample(tpost, common, seed, "pos", k), seed, n_samples)
     pos2 = positive_sample(tpost, common, seed, "pos2", k)
@@ -150,18 +154,26 @@ def pair_parts(posts: DataFrame, num_groups: int = 3, threshold: int = 50, seed:
     return tp, pos, negative_pairs(pos2, neg, seed, n_samples)
 
 
-def with_texts(pairs: DataFrame, tp: DataFrame) -> DataFrame:
-    t1 = tp.select(F.col("post_id").alias("id1"), F.col("text").alias("sent1"))
-    t2 = tp.select(F.col("post_id").alias("id2"), F.col("text").alias("sent2"))
+def tag_cooccurrence_of_lists(tp: DataFrame, filter_tags: DataFrame) -> DataFrame:
+    """A4 on posts whose tag lists are already extracted: distinct (tag, other)."""
+    t = tp.select("tags", F.explode("tags").alias("tag"))
+    t = TG.restrict_to(t, filter_tags)
+    return t.select("tag", F.explode("tags").alias("other")).distinct()
+
+
+def with_texts(pairs: DataFrame, posts: DataFrame, text: str = "text") -> DataFrame:
+    """Attach both texts of each pair from the post table (two joins on post_id)."""
+    t1 = posts.select(F.col("post_id").alias("id1"), F.col(text).alias("sent1"))
+    t2 = posts.select(F.col("post_id").alias("id2"), F.col(text).alias("sent2"))
     return pairs.join(t1, "id1").join(t2, "id2")
 
 
 def pair_dataset(posts: DataFrame, num_groups: int = 3, threshold: int = 50, seed: int = 42,
                  n_samples: int = N_SAMPLES, k: int = K_POSTS) -> DataFrame:
     """(tag, id1, id2, sent1, sent2, label)."""
-    tp, pos, neg = pair_parts(posts, num_groups, threshold, seed, n_samples, k)
+    _, pos, neg = pair_parts(posts, num_groups, threshold, seed, n_samples, k)
     both = pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
-    return with_texts(both, tp).select("tag", "id1", "id2", "sent1", "sent2", "label")
+    return with_texts(both, posts).select("tag", "id1", "id2", "sent1", "sent2", "label")
 
 
 def split_dataset(pairs: DataFrame, seed: int = 42, train_share: float = 0.8,
