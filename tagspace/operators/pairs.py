@@ -91,7 +91,7 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
         dirty = (cooc.join(per_tag.withColumnRenamed("tag", "other"), "other")
                  .groupBy("tag").agg(F.sum("np").alias("dirty_ub")))
         clean_lb = F.greatest(F.lit(n) - F.coalesce("dirty_ub", F.lit(0)), F.lit(max(1, n // 20)))
-        want = F.ceil(F.lit(1.25 * k * n) / clean_lb / F.lit(n / nb))
+        want = F.ceil(F.lit(2.0 * k * n) / clean_lb / F.lit(n / nb))
         tags = (tags.join(dirty, "tag", "left")
                 .withColumn("hi", F.least(F.lit(nb), F.greatest(F.lit(1), want)).cast("int"))
                 .drop("dirty_ub"))
@@ -117,12 +117,12 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
                   .groupBy("tag").agg(F.sum(F.when(F.col("off") < limit, 1).otherwise(0))
                                       .alias("_c")))
         still = status.filter(F.col("_c") < k).select("tag")
+        if still.isEmpty():  # the usual case: every tag closed in this round
+            break
         open_tags = cut_lineage(
             open_tags.join(still, "tag", "left_semi")
             .select("tag", "ht", "b0", F.col("hi").alias("lo"),
                     F.least(F.col("hi") * 2, F.lit(nb)).alias("hi")))
-        if open_tags.isEmpty():
-            break
     return top_k(found, ["tag"], [F.col("off"), F.col("post_id")], k).drop("off")
 
 
