@@ -187,10 +187,15 @@ EVENT_GROUPS = ["click", "error", "purchase", "signup", "view"]
 SALIENCE_YEAR = 1997
 
 
+_DIMS: dict[str, int] = {}
+
+
 def emb_dim(spark, d):
-    """Vector length of the embeddings table (one row of the file is read)."""
+    """Vector length of the embeddings table (one row of the file is read, once per folder)."""
     from tagspace.functions.vectors import vector_dim
-    return vector_dim(FX.table(spark, d, "embeddings", spread_small=False))
+    if d not in _DIMS:
+        _DIMS[d] = vector_dim(FX.table(spark, d, "embeddings", spread_small=False))
+    return _DIMS[d]
 
 
 def _label_vectors(spark, d):

@@ -53,10 +53,15 @@ def posts_event(spark: SparkSession, sf_dir: str, with_embedding: bool = False,
     return posts
 
 
+_COUNTS: dict[str, int] = {}
+
+
 def event_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding table keyed by post: event e takes vector ``e mod count``."""
     emb = table(spark, sf_dir, "embeddings")
-    n = emb.count()  # parquet row count from footers
+    if sf_dir not in _COUNTS:  # the given tables are read-only: count once per folder
+        _COUNTS[sf_dir] = table(spark, sf_dir, "embeddings", spread_small=False).count()
+    n = _COUNTS[sf_dir]
     ev = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("post_id"), (F.col("event_id") % F.lit(n)).alias("vec_id"))
     return ev.join(emb.select("vec_id", "embedding"), "vec_id").select("post_id", "embedding")
