@@ -95,13 +95,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the first word of each row (with an end entry)."""
-    inside = ~_SPACE[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray,
+               between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the first word of each row (with an end entry).
+    ``between``: by byte value, whether it stands between words."""
+    inside = ~between[raw]
     n = len(raw)
-    before, after = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-    before[1:] = inside
-    after[:n] = inside
+    before = np.concatenate([[False], inside])
     before[offsets] = False
     after = np.concatenate([inside, [False]])
     after[offsets] = False
