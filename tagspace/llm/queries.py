@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, license_scan, mixing, near_dedup, quality_gam, unigram_counts, warc
+from . import exact_dedup, html_text, license_scan, mixing, near_dedup, quality_gam, repeats, unigram_counts, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_repeats": op9_repeats,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
