@@ -83,6 +83,9 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes between words of ASCII letters, digits and any other characters beyond ASCII.
+BETWEEN_ALNUM = np.ones(256, bool)
+BETWEEN_ALNUM[48:58] = BETWEEN_ALNUM[65:91] = BETWEEN_ALNUM[97:123] = BETWEEN_ALNUM[128:] = False
 _powers: dict[int, np.ndarray] = {}
 
 

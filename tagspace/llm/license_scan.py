@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BETWEEN_ALNUM as _BETWEEN
 from .common import slices, text_buffers, word_hashes, word_spans
 
 # Phrases and their labels.
@@ -56,9 +57,6 @@ THRESHOLD = 0.9
 #: Words of a window of a long line, and the step between windows.
 WINDOW, STEP = 96, 48
 
-_BETWEEN = np.ones(256, bool)
-_BETWEEN[48:58] = _BETWEEN[65:91] = _BETWEEN[97:123] = _BETWEEN[128:] = False
-
 
 def _hash(words: list[str]) -> np.ndarray:
     raw = np.frombuffer(" ".join(words).encode(), np.uint8)
