@@ -152,10 +152,10 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
         is_start[at[at >= first[:-1]]] = False
     short = np.flatnonzero((counts > 0) & (counts < size))
     for row in short:
-        value = np.uint64(0)
-        for w in words[first[row]:first[row + 1]]:
-            value = mix(np.array([value + w + np.uint64(97)], np.uint64))[0]
-        full[first[row]] = value
+        value = np.zeros(1, np.uint64)
+        for at in range(first[row], first[row + 1]):
+            value = mix(value + words[at:at + 1] + np.uint64(97))
+        full[first[row]] = value[0]
         is_start[first[row]] = True
     made = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     return full[is_start], np.concatenate([[0], np.cumsum(made)])

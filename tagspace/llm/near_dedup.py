@@ -9,11 +9,11 @@ The rest are compared on their full shingle sets.
 Documents with equal sets are one node, whatever their number. Within a bucket of a band not all
 pairs are formed:
 
-1. every member is compared with the bucket's smallest member, over all buckets and bands;
-2. buckets that still hold several components compare every member with another centre, a
-   different one per band;
+1. every document is compared with the smallest of the smallest members of its buckets;
+2. while buckets hold several components, every document in such a bucket is compared with one
+   more centre of its buckets, for ``STARS`` rounds: at most one pair per document and round;
 3. in buckets that still do, members outside the largest component are compared with all others
-   of another component, in tiles of bounded size, by their registers; likely pairs are verified.
+   of another component, in tiles of bounded size, by their registers and then by their sets.
 
 A link between two members of one bucket is thus either found or joins documents that are already
 in one component. What remains is the chance that a pair at the threshold shares no band:
@@ -22,10 +22,10 @@ in one component. What remains is the chance that a pair at the threshold shares
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,8 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, MANTISSA = 25, 5, 10
-#: Members of a bucket that meet as many others in one group.
-TILE = 512
+#: Rounds of one comparison per document; members of a bucket that meet as many others in one group.
+STARS, TILE = 3, 256
 #: Standard deviations below the threshold from which an estimate lets a pair go.
 DEVIATIONS = 6.0
 #: Chance that two registers of equally large, disjoint sets agree, times 2**MANTISSA.
@@ -78,13 +78,16 @@ def _sketch(raw: np.ndarray, offsets: np.ndarray, size: int):
         for j, (x, m) in enumerate(zip(_XOR, _MUL, strict=True)):
             minima[some, j] = np.minimum.reduceat((hashes ^ x) * m, at)
     registers = compress(minima)
-    keys = np.zeros((rows, BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(rows, band + 1, np.uint64)
-        for j in range(ROWS):
-            key = mix(key + registers[:, band * ROWS + j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        keys[:, band] = key
-    return n, fp.view(np.int64), registers, keys.view(np.int64)
+    keys = np.column_stack([_band_keys(registers, band) for band in range(BANDS)])
+    return n, fp.view(np.int64), registers, keys
+
+
+def _band_keys(registers: np.ndarray, band: int) -> np.ndarray:
+    """Key of a band of registers, for each row."""
+    key = np.full(len(registers), band + 1, np.uint64)
+    for j in range(band * ROWS, (band + 1) * ROWS):
+        key = mix(key + registers[:, j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return key.view(np.int64)
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -160,6 +163,13 @@ def _matrix(registers) -> np.ndarray:
     return np.frombuffer(joined, np.uint16).reshape(len(registers), -1)
 
 
+def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     rows = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -168,13 +178,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3))
-                both = len(x) + len(y)
-                common = both - len(np.union1d(x, y))
-                ok.append(100 * common >= percent * (both - common))
-            ok = pa.array(ok, pa.bool_())
+            ok = pa.array([_link(*(np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3)), percent)
+                           for i in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)],
                                              names=["a", "b"])
 
@@ -194,22 +199,23 @@ def _active(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _with_centres(active: DataFrame, priority) -> DataFrame:
-    """Pairs of each bucket's centre, the member of least priority, with members of other components."""
+    """One pair for each document with a centre of another component: a bucket's centre is its
+    member of least priority, and a document takes the least of its buckets' centres."""
     centre = active.groupBy("key").agg(F.min(F.struct(priority.alias("p"), "doc_id", "label")).alias("c"))
-    return (active.join(centre, "key").where(F.col("label") != F.col("c.label"))
-            .select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
-            .distinct())
+    own = (active.join(centre, "key").where(F.col("label") != F.col("c.label"))
+           .groupBy("doc_id").agg(F.min("c").alias("c")))
+    return own.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
 
 
-def _across(active: DataFrame, sketched: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Likely pairs of members outside their bucket's largest component with members of any other."""
+def _tiles(active: DataFrame, sketched: DataFrame, tile: int) -> DataFrame:
+    """Rows of the tiles (key, i, j): on the left members outside the bucket's largest component,
+    on the right all members. A tile has at most about ``tile`` rows on either side."""
     sizes = active.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     shape = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"),
                                      F.sum("n").alias("all"), F.max("n").alias("largest"))
-    parts = lambda n: F.ceil(F.col(n) / tile).cast("int")
     rows = (active.join(shape, "key")
             .select("key", "doc_id", "label", (F.col("label") != F.col("major")).alias("minor"),
-                    parts("all").alias("wide"),
+                    F.ceil(F.col("all") / tile).cast("int").alias("wide"),
                     F.ceil((F.col("all") - F.col("largest")) / tile).cast("int").alias("deep"))
             .join(sketched.select("doc_id", "n_shingles", "registers"), "doc_id"))
     part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
@@ -217,21 +223,101 @@ def _across(active: DataFrame, sketched: DataFrame, percent: int, tile: int = TI
     own = ["key", "doc_id", "label", "n_shingles", "registers"]
     left = rows.where("minor").select(*own, part("deep").alias("i"), upto("wide").alias("j"), F.lit(True).alias("left"))
     right = rows.select(*own, upto("deep").alias("i"), part("wide").alias("j"), F.lit(False).alias("left"))
+    return left.unionByName(right)
+
+
+def _by_tile(rows: DataFrame, work: Callable[[pa.Table], list[tuple]], schema: str) -> DataFrame:
+    """``work`` on the rows of each tile; the output has the columns of ``schema``."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.bool_() if x.endswith("boolean") else pa.int32() if x.endswith("int") else pa.int64()
+             for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last tile, which the next batch may go on with
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            rows = pa.Table.from_batches(held) if held else None
+            if rows is None or not rows.num_rows:
+                continue
+            tile = np.column_stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
+            edge = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(axis=1)]))
+            ends = np.append(edge[1:], len(tile))
+            out = [row for a, b in list(zip(edge, ends, strict=True))[:None if batch is None else -1]
+                   for row in work(rows.slice(a, b - a))]
+            held = rows.slice(edge[-1]).to_batches()
+            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def _likely_in_tile(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(left row, right rows) of a tile whose sizes and registers allow a link, in the first
+    band only that the two have in common."""
+    left, label, n, ids = (rows.column(c).to_numpy() for c in ("left", "label", "n_shingles", "doc_id"))
+    registers = _matrix(rows.column("registers").to_pylist())
+    key = rows.column("key")[0].as_py()
+    band = next(b for b in range(BANDS) if _band_keys(registers[:1], b)[0] == key)
+    right = np.flatnonzero(~left)
     low = least_estimate(percent)
+    for x in np.flatnonzero(left):
+        at = right[(label[right] != label[x])
+                   & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
+        if not len(at):
+            continue
+        equal = registers[at] == registers[x]
+        ok = estimated(equal.mean(axis=1), n[at], n[x]) >= low
+        first = equal[ok].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        at = at[ok][first == band]
+        # two documents outside the largest component are on either side: one order is enough
+        both = np.isin(ids[at], ids[left])
+        at = at[~both | (ids[at] > ids[x])]
+        if len(at):
+            yield int(x), at
+
+
+def _across(active: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Links of members outside their bucket's largest component with members of any other.
+
+    Registers tell which rows of a tile have a likely partner; only those get their full sets,
+    and are verified inside the tile, so that no pair leaves it but links. Of the links of a tile
+    those that join components are enough.
+    """
+    rows = written(_tiles(active, sketched, tile), "tiles")
+
+    def mark(part: pa.Table) -> list[tuple]:
+        found: set[int] = set()
+        for x, at in _likely_in_tile(part, percent):
+            found.add(x)
+            found.update(at.tolist())
+        key, i, j, left, ids = (part.column(c) for c in ("key", "i", "j", "left", "doc_id"))
+        return [(key[r].as_py(), i[r].as_py(), j[r].as_py(), left[r].as_py(), ids[r].as_py()) for r in found]
+
+    marked = written(_by_tile(rows, mark, "key long, i int, j int, left boolean, doc_id long"), "marked")
+    tile_row = ["key", "i", "j", "left", "doc_id"]
+
+    def verify(part: pa.Table) -> list[tuple]:
+        label, ids = part.column("label").to_numpy(), part.column("doc_id").to_numpy()
+        shingles = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+        low: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while low.get(x, x) != x:
+                x = low[x]
+            return x
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[group["left"]], group[~group["left"]]
         out = []
-        if len(x) and len(y):
-            other, n, ids, labels = _matrix(list(y.registers)), y.n_shingles.to_numpy(), y.doc_id.to_numpy(), y.label.to_numpy()
-            for doc, label, size, own_ in zip(x.doc_id, x.label, x.n_shingles, _matrix(list(x.registers)), strict=True):
-                ok = (labels != label) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * percent)
-                at = np.flatnonzero(ok)
-                at = at[estimated((other[at] == own_).mean(axis=1), n[at], size) >= low]
-                out += [(min(doc, d), max(doc, d)) for d in ids[at].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for x, at in _likely_in_tile(part, percent):
+            for y in at.tolist():
+                p, q = root(int(label[x])), root(int(label[y]))
+                if p != q and _link(shingles[x], shingles[y], percent):
+                    low[max(p, q)] = min(p, q)
+                    out.append((int(ids[x]), int(ids[y])))
+        return out
 
-    return left.unionByName(right).groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    rows = rows.join(marked, tile_row, "left_semi").join(sets, "doc_id")
+    return _by_tile(rows, verify, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -261,19 +347,18 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
         likely = written(_likely(pairs, nodes, percent), "likely")
         return written(_linked(likely, sets, percent), "links")
 
-    active = _active(members, None)
-    tested = written(_with_centres(active, F.col("doc_id")), "pairs")
-    links = verified(tested)
-    labels = written(components(links), "labels")
-    active = written(_active(members, labels), "active")
-    pairs = _with_centres(active, F.xxhash64("key", "doc_id")).join(tested, ["a", "b"], "left_anti")
-    pairs = written(pairs, "pairs")
-    links = links.unionByName(verified(pairs))
-    labels = written(components(links), "labels")
+    tested = links = labels = None
+    active = members
+    for turn in range(STARS):
+        active = written(_active(active.drop("label"), labels), "active")
+        pairs = _with_centres(active, F.xxhash64(F.lit(turn), "doc_id") if turn else F.col("doc_id"))
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = verified(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        labels = written(components(links), "labels")
     active = written(_active(active.drop("label"), labels), "active")
-    rest = (written(_across(active, nodes, percent), "pairs")
-            .join(tested.unionByName(pairs), ["a", "b"], "left_anti"))
-    links = links.unionByName(written(_linked(rest, sets, percent), "links"))
+    links = links.unionByName(written(_across(active, nodes, sets, percent), "links"))
     labels = written(components(links), "labels")
 
     # texts of one doc_id with different sets join those sets' components
