@@ -23,8 +23,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix as a share of all words, and the most passes over a source.
 SHARE, MOST = 1.5, 2
 BLOCK, SHARD_SLOTS, ROUNDS, SEED = 256, 4096, 24, 17
-#: Rows of a source that one running sum handles, and slots that one row unfolds into.
-BUCKET_ROWS, SLOT_RUN = 4096, 65536
+#: Rows of a source that one running sum handles, slots that one row unfolds into, slots of a task.
+BUCKET_ROWS, SLOT_RUN, TASK_SLOTS = 1024, 4096, 65536
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Col
 
 def placed(sizes: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     """Rows of positive size with ``start``, their first word's place in their source's
-    stream. The order is that of a hash of doc_id; sums run over hash ranges first, then
-    inside a range, so that no window holds a whole source."""
+    stream. The order is that of a hash of doc_id; sums run over coarse hash ranges, over the
+    ranges inside one, and over the rows of a range, so that no window holds a whole source."""
     n = sizes.count()
     bits = max(0, (n // BUCKET_ROWS).bit_length())
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
@@ -81,9 +81,17 @@ def placed(sizes: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     same = F.col("sizes.source").eqNullSafe(F.col("sources.source"))
     rows = (sizes.where(F.col("size") > 0).alias("sizes").join(small(sources).alias("sources"), same)
             .select("doc_id", "sno", "size", h.alias("h"), bucket.alias("bucket")))
-    at = Window.partitionBy("sno").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = (rows.groupBy("sno", "bucket").agg(F.sum("size").alias("words"))
-            .select("sno", "bucket", F.coalesce(F.sum("words").over(at), F.lit(0)).alias("base")))
+    sums = (rows.groupBy("sno", "bucket").agg(F.sum("size").alias("words"))
+            .withColumn("upper", F.shiftrightunsigned("bucket", bits // 2)))
+
+    def before(words: str, *key: str, order: str) -> Column:
+        frame = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(words).over(frame), F.lit(0))
+
+    uppers = (sums.groupBy("sno", "upper").agg(F.sum("words").alias("words"))
+              .select("sno", "upper", before("words", "sno", order="upper").alias("low")))
+    base = (sums.withColumn("base", before("words", "sno", "upper", order="bucket"))
+            .join(uppers, ["sno", "upper"]).select("sno", "bucket", (F.col("base") + F.col("low")).alias("base")))
     inside = (Window.partitionBy("sno", "bucket").orderBy("h", "doc_id", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     return (rows.join(base, ["sno", "bucket"])
@@ -117,7 +125,8 @@ def drawn_slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD
     plan = written(plan.select("*", shards.alias("shards")), "plan").where(F.col("slots") > 0)
     runs = plan.select("*", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_RUN))).alias("run"))
-    runs = runs.repartition(F.col("sno"), F.col("run"))
+    total = plan.agg(F.sum("slots")).first()[0] or 0
+    runs = runs.repartition(min(20_000, total // TASK_SLOTS + 1), F.col("sno"), F.col("run"))
     slots = runs.select("*", F.explode(F.sequence(
         F.col("run") * SLOT_RUN, F.least(F.col("slots"), (F.col("run") + 1) * SLOT_RUN) - 1)).alias("slot"))
     turn, index = F.floor(F.col("slot") / F.col("blocks")), F.pmod("slot", F.col("blocks"))
@@ -147,7 +156,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     sizes = written(word_counts(docs), "sizes")
     sources = written(source_targets(sizes, weights, share, most), "sources")
     rows = written(placed(sizes, sources, seed), "placed")
-    return (sizes, sources, rows), packed(rows, block), drawn_slots(sources, block, seed=seed)
+    slots = written(drawn_slots(sources, block, seed=seed), "slots")  # joins go by its true size
+    return (sizes, sources, rows), packed(rows, block), slots
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
