@@ -28,32 +28,37 @@ def safe_name(model: str) -> str:
 
 def write_pairs(train: DataFrame, val: DataFrame, out: str, year, suffix: str | None = None,
                 quote_all: bool = False) -> str:
-    """CSV pairs (sent1, sent2, label), partitioned by year and split."""
+    """CSV pairs (sent1, sent2, label), partitioned by year and split; only the written
+    partitions are replaced, other years stay."""
     tag = f"{year}" if not suffix else f"{year}_{suffix}"
     df = (train.select("sent1", "sent2", "label").withColumn("split", F.lit("train"))
           .unionByName(val.select("sent1", "sent2", "label").withColumn("split", F.lit("val")))
           .withColumn("year", F.lit(tag)))
-    (df.write.mode("overwrite").partitionBy("year", "split").option("header", True)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("year", "split").option("header", True)
      .option("quoteAll", quote_all).option("escape", '"').csv(out))
     return out
 
 
 def write_embeddings(emb: DataFrame, out: str, model: str, year) -> str:
-    """Parquet partitioned by model and year."""
+    """Parquet partitioned by model and year; a repeated run replaces its own partition."""
     (emb.withColumn("model", F.lit(safe_name(model))).withColumn("year", F.lit(int(year)))
-     .write.mode("append").partitionBy("model", "year").parquet(out))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model", "year").parquet(out))
     return out
 
 
 def write_filtered(emb: DataFrame, out: str, mode: str, config: str) -> str:
-    """Filtered embeddings partitioned by mode and configuration marker."""
+    """Filtered embeddings partitioned by mode and configuration marker; a repeated run
+    replaces its own partition."""
     (emb.withColumn("mode", F.lit(mode)).withColumn("config", F.lit(config))
-     .write.mode("append").partitionBy("mode", "config").parquet(out))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("mode", "config").parquet(out))
     return out
 
 
 def write_results(results: DataFrame, out: str, fmt: str = "parquet") -> str:
-    """Append result rows (one per configuration and method)."""
+    """Append result rows (one per configuration and method, named by model and year)."""
     w = results.write.mode("append")
     if fmt == "csv":
         w.option("header", True).option("quoteAll", True).csv(out)

@@ -47,3 +47,22 @@ def test_filtered_and_results_append(spark):
     SK.write_results(row, res)
     SK.write_results(row, res)
     assert spark.read.parquet(res).count() == 2
+
+
+def test_rerun_and_other_year_keep_partitions(spark):
+    emb = spark.createDataFrame([(1, "A", [1.0])], "post_id long, grp string, embedding array<double>")
+    out = SK.scratch_path(spark, "emb")
+    for year in (2013, 2017, 2013):
+        SK.write_embeddings(emb, out, "m", year)
+    assert sorted(r.year for r in read_embeddings(spark, out).collect()) == [2013, 2017]
+    pairs = spark.createDataFrame([("a", "b", 1)], "sent1 string, sent2 string, label int")
+    out = SK.scratch_path(spark, "pairs")
+    for year in (2013, 2017, 2013):
+        SK.write_pairs(pairs, pairs, out, year)
+    assert sorted(os.listdir(_local(out)))[-2:] == ["year=2013", "year=2017"]
+    from tagspace.sources.files import read_pairs
+    assert read_pairs(spark, f"{out}/year=2013", split="val").count() == 1
+    out = SK.scratch_path(spark, "filtered")
+    for _ in range(2):
+        SK.write_filtered(emb, out, "time", "time-(6, 9)")
+    assert spark.read.parquet(out).count() == 1
