@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tagspace.operators import pairs as PR
 from tagspace.operators import tags as TG
-from tagspace.operators.ranks import global_average_rank
+from tagspace.operators.ranks import count_ranks
 from tagspace.sources import fixtures as FX
 
 SF = "/root/testdata/sf0.001"
@@ -59,10 +59,13 @@ def test_pair_invariants_and_split(spark):
     assert sp.select("tag", "id1", "id2", "label").distinct().count() == n
 
 
-def test_global_average_rank(spark):
+def test_count_ranks(spark):
     import pandas as pd
     vals = [3.0, 1.0, 2.0, 2.0, 5.0, 1.0, 7.0, 2.0] * 5
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, x double")
-    got = {r.i: r.rx for r in global_average_rank(df, "x", "rx", partitions=3).collect()}
-    want = pd.Series(vals).rank(method="average").to_list()
-    assert [got[i] for i in range(len(vals))] == want
+    rows = [(k, v, i % 2) for k in ("a", "b") for i, v in enumerate(vals if k == "a" else vals[:3])]
+    df = spark.createDataFrame(rows, "k string, x double, label int")
+    counts = df.groupBy("k", "x", "label").agg(F.count(F.lit(1)).alias("c"))
+    got = {(r.k, r.x): r.rx for r in count_ranks(counts, "x", "rx", ("k",), partitions=3).collect()}
+    for k, own in (("a", vals), ("b", vals[:3])):
+        want = pd.Series(own).rank(method="average").to_list()
+        assert [got[k, v] for v in own] == want
