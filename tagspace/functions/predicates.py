@@ -82,11 +82,6 @@ def has_tags(tags: str = "tags") -> Column:
     return F.size(tags) > 0
 
 
-def in_groups(groups, group: str = "grp") -> Column:
-    """F15."""
-    return F.col(group).isin(list(groups))
-
-
 def salience_rows(year, countryname: str = "Germany") -> Column:
     """F16: manifesto rows whose date text starts with the year, of one country."""
     return (F.startswith(F.col("date").cast("string"), F.lit(str(year)))

@@ -82,9 +82,9 @@ def vector_sum(v, weight: str | None = None, dim: int | None = None) -> Column:
     return vector_to_array(Summarizer.sum(array_to_vector(c), w))
 
 
-def vector_dim(df, col: str = "embedding") -> int:
-    """Length of the first vector (one row is read)."""
-    row = df.select(F.size(col).alias("d")).limit(1).collect()
-    if not row:
-        raise ValueError("no vectors")
-    return int(row[0]["d"])
+def of_length(v, dim: int) -> Column:
+    """The vector itself; a row with a vector of another length (or none) ends the query."""
+    x = _c(v)
+    message = F.concat(F.lit(f"a vector has not the length {int(dim)} but "),
+                       F.coalesce(F.size(x).cast("string"), F.lit("none")))
+    return F.when(F.size(x) == int(dim), x).otherwise(F.raise_error(message))

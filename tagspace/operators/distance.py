@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagspace.functions.vectors import NORM_EPS, as_double, dot, norm_fixed, scaled_fixed, vector_sum
+from tagspace.functions.vectors import (NORM_EPS, as_double, dot, norm_fixed, of_length,
+                                        scaled_fixed, vector_sum)
 
 
 def unit_embeddings(emb: DataFrame, col: str = "embedding", dim: int | None = None,
@@ -23,8 +24,11 @@ def unit_embeddings(emb: DataFrame, col: str = "embedding", dim: int | None = No
     By default Spark ML's ``Normalizer`` runs in the JVM (measured fastest inside
     the full plans); ``expand=True`` with a known length writes the norm and
     quotients as per-element column expressions instead. A zero vector stays
-    zero, so its cosine with anything is 0.
+    zero, so its cosine with anything is 0. With ``dim`` every vector must have that
+    length: a longer or shorter one ends the query instead of being cut or padded.
     """
+    if dim is not None:
+        emb = emb.withColumn(col, of_length(col, dim))
     if dim is not None and expand:
         e = emb.withColumn("_n", F.greatest(norm_fixed(col, dim), F.lit(NORM_EPS)))
         return e.withColumn("u", scaled_fixed(col, F.col("_n"), dim)).drop(col, "_n")

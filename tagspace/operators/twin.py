@@ -4,14 +4,17 @@ For a in A and group B: t(a) = argmax_b cos(a, b) (smallest id on ties);
 C_A(a) = max(0, max over a' in A, a' != a of cos(a, a')).
 S(A, B) = mean over a of cos(a, t(a)) / (C_A(a) + C_B(t(a))).
 
-Plan (exact, memory bounded): vectors are dealt into ``nb`` blocks by a hash of
-their id. Every unordered pair of blocks meets in one ``applyInPandas`` group
-(an equi-join on the block-pair key, not a cross join); one matrix product per
-block pair gives, for each row and each group of the other block, the local
-best (similarity, id) and the best excluding the row itself. Spark reduces the
-local bests per (row, group) with ``max_by``. The work is quadratic in the
-number of vectors, as the definition requires, and spread over all tasks; no
-task holds more than two blocks, and no pair of vectors is ever a row.
+Plan (exact, memory bounded): vectors are dealt by a hash of their id into the
+rows and columns of a square grid of tiles, as wide as the tasks need, or as
+``TILE_ROWS`` asks for. Every unordered pair meets in one ``applyInPandas`` group (an
+equi-join on the pair key, not a cross join). Inside a tile, blocks of rows are
+multiplied with the other side, and only the best (similarity, id) of each row
+and group, and the best excluding the row itself, leave the tile. Spark reduces
+them per (row, group). The work is quadratic in the number of vectors, as the
+definition requires; a vector is copied once per tile of its row, no task holds
+more than one tile, and no pair of vectors is ever a row.
+
+A mean over rows of which one has a zero denominator is undefined: NULL.
 """
 
 from __future__ import annotations
@@ -26,14 +29,20 @@ from pyspark.sql import functions as F
 from tagspace.operators.distance import unit_embeddings
 from tagspace.session import cut_lineage
 
-BLOCK_ROWS = 2048
-_BEST_SCHEMA = ("a_id long, a_grp string, g string, best_sim double, best_id long, "
-                "excl_sim double")
+TILE_ROWS = 32768   # most vectors of one side of a tile
+_BEST = ("a_id", "a_grp", "g", "best_sim", "best_id", "excl_sim")
+BLOCK_ROWS = 512    # rows of a tile that meet the other side at a time
 
 
-def _side(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    ua = np.stack(a["u"].to_numpy()) if len(a) else np.zeros((0, 0))
-    ub = np.stack(b["u"].to_numpy()) if len(b) else np.zeros((0, 0))
+def _side(a: pd.DataFrame, b: pd.DataFrame) -> list[pd.DataFrame]:
+    """Bests of the rows of ``a`` among ``b``, block by block of ``a``."""
+    if b.empty:  # a tile of which one side has no vectors
+        return []
+    return [p for i in range(0, len(a), BLOCK_ROWS) for p in _block(a.iloc[i:i + BLOCK_ROWS], b)]
+
+
+def _block(a: pd.DataFrame, b: pd.DataFrame) -> list[pd.DataFrame]:
+    ua, ub = np.stack(a["u"].to_numpy()), np.stack(b["u"].to_numpy())
     sims = ua @ ub.T
     ids_a = a["id"].to_numpy()
     ids_b = b["id"].to_numpy()
@@ -50,39 +59,44 @@ def _side(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         parts.append(pd.DataFrame({
             "a_id": ids_a, "a_grp": a["grp"].to_numpy(), "g": g, "best_sim": best,
             "best_id": ids_b[cols][j], "excl_sim": np.where(np.isneginf(excl), np.nan, excl)}))
-    if not parts:
-        return pd.DataFrame({c: [] for c in ("a_id", "a_grp", "g", "best_sim", "best_id",
-                                             "excl_sim")})
-    return pd.concat(parts, ignore_index=True)
+    return parts
 
 
 def _block_pair(pdf: pd.DataFrame) -> pd.DataFrame:
     lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-    a = pdf[pdf["blk"] == lo]
-    if lo == hi:
-        return _side(a, a)
-    b = pdf[pdf["blk"] == hi]
-    return pd.concat([_side(a, b), _side(b, a)], ignore_index=True)
+    a, b = pdf[pdf["blk"] == lo], pdf[pdf["blk"] == hi]
+    parts = _side(a, a) if lo == hi else _side(a, b) + _side(b, a)
+    if not parts:
+        return pd.DataFrame({c: [] for c in _BEST}, dtype=object)
+    out = pd.concat(parts, ignore_index=True)
+    texts = [c for c in ("a_id", "a_grp", "g", "best_id") if not pd.api.types.is_numeric_dtype(out[c])]
+    return out.astype({c: object for c in texts})
+
+
+def tiles(n: int, tasks: int, tile_rows: int = TILE_ROWS) -> int:
+    """Side of the grid: about one tile per task, never wider tiles than ``tile_rows``."""
+    return max(1, math.ceil(n / tile_rows), min(math.ceil(math.sqrt(2 * tasks)), math.ceil(n / BLOCK_ROWS)))
 
 
-def nearest_by_group(vecs: DataFrame, block_rows: int = BLOCK_ROWS,
-                     n_blocks: int | None = None) -> DataFrame:
+def nearest_by_group(vecs: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """(a_id, a_grp, g, best_sim, best_id, excl_sim) for every vector and group.
 
-    ``vecs`` has (id, grp, embedding).
+    ``vecs`` has (id, grp, embedding); ids may be of any orderable type.
     """
+    kind = vecs.schema["id"].dataType.simpleString()
+    schema = f"a_id {kind}, a_grp string, g string, best_sim double, best_id {kind}, excl_sim double"
     u = unit_embeddings(vecs.select("id", "grp", "embedding"))
     if n_blocks is None:
-        n_blocks = max(1, math.ceil(u.count() / block_rows))
+        n_blocks = tiles(vecs.count(), int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     blk = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
     others = F.sequence(F.lit(0), F.lit(n_blocks - 1))
     rep = u.withColumn("blk", blk).withColumn("j", F.explode(others))
     rep = rep.withColumn("lo", F.least("blk", "j")).withColumn("hi", F.greatest("blk", "j"))
     local = (rep.select("lo", "hi", "blk", "id", "grp", "u")
-             .groupBy("lo", "hi").applyInPandas(_block_pair, _BEST_SCHEMA))
+             .groupBy("lo", "hi").applyInPandas(_block_pair, schema))
     return local.groupBy("a_id", "a_grp", "g").agg(
         F.max("best_sim").alias("best_sim"),
-        F.max_by("best_id", F.struct(F.col("best_sim"), -F.col("best_id"))).alias("best_id"),
+        F.min_by("best_id", F.struct(-F.col("best_sim"), F.col("best_id"))).alias("best_id"),
         F.max("excl_sim").alias("excl_sim"))
 
 
@@ -104,7 +118,7 @@ def twin_similarity_matrix(vecs: DataFrame, checkpoint: bool = True, **kw) -> Da
     j = nn.join(own, nn.best_id == own.t_id)
     ratio = F.try_divide(F.col("best_sim"), F.col("c_a") + F.col("c_t"))
     return j.groupBy(F.col("a_grp").alias("g1"), F.col("g").alias("g2")).agg(
-        F.avg(ratio).alias("value"))
+        F.when(F.count(ratio) == F.count(F.lit(1)), F.avg(ratio)).alias("value"))
 
 
 def twin_distance_matrix(vecs: DataFrame, **kw) -> DataFrame:

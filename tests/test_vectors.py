@@ -90,3 +90,31 @@ def test_tag_matrix_symmetric_hollow(spark):
         assert m[(a, a)] == 0.0
         for b in gs:
             assert m[(a, b)] == pytest.approx(m[(b, a)])
+
+
+def test_vector_of_another_length_ends_the_query(spark):
+    v = spark.createDataFrame([("A", 1, [1.0, 0.0]), ("B", 2, [0.0, 1.0, 5.0])],
+                              "grp string, id long, embedding array<double>")
+    with pytest.raises(Exception, match="length 2"):
+        DS.category_distance(v, "sum", dim=2).collect()
+
+
+def test_twin_undefined_row_makes_the_mean_null(spark):
+    rows = [("A", "a1", [1.0, 0.0]), ("A", "a2", [1.0, 0.0]), ("A", "a3", [0.0, 0.0]), ("B", "b1", [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "grp string, id string, embedding array<double>")
+    s = {(r.g1, r.g2): r.value for r in TW.twin_similarity_matrix(v).collect()}
+    assert s[("A", "B")] is None  # a3 has no denominator
+
+
+def test_twin_string_ids_and_ties(spark):
+    rows = [("A", "x2", [1.0, 0.0]), ("B", "y9", [1.0, 0.0]), ("B", "y10", [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "grp string, id string, embedding array<double>")
+    for nb in (1, 3):
+        best = {(r.a_id, r.g): r.best_id for r in TW.nearest_by_group(v, n_blocks=nb).collect()}
+        assert best[("x2", "B")] == "y10"
+
+
+def test_twin_tiles_follow_tasks_then_memory():
+    assert TW.tiles(1, 200) == 1 and TW.tiles(2000, 200) == 4
+    assert TW.tiles(10 ** 6, 200) == 31  # tiles bounded by memory
+    assert TW.tiles(20_000, 10 ** 6) == 40 and TW.tiles(30_000, 8) == 4  # copies bounded by tasks
