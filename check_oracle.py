@@ -1,6 +1,7 @@
 """Run registered queries against their DuckDB oracle: python check_oracle.py [sf_dir] [names…]"""
 
 import json
+import os
 import sys
 import time
 
@@ -11,7 +12,7 @@ from tagspace.session import local_session
 if __name__ == "__main__":
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
-    spark = local_session(8)
+    spark = local_session(os.environ.get("CHECK_CPUS", "8"))
     con = duck_connect(sf_dir)
     bad = 0
     for n in names:

@@ -187,15 +187,14 @@ EVENT_GROUPS = ["click", "error", "purchase", "signup", "view"]
 SALIENCE_YEAR = 1997
 
 
-_DIMS: dict[str, int] = {}
+DIM = FX.EMBEDDING_DIM
 
 
-def emb_dim(spark, d):
-    """Vector length of the embeddings table (one row of the file is read, once per folder)."""
-    from tagspace.functions.vectors import vector_dim
-    if d not in _DIMS:
-        _DIMS[d] = vector_dim(FX.table(spark, d, "embeddings", spread_small=False))
-    return _DIMS[d]
+def places(v, power=1):
+    """Sum of i**power * v[i] (i from 1): it changes when elements change places."""
+    at = F.sequence(F.lit(1), F.size(v))
+    return F.aggregate(F.zip_with(v, at, lambda x, i: x.cast("double") * F.pow(i, F.lit(power))),
+                       F.lit(0.0), lambda acc, x: acc + x)
 
 
 def _label_vectors(spark, d):
@@ -212,7 +211,7 @@ def _label_vectors(spark, d):
     lv="SELECT r.grp, u.u FROM lvraw r JOIN lvu u USING (post_id)"))
 def q_category_distance(spark, d):
     v = _label_vectors(spark, d)
-    dim = emb_dim(spark, d)
+    dim = DIM
     s = DS.category_distance(v, "sum", dim=dim).withColumnRenamed("value", "dist_sum")
     m = DS.category_distance(v, "mean", dim=dim).withColumnRenamed("value", "dist_mean")
     return s.join(m, ["g1", "g2"]).select("g1", "g2", _r(F.col("dist_sum"), 4).alias("dist_sum"),
@@ -224,7 +223,7 @@ def _event_profile(spark, d, num_groups=5, threshold=50):
     ments = TG.mentions(posts)
     common = TG.common_tags(ments, num_groups, threshold)
     ments = TG.restrict_to(ments, common)
-    dim = emb_dim(spark, d)
+    dim = DIM
     emb = DS.unit_embeddings(FX.event_embeddings(spark, d), dim=dim)
     prof = DS.tag_group_vectors(ments, emb, EVENT_GROUPS, dim=dim)
     # tags × groups rows, the narrow waist every matrix reads: written once
@@ -238,14 +237,19 @@ _EV_VEC = dict(posts_event=O.posts_event(), mentions0=O.mentions_of("posts_event
 
 @register("tag_group_vectors", O.with_views(
     """SELECT a.tag, a.grp, CAST(count(DISTINCT a.post_id || ':' || a.pos) AS BIGINT) AS n,
-              round(sqrt(sum(list_dot_product(a.u, b.u))), 6) AS s_norm
-       FROM mcp a JOIN mcp b ON a.tag = b.tag AND a.grp = b.grp GROUP BY a.tag, a.grp""",
+              round(sqrt(sum(list_dot_product(a.u, b.u))), 6) AS s_norm,
+              round(max(w.s1), 5) AS s_places, round(max(w.s2), 3) AS s_places2
+       FROM mcp a JOIN mcp b ON a.tag = b.tag AND a.grp = b.grp
+       JOIN (SELECT tag, grp, sum(""" + O.weighted_sum("u") + """) AS s1,
+                    sum(""" + O.weighted_sum("u", 2) + """) AS s2 FROM mcp GROUP BY tag, grp) w
+         ON w.tag = a.tag AND w.grp = a.grp GROUP BY a.tag, a.grp""",
     **_EV_VEC, **{k: v for k, v in O.tag_matrix_views("mentions", EVENT_GROUPS, 5, 50).items()
                   if k in ("common", "mu", "complete", "mc")},
     mcp="SELECT * FROM mc"))
 def q_tag_group_vectors(spark, d):
     p = _event_profile(spark, d)
-    return p.select("tag", "grp", "n", _r(F.sqrt(DS.dot("s", "s"))).alias("s_norm"))
+    return p.select("tag", "grp", "n", _r(F.sqrt(DS.dot("s", "s"))).alias("s_norm"),
+                    _r(places("s"), 5).alias("s_places"), _r(places("s", 2), 3).alias("s_places2"))
 
 
 def _tag_matrix_sql(agg):
@@ -256,13 +260,13 @@ def _tag_matrix_sql(agg):
 
 @register("tag_distance_matrix", _tag_matrix_sql("sum"))
 def q_tag_distance_matrix(spark, d):
-    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "sum", dim=emb_dim(spark, d))
+    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "sum", dim=DIM)
     return m.select("g1", "g2", _r(F.col("value"), 4).alias("value"))
 
 
 @register("tag_distance_matrix_mean", _tag_matrix_sql("mean"))
 def q_tag_distance_matrix_mean(spark, d):
-    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "mean", dim=emb_dim(spark, d))
+    m = DS.tag_distance_matrix(_event_profile(spark, d), (), "mean", dim=DIM)
     return m.select("g1", "g2", _r(F.col("value")).alias("value"))
 
 
@@ -300,16 +304,16 @@ def _mantel_sql(method):
     s = O.salience_matrix_views("full", True, mapped=True)
     mv = O.mantel_views(EVENT_GROUPS, methods=(method,))
     return O.with_views("SELECT method, round(r, 6) AS r, round(p, 6) AS p, round(z, 6) AS z, "
-                        "n_perm FROM mres", **_EV_VEC, **v, **s, **mv)
+                        "n_perm, method_exact FROM mres", **_EV_VEC, **v, **s, **mv)
 
 
 def _mantel_query(method):
     def fn(spark, d):
-        x = DS.tag_distance_matrix(_event_profile(spark, d), dim=emb_dim(spark, d))
+        x = DS.tag_distance_matrix(_event_profile(spark, d), dim=DIM)
         y = event_salience(spark, d)
         res = mantel(x, y, EVENT_GROUPS, methods=(method,))
         return res.select("method", _r(F.col("r")).alias("r"), _r(F.col("p")).alias("p"),
-                          _r(F.col("z")).alias("z"), "n_perm")
+                          _r(F.col("z")).alias("z"), "n_perm", "method_exact")
     register(f"mantel_{method}", _mantel_sql(method))(fn)
 
 
@@ -319,19 +323,19 @@ _mantel_query("spearman")
 
 # --- the experiment ------------------------------------------------------------------
 
-def _experiment_query(name, configs):
+def _experiment_query(name, configs, threshold=50):
     def fn(spark, d):
         posts = FX.posts_event(spark, d)
         emb = FX.event_embeddings(spark, d)
         res = XP.experiment_grid(posts, emb, event_salience(spark, d), EVENT_GROUPS, configs,
-                                 num_groups=5, threshold=50, dim=emb_dim(spark, d))
+                                 num_groups=5, threshold=threshold, dim=DIM)
         return res.select("config", "marker", "method", _r(F.col("r")).alias("r"),
-                          _r(F.col("p")).alias("p"), _r(F.col("z")).alias("z"), "n_perm")
-    register(name, O.experiment_sql(configs, EVENT_GROUPS, 5, 50))(fn)
+                          _r(F.col("p")).alias("p"), _r(F.col("z")).alias("z"), "n_perm", "n_tags")
+    register(name, O.experiment_sql(configs, EVENT_GROUPS, 5, threshold))(fn)
 
 
 _experiment_query("experiment", [Config("full")])
-_experiment_query("experiment_grid", readme_grid())
+_experiment_query("experiment_grid", readme_grid(), 20)
 
 
 # --- twin matching -----------------------------------------------------------------
@@ -406,76 +410,113 @@ from tagspace.operators import masks as MK  # noqa: E402
 from tagspace.operators.evaluate import pair_similarity_eval  # noqa: E402
 
 
+def _element_columns():
+    return [_r(F.col("embedding")[0]).alias("e0"), _r(places("embedding"), 4).alias("e_places"),
+            _r(places("embedding", 2), 2).alias("e_places2")]
+
+
+def _vector_columns():
+    """Columns that tell a stored vector from any other order or choice of its elements."""
+    return [_r(F.col("embedding")[0]).alias("first"),
+            _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+            _r(places("embedding"), 5).alias("places"), _r(places("embedding", 2), 3).alias("places2")]
+
+
 @register("masked_embeddings", O.with_views(
-    """SELECT p.post_id, p.grp, round(CAST(e.embedding[1] AS DOUBLE), 6) AS e0
+    """SELECT p.post_id, p.grp, round(CAST(e.embedding[1] AS DOUBLE), 6) AS e0,
+              round(""" + O.weighted_sum("CAST(e.embedding AS DOUBLE[])") + """, 4) AS e_places,
+              round(""" + O.weighted_sum("CAST(e.embedding AS DOUBLE[])", 2) + """, 2) AS e_places2
        FROM posts_event p JOIN emb e USING (post_id)
-       WHERE p.is_retweet = 0 AND p.is_quoted = 0 AND p.is_reply = 0 AND NOT ends_with(p.text, '…')""",
-    posts_event=O.posts_event(), emb=O.EVENT_EMB))
+       WHERE p.is_retweet = 0 AND p.is_quoted = 0 AND p.is_reply = 0 AND NOT ends_with(p.text, '…')
+         AND p.grp <> 'other'""", posts_event=O.posts_event(), emb=O.EVENT_EMB))
 def q_masked_embeddings(spark, d):
     m = MK.apply_mask(FX.posts_event(spark, d), FX.event_embeddings(spark, d), P.content(),
                       EVENT_GROUPS, check=True)
-    return m.select("post_id", "grp", _r(F.col("embedding")[0]).alias("e0"))
+    return m.select("post_id", "grp", *_element_columns())
 
 
 @register("pair_similarity_eval", O.with_views(
-    "SELECT metric, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM res",
+    "SELECT metric, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, n_pairs, n_scored FROM res",
     **O.eval_views()))
 def q_pair_similarity_eval(spark, d):
     pairs = FX.label_pairs(spark, d)
     emb = FX.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     r = pair_similarity_eval(pairs, emb)
     return r.select("metric", _r(F.col("pearson")).alias("pearson"),
-                    _r(F.col("spearman")).alias("spearman"))
+                    _r(F.col("spearman")).alias("spearman"), "n_pairs", "n_scored")
 
 
 @register("word_average", O.with_views(
-    """SELECT t.post_id, CAST(sum(t.c) AS BIGINT) AS n_tokens,
-              round(sum(t.c * w.first_u) / sum(t.c), 6) AS first,
-              round(sum(t.c * w.total_u) / sum(t.c), 6) AS total
-       FROM tc t JOIN wv w ON w.vec_id = t.vec_id
-       GROUP BY t.post_id""",
-    **O.doc_token_views(),
-    ne="SELECT count(*) AS n FROM embeddings",
-    tc="SELECT th.post_id, th.h % ne.n AS vec_id, count(*) AS c FROM th, ne GROUP BY ALL",
+    """SELECT p.post_id, CAST(coalesce(a.n, 0) AS BIGINT) AS n_tokens,
+              round(coalesce(a.s0 / a.n, 0.0), 6) AS first, round(coalesce(a.st / a.n, 0.0), 6) AS total,
+              round(coalesce(a.s1 / a.n, 0.0), 5) AS places, round(coalesce(a.s2 / a.n, 0.0), 3) AS places2
+       FROM posts_doc p LEFT JOIN
+         (SELECT t.post_id, sum(t.c) AS n, sum(t.c * w.first_u) AS s0, sum(t.c * w.total_u) AS st,
+                 sum(t.c * w.places_u) AS s1, sum(t.c * w.places2_u) AS s2
+          FROM tc t JOIN wv w ON w.vec_id = t.h % (SELECT count(*) FROM embeddings)
+          WHERE t.h % 4 <> 0 GROUP BY t.post_id) a USING (post_id)""",
+    **O.doc_token_views(blanks=True),
+    tc="SELECT post_id, tok, any_value(h) AS h, count(*) AS c FROM th GROUP BY post_id, tok",
     wraw="SELECT vec_id AS post_id, embedding FROM embeddings",
     wu=O.unit_of("wraw"),
-    wv="SELECT post_id AS vec_id, u[1] AS first_u, list_sum(u) AS total_u FROM wu"))
+    wv="SELECT post_id AS vec_id, u[1] AS first_u, list_sum(u) AS total_u, " + O.weighted_sum("u")
+       + " AS places_u, " + O.weighted_sum("u", 2) + " AS places2_u FROM wu"))
 def q_word_average(spark, d):
-    wa = EM.word_average(FX.posts_doc(spark, d), FX.table(spark, d, "embeddings"),
-                         dim=emb_dim(spark, d))
-    return wa.select("post_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
-                     _r(F.col("embedding")[0]).alias("first"),
-                     _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
-
+    posts = FX.with_blank_texts(FX.posts_doc(spark, d))
+    wa = EM.word_average(posts, FX.doc_words(spark, d), dim=DIM)
+    return wa.select("post_id", "n_tokens", *_vector_columns())
+
+
+def _hash_sql(columns="p.post_id, coalesce(a.n_tokens, 0) AS n_tokens", year=None, blanks=True):
+    """Hashed vectors of posts_doc by brute force: cells per bucket, then sums over buckets."""
+    def value(c, digits):
+        return f"round(coalesce(a.{c} / a.nrm, 0.0), {digits})"
+    return O.with_views(
+        f"""SELECT {columns}, {value('v0', 6)} AS first, {value('vs', 6)} AS total,
+                   {value('v1', 5)} AS places, {value('v2', 3)} AS places2
+            FROM posts_doc p LEFT JOIN
+             (SELECT post_id, CAST(sum(c) AS BIGINT) AS n_tokens, greatest(sqrt(sum(v * v)), 1e-12) AS nrm,
+                     sum(v) AS vs, coalesce(max(CASE WHEN b = 0 THEN v END), 0.0) AS v0,
+                     sum(v * (b + 1)) AS v1, sum(v * (b + 1) * (b + 1)) AS v2
+              FROM (SELECT post_id, h % 32 AS b, sum(CASE WHEN h < 2147483648 THEN 1.0 ELSE -1.0 END) AS v,
+                           count(*) AS c FROM th GROUP BY ALL)
+              GROUP BY post_id) a USING (post_id)""", **O.doc_token_views(year, blanks))
+
+
+@register("hash_embeddings", _hash_sql())
+def q_hash_embeddings(spark, d):
+    he = EM.hash_embed(FX.with_blank_texts(FX.posts_doc(spark, d)), 32)
+    return he.select("post_id", "n_tokens", *_vector_columns())
 
-_HASH_SQL = O.with_views(
-    """SELECT post_id, n_tokens, round(coalesce(v0, 0.0) / nrm, 6) AS first, round(vs / nrm, 6) AS total
-       FROM (SELECT post_id, CAST(sum(c) AS BIGINT) AS n_tokens, sqrt(sum(v * v)) AS nrm, sum(v) AS vs,
-                    max(CASE WHEN b = 0 THEN v END) AS v0
-             FROM (SELECT post_id, h % 32 AS b, sum(CASE WHEN h < 2147483648 THEN 1.0 ELSE -1.0 END) AS v,
-                          count(*) AS c FROM th GROUP BY ALL)
-             GROUP BY post_id)""", **O.doc_token_views())
 
+def length_encoder():
+    """An encoder for the hook: lengths of the text in characters, words and lines."""
+    import numpy as np
 
-@register("hash_embeddings", _HASH_SQL)
-def q_hash_embeddings(spark, d):
-    he = EM.hash_embed(FX.posts_doc(spark, d), 32)
-    return he.select("post_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
-                     _r(F.col("embedding")[0]).alias("first"),
-                     _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    def enc(texts):
+        return np.array([[len(t), len(t.split()), t.count("e")] for t in texts], dtype="float64").reshape(-1, 3)
+    return enc
 
 
-@register("encoder_hook", "SELECT post_id, first, total FROM (" + _HASH_SQL + ")")
+@register("encoder_hook", O.with_views(
+    """SELECT CAST(post_id AS VARCHAR) || 'x' AS post_id, CAST(length(t) AS DOUBLE) AS chars,
+              CAST(len(regexp_extract_all(t, '[^ ]+')) AS DOUBLE) AS words,
+              CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) AS es
+       FROM (SELECT post_id, replace(replace(coalesce(text, ''), chr(10), ' '), chr(9), ' ') AS t FROM posts_doc)""",
+    posts_all=O.POSTS_DOC, posts_doc=O.BLANK))
 def q_encoder_hook(spark, d):
-    e = EM.encode_batches(FX.posts_doc(spark, d), lambda: EM.numpy_hash_encoder(32), 32,
-                          out_type="double")
-    return e.select("post_id", _r(F.col("embedding")[0]).alias("first"),
-                    _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    """Any encoder over batches; the ids here are strings."""
+    EM.register_encoder("length-3", length_encoder)
+    posts = FX.with_blank_texts(FX.posts_doc(spark, d))
+    posts = posts.withColumn("post_id", F.concat(F.col("post_id").cast("string"), F.lit("x")))
+    e = EM.encode_batches(posts, length_encoder, 3, out_type="double")
+    return e.select("post_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(["chars", "words", "es"])])
 
 
 # --- jobs: files in and out ------------------------------------------------------------
 
 from tagspace.plans import jobs as JB  # noqa: E402
+from tagspace.sources import files as FS  # noqa: E402
 from tagspace.sources import sinks as SK  # noqa: E402
 
 EVENT_POST_SCHEMA = ("post_id long, grp string, created_at timestamp_ntz, text string, "
@@ -491,16 +532,18 @@ def _as_csv(df, spark, name):
 
 
 @register("filter_job", O.with_views(
-    """SELECT p.post_id, p.grp, round(CAST(e.embedding[1] AS DOUBLE), 6) AS e0
+    """SELECT p.post_id, p.grp, round(CAST(e.embedding[1] AS DOUBLE), 6) AS e0,
+              round(""" + O.weighted_sum("CAST(e.embedding AS DOUBLE[])") + """, 4) AS e_places,
+              round(""" + O.weighted_sum("CAST(e.embedding AS DOUBLE[])", 2) + """, 2) AS e_places2
        FROM posts_event p JOIN emb e USING (post_id)
-       WHERE p.is_retweet = 0 AND p.is_quoted = 0 AND p.is_reply = 0 AND NOT ends_with(p.text, '…')""",
-    posts_event=O.posts_event(), emb=O.EVENT_EMB))
+       WHERE p.is_retweet = 0 AND p.is_quoted = 0 AND p.is_reply = 0 AND NOT ends_with(p.text, '…')
+         AND p.grp <> 'other'""", posts_event=O.posts_event(), emb=O.EVENT_EMB))
 def q_filter_job(spark, d):
     out = JB.filter_job(FX.posts_event(spark, d), FX.event_embeddings(spark, d),
                         SK.scratch_path(spark, "filtered"), "content", EVENT_GROUPS)
     back = spark.read.parquet(out).filter((F.col("mode") == "content")
                                           & (F.col("config") == "content"))
-    return back.select("post_id", "grp", _r(F.col("embedding")[0]).alias("e0"))
+    return back.select("post_id", "grp", *_element_columns())
 
 
 @register("gather_job", O.with_views("SELECT sent1, sent2, label, split FROM split_texts", **_PV))
@@ -514,20 +557,22 @@ def q_gather_job(spark, d):
     return back.select("sent1", "sent2", "label", "split")
 
 
-@register("embed_job", "SELECT post_id, first, total FROM (" + O.with_views(
-    _HASH_SQL[_HASH_SQL.index("\nSELECT"):], **O.doc_token_views(1997)) + ")")
+@register("embed_job", "SELECT post_id, year, first, total, places, places2 FROM ("
+          + _hash_sql("p.post_id, 1997 AS year", 1997, False) + ") UNION ALL SELECT post_id, year, first, total, places, places2 FROM ("
+          + _hash_sql("p.post_id, 1998 AS year", 1998, False) + ")")
 def q_embed_job(spark, d):
+    """Two years into one folder, one of them twice: each year is there once."""
     src = _as_csv(FX.posts_doc(spark, d), spark, "posts-doc-csv")
-    out = JB.embed_job(spark, src, SK.scratch_path(spark, "emb"), 1997, model="hash/32",
-                       schema=DOC_POST_SCHEMA, id_col="post_id", group_col="party",
-                       merge=FX.DOC_MERGE)
-    back = spark.read.parquet(out).filter((F.col("model") == "hash_32") & (F.col("year") == 1997))
-    return back.select("post_id", _r(F.col("embedding")[0]).alias("first"),
-                       _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    out = SK.scratch_path(spark, "emb")
+    for year in (1997, 1998, 1997):
+        JB.embed_job(spark, src, out, year, model="hash/32", groups=None, schema=DOC_POST_SCHEMA,
+                     id_col="post_id", group_col="party", merge=FX.DOC_MERGE)
+    back = FS.read_embeddings(spark, out, "hash_32")
+    return back.select("post_id", "year", *_vector_columns())
 
 
 @register("evaluate_job", O.with_views(
-    "SELECT metric, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM res",
+    "SELECT metric, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, n_pairs, n_scored FROM res",
     **O.evaluate_job_views()))
 def q_evaluate_job(spark, d):
     src = _as_csv(FX.posts_event(spark, d), spark, "posts-event-csv")
@@ -536,12 +581,94 @@ def q_evaluate_job(spark, d):
                         schema=EVENT_POST_SCHEMA, id_col="post_id", group_col="grp", merge={})
     r = JB.evaluate_job(spark, out, "val")
     return r.select("metric", _r(F.col("pearson")).alias("pearson"),
-                    _r(F.col("spearman")).alias("spearman"))
+                    _r(F.col("spearman")).alias("spearman"), "n_pairs", "n_scored")
+
+
+_MODEL, _EVAL = "hash-32", "full_manifesto_matrix"
+_RESULT_CONFIGS = [Config("full"), Config("time", month_start=3, month_end=9), Config("elected")]
 
 
-@register("results_job", O.experiment_sql([Config("full")], EVENT_GROUPS, 5, 50))
+@register("results_job", O.results_sql(_RESULT_CONFIGS, EVENT_GROUPS, 5, 50, _MODEL, 2024, _EVAL))
 def q_results_job(spark, d):
-    """X1 + S9: run the experiment, append its result rows, read them back."""
-    res = QUERIES["experiment"](spark, d)
-    out = SK.write_results(res, SK.scratch_path(spark, "results"))
-    return spark.read.parquet(out).select("config", "marker", "method", "r", "p", "z", "n_perm")
+    """X1 by path + S1, S3, S4, S9: posts, embeddings and salience table are written, the job
+    reads them, and its appended result rows are read back."""
+    posts = _as_csv(FX.posts_event(spark, d), spark, "posts-event-csv")
+    emb = SK.scratch_path(spark, "emb")
+    vecs = FX.event_embeddings(spark, d).withColumn("grp", F.lit("any"))
+    SK.write_embeddings(vecs, emb, _MODEL, 2024)
+    table = _as_csv(FX.salience_wide(spark, d).withColumn(
+        "date", F.col("date") - 199709 + 202409), spark, "salience-csv")
+    out = JB.experiment_job(
+        spark, posts, emb, table, SK.scratch_path(spark, "results"), 2024, _MODEL, EVENT_GROUPS,
+        _RESULT_CONFIGS, name_map=FX.group_map(spark, d).select("seg", "grp"), schema=EVENT_POST_SCHEMA,
+        id_col="post_id", group_col="grp", merge={}, num_groups=5, threshold=50, dim=DIM)
+    back = spark.read.parquet(out)
+    numbers = [c for c in back.columns if c[:2] in ("r_", "p_", "z_")]
+    return back.select("model", "year", "mode", "eval", *[_r(F.col(c)).alias(c) for c in numbers])
+
+
+# --- sources and names ------------------------------------------------------------------
+
+@register("config_marker", f"""SELECT doc_id, {O.MARKER} AS marker, source || '-' || lang AS model FROM (
+    SELECT doc_id, source, lang, ['full', 'random', 'time', 'elected'][doc_id % 4 + 1] AS mode, doc_id % 7 AS seed,
+           CAST((doc_id % 8 + 1) / 8.0 AS DOUBLE) AS fraction, doc_id % 9 + 1 AS month_start,
+           9 AS month_end FROM documents)""")
+def q_config_marker(spark, d):
+    """The marker of a run, the model in the name of its embedding file."""
+    i = F.col("doc_id")
+    runs = FX.table(spark, d, "documents").select(
+        "doc_id", F.array(*[F.lit(m) for m in ("full", "random", "time", "elected")])[(i % 4).cast("int")].alias("mode"),
+        (i % 7).alias("seed"), ((i % 8 + 1) / 8.0).alias("fraction"), (i % 9 + 1).alias("month_start"),
+        F.lit(9).alias("month_end"),
+        F.concat(F.lit("/data/emb/"), "source", F.lit("-"), "lang", F.lit("-2013.pkl")).alias("path"))
+    return runs.select("doc_id", T.config_marker(
+        *[F.col(c) for c in ("mode", "seed", "fraction", "month_start", "month_end")]).alias("marker"), T.model_from_path(F.col("path")).alias("model"))
+
+
+@register("read_embeddings", O.with_views(
+    """SELECT post_id, 'any' AS grp, 2017 AS year, 'org_m-x' AS model,
+              round(CAST(embedding[1] AS DOUBLE), 6) AS e0,
+              round(""" + O.weighted_sum("CAST(embedding AS DOUBLE[])") + """, 4) AS e_places,
+              round(""" + O.weighted_sum("CAST(embedding AS DOUBLE[])", 2) + """, 2) AS e_places2
+       FROM emb WHERE post_id % 2 = 1""", emb=O.EVENT_EMB))
+def q_read_embeddings(spark, d):
+    """Two years of one model, and another model; one is read back."""
+    vecs = FX.event_embeddings(spark, d).withColumn("grp", F.lit("any"))
+    out = SK.scratch_path(spark, "emb")
+    SK.write_embeddings(vecs.filter("post_id % 2 = 0"), out, "org/m-x", 2013)
+    SK.write_embeddings(vecs.filter("post_id % 2 = 1"), out, "org/m-x", 2017)
+    SK.write_embeddings(vecs, out, "other", 2017)
+    back = FS.read_embeddings(spark, out, "org_m-x", 2017)
+    return back.select("post_id", "grp", "year", "model", *_element_columns())
+
+
+@register("read_salience", O.with_views(
+    """SELECT date, countryname, partyabbrev, round(pervote, 6) AS pervote, round(per101, 6) AS per101,
+              round(per103_1, 6) AS per103_1, round(per105, 6) AS per105, round(per601, 6) AS per601
+       FROM salience""", own=O.salience_wide()[1], salience=O.salience_wide()[0]))
+def q_read_salience(spark, d):
+    """The table through a CSV file, types inferred."""
+    t = FS.read_salience(spark, _as_csv(FX.salience_wide(spark, d), spark, "salience-csv"))
+    numbers = ["pervote", "per101", "per103_1", "per105", "per601"]
+    return t.select("date", "countryname", "partyabbrev", *[_r(F.col(c)).alias(c) for c in numbers])
+
+
+@register("read_pairs", O.with_views(
+    """SELECT year, sent1, sent2, label, split FROM split_texts, (SELECT unnest(['2013', '2017_b']) AS year)""", **_PV))
+def q_read_pairs(spark, d):
+    """The pairs of two years in one folder, one of them written twice; Parquet posts."""
+    src = SK.scratch_path(spark, "posts")
+    FX.posts_event(spark, d).write.parquet(src)
+    posts = FS.read_posts_range(spark, src, 2024, 2024, EVENT_POST_SCHEMA, id_col="post_id",
+                                group_col="grp", merge={}, fmt="parquet")
+    ds = cut_lineage(PR.split_dataset(PR.pair_dataset(posts, **PAIR_ARGS), 42))
+    train, val = ds.filter("split = 'train'"), ds.filter("split = 'val'")
+    out = SK.scratch_path(spark, "pairs")
+    for year, suffix in ((2013, None), (2017, "b"), (2013, None)):
+        SK.write_pairs(train, val, out, year, suffix)
+    parts = [FS.read_pairs(spark, f"{out}/year={y}", split=p).withColumns({"year": F.lit(y), "split": F.lit(p)})
+             for y in ("2013", "2017_b") for p in ("train", "val")]
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    return all_.select("year", "sent1", "sent2", "label", "split")

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -29,6 +30,8 @@ from tagspace.operators.distance import unit_embeddings
 # whitespace as Java, RE2 and Python all read it (vertical tab included)
 TOKEN_PATTERN = r"[^ \t\n\x0B\f\r]+"
 ENCODE_BATCH = 64
+# names of the built-in encoder: hash-32 hashes into 32 dimensions
+HASH_MODEL = r"hash[-/_](\d+)"
 
 
 def tokens(text: str = "text") -> F.Column:
@@ -36,32 +39,36 @@ def tokens(text: str = "text") -> F.Column:
     return F.regexp_extract_all(flatten_newlines(text), F.lit(TOKEN_PATTERN), 0)
 
 
-def word_table_from_vectors(vecs: DataFrame) -> DataFrame:
-    """A word-vector lookup keyed by bucket: (vec_id, embedding)."""
-    return vecs.select("vec_id", "embedding")
-
-
-def word_average(posts: DataFrame, vecs: DataFrame, text: str = "text",
+def word_average(posts: DataFrame, words: DataFrame, text: str = "text",
                  dim: int | None = None) -> DataFrame:
-    """(post_id, n_tokens, embedding): mean of the unit vectors of the tokens.
+    """(post_id, n_tokens, embedding): mean of the unit vectors of the known tokens.
 
-    A token's vector is row ``md5(token) mod |vecs|`` of ``vecs`` (vec_id, embedding).
+    ``words`` is a table (word, vector) with one row per word; tokens that it lacks are
+    skipped. Every post has a row: one without known tokens has n_tokens 0 and the zero
+    vector (``dim`` long; without ``dim`` an empty one).
     """
-    n = vecs.count()
-    toks = posts.select("post_id", F.explode(tokens(text)).alias("tok"))
-    toks = toks.withColumn("vec_id", F.pmod(hash32(F.col("tok")), F.lit(n)))
-    unit = unit_embeddings(vecs.select("vec_id", "embedding"))
-    # count tokens per (post, word vector) first: the vector join then runs on few rows
-    cnt = toks.groupBy("post_id", "vec_id").agg(F.count(F.lit(1)).alias("c"))
-    rows = cnt.join(unit, "vec_id")
-    agg = rows.groupBy("post_id").agg(F.sum("c").alias("n_tokens"),
-                                      vector_sum("u", weight="c", dim=dim).alias("s"))
-    return agg.select("post_id", "n_tokens",
+    # count tokens per (post, word) first: the vector join then runs on few rows
+    cnt = (posts.select("post_id", F.explode(tokens(text)).alias("word"))
+           .groupBy("post_id", "word").agg(F.count(F.lit(1)).alias("c")))
+    unit = unit_embeddings(words.select("word", "vector"), "vector", dim=dim)
+    agg = cnt.join(unit, "word").groupBy("post_id").agg(
+        F.sum("c").alias("n_tokens"), vector_sum("u", weight="c", dim=dim).alias("s"))
+    mean = agg.select("post_id", "n_tokens",
                       F.transform("s", lambda x: x / F.col("n_tokens")).alias("embedding"))
+    return _every_post(posts, mean, dim or 0)
+
+
+def _every_post(posts: DataFrame, found: DataFrame, dim: int) -> DataFrame:
+    """One row per post; those not found have no tokens and the zero vector."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return posts.select("post_id").join(found, "post_id", "left").select(
+        "post_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"),
+        F.coalesce("embedding", zero).alias("embedding"))
 
 
 def hash_embed(posts: DataFrame, dim: int = 32, text: str = "text") -> DataFrame:
-    """Signed feature hashing: (post_id, n_tokens, embedding array<double>[dim])."""
+    """Signed feature hashing: (post_id, n_tokens, embedding array<double>[dim]), one row
+    per post; a post without tokens has the zero vector."""
     toks = posts.select("post_id", F.explode(tokens(text)).alias("tok"))
     h = hash32(F.col("tok"))
     toks = toks.select("post_id", F.pmod(h, F.lit(dim)).cast("int").alias("b"),
@@ -73,7 +80,7 @@ def hash_embed(posts: DataFrame, dim: int = 32, text: str = "text") -> DataFrame
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                       lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
     raw = per.select("post_id", "n_tokens", vec.alias("embedding"))
-    return unit_embeddings(raw).withColumnRenamed("u", "embedding")
+    return _every_post(posts, unit_embeddings(raw).withColumnRenamed("u", "embedding"), dim)
 
 
 def encode_batches(posts: DataFrame, make_encoder: Callable[[], Callable], dim: int,
@@ -93,24 +100,9 @@ def encode_batches(posts: DataFrame, make_encoder: Callable[[], Callable], dim:
                                   dtype=np_type)
                 yield pd.DataFrame({"post_id": part["post_id"].to_numpy(),
                                     "embedding": list(vecs)})
+    kind = posts.schema["post_id"].dataType.simpleString()
     return posts.select("post_id", text).mapInPandas(
-        run, f"post_id long, embedding array<{out_type}>")
-
-
-def numpy_hash_encoder(dim: int = 32):
-    """A tiny stand-in encoder for the hook (signed md5 feature hashing in NumPy)."""
-    import hashlib
-    import re
-
-    def enc(texts):
-        out = np.zeros((len(texts), dim), dtype="float64")
-        for r, t in enumerate(texts):
-            for tok in re.findall(TOKEN_PATTERN, t):
-                h = int(hashlib.md5(tok.encode()).hexdigest()[:8], 16)
-                out[r, h % dim] += 1.0 if (h >> 31) == 0 else -1.0
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n == 0, 1.0, n)
-    return enc
+        run, f"post_id {kind}, embedding array<{out_type}>")
 
 
 ENCODERS: dict[str, Callable] = {}
@@ -121,11 +113,36 @@ def register_encoder(name: str, factory: Callable) -> None:
 
 
 def encoder_for(model: str, legacy_dispatch: bool = False) -> str:
-    """E5: which path a model name takes: 'word_average', 'batched' or 'sentence'."""
-    if model in ENCODERS and not legacy_dispatch:
-        return "registered"
+    """E5: which path a model name takes: 'registered', 'hash', 'word_average', 'batched' or
+    'sentence'."""
+    if not legacy_dispatch:
+        if model in ENCODERS:
+            return "registered"
+        if re.fullmatch(HASH_MODEL, model):
+            return "hash"
     if "fasttext" in model:
         return "word_average"
     if "bert" in model:
         return "batched"
     return "sentence"
+
+
+def encode_posts(posts: DataFrame, model: str, dim: int | None = None,
+                 words: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """(post_id, embedding) by the encoder that ``model`` names (E1, E5); one row per post.
+
+    Registered encoders and the built-in hashing run under their names; a word-average
+    model needs its table ``words`` (word, vector). Any other name is refused: a vector is
+    never stored under the name of a model that did not make it.
+    """
+    path = encoder_for(model)
+    if path == "hash":
+        return hash_embed(posts, int(re.fullmatch(HASH_MODEL, model)[1]), text).drop("n_tokens")
+    if path == "registered":
+        if dim is None:
+            raise ValueError(f"the dimension of {model!r} is needed")
+        return encode_batches(posts, ENCODERS[model], dim, text)
+    if path == "word_average" and words is not None:
+        return word_average(posts, words, text, dim).drop("n_tokens")
+    raise ValueError(f"no encoder is registered for {model!r} ({path})"
+                     + (": its word vectors are needed" if path == "word_average" else ""))

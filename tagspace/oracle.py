@@ -6,6 +6,8 @@ Each view is a CTE body over the pre-registered tables. The Spark forms are in
 
 from __future__ import annotations
 
+import math
+
 TAG_RE = r"#[\p{L}\p{N}_]+"
 
 
@@ -20,7 +22,8 @@ def key(*parts: str) -> str:
 
 
 POSTS_EVENT_BODY = """
-  SELECT event_id AS post_id, event_type AS grp, ts AS created_at,
+  SELECT event_id AS post_id, CASE WHEN event_id % 19 = 0 THEN 'other' ELSE event_type END AS grp,
+         ts + to_months(CAST(event_id % 12 AS INTEGER)) AS created_at,
          {text} AS text,
          CAST(user_id % 2 AS INTEGER) AS elected,
          CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS incumbent,
@@ -63,11 +66,14 @@ GROUP_MAP = """
   ON g.r = s.r"""
 
 
-def salience_wide() -> str:
+def salience_wide() -> tuple[str, str]:
+    """SQL of the salience view over ``own``, and of ``own``."""
     brand_cols = []
     for b in range(1, 26):
-        brand_cols.append(f"100.0 * coalesce(sum(CASE WHEN brand = {b} THEN q END), 0) / sum(q) "
-                          f"AS per{100 + b}")
+        share = f"100.0 * coalesce(sum(CASE WHEN brand = {b} THEN q END), 0) / sum(q)"
+        if b == 5:
+            share = f"CASE WHEN seg <> 'BUILDING' THEN {share} END"
+        brand_cols.append(f"{share} AS per{100 + b}")
         if b == 3:
             brand_cols.append("100.0 * coalesce(sum(CASE WHEN brand = 3 THEN q END), 0) / sum(q) "
                               "/ 2.0 AS per103_1")
@@ -77,6 +83,10 @@ def salience_wide() -> str:
     type_cols = [f"100.0 * coalesce(sum(CASE WHEN p_type = '{types[i % 6]}' THEN q END), 0) "
                  f"/ sum(q) AS {n}" for i, n in enumerate(names)]
     return f"""
+  SELECT * FROM own
+  UNION ALL SELECT * REPLACE (199309 AS date, per101 + 1.0 AS per101) FROM own
+  UNION ALL SELECT * REPLACE ('Austria' AS countryname, per101 + 1.0 AS per102) FROM own
+  UNION ALL SELECT * REPLACE ('UNLISTED' AS partyabbrev) FROM own WHERE partyabbrev = 'BUILDING'""", f"""
   SELECT 199709 AS date, 'Germany' AS countryname, seg AS partyabbrev,
          100.0 * sum(q) / sum(sum(q)) OVER () AS pervote, 0.0 AS peruncod,
          {', '.join(brand_cols)},
@@ -156,15 +166,20 @@ def tag_matrix_views(mentions: str, groups: list[str], num_groups: int, threshol
     }
 
 
+# the view's columns of each mode, in the view's order, written out
+_LATER = "per201 per202 per203 per305 per401 per402 per403 per501 per601".split()
+_FIRST = [f"per{100 + b}" for b in range(1, 26)]
+SALIENCE_COLS = {
+    "full": [*_FIRST[:3], "per103_1", *_FIRST[3:], *_LATER],
+    "cat": [*_FIRST, *_LATER],
+    "rile": "per103 per104 per105 per106 per107 per201 per202 per203 per305 per401 per402 per403 per601".split(),
+    "econ": "per401 per402 per403".split(),
+    "galtan": "per201 per202 per305 per501 per601".split(),
+}
+
+
 def salience_cols(mode: str, drop_first: bool = True) -> list[str]:
-    from tagspace.operators.salience import salience_columns
-    cols = ["date", "countryname", "partyabbrev", "pervote", "peruncod"]
-    cols += [f"per{100 + b}" for b in range(1, 4)] + ["per103_1"]
-    cols += [f"per{100 + b}" for b in range(4, 26)]
-    cols += ["per201", "per202", "per203", "per305", "per401", "per402", "per403", "per501",
-             "per601"]
-    sel = salience_columns(cols, mode)
-    return sel[1:] if drop_first else sel
+    return SALIENCE_COLS[mode][1:] if drop_first else SALIENCE_COLS[mode]
 
 
 def salience_matrix_views(mode: str, drop_first: bool, mapped: bool) -> dict:
@@ -175,9 +190,11 @@ def salience_matrix_views(mode: str, drop_first: bool, mapped: bool) -> dict:
     unions = "\n  UNION ALL ".join(
         f"SELECT {grp} AS grp, '{c}' AS category, coalesce(CAST(s.{c} AS DOUBLE), 0.0) AS v "
         f"FROM salience s {join} WHERE CAST(s.date AS VARCHAR) LIKE '1997%' "
-        f"AND s.countryname = 'Germany'" for c in cols)
+        f"AND s.countryname = 'Germany' AND s.partyabbrev <> 'UNLISTED'" for c in cols)
+    view, own = salience_wide()
     return {
-        "salience": salience_wide(),
+        "own": own,
+        "salience": view,
         "group_map": GROUP_MAP,
         "slong": unions,
         "scells": """SELECT a.grp AS g1, b.grp AS g2, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS value
@@ -190,7 +207,6 @@ def salience_matrix_views(mode: str, drop_first: bool, mapped: bool) -> dict:
 
 def mantel_views(groups: list[str], keys: str = "", methods=("pearson", "spearman")) -> dict:
     """Exhaustive Mantel test of xmat (keys…, g1, g2, value) against ymat (g1, g2, value)."""
-    import math
     n = len(groups)
     k = f"{keys}, " if keys else ""
     idx = " UNION ALL ".join(f"SELECT '{g}' AS g, {i} AS i" for i, g in enumerate(groups))
@@ -232,7 +248,8 @@ def mantel_views(groups: list[str], keys: str = "", methods=("pearson", "spearma
         selects.append(f"""
           SELECT {k}'{m}' AS method, max(o.r_obs) AS r,
                  avg(CASE WHEN abs(round(r, 12)) >= abs(round(o.r_obs, 12)) THEN 1.0 ELSE 0.0 END) AS p,
-                 (max(o.r_obs) - avg(r)) / stddev_pop(r) AS z, CAST(count(*) AS BIGINT) AS n_perm
+                 (max(o.r_obs) - avg(r)) / stddev_pop(r) AS z, CAST(count(*) AS BIGINT) AS n_perm,
+                 TRUE AS method_exact
           FROM rs_{m} JOIN (SELECT {k}r AS r_obs FROM rs_{m} WHERE ident = 1) o {join_on}
           GROUP BY {keys if keys else 'ALL'}""")
     views["mres"] = " UNION ALL ".join(selects)
@@ -283,9 +300,22 @@ def experiment_views(configs, groups, num_groups, threshold) -> dict:
 def experiment_sql(configs, groups, num_groups, threshold) -> str:
     v = experiment_views(configs, groups, num_groups, threshold)
     return with_views(f"""
-  SELECT m.config, {MARKER} AS marker, m.method, round(m.r, 6) AS r, round(m.p, 6) AS p,
-         round(m.z, 6) AS z, m.n_perm
-  FROM mres m JOIN cfg USING (config)""", **v)
+  SELECT cfg.config, {MARKER} AS marker, a.method, round(m.r, 6) AS r, round(m.p, 6) AS p,
+         round(m.z, 6) AS z, CAST({math.factorial(len(groups))} AS BIGINT) AS n_perm,
+         CAST(coalesce(t.n_tags, 0) AS BIGINT) AS n_tags
+  FROM cfg, (SELECT unnest(['pearson', 'spearman']) AS method) a
+  LEFT JOIN mres m ON m.config = cfg.config AND m.method = a.method
+  LEFT JOIN (SELECT config, count(*) AS n_tags FROM complete GROUP BY config) t
+    ON t.config = cfg.config""", **v)
+
+
+def results_sql(configs, groups, num_groups, threshold, model: str, year: int, evaluation: str) -> str:
+    """The kept form of the results: one row per run."""
+    cols = ", ".join(f"max(CASE WHEN method = '{m}' THEN {c} END) AS {c}_{m}"
+                     for m in ("pearson", "spearman") for c in ("r", "p", "z"))
+    return f"""SELECT '{model}' AS model, CAST({year} AS INTEGER) AS year, marker AS mode,
+                      '{evaluation}' AS eval, {cols}
+               FROM ({experiment_sql(configs, groups, num_groups, threshold)}) GROUP BY marker"""
 
 
 def twin_views() -> dict:
@@ -301,7 +331,9 @@ def twin_views() -> dict:
                  JOIN sims s ON s.a_id = m.a_id AND s.gb = m.gb AND s.s = m.best GROUP BY ALL""",
         "cc": """SELECT a_id, greatest(0.0, coalesce(max(s) FILTER (WHERE b_id <> a_id AND gb = ga), 0.0)) AS c
                  FROM sims GROUP BY a_id""",
-        "sim": """SELECT tw.ga AS g1, tw.gb AS g2, avg(tw.best / nullif(ca.c + ct.c, 0)) AS value
+        "sim": """SELECT tw.ga AS g1, tw.gb AS g2,
+                         CASE WHEN count(*) = count(nullif(ca.c + ct.c, 0))
+                              THEN avg(tw.best / nullif(ca.c + ct.c, 0)) END AS value
                   FROM tw JOIN cc ca ON ca.a_id = tw.a_id JOIN cc ct ON ct.a_id = tw.t_id GROUP BY ALL""",
         "sim1": "SELECT g1, g2, CASE WHEN g1 = g2 THEN 1.0 ELSE value END AS value FROM sim",
         "dist": """SELECT a.g1, a.g2, 1.0 - (a.value + b.value) / 2.0 AS value FROM sim1 a
@@ -386,16 +418,26 @@ def eval_views() -> dict:
                        list_dot_product(a.e, b.e) AS dot
                      FROM lp JOIN ev a ON a.id = lp.id1 JOIN ev b ON b.id = lp.id2""",
         "rk": ranks,
-        "res": """SELECT metric, corr(label, score) AS pearson, corr(rl, rs) AS spearman
+        "res": """SELECT metric, corr(label, score) AS pearson, corr(rl, rs) AS spearman,
+                         count(*) AS n_pairs, count(score) AS n_scored
                   FROM rk GROUP BY metric""",
     }
 
 
-def doc_token_views(year: int | None = None) -> dict:
+# posts_doc of which some texts are empty and some NULL
+BLANK = """SELECT * REPLACE (CASE WHEN post_id % 50 = 0 THEN '' WHEN post_id % 50 = 1 THEN NULL
+                             ELSE text END AS text) FROM posts_all"""
+
+
+def weighted_sum(v: str, power: int = 1, dim: int = 64) -> str:
+    """Sum of i**power * v[i]: a number that changes when elements change places."""
+    return f"list_dot_product({v}, [CAST(i ** {power} AS DOUBLE) for i in range(1, {dim + 1})])"
+
+
+def doc_token_views(year: int | None = None, blanks: bool = False) -> dict:
     tok = r"[^ \t\n\x0B\f\r]+"
     where = "" if year is None else f" WHERE year(o.o_orderdate) = {int(year)}"
-    return {
-        "posts_doc": POSTS_DOC + where,
+    return ({"posts_all": POSTS_DOC + where, "posts_doc": BLANK} if blanks else {"posts_doc": POSTS_DOC + where}) | {
         "toks": f"""SELECT post_id, unnest(regexp_extract_all(replace(text, chr(10), ' '), '{tok}')) AS tok
                     FROM posts_doc""",
         "th": f"SELECT post_id, tok, {h32('tok')} AS h FROM toks",
@@ -430,7 +472,8 @@ def evaluate_job_views() -> dict:
                   rank() OVER (ORDER BY round({x}, 10)) + (count(*) OVER (PARTITION BY round({x}, 10)) - 1) / 2.0 AS rs,
                   rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0 AS rl,
                   {x} AS score FROM scores""" for x in m),
-        "res": """SELECT metric, corr(label, score) AS pearson, corr(rl, rs) AS spearman
+        "res": """SELECT metric, corr(label, score) AS pearson, corr(rl, rs) AS spearman,
+                         count(*) AS n_pairs, count(score) AS n_scored
                   FROM rk GROUP BY metric""",
     })
     return v

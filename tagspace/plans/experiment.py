@@ -55,11 +55,24 @@ def _bucket_columns(fr: dict[int, list[float]]) -> list:
     return cols
 
 
-def _atoms(fr: dict[int, list[float]]):
-    """Array of the atoms of a row: one structured atom and one per seed."""
+def _used(configs: list[Config]) -> set[str]:
+    """The columns of the structured atom that some configuration asks for."""
+    used = set()
+    for c in configs:
+        used |= {"time": {"month"}, "content": {"cont"}, "elected": {"el"}, "incumbent": {"inc"}}.get(
+            c.mode, {"el", "inc"} if c.mode.endswith("elected") else set())
+    return used
+
+
+def _atoms(fr: dict[int, list[float]], configs: list[Config]):
+    """Array of the atoms of a row: one structured atom, if some configuration is not random,
+    and one per seed. What no configuration asks for is constant, so atoms stay few."""
+    used = _used(configs)
+    col = lambda c, other: (F.col(c) if c in used else F.lit(other)).alias(c)
     items = [F.struct(F.lit("s").alias("kind"), F.lit(-1).alias("seed"), F.lit(-1).alias("b"),
-                      F.col("month").alias("month"), F.col("el").alias("el"),
-                      F.col("inc").alias("inc"), F.col("cont").alias("cont"))]
+                      col("month", 0), col("el", 2), col("inc", 2), col("cont", False))]
+    if all(c.mode == "random" for c in configs):
+        items = []
     for s in fr:
         items.append(F.struct(F.lit("r").alias("kind"), F.lit(s).alias("seed"),
                               F.col(f"_b{s}").alias("b"), F.lit(0).alias("month"),
@@ -138,7 +151,7 @@ def config_profiles(posts: DataFrame, emb: DataFrame, configs: list[Config], gro
     cand = TG.common_tags(ments, num_groups, threshold, count_null_group=count_null_group)
     # the mention table feeds three branches: written once instead of re-extracted
     ments = cut_lineage(TG.restrict_to(ments, cand))
-    atoms = _atoms(fr)
+    atoms = _atoms(fr, configs)
     ac = atom_configs(spark, configs, fr)
 
     def atom_rows(df, cols):
@@ -159,9 +172,12 @@ def config_profiles(posts: DataFrame, emb: DataFrame, configs: list[Config], gro
                     & (F.col("_l") == len(groups)))
             .select("config", "tag"))
 
-    # vectors: one shuffle of the vectors by post_id, then partial sums per atom
-    rows = ments.filter(F.col("grp").isin(list(groups))).join(unit_embeddings(emb, dim=dim),
-                                                              "post_id")
+    # vectors: only of tags that some configuration keeps, one shuffle by post_id, then
+    # partial sums per atom
+    keep = cut_lineage(keep)
+    rows = (ments.filter(F.col("grp").isin(list(groups)))
+            .join(keep.select("tag").distinct(), "tag", "left_semi")
+            .join(unit_embeddings(emb, dim=dim), "post_id"))
     v1 = (atom_rows(rows, ["tag", "grp", "u"]).groupBy(*ATOM, "tag", "grp")
           .agg(F.count(F.lit(1)).cast("bigint").alias("n"), vector_sum("u", dim=dim).alias("s")))
     v2 = v1.join(ac, ATOM).select("config", "tag", "grp", "n", "s")
@@ -175,15 +191,19 @@ def experiment_grid(posts: DataFrame, emb: DataFrame, salience: DataFrame, group
                     agg: str = "sum", perms: int = 10000,
                     methods=("pearson", "spearman"), dim: int | None = None) -> DataFrame:
     """One result row per (configuration, method): r, p, z of the Mantel test of the
-    tag distance matrix against the salience matrix (g1, g2, value)."""
+    tag distance matrix against the salience matrix (g1, g2, value), and the number of tags
+    that the matrix is made of. A configuration without common tags has NULL r, p and z."""
     spark = posts.sparkSession
     # (config, tag, grp) rows, read by both sides of the group-pair join: written once
     prof = cut_lineage(config_profiles(posts, emb, configs, groups, num_groups, threshold,
                                        dim=dim))
     x = tag_distance_matrix(prof, ("config",), agg, dim=dim)
-    res = mantel(x, salience, list(groups), keys=("config",), methods=methods, perms=perms)
-    cfg = F.broadcast(config_table(spark, configs))  # one row per configuration
-    return res.join(cfg, "config")
+    cfg = config_table(spark, configs)  # one row per configuration
+    res = mantel(x, salience, list(groups), keys=("config",), methods=methods, perms=perms,
+                 runs=cfg.select("config"))
+    n_tags = prof.groupBy("config").agg(F.count_distinct("tag").alias("n_tags"))
+    return (res.join(F.broadcast(cfg), "config").join(n_tags, "config", "left")
+            .withColumn("n_tags", F.coalesce("n_tags", F.lit(0)).cast("bigint")))
 
 
 def run_experiment(posts: DataFrame, emb: DataFrame, salience: DataFrame, groups,

@@ -11,6 +11,9 @@ from tagspace.operators import embed as EM
 from tagspace.operators import pairs as PR
 from tagspace.operators.evaluate import pair_similarity_eval
 from tagspace.operators.masks import apply_mask
+from tagspace.operators.salience import PARTY_NAME_DICT, salience_matrix
+from tagspace.plans.experiment import experiment_grid
+from tagspace.plans.grid import Config
 from tagspace.sources import files as FS
 from tagspace.sources import sinks as SK
 
@@ -45,12 +48,12 @@ def gather_job(spark: SparkSession, path: str, out: str, year_lower: int = 2013,
                year_upper: int = 2016, num_groups: int = 3, threshold: int = 50,
                n_samples: int = PR.N_SAMPLES, seed: int = 42, suffix: str | None = None,
                schema: T.StructType | None = None, id_col: str = "tweet_id",
-               group_col: str = "party", merge=None) -> str:
+               group_col: str = "party", merge=None, k: int = PR.K_POSTS, fmt: str = "csv") -> str:
     """Posts of a year range → pair dataset → 80/20 split → CSV by year and split."""
     kw = {} if schema is None else {"schema": schema}
     posts = FS.read_posts_range(spark, path, year_lower, year_upper, id_col=id_col,
-                                group_col=group_col, merge=merge, **kw)
-    ds = PR.pair_dataset(posts, num_groups, threshold, seed, n_samples)
+                                group_col=group_col, merge=merge, fmt=fmt, **kw)
+    ds = PR.pair_dataset(posts, num_groups, threshold, seed, n_samples, k)
     split = PR.split_dataset(ds, seed)
     train = split.filter(F.col("split") == "train")
     val = split.filter(F.col("split") == "val")
@@ -58,32 +61,59 @@ def gather_job(spark: SparkSession, path: str, out: str, year_lower: int = 2013,
     return SK.write_pairs(train, val, out, year, suffix)
 
 
+# the groups that the embedding job writes when none are listed (fixed values)
+JOB_GROUPS = ["AfD", "CDU/CSU", "FDP", "GRÜNE", "DIE LINKE", "SPD"]
+
+
 def embed_job(spark: SparkSession, path: str, out: str, year: int, model: str = "hash-32",
-              groups=None, schema: T.StructType | None = None, id_col: str = "tweet_id",
-              group_col: str = "party", merge=None, dim: int = 32) -> str:
-    """Posts of a year → embeddings → Parquet by model and year."""
+              groups=JOB_GROUPS, schema: T.StructType | None = None, id_col: str = "tweet_id",
+              group_col: str = "party", merge=None, dim: int | None = None,
+              words: DataFrame | None = None, fmt: str = "csv") -> str:
+    """Posts of a year and of the listed groups (None: all) → embeddings by the encoder
+    that ``model`` names → Parquet by model and year."""
     kw = {} if schema is None else {"schema": schema}
     posts = FS.read_posts(spark, path, year, id_col=id_col, group_col=group_col, merge=merge,
-                          **kw)
+                          fmt=fmt, **kw)
     if groups is not None:
         posts = posts.filter(F.col("grp").isin(list(groups)))
-    if model in EM.ENCODERS:
-        emb = EM.encode_batches(posts, EM.ENCODERS[model], dim)
-    else:
-        emb = EM.hash_embed(posts, dim)
+    emb = EM.encode_posts(posts, model, dim, words)
     emb = emb.join(posts.select("post_id", "grp"), "post_id")
     return SK.write_embeddings(emb.select("post_id", "grp", "embedding"), out, model, year)
 
 
-def evaluate_job(spark: SparkSession, pairs_path: str, split: str = "val",
-                 dim: int = 32) -> DataFrame:
-    """Validation pairs → embeddings of both texts → correlations (M3)."""
-    pairs = spark.read.option("header", True).option("multiLine", True) \
-        .option("escape", '"').schema(
-            "sent1 string, sent2 string, label int, year string, split string").csv(pairs_path)
-    pairs = pairs.filter(F.col("split") == split)
+def evaluate_job(spark: SparkSession, pairs_path: str, split: str = "val", model: str = "hash-32",
+                 dim: int | None = None, words: DataFrame | None = None,
+                 fmt: str = "csv") -> DataFrame:
+    """Validation pairs → embeddings of both texts by ``model`` → correlations (M3)."""
+    pairs = FS.read_pairs(spark, pairs_path, fmt, split)
     texts = (pairs.select(F.col("sent1").alias("text")).union(pairs.select(F.col("sent2")))
              .distinct().withColumn("post_id", F.md5("text")))
-    emb = EM.hash_embed(texts, dim).select(F.col("post_id").alias("id"), "embedding")
+    emb = EM.encode_posts(texts, model, dim, words).select(F.col("post_id").alias("id"), "embedding")
     p = pairs.select(F.md5("sent1").alias("id1"), F.md5("sent2").alias("id2"), "label")
     return pair_similarity_eval(p, emb)
+
+
+def experiment_job(spark: SparkSession, posts_path: str, emb_path: str, salience_path: str,
+                   out: str, year: int, model: str, groups, configs: list[Config],
+                   salience_mode: str = "full", name_map=PARTY_NAME_DICT, fmt: str = "csv",
+                   schema: T.StructType | None = None, id_col: str = "tweet_id",
+                   group_col: str = "party", merge=None, **kw) -> str:
+    """X1 by path: posts and salience table of ``year``, the embeddings that ``model`` made of
+    it → Mantel tests per configuration → result rows appended to ``out``."""
+    more = {} if schema is None else {"schema": schema}
+    posts = FS.read_posts(spark, posts_path, year, id_col=id_col, group_col=group_col, merge=merge,
+                          fmt=fmt, **more)
+    emb = FS.read_embeddings(spark, emb_path, SK.safe_name(model), year).select("post_id", "embedding")
+    y = salience_matrix(FS.read_salience(spark, salience_path), year, groups, salience_mode, name_map=name_map)
+    res = experiment_grid(posts, emb, y, groups, configs, **kw)
+    return SK.write_results(result_columns(res, model, year, f"{salience_mode}_manifesto_matrix"), out)
+
+
+def result_columns(res: DataFrame, model: str, year: int, evaluation: str) -> DataFrame:
+    """One row per run as results are kept: model, year, mode (the run's marker), eval, and r, p
+    and z of either method."""
+    wide = res.groupBy(F.col("marker").alias("mode")).agg(*[
+        F.max(F.when(F.col("method") == m, F.col(c))).alias(f"{c}_{m}")
+        for m in ("pearson", "spearman") for c in ("r", "p", "z")])
+    return wide.select(F.lit(model).alias("model"), F.lit(int(year)).alias("year"), "mode",
+                       F.lit(evaluation).alias("eval"), *wide.columns[1:])

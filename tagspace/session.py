@@ -1,14 +1,15 @@
 """Spark session helpers.
 
 The library never creates folders of its own on a cluster: checkpoints go to the
-shared folder named by ``spark.checkpoint.dir``. Only when that setting is absent
-(local runs, tests) a scratch folder is made.
+shared folder named by ``spark.checkpoint.dir``. Only in local mode, and only when that
+setting is absent, a scratch folder is made; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -28,7 +29,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     """Session for local runs and tests (the cluster supplies its own)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", driver_memory))
+               .config("spark.driver.memory", driver_memory)
+               .config("spark.sql.files.maxPartitionBytes", "16m")
+               .config("spark.sql.files.openCostInBytes", "1m"))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -48,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="tagspace-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
@@ -58,3 +63,21 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application, so that Python
+    functions in tasks can be loaded from any working directory."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tagspace_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tagspace-zip-"), "tagspace.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._tagspace_shipped = True

@@ -1,7 +1,9 @@
 """File sources of the reference's inputs.
 
 CSV is read with a header, multi-line fields and doubled quotes, in PERMISSIVE
-mode: a field that does not parse becomes NULL and the row is kept.
+mode: a field that does not parse becomes NULL and the row is kept. A multi-line CSV
+file is one task, whatever its length; posts and pairs may therefore also be Parquet
+(``fmt="parquet"``), which is split and read by columns.
 """
 
 from __future__ import annotations
@@ -26,6 +28,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return r.csv(path)
 
 
+def read_rows(spark: SparkSession, path: str, fmt: str, schema: T.StructType | str | None = None,
+              **options) -> DataFrame:
+    """CSV, or Parquet with the columns of ``schema`` (all of them without one)."""
+    if fmt == "csv":
+        return read_csv(spark, path, schema, **options)
+    if fmt != "parquet":
+        raise ValueError(f"unknown format {fmt!r}")
+    return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
+
+
 def _posts(df: DataFrame, id_col: str, group_col: str, merge) -> DataFrame:
     if "post_id" not in df.columns:
         df = df.withColumn("post_id", F.col(id_col))
@@ -36,9 +48,9 @@ def _posts(df: DataFrame, id_col: str, group_col: str, merge) -> DataFrame:
 
 def read_posts(spark: SparkSession, path: str, year: int, schema: T.StructType = POSTS,
                required=None, id_col: str = "tweet_id", group_col: str = "party",
-               merge=None, sep: str = ",") -> DataFrame:
+               merge=None, sep: str = ",", fmt: str = "csv") -> DataFrame:
     """Posts of one calendar year with the merged group column ``grp``."""
-    df = read_csv(spark, path, schema, sep=sep)
+    df = read_rows(spark, path, fmt, schema, **({"sep": sep} if fmt == "csv" else {}))
     if schema is POSTS:
         check_required(df)
     elif required:
@@ -50,9 +62,9 @@ def read_posts(spark: SparkSession, path: str, year: int, schema: T.StructType =
 def read_posts_range(spark: SparkSession, path: str, year_lower: int = 2013,
                      year_upper: int = 2016, schema: T.StructType = POSTS, header: bool = True,
                      sep: str = ",", id_col: str = "tweet_id", group_col: str = "party",
-                     merge=None) -> DataFrame:
+                     merge=None, fmt: str = "csv") -> DataFrame:
     """Posts of an inclusive year range that carry at least one tag."""
-    df = read_csv(spark, path, schema, header=header, sep=sep)
+    df = read_rows(spark, path, fmt, schema, **({"header": header, "sep": sep} if fmt == "csv" else {}))
     df = _posts(df, id_col, group_col, TX.DEFAULT_MERGE if merge is None else merge)
     df = TX.with_n_tags(TX.with_tags(df))
     df = TX.with_year(df)
@@ -82,6 +94,9 @@ PAIRS = T.StructType([T.StructField("sent1", T.StringType()), T.StructField("sen
                       T.StructField("label", T.IntegerType())])
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(sent1, sent2, label) pairs."""
-    return read_csv(spark, path, PAIRS)
+def read_pairs(spark: SparkSession, path: str, fmt: str = "csv", split: str | None = None) -> DataFrame:
+    """(sent1, sent2, label) pairs; of one split where the folder has splits."""
+    if split is None:
+        return read_rows(spark, path, fmt, PAIRS)
+    df = read_rows(spark, path, fmt, T.StructType([*PAIRS.fields, T.StructField("split", T.StringType())]))
+    return df.filter(F.col("split") == split).drop("split")

@@ -17,11 +17,13 @@ from tagspace.sources.tables import table
 # --- fixed values of the test views --------------------------------------------
 DOC_MERGE = {"src0": "src0/1", "src1": "src0/1"}
 DOC_INCUMBENT_PRIORITIES = ["1-URGENT", "2-HIGH"]
+EMBEDDING_DIM = 64  # length of every vector of the embeddings table
 SALIENCE_DATE = 199709
 SALIENCE_COUNTRY = "Germany"
 # per-type columns added to the salience view, filled by p_type in name order, cycling
 SALIENCE_TYPE_COLUMNS = ["per201", "per202", "per203", "per305", "per401", "per402",
                          "per403", "per501", "per601"]
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]  # in name order
 N_BRANDS = 25
 # -------------------------------------------------------------------------------
 
@@ -39,8 +41,10 @@ def posts_event(spark: SparkSession, sf_dir: str, with_embedding: bool = False,
                     .otherwise(F.lit("")))
     posts = ev.select(
         F.col("event_id").alias("post_id"),
-        F.col("event_type").alias("grp"),
-        F.col("ts").alias("created_at"),
+        # a sixth group, which the listed groups leave out
+        F.when(F.col("event_id") % 19 == 0, F.lit("other")).otherwise(F.col("event_type")).alias("grp"),
+        # the events lie in one month; the view spreads them over a year
+        (F.col("ts") + F.make_ym_interval(F.lit(0), (F.col("event_id") % 12).cast("int"))).alias("created_at"),
         text.alias("text"),
         (F.col("user_id") % 2).cast("int").alias("elected"),
         F.when(F.col("user_id") % 3 == 0, 1).otherwise(0).alias("incumbent"),
@@ -53,15 +57,10 @@ def posts_event(spark: SparkSession, sf_dir: str, with_embedding: bool = False,
     return posts
 
 
-_COUNTS: dict[str, int] = {}
-
-
 def event_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding table keyed by post: event e takes vector ``e mod count``."""
     emb = table(spark, sf_dir, "embeddings")
-    if sf_dir not in _COUNTS:  # the given tables are read-only: count once per folder
-        _COUNTS[sf_dir] = table(spark, sf_dir, "embeddings", spread_small=False).count()
-    n = _COUNTS[sf_dir]
+    n = emb.count()
     ev = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("post_id"), (F.col("event_id") % F.lit(n)).alias("vec_id"))
     return ev.join(emb.select("vec_id", "embedding"), "vec_id").select("post_id", "embedding")
@@ -98,8 +97,7 @@ def salience_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("brand"),
                     "p_type", "l_quantity"))
     brands = list(range(1, N_BRANDS + 1))
-    # p_type values in name order (a handful of category names, read as metadata)
-    types = sorted(r[0] for r in part.select("p_type").distinct().collect())
+    types = PART_TYPES
     q = F.col("l_quantity")
     sums = [F.sum(F.when(F.col("brand") == b, q)).alias(f"b{b}") for b in brands]
     sums += [F.sum(F.when(F.col("p_type") == t, q)).alias(f"t{i}") for i, t in enumerate(types)]
@@ -113,13 +111,22 @@ def salience_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("seg").alias("partyabbrev"), (F.col("q") * 100.0 / grand).alias("pervote"),
             F.lit(0.0).alias("peruncod")]
     for b in brands:
-        cols.append(pct(f"b{b}").alias(f"per{100 + b}"))
+        value = pct(f"b{b}")
+        if b == 5:  # a category that a group's programme does not have
+            value = F.when(F.col("seg") != "BUILDING", value)
+        cols.append(value.alias(f"per{100 + b}"))
         if b == 3:
             cols.append((pct(f"b{b}") / 2.0).alias("per103_1"))
     for i, name in enumerate(SALIENCE_TYPE_COLUMNS):
         cols.append(pct(f"t{i % len(types)}").alias(name))
-    # one row per segment, read by every matrix built from it: written once
-    return cut_lineage(wide.select(*cols))
+    own = wide.select(*cols)
+    # rows of another year, another country and another group, which the filters leave out
+    per101 = F.col("per101") + 1.0
+    more = (own.withColumns({"date": F.lit(199309), "per101": per101})
+            .unionByName(own.withColumns({"countryname": F.lit("Austria"), "per102": per101}))
+            .unionByName(own.filter("partyabbrev = 'BUILDING'").withColumn("partyabbrev", F.lit("UNLISTED"))))
+    # a few rows per segment, read by every matrix built from it: written once
+    return cut_lineage(own.unionByName(more))
 
 
 def _whole():
@@ -147,3 +154,21 @@ def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (emb.join(nxt, "vec_id")
             .select(F.col("vec_id").alias("id1"), "id2",
                     (F.col("label") == F.col("label2")).cast("int").alias("label")))
+
+
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word vectors (word, vector): three of four words of posts_doc, by a hash of the word, so
+    that a quarter of them is unknown; word w has vector ``hash(w) mod count``."""
+    from tagspace.functions.hashing import hash32
+    from tagspace.operators.embed import tokens
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = vecs.count()
+    words = posts_doc(spark, sf_dir).select(F.explode(tokens()).alias("word")).distinct()
+    words = words.filter(F.pmod(hash32(F.col("word")), F.lit(4)) != 0)
+    return words.withColumn("vec_id", F.pmod(hash32(F.col("word")), F.lit(n))).join(vecs, "vec_id").select("word", "vector")
+
+
+def with_blank_texts(posts: DataFrame) -> DataFrame:
+    """Posts of which some have an empty text and some none (every 50th, and the one after)."""
+    return posts.withColumn("text", F.when(F.col("post_id") % 50 == 0, F.lit("")).when(
+        F.col("post_id") % 50 == 1, F.lit(None).cast("string")).otherwise(F.col("text")))

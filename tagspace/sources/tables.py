@@ -7,46 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# natural key of each table, used to spread a small scan over the cores
-KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
-        "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
-        "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
-        "labels": "doc_id", "conversations": "conv_id", "benchmark": "item_id"}
 
-
-_SPLITS: dict[str, int] = {}
-
-
-def spread(df: DataFrame, key: str | None, path: str | None = None) -> DataFrame:
-    """Hash-partition ``df`` over the cores when its scan has fewer splits than cores.
-
-    Big inputs (many files and row groups) already have more splits than cores
-    and are returned unchanged, so no shuffle is added at scale; a small file
-    read as one split would otherwise keep the CPU-heavy work after the scan
-    (regex, explode, vector arithmetic) in one task.
-    """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # a session without a SparkContext: leave the plan as it is
-        return df
-    if key is None or par <= 1 or key not in df.columns:
-        return df
-    splits = _SPLITS.get(path) if path else None
-    if splits is None:
-        try:
-            splits = df.rdd.getNumPartitions()  # planning only: counts the file splits
-        except Exception:
-            return df
-        if path:
-            _SPLITS[path] = splits
-    if splits >= par:
-        return df
-    return df.repartition(par, key)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, as its files are split; the session's file settings decide."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    return spread(df, KEYS.get(name), path) if spread_small else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

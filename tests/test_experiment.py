@@ -5,7 +5,6 @@ from tagspace import catalog as C
 from tagspace.plans import experiment as XP
 from tagspace.plans.grid import Config, readme_grid
 from tagspace.sources import fixtures as FX
-from tagspace.sources.tables import spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,9 +32,12 @@ def test_readme_grid_shape():
     assert sum(c.mode == "time" for c in g) == 12
 
 
-def test_spread_only_small_inputs(spark):
-    par = spark.sparkContext.defaultParallelism
-    small = spark.range(100).coalesce(1)
-    assert spread(small, "id").rdd.getNumPartitions() == par
-    big = spark.range(1000).repartition(par + 3)
-    assert spread(big, "id") is big
+def test_every_configuration_has_rows(spark):
+    posts = FX.posts_event(spark, SF)
+    configs = [Config("full"), Config("time", month_start=13, month_end=13)]
+    rows = XP.experiment_grid(posts, FX.event_embeddings(spark, SF), C.event_salience(spark, SF),
+                              C.EVENT_GROUPS, configs, 5, 5).collect()
+    assert sorted((r.config, r.method) for r in rows) == [(i, m) for i in (0, 1) for m in ("pearson", "spearman")]
+    none = [r for r in rows if r.config == 1]
+    assert all((r.r, r.p, r.z, r.n_tags) == (None, None, None, 0) for r in none)
+    assert all(r.r is not None and r.n_tags > 0 for r in rows if r.config == 0)

@@ -70,3 +70,26 @@ def test_salience_first_category_dropped_and_filters(spark):
     assert m2[("X", "Y")] == pytest.approx((4.0 ** 2 + 3.0 ** 2 + 2.0 ** 2) ** 0.5)
     with pytest.raises(ValueError):
         salience_columns(wide.columns, "nope")
+
+
+def test_mantel_missing_cells_and_explicit_method(spark):
+    y = _m(spark, [2, 1, 4, 3, 6, 5])
+    x = _m(spark, [1, 2, 3, 4, 5, 6])
+    for part in (x.filter("g1 <> 'a'"), x.limit(0)):
+        rows = mantel(part, y, G).collect()
+        assert len(rows) == 2 and all((r.r, r.p, r.z, r.n_perm) == (None, None, None, 24) for r in rows)
+    assert mantel(x, y, G, perms=10, exact=True).first().n_perm == 24
+    r = mantel(x, y, G, perms=30, exact=False, methods=("pearson",)).first()
+    assert r.n_perm == 30 and not r.method_exact
+    with pytest.raises(ValueError):
+        mantel(x, y, [str(i) for i in range(12)], exact=True)
+
+
+def test_salience_rows_are_validated(spark):
+    rows = [(199709, "Germany", "X", 5.0, 1.0), (199709, "Germany", "Y", 9.0, 4.0), (199709, "Germany", "Y", 1.0, 1.0)]
+    wide = spark.createDataFrame(rows, "date int, countryname string, partyabbrev string, per101 double, per102 double")
+    for groups in (["X", "Y"], ["X", "Z"]):
+        with pytest.raises(Exception, match="salience rows of group"):
+            salience_matrix(wide, 1997, groups).collect()
+    mapped = salience_matrix(wide.limit(2), 1997, ["U", "Y"], name_map={"X": "U"}).collect()
+    assert {(r.g1, r.g2) for r in mapped} == {(a, b) for a in "UY" for b in "UY"}
