@@ -30,6 +30,8 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 #: Bytes of a file that one reader task owns, and of one read.
 SPLIT_BYTES, READ_BYTES = 16 << 20, 1 << 20
+#: Most reader tasks; beyond it a task reads several ranges.
+MOST_TASKS = 20_000
 #: Smallest payload that a revisit may replace.
 LEAST_PAYLOAD = 0
 _URL_SAFE = "".join(map(chr, range(33, 127))).replace("%", "")
@@ -167,8 +169,9 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
     """All records (columns of ``RECORD``) of the archives listed as (path, bytes)."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
     ranges = (files.where("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
-              .select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end"))
-              .repartition(F.col("path"), F.col("start")))
+              .select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end")))
+    # a range is a few bytes to Spark and much work: one task each, up to a bound
+    ranges = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
