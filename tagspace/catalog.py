@@ -386,6 +386,17 @@ def q_clean_negatives(spark, d):
         "tag", "post_id")
 
 
+@register("clean_negatives_hot_tag", O.with_views(
+    "SELECT tag, post_id FROM neg", **O.pair_views(5, 10, 42, 230, hot=True)))
+def q_clean_negatives_hot(spark, d):
+    """Clean negatives where one tag is on nine posts in ten."""
+    tp = PR.tagged_posts(FX.with_hot_tag(FX.posts_event(spark, d)))
+    ments = tp.select("post_id", "grp", F.posexplode("tags").alias("pos", "tag"))
+    common = TG.common_tags(ments, 5, 10).select("tag")
+    return PR.clean_negatives(tp.select("post_id", "tags"), common, TG.tag_cooccurrence(tp, common), 42).select(
+        "tag", "post_id")
+
+
 @register("negative_pairs", O.with_views("SELECT tag, id1, id2 FROM np", **_PV))
 def q_negative_pairs(spark, d):
     _, _, neg = PR.pair_parts(FX.posts_event(spark, d), **PAIR_ARGS)

@@ -32,6 +32,8 @@ from tagspace.operators.topk import top_k
 from tagspace.session import cut_lineage
 
 K_POSTS = 100       # posts sampled per side and tag
+HEAVY = 8           # commonest tags that a post's mask tells
+RUN, SALT, MOST_BITS = 4096, 64, 26
 N_SAMPLES = 230     # pairs per label and tag (function default; the command line used 320)
 
 
@@ -66,44 +68,82 @@ def positive_pairs(sample: DataFrame, seed: int, n_samples: int = N_SAMPLES) ->
     return top_k(pairs, ["tag"], order, n_samples, salt_buckets=0).drop("rank")
 
 
+def heavy_tags(tpost: DataFrame, most: int = HEAVY) -> list[str]:
+    """The tags on the most posts (at most ``most``, so a bounded list)."""
+    top = tpost.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(most)
+    return [r["tag"] for r in top.collect()]
+
+
+def _scanned(open_tags: DataFrame, posts: DataFrame, nb: int) -> DataFrame:
+    """(tag, ht, post_id, tags, h) of the posts in each tag's range of buckets whose heavy tags
+    are none of the tag's co-occurring ones: an equi-join on (mask, bucket). Ranges are unfolded
+    in runs of RUN buckets, and a tag whose range is a large part of all buckets
+    meets its masks' posts by mask and a salt instead of bucket by bucket."""
+    masked = open_tags.withColumn("mask", F.explode("masks"))
+    wide = (F.col("hi") - F.col("lo")) * 4 >= nb
+    runs = masked.filter(~wide).withColumn("run", F.explode(F.sequence(
+        F.col("lo"), F.col("hi") - 1, F.lit(RUN).cast("bigint"))))
+    step = F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, "hi") - 1))
+    narrow = (runs.select("tag", "ht", "b0", "mask", step.alias("step"))
+              .withColumn("bucket", F.pmod(F.col("b0") + F.col("step"), F.lit(nb)))
+              .join(posts, ["mask", "bucket"]).select("tag", "ht", "post_id", "tags", "h"))
+    salt = F.pmod(F.col("bucket"), F.lit(SALT))
+    broad = (masked.filter(wide).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+             .join(posts.withColumn("salt", salt), ["mask", "salt"])
+             .filter(F.pmod(F.col("bucket") - F.col("b0"), F.lit(nb)).between(F.col("lo"), F.col("hi") - 1))
+             .select("tag", "ht", "post_id", "tags", "h"))
+    return narrow.unionByName(broad)
+
+
 def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int,
                     k: int = K_POSTS, bucket_posts: int = 64,
                     first_buckets: int | None = None) -> DataFrame:
     """(tag, post_id, rank) — the first k clean posts in t's circular order.
 
-    Each tag's first range is sized from a lower bound of its clean share
-    (N minus the posts of its co-occurring tags), so most tags close in one
-    round; a tag whose range held too few clean posts doubles its range.
-    ``first_buckets`` fixes the first range instead (tests use it to force rounds).
+    Posts carry a mask of the HEAVY commonest tags, and a tag meets only posts whose mask is
+    disjoint from its co-occurring heavy tags: a tag that is on most posts therefore does not
+    make every other tag scan them. Each tag's first range is sized from a lower bound of its
+    clean share among the posts left, so most tags close in one round; a tag whose range held
+    too few clean posts doubles its range. ``first_buckets`` fixes the first range instead
+    (tests use it to force rounds).
     """
     n = tp.count()
-    bits = max(0, math.ceil(math.log2(max(1, n) / bucket_posts)))
-    nb = 1 << bits
-    shift = 32 - bits
+    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, n) / bucket_posts))))
+    nb, shift = 1 << bits, 32 - bits
     width = 1 << shift
-    posts = tp.select("post_id", "tags", hash32(F.lit(seed), F.col("post_id")).alias("h"))
-    posts = posts.withColumn("bucket", F.shiftright("h", shift).cast("int"))
-    tags = common.select("tag", hash32(F.lit(seed), F.col("tag")).alias("ht"))
-    tags = tags.withColumn("b0", F.shiftright("ht", shift).cast("int"))
+    tpost = tag_post(tp)
+    heavy = heavy_tags(tpost)
+    bit = lambda at: F.lit(1 << at).cast("bigint")
+    mask = sum([F.when(F.array_contains("tags", h), bit(i)).otherwise(0) for i, h in enumerate(heavy)],
+               F.lit(0).cast("bigint"))
+    posts = tp.select("post_id", "tags", mask.alias("mask"), hash32(F.lit(seed), F.col("post_id")).alias("h"))
+    posts = cut_lineage(posts.withColumn("bucket", F.shiftright("h", shift).cast("bigint")))
+    # at most 2 ** HEAVY masks: a bounded list with the posts of each
+    held = {r["mask"]: r["n"] for r in posts.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = sorted(held)
+    per_tag = tpost.groupBy("tag").agg(F.count(F.lit(1)).alias("np")).withColumnRenamed("tag", "other")
+    number = sum([F.when(F.col("other") == h, bit(i)).otherwise(0) for i, h in enumerate(heavy)],
+                 F.lit(0).cast("bigint"))
+    # posts per tag, summed over each tag's co-occurring tags that no mask tells: an upper bound
+    # of the posts that are dirty although their mask allows them
+    others = (cooc.join(per_tag, "other").groupBy("tag")
+              .agg(F.sum(number).alias("with"), F.sum(F.when(number == 0, F.col("np")).otherwise(0)).alias("dirty_ub")))
+    tags = common.select("tag", hash32(F.lit(seed), F.col("tag")).alias("ht")).join(others, "tag", "left")
+    tags = tags.withColumn("b0", F.shiftright("ht", shift).cast("bigint"))
+    masks = F.array(*[F.lit(m).cast("bigint") for m in known])
+    tags = tags.withColumn("masks", F.filter(masks, lambda m: m.bitwiseAND(F.coalesce("with", F.lit(0))) == 0))
+    counts = F.create_map(*[F.lit(x).cast("bigint") for m in known for x in (m, held[m])]) if known else None
+    left = F.aggregate("masks", F.lit(0).cast("bigint"), lambda acc, m: acc + counts[m]) if known else F.lit(0)
     if first_buckets is None:
-        # posts per tag, summed over each tag's co-occurring tags: an upper bound of its dirty posts
-        per_tag = tag_post(tp).groupBy("tag").agg(F.count(F.lit(1)).alias("np"))
-        dirty = (cooc.join(per_tag.withColumnRenamed("tag", "other"), "other")
-                 .groupBy("tag").agg(F.sum("np").alias("dirty_ub")))
-        clean_lb = F.greatest(F.lit(n) - F.coalesce("dirty_ub", F.lit(0)), F.lit(max(1, n // 20)))
-        want = F.ceil(F.lit(2.0 * k * n) / clean_lb / F.lit(n / nb))
-        tags = (tags.join(dirty, "tag", "left")
-                .withColumn("hi", F.least(F.lit(nb), F.greatest(F.lit(1), want)).cast("int"))
-                .drop("dirty_ub"))
+        clean_lb = F.greatest(left - F.coalesce("dirty_ub", F.lit(0)), F.ceil(left / 20), F.lit(1))
+        hi = F.ceil(F.lit(2.0 * k * nb) / clean_lb)
     else:
-        tags = tags.withColumn("hi", F.lit(min(first_buckets, nb)))
-    open_tags = cut_lineage(tags.withColumn("lo", F.lit(0)))
+        hi = F.lit(first_buckets)
+    hi = F.least(F.lit(nb).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), hi.cast("bigint")))
+    open_tags = cut_lineage(tags.select("tag", "ht", "b0", "masks", F.lit(0).cast("bigint").alias("lo"), hi.alias("hi")))
     found = None
     while True:
-        rng = open_tags.select("tag", "ht", "b0", F.explode(
-            F.sequence(F.col("lo"), F.col("hi") - 1)).alias("step"))
-        rng = rng.withColumn("bucket", F.pmod(F.col("b0") + F.col("step"), F.lit(nb)))
-        cand = rng.join(posts, "bucket").select("tag", "ht", "post_id", "tags", "h")
+        cand = _scanned(open_tags, posts, nb)
         dirty_c = (cand.select("tag", "post_id", F.explode("tags").alias("other"))
                    .join(cooc, ["tag", "other"], "left_semi").select("tag", "post_id").distinct())
         clean = (cand.join(dirty_c, ["tag", "post_id"], "left_anti")
@@ -112,7 +152,7 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
         clean = cut_lineage(clean)
         found = clean if found is None else found.unionByName(clean)
         # offsets below the end of each tag's scanned range are complete
-        limit = (F.col("b0") + F.col("hi")).cast("bigint") * F.lit(width) - F.col("ht")
+        limit = (F.col("b0") + F.col("hi")) * F.lit(width) - F.col("ht")
         status = (open_tags.filter(F.col("hi") < nb).join(found, "tag", "left")
                   .groupBy("tag").agg(F.sum(F.when(F.col("off") < limit, 1).otherwise(0))
                                       .alias("_c")))
@@ -121,8 +161,8 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
             break
         open_tags = cut_lineage(
             open_tags.join(still, "tag", "left_semi")
-            .select("tag", "ht", "b0", F.col("hi").alias("lo"),
-                    F.least(F.col("hi") * 2, F.lit(nb)).alias("hi")))
+            .select("tag", "ht", "b0", "masks", F.col("hi").alias("lo"),
+                    F.least(F.col("hi") * 2, F.lit(nb).cast("bigint")).alias("hi")))
     return top_k(found, ["tag"], [F.col("off"), F.col("post_id")], k).drop("off")
 
 
@@ -173,35 +213,33 @@ def pair_dataset(posts: DataFrame, num_groups: int = 3, threshold: int = 50, see
     """(tag, id1, id2, sent1, sent2, label)."""
     _, pos, neg = pair_parts(posts, num_groups, threshold, seed, n_samples, k)
     both = pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
-    return with_texts(both, posts).select("tag", "id1", "id2", "sent1", "sent2", "label")
+    # pairs are ids so far: written once, texts are joined to what is read of them
+    return with_texts(cut_lineage(both), posts).select("tag", "id1", "id2", "sent1", "sent2", "label")
 
 
 def split_dataset(pairs: DataFrame, seed: int = 42, train_share: float = 0.8,
                   prefix_bits: int = 16) -> DataFrame:
     """Adds ``split`` ('train' for the first floor(share·n) rows in md5 order).
 
-    Exact without a global window: a histogram of the 16-bit hash prefixes (at
-    most 65,536 counts) finds the boundary bucket; only that bucket is ranked.
+    Exact without a window: histograms of 16 more bits of the hash at a time (at most 65,536
+    counts each) find the hash at the boundary. Only hashes are written for it, no texts.
     """
     order = hash_hex(F.lit(seed), F.lit("split"), F.col("tag"), F.col("id1"), F.col("id2"),
                      F.col("label"))
-    df = cut_lineage(pairs.withColumn("_o", order).withColumn(
-        "_b", F.conv(F.substring("_o", 1, prefix_bits // 4), 16, 10).cast("int")))
-    n = df.count()
-    target = int(math.floor(train_share * n))
-    hist = sorted((r["_b"], r["count"]) for r in df.groupBy("_b").count().collect())
-    cum, boundary, need = 0, None, 0
-    for b, c in hist:
-        if cum + c > target:
-            boundary, need = b, target - cum
+    ids = cut_lineage(pairs.select(order.alias("_o")))
+    n = ids.count()
+    need, digits, prefix = int(math.floor(train_share * n)), prefix_bits // 4, ""
+    while True:  # the last training row's hash, 16 bits further in each round
+        group = ids.filter(F.col("_o").startswith(prefix)) if prefix else ids
+        hist = sorted((r["p"], r["count"]) for r in group.groupBy(
+            F.substring("_o", 1, len(prefix) + digits).alias("p")).count().collect())
+        at = 0
+        while at < len(hist) and hist[at][1] <= need:
+            need -= hist[at][1]
+            at += 1
+        if at == len(hist) or need == 0 or len(hist[at][0]) >= 32:
             break
-        cum += c
-    if boundary is None:
-        return df.withColumn("split", F.lit("train")).drop("_o", "_b")
-    from pyspark.sql import Window
-    rest = df.filter(F.col("_b") != boundary).withColumn(
-        "split", F.when(F.col("_b") < boundary, "train").otherwise("val"))
-    edge = df.filter(F.col("_b") == boundary)  # about n / 65,536 rows
-    edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_o")))
-    edge = edge.withColumn("split", F.when(F.col("_r") <= need, "train").otherwise("val"))
-    return rest.unionByName(edge.drop("_r")).drop("_o", "_b")
+        prefix = hist[at][0]
+    # rows whose hash begins before ``edge`` train; equal hashes are equal pairs and stay together
+    edge = hist[at][0] if at < len(hist) else "g"
+    return pairs.withColumn("split", F.when(order < F.lit(edge), "train").otherwise("val"))

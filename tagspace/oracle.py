@@ -341,11 +341,16 @@ def twin_views() -> dict:
     }
 
 
-def pair_views(num_groups: int, threshold: int, seed: int, n_samples: int, k: int = 100) -> dict:
+def pair_views(num_groups: int, threshold: int, seed: int, n_samples: int, k: int = 100,
+               hot: bool = False) -> dict:
     """Pair generator by full joins: anti join for clean posts, row_number for samples."""
     s = str(seed)
+    posts = posts_event()
+    if hot:
+        posts = f"""SELECT * REPLACE (CASE WHEN post_id % 10 = 0 THEN text ELSE text || ' #all' END AS text)
+                    FROM ({posts})"""
     return {
-        "posts_event": posts_event(),
+        "posts_event": posts,
         "tp": f"""SELECT * FROM (SELECT post_id, grp, text,
                       regexp_extract_all(coalesce(text, ''), '{TAG_RE}') AS tags FROM posts_event)
                   WHERE len(tags) > 0""",

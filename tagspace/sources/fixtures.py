@@ -57,6 +57,12 @@ def posts_event(spark: SparkSession, sf_dir: str, with_embedding: bool = False,
     return posts
 
 
+def with_hot_tag(posts: DataFrame) -> DataFrame:
+    """Posts of which nine in ten carry one more tag, as a collection's own hashtag does."""
+    return posts.withColumn("text", F.when(F.col("post_id") % 10 == 0, F.col("text")).otherwise(
+        F.concat("text", F.lit(" #all"))))
+
+
 def event_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding table keyed by post: event e takes vector ``e mod count``."""
     emb = table(spark, sf_dir, "embeddings")

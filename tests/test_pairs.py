@@ -39,6 +39,23 @@ def test_clean_negatives_equal_full_anti_join(spark):
     assert got == want and len(got) > 0
 
 
+def test_hot_tag_does_not_make_every_tag_scan_all_posts(spark, monkeypatch):
+    posts = FX.with_hot_tag(FX.posts_event(spark, SF))
+    tp = PR.tagged_posts(posts)
+    ments = tp.select("post_id", "grp", F.posexplode("tags").alias("pos", "tag"))
+    common = TG.common_tags(ments, 5, 10).select("tag")
+    cooc = TG.tag_cooccurrence(tp, common)
+    rows, real = [], PR._scanned
+
+    def counted(*args):
+        out = real(*args)
+        rows.append(out.count())
+        return out
+    monkeypatch.setattr(PR, "_scanned", counted)
+    PR.clean_negatives(tp.select("post_id", "tags"), common, cooc, 42).count()
+    assert sum(rows) < 0.2 * common.count() * tp.count()
+
+
 def test_pair_invariants_and_split(spark):
     posts = FX.posts_event(spark, SF)
     ds = PR.pair_dataset(posts, 5, 10, 42, 230).cache()
