@@ -334,14 +334,16 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     known = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     equal = written(known.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                     .where("first < last").select(*key, "first"), "equal")
-    nodes = known.join(equal.where(F.lit(True)), key, "left")
-    nodes = written(nodes.where(F.col("doc_id") == F.coalesce("first", "doc_id"))
+    nodes = known.join(equal, key, "left").where(F.col("doc_id") == F.coalesce("first", "doc_id"))
+    nodes = written(nodes.dropDuplicates(["doc_id", "set_a", "set_b"])
                     .select("doc_id", "n_shingles", "registers", "bands"), "nodes")
     keyed = nodes.select("doc_id", F.explode("bands").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(keyed.join(shared, "key", "left_semi"), "members")
     wanted = members.select("doc_id").distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), "sets")
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+             .join(wanted, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]))
+    sets = written(shingle_sets(texts, size), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         likely = written(_likely(pairs, nodes, percent), "likely")
@@ -361,9 +363,9 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     links = links.unionByName(written(_across(active, nodes, sets, percent), "links"))
     labels = written(components(links), "labels")
 
-    # texts of one doc_id with different sets join those sets' components
     out = (sketched.select("doc_id", *key).join(equal, key, "left")
-           .withColumn("node", F.coalesce("first", "doc_id")).join(labels, "node", "left")
+           .withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
+           .join(labels, "node", "left")
            .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")))
     return out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -98,9 +98,10 @@ def test_near_groups_against_all_pairs(spark):
 
 def test_near_groups_null_and_repeated_ids_and_no_rows(spark):
     text = " ".join(words(50, 1))
-    rows = [(7, text), (7, text), (3, text), (None, text), (None, None)]
+    rows = [(7, text), (7, text), (3, text), (None, text), (None, None), (8, text + " x"), (8, "something else")]
     got = sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in near_dedup.near_groups(frame(spark, rows)).collect())
-    assert got == [(0, 0, True), (0, 0, True), (3, 3, True), (7, 3, False), (7, 3, False)]
+    assert got == [(0, 0, True), (0, 0, True), (3, 3, True), (7, 3, False), (7, 3, False),
+                   (8, 3, False), (8, 3, False)]
     assert near_dedup.near_groups(frame(spark, rows).limit(0)).count() == 0
 
 

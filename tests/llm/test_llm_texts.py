@@ -139,14 +139,14 @@ def test_main_text_takes_any_page(page):
 
 def test_main_text_open_pages_lose_repeated_runs(spark):
     menu = "home about contact products services careers press legal imprint sitemap"
-    rows = [(i, f"http://h.example/{i}", f"<body><div>{menu}</div><div>unique words of page {i} number {i * i} here</div></body>")
-            for i in range(5)]
+    own = [" ".join(f"p{i}w{k}" for k in range(9)) for i in range(5)]
+    rows = [(i, f"http://h.example/{i}", f"<body><div>{menu}</div><div>{own[i]}</div></body>") for i in range(5)]
     rows += [(10, "http://other.example/1", f"<body><div>{menu}</div></body>"), (11, None, None), (12, "nonsense", ""),
              (None, "http://h.example/9", "<main><p>kept</p></main>"), (13, "http://h.example/x", "<div>short</div>"),
              (14, "http://h.example/y", "<article>" + "<p>long text</p>" * 20_000 + "</article>")]
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.main_text(pages(spark, rows)).collect()}
     for i in range(5):
-        assert got[i][0] == f"unique words of page {i} number {i * i} here"
+        assert got[i][0] == own[i]
     assert got[10][0] == menu and got[11] == ("", 0) and got[12] == ("", 0) and got[None] == ("kept", 4)
     assert got[13][0] == "short" and got[14][1] == 20_000 * 10 - 1
     assert html_text.main_text(pages(spark, rows).limit(0)).count() == 0
