@@ -131,6 +131,13 @@ def test_main_text_zones_entities_and_white_space():
     assert got == "Head & line\nOne two three four\nFive <6> é\nA\nB"
 
 
+def test_main_text_of_plain_elements():
+    page = ("<body><div id='top'>Site</div><div class='menu'>Menu</div><div class='wrap'><div class='post-content big'>"
+            "<div class='entry-header'><h1>Title</h1>by</div><div><p>A</p></div><div>B</div></div><div>other</div></div>")
+    assert [t for z, t in html_text.page_blocks(page) if z == "main"] == ["Title", "A", "B"]
+    assert [t for z, t in html_text.page_blocks(page) if z == "open"] == ["Site", "other"]
+
+
 @pytest.mark.parametrize("page", ["", "plain text", "<", "<p", "a < b > c", "<article>", "<nav>never closed <article><p>x",
                                   "<p>" * 5000, "<a href=\"never>closed <p>x", "&am", "<script>open", "</div></article>x"])
 def test_main_text_takes_any_page(page):
