@@ -36,7 +36,7 @@ from .components import components
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, MANTISSA = 25, 5, 10
 #: Rounds of one comparison per document; members of a bucket that meet as many others in one group.
-STARS, TILE = 3, 256
+STARS, TILE = 2, 256
 #: Standard deviations below the threshold from which an estimate lets a pair go.
 DEVIATIONS = 6.0
 #: Chance that two registers of equally large, disjoint sets agree, times 2**MANTISSA.
