@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tagspace.llm import decontaminate, exact_dedup, mixing, near_dedup, quality_gam
 from tagspace.llm.common import written
 
+#: Similarity in percent from which the near-dedup stage links documents (85 is op4's contract).
+NEAR_PERCENT = 80
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -30,7 +33,7 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id."""
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

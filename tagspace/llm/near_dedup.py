@@ -17,7 +17,7 @@ pairs are formed:
 
 A link between two members of one bucket is thus either found or joins documents that are already
 in one component. What remains is the chance that a pair at the threshold shares no band:
-(1 - 0.85^5)^25, less than one in a million.
+(1 - 0.85^5)^25, less than one in a million; at 80 percent (1 - 0.8^5)^25, 5 in 100,000.
 """
 
 from __future__ import annotations
