@@ -6,7 +6,7 @@ hash. Equal windows have equal anchors, so only windows of one anchor gram can b
 windows of a document that share an anchor are consecutive; their bytes are one unit.
 
 1. Units are hashed where the text lies. Units of one batch, then of all documents, that equal an
-   earlier unit are removed whole.
+   earlier unit in the anchor gram's hash and in 64 further bits over the whole unit are removed whole.
 2. The first units of an anchor gram with several different units may still share windows. Their
    bytes are brought together by anchor gram, and the suffixes from the anchor on, and the
    reversed ones to its left, are sorted: prefix polynomial hashes and binary search give the
@@ -35,7 +35,7 @@ LENGTH, GRAM = 100, 32
 GROUP = 2000
 SPAN = LENGTH - GRAM + 1  # grams of a window
 
-UNITS = "gram long, unit int, doc_id long, place long"
+UNITS = "gram long, unit long, doc_id long, place long"
 
 
 def prefix_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +77,10 @@ def find_units(raw: np.ndarray, offsets: np.ndarray):
     low, high, at = p[first], p[last], anchor[first]
     shape = (at - low).astype(np.uint64) * np.uint64(LENGTH) + (high - low).astype(np.uint64)
     unit = mix((h[high + LENGTH] - h[low]) * inv[low] + mix(shape))
+    # a second hash, of the unit's mixed grams, so that few differing bytes count in all 64 bits too
+    g = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(grams * powers(_P, len(grams)), dtype=np.uint64, out=g[1:])
+    unit = mix(unit + (g[high + SPAN] - g[low]) * inv[low])
     return row[first], grams[at], unit, low - offsets[row[first]], at - low, high - low + 1
 
 
@@ -98,7 +102,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
             parts = []
             for a, b in slices(offsets):
                 row, gram, unit, low, off, n = find_units(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                parts.append((ids[row + a], gram, (unit >> np.uint64(32)).astype(np.uint32), _pack(low, off, n)))
+                parts.append((ids[row + a], gram, unit, _pack(low, off, n)))
             if not parts:
                 continue
             doc, gram, unit, place = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -107,7 +111,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
             again = np.zeros(len(doc), bool)
             again[1:] = (gram[1:] == gram[:-1]) & (unit[1:] == unit[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64), mask=again), pa.array(unit.view(np.int32)), pa.array(doc),
+                [pa.array(gram.view(np.int64), mask=again), pa.array(unit.view(np.int64)), pa.array(doc),
                  pa.array(place)], names=["gram", "unit", "doc_id", "place"])
 
     return docs.select("doc_id", "text").mapInArrow(run, UNITS)
