@@ -8,8 +8,8 @@ on both sides after the first common one (positional filter). What passes is com
 so every block that meets the threshold is found. The templates are the stated, bounded side;
 each task holds them, and documents are scanned where they lie.
 
-A block is a line; a longer one is cut into overlapping windows in which any template-sized
-passage lies whole.
+Blocks are overlapping windows of the whole document's words, whatever the line breaks, in which any
+passage of twice the longest template lies whole; and each line, a longer one likewise in windows.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ TEMPLATES = [
 ]
 
 THRESHOLD = 0.9
-#: Words of a window of a long line, and the step between windows.
+#: Least words of a window, and least step between windows.
 WINDOW, STEP = 96, 48
 
 
@@ -161,6 +161,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     vocabulary = Vocabulary([*BASE, *(t for _, t in templates)])
     join = Join(templates, vocabulary, token_places(docs, vocabulary), threshold)
     number = {w: i for i, w in enumerate(vocabulary.words)}
+    step = max(STEP, 2 * max((len(t.split()) for _, t in templates), default=0))
+    window = max(WINDOW, 2 * step)
     phrases = [([number[w] for w in phrase.split()], label) for phrase, label in BASE.items()]
     schema = ("doc_id long, n_words long, n_base long, first_word long, last_word long, "
               "base_labels string, labels string, score double")
@@ -171,7 +173,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
             rows = []
             for a, b in slices(offsets):
                 rows += _scan(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a],
-                              vocabulary, join, phrases)
+                              vocabulary, join, phrases, window, step)
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays(
@@ -181,7 +183,18 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, schema)
 
 
-def _scan(raw, offsets, vocabulary, join, phrases) -> list[tuple]:
+def _windows(at: np.ndarray, marked: np.ndarray, window: int, step: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the places ``at`` that the windows with a marked word hold; a window that reaches
+    no further word than the one before it is left out."""
+    low = np.arange(at[0], at[-1] + 1, step)
+    a, b = np.searchsorted(at, low), np.searchsorted(at, low + window)
+    held = np.concatenate([[0], np.cumsum(marked)])
+    keep = held[b] > held[a]
+    keep[1:] &= b[1:] > b[:-1]
+    return zip(a[keep].tolist(), b[keep].tolist(), strict=True)
+
+
+def _scan(raw, offsets, vocabulary, join, phrases, window=WINDOW, step=STEP) -> list[tuple]:
     starts, ends, first = word_spans(raw, offsets, _BETWEEN)
     ids = vocabulary.ids(raw, starts, ends)
     n = len(ids)
@@ -203,22 +216,21 @@ def _scan(raw, offsets, vocabulary, join, phrases) -> list[tuple]:
     known = np.flatnonzero(ids >= 0)
     where, which = row[known], line[known]
     marked = join.prefix[ids[known]]
-    edges = np.flatnonzero((np.diff(where) != 0) | (np.diff(which) != 0)) + 1
-    bounds = np.concatenate([[0], edges, [len(known)]])
-    some = np.add.reduceat(marked, bounds[:-1]) > 0 if len(known) else np.zeros(0, bool)
-    for g in np.flatnonzero(some):
-        at = known[bounds[g]:bounds[g + 1]]
-        r = where[bounds[g]]
-        ranks = join.rank[ids[at]]
-        low = int(at[0])
-        while low <= at[-1]:  # windows of a long line; a short one is a single block
-            inside = (at >= low) & (at < low + WINDOW)
-            for t, share in join.matches(sorted(set(ranks[inside].tolist()))).items():
-                labels[r].add(join.labels[t])
-                best[r] = max(best[r], share)
-            if at[-1] < low + WINDOW:
-                break
-            low += STEP
+    blocks: set[tuple[int, int]] = set()
+    if marked.any():
+        other = np.diff(where) != 0
+        for cut in (other, other | (np.diff(which) != 0)):  # whole documents, then lines
+            bounds = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(known)]])
+            some = np.add.reduceat(marked, bounds[:-1], dtype=np.int64) > 0
+            for g in np.flatnonzero(some):
+                x, y = int(bounds[g]), int(bounds[g + 1])
+                blocks.update((x + a, x + b) for a, b in _windows(known[x:y], marked[x:y], window, step))
+    ranks = join.rank[ids[known]]
+    for x, y in blocks:
+        r = where[x]
+        for t, share in join.matches(sorted(set(ranks[x:y].tolist()))).items():
+            labels[r].add(join.labels[t])
+            best[r] = max(best[r], share)
     counts = np.diff(first)
     return [(int(counts[r]), len(places[r]), min(places[r], default=None), max(places[r], default=None),
              ",".join(sorted(base[r])), ",".join(sorted(labels[r])), best[r]) for r in range(rows)]
