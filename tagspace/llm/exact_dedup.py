@@ -54,7 +54,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; rows that repeat the winner's
-    doc_id count as one row, and one of them stays."""
-    gone = exact_groups(docs, support=support).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without the rows that ``exact_groups`` drops, told apart by doc_id (null too) and
+    text; rows that repeat the winner's doc_id and text count as one row, and one of them stays."""
+    odd = written(exact_groups(docs, support=support)
+                  .groupBy(F.col("doc_id").alias("own_id"), F.col("text_sha256").alias("own_sha256"))
+                  .agg(F.first("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+                  .where("NOT stays OR n > 1"), "copies")
+    digest = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)
+    mark = "_drop_exact_copies_sha256"
+
+    def same(rows: DataFrame):
+        return docs["doc_id"].eqNullSafe(rows["own_id"]) & (digest == rows["own_sha256"])
+
+    out = docs.join(odd, same(odd), "left_anti")
+    again = odd.where("stays")
+    if not again.limit(1).count():
+        return out
+    one = docs.join(again, same(again), "left_semi").withColumn(mark, digest).dropDuplicates(["doc_id", mark])
+    return out.unionByName(one.drop(mark))
