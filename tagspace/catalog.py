@@ -542,6 +542,26 @@ def _as_csv(df, spark, name):
     return path
 
 
+_QUOTED = """CASE WHEN post_id % 3 = 0 THEN '"' || text || '",' || chr(10) || chr(10) || 'x""' ELSE text END"""
+
+
+@register("read_csv_ranges", O.with_views(
+    f"""SELECT post_id, party, grp, CAST(year(created_at) AS INTEGER) AS year, elected, md5({_QUOTED}) AS text_md5,
+              length({_QUOTED}) AS text_length FROM posts_doc WHERE year(created_at) BETWEEN 1995 AND 1997""",
+    posts_doc=O.POSTS_DOC))
+def q_read_csv_ranges(spark, d):
+    """Posts whose texts have line breaks, quotes and separators, written as CSV and read back
+    in byte ranges (64 KiB here, so that small tables have many; by default the session's)."""
+    quoted = F.concat(F.lit('"'), "text", F.lit('",\n\nx""'))
+    posts = FX.posts_doc(spark, d).withColumn(
+        "text", F.when(F.col("post_id") % 3 == 0, quoted).otherwise(F.col("text")))
+    src = _as_csv(posts, spark, "posts-quoted-csv")
+    df = FS.read_rows(spark, src, "csv", DOC_POST_SCHEMA, range_bytes=1 << 16)
+    df = T.with_year(df).filter(P.year_between(1995, 1997))
+    return df.select("post_id", "party", "grp", "year", "elected", F.md5(F.col("text").cast("binary")).alias("text_md5"),
+                     F.length("text").cast("long").alias("text_length"))
+
+
 @register("filter_job", O.with_views(
     """SELECT p.post_id, p.grp, round(CAST(e.embedding[1] AS DOUBLE), 6) AS e0,
               round(""" + O.weighted_sum("CAST(e.embedding AS DOUBLE[])") + """, 4) AS e_places,

@@ -1,9 +1,10 @@
 """File sources of the reference's inputs.
 
 CSV is read with a header, multi-line fields and doubled quotes, in PERMISSIVE
-mode: a field that does not parse becomes NULL and the row is kept. A multi-line CSV
-file is one task, whatever its length; posts and pairs may therefore also be Parquet
-(``fmt="parquet"``), which is split and read by columns.
+mode: a field that does not parse becomes NULL and the row is kept. Posts and pairs, whose
+columns are given, are read in byte ranges by many tasks (``csv_ranges``); they may also be
+Parquet (``fmt="parquet"``). The small salience table, whose types are inferred, is read
+by Spark's multi-line reader, one task a file.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from tagspace.functions import predicates as P
 from tagspace.functions import text as TX
 from tagspace.schema import POSTS, check_required
+from tagspace.sources.csv_ranges import read_csv_ranges
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -31,8 +33,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 def read_rows(spark: SparkSession, path: str, fmt: str, schema: T.StructType | str | None = None,
               **options) -> DataFrame:
     """CSV, or Parquet with the columns of ``schema`` (all of them without one)."""
+    if fmt == "csv" and schema is not None:
+        return read_csv_ranges(spark, path, schema, **options)
     if fmt == "csv":
-        return read_csv(spark, path, schema, **options)
+        return read_csv(spark, path, **options)
     if fmt != "parquet":
         raise ValueError(f"unknown format {fmt!r}")
     return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
@@ -98,5 +102,8 @@ def read_pairs(spark: SparkSession, path: str, fmt: str = "csv", split: str | No
     """(sent1, sent2, label) pairs; of one split where the folder has splits."""
     if split is None:
         return read_rows(spark, path, fmt, PAIRS)
-    df = read_rows(spark, path, fmt, T.StructType([*PAIRS.fields, T.StructField("split", T.StringType())]))
-    return df.filter(F.col("split") == split).drop("split")
+    of_split = F.col("split") == split
+    if fmt == "csv":
+        return read_csv_ranges(spark, path, PAIRS, where=of_split)
+    return read_rows(spark, path, fmt, T.StructType([*PAIRS.fields, T.StructField("split", T.StringType())])) \
+        .filter(of_split).drop("split")
