@@ -361,6 +361,17 @@ def q_twin_distance(spark, d):
     return m.select("g1", "g2", _r(F.col("value")).alias("value"))
 
 
+@register("twin_nearest_clustered", O.with_views(
+    """SELECT tw.a_id, tw.gb AS g, round(tw.best, 6) AS best_sim, tw.t_id AS best_id, round(x.excl, 6) AS excl_sim
+       FROM tw LEFT JOIN (SELECT a_id, gb, max(s) AS excl FROM sims WHERE a_id <> b_id GROUP BY ALL) x
+         ON x.a_id = tw.a_id AND x.gb = tw.gb""", **O.twin_views(O.CLUSTERED)))
+def q_twin_nearest_clustered(spark, d):
+    """V4 on vectors with clusters, searched by cells (of about 16 vectors, as the tables are small),
+    whatever share of the pairs the bounds leave."""
+    rows, _ = TW.nearest_pruned(FX.clustered_vectors(spark, d), most=1.0, cell_rows=16)
+    return rows.select("a_id", "g", _r(F.col("best_sim")).alias("best_sim"), "best_id", _r(F.col("excl_sim")).alias("excl_sim"))
+
+
 # --- pair datasets --------------------------------------------------------------------
 
 from tagspace.operators import pairs as PR  # noqa: E402

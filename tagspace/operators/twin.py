@@ -4,15 +4,17 @@ For a in A and group B: t(a) = argmax_b cos(a, b) (smallest id on ties);
 C_A(a) = max(0, max over a' in A, a' != a of cos(a, a')).
 S(A, B) = mean over a of cos(a, t(a)) / (C_A(a) + C_B(t(a))).
 
-Plan (exact, memory bounded): vectors are dealt by a hash of their id into the
+Plan (exact, memory bounded): vectors with clusters are searched cell by cell, with
+bounds that leave out most pairs (``operators.nearest``). Where bounds do not help, all
+pairs are multiplied: vectors are dealt by a hash of their id into the
 rows and columns of a square grid of tiles, as wide as the tasks need, or as
 ``TILE_ROWS`` asks for. Every unordered pair meets in one ``applyInPandas`` group (an
 equi-join on the pair key, not a cross join). Inside a tile, blocks of rows are
 multiplied with the other side, and only the best (similarity, id) of each row
 and group, and the best excluding the row itself, leave the tile. Spark reduces
-them per (row, group). The work is quadratic in the number of vectors, as the
-definition requires; a vector is copied once per tile of its row, no task holds
-more than one tile, and no pair of vectors is ever a row.
+them per (row, group). That work is quadratic in the number of vectors; a vector is
+copied once per tile of its row, no task holds more than one tile, and no pair of
+vectors is ever a row.
 
 A mean over rows of which one has a zero denominator is undefined: NULL.
 """
@@ -26,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagspace.operators import nearest
 from tagspace.operators.distance import unit_embeddings
 from tagspace.session import cut_lineage
 
@@ -78,13 +81,35 @@ def tiles(n: int, tasks: int, tile_rows: int = TILE_ROWS) -> int:
     return max(1, math.ceil(n / tile_rows), min(math.ceil(math.sqrt(2 * tasks)), math.ceil(n / BLOCK_ROWS)))
 
 
+def _bests_schema(vecs: DataFrame) -> str:
+    kind = vecs.schema["id"].dataType.simpleString()
+    return f"a_id {kind}, a_grp string, g string, best_sim double, best_id {kind}, excl_sim double"
+
+
+def _reduced(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("a_id", "a_grp", "g").agg(
+        F.max("best_sim").alias("best_sim"),
+        F.min_by("best_id", F.struct(-F.col("best_sim"), F.col("best_id"))).alias("best_id"),
+        F.max("excl_sim").alias("excl_sim"))
+
+
+def nearest_pruned(vecs: DataFrame, most: float = nearest.MOST,
+                   cell_rows: int = nearest.CELL_ROWS) -> tuple[DataFrame, nearest.Search] | None:
+    """The rows of ``nearest_by_group`` without multiplying all pairs, and how many were; None
+    where more than ``most`` of them would be."""
+    got = nearest.pruned(unit_embeddings(vecs.select("id", "grp", "embedding")), _side, _bests_schema(vecs), most, cell_rows)
+    return got and (_reduced(got[0]), got[1])
+
+
 def nearest_by_group(vecs: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """(a_id, a_grp, g, best_sim, best_id, excl_sim) for every vector and group.
 
-    ``vecs`` has (id, grp, embedding); ids may be of any orderable type.
+    ``vecs`` has (id, grp, embedding); ids may be of any orderable type. With ``n_blocks`` all
+    pairs are multiplied, in a grid of so many tiles a side.
     """
-    kind = vecs.schema["id"].dataType.simpleString()
-    schema = f"a_id {kind}, a_grp string, g string, best_sim double, best_id {kind}, excl_sim double"
+    if n_blocks is None and (got := nearest_pruned(vecs)):
+        return got[0]
+    schema = _bests_schema(vecs)
     u = unit_embeddings(vecs.select("id", "grp", "embedding"))
     if n_blocks is None:
         n_blocks = tiles(vecs.count(), int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -94,10 +119,7 @@ def nearest_by_group(vecs: DataFrame, n_blocks: int | None = None) -> DataFrame:
     rep = rep.withColumn("lo", F.least("blk", "j")).withColumn("hi", F.greatest("blk", "j"))
     local = (rep.select("lo", "hi", "blk", "id", "grp", "u")
              .groupBy("lo", "hi").applyInPandas(_block_pair, schema))
-    return local.groupBy("a_id", "a_grp", "g").agg(
-        F.max("best_sim").alias("best_sim"),
-        F.min_by("best_id", F.struct(-F.col("best_sim"), F.col("best_id"))).alias("best_id"),
-        F.max("excl_sim").alias("excl_sim"))
+    return _reduced(local)
 
 
 def twin_similarity_matrix(vecs: DataFrame, checkpoint: bool = True, **kw) -> DataFrame:

@@ -318,10 +318,19 @@ def results_sql(configs, groups, num_groups, threshold, model: str, year: int, e
                FROM ({experiment_sql(configs, groups, num_groups, threshold)}) GROUP BY marker"""
 
 
-def twin_views() -> dict:
+CLUSTERED = """
+  SELECT a.vec_id AS post_id, CAST(a.label AS VARCHAR) AS grp,
+         CASE WHEN a.vec_id % 97 = 96 THEN list_transform(a.embedding, lambda x: CAST(0 AS DOUBLE))
+              ELSE list_transform(list_zip(c.embedding, a.embedding),
+                                  lambda z: CAST(z[1] AS DOUBLE) * 6 + CAST(z[2] AS DOUBLE)) END AS embedding
+  FROM embeddings a JOIN embeddings c
+    ON c.vec_id = a.vec_id % (SELECT greatest(25, count(*) // 20) FROM embeddings)"""
+
+
+def twin_views(raw: str = "SELECT vec_id AS post_id, CAST(label AS VARCHAR) AS grp, embedding FROM embeddings") -> dict:
     """Brute-force twin matching over the labelled embeddings (label = group)."""
     return {
-        "lvraw": "SELECT vec_id AS post_id, CAST(label AS VARCHAR) AS grp, embedding FROM embeddings",
+        "lvraw": raw,
         "lvu": unit_of("lvraw"),
         "v": "SELECT r.post_id AS id, r.grp, u.u FROM lvraw r JOIN lvu u USING (post_id)",
         "sims": """SELECT a.id AS a_id, a.grp AS ga, b.id AS b_id, b.grp AS gb,

@@ -72,6 +72,19 @@ def event_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.join(emb.select("vec_id", "embedding"), "vec_id").select("post_id", "embedding")
 
 
+def clustered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, grp, embedding): vectors that lie around others of the table, about 20 around each;
+    every 97th is zero."""
+    emb = table(spark, sf_dir, "embeddings")
+    centres = max(25, emb.count() // 20)
+    around = emb.select(F.col("vec_id").alias("c"), F.col("embedding").alias("ce"))
+    rows = emb.withColumn("c", F.col("vec_id") % F.lit(centres)).join(around, "c")
+    moved = F.zip_with(F.col("ce").cast("array<double>"), F.col("embedding").cast("array<double>"), lambda c, e: c * 6 + e)
+    zero = F.transform("embedding", lambda e: F.lit(0.0))
+    return rows.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("grp"),
+                       F.when(F.col("vec_id") % 97 == 96, zero).otherwise(moved).alias("embedding"))
+
+
 def posts_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """posts_doc: documents joined to orders for a date and election flags."""
     docs = table(spark, sf_dir, "documents")
