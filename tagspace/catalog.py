@@ -408,6 +408,17 @@ def q_clean_negatives_hot(spark, d):
         "tag", "post_id")
 
 
+@register("clean_negatives_twenty_heavy_tags", O.with_views(
+    "SELECT tag, post_id FROM neg", **O.pair_views(5, 10, 42, 230, heavy=20)))
+def q_clean_negatives_heavy(spark, d):
+    """Clean negatives where each of twenty tags is on three posts in ten."""
+    tp = cut_lineage(PR.tagged_posts(FX.with_heavy_tags(FX.posts_event(spark, d), 20)).select("post_id", "grp", "tags"))
+    ments = tp.select("post_id", "grp", F.posexplode("tags").alias("pos", "tag"))
+    common = cut_lineage(TG.common_tags(ments, 5, 10).select("tag"))
+    cooc = PR.tag_cooccurrence_of_lists(tp, common)
+    return PR.clean_negatives(tp.select("post_id", "tags"), common, cooc, 42).select("tag", "post_id")
+
+
 @register("negative_pairs", O.with_views("SELECT tag, id1, id2 FROM np", **_PV))
 def q_negative_pairs(spark, d):
     _, _, neg = PR.pair_parts(FX.posts_event(spark, d), **PAIR_ARGS)

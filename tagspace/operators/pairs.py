@@ -21,6 +21,7 @@ The result equals the full anti join followed by a per-tag top k.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,9 @@ from tagspace.operators.topk import top_k
 from tagspace.session import cut_lineage
 
 K_POSTS = 100       # posts sampled per side and tag
-HEAVY = 8           # commonest tags that a post's mask tells
-RUN, SALT, MOST_BITS = 4096, 64, 26
+HEAVY = 62          # commonest tags that a post's bitmap tells
+SAMPLE = 1024       # bitmaps that size the first ranges
+CELL_BITS, MOST_BITS = 12, 26  # posts that a part of a cell holds, and buckets, as powers of two
 N_SAMPLES = 230     # pairs per label and tag (function default; the command line used 320)
 
 
@@ -74,25 +76,31 @@ def heavy_tags(tpost: DataFrame, most: int = HEAVY) -> list[str]:
     return [r["tag"] for r in top.collect()]
 
 
-def _scanned(open_tags: DataFrame, posts: DataFrame, nb: int) -> DataFrame:
+def _parts(bucket_posts: int):
+    """Parts that a cell of ``2 ** level`` buckets is dealt to, of about ``2 ** CELL_BITS`` posts each."""
+    return F.expr(f"greatest(1L, shiftright(shiftleft({bucket_posts}L, level), {CELL_BITS}))")
+
+
+def _scanned(open_tags: DataFrame, posts: DataFrame, nb: int, bucket_posts: int) -> DataFrame:
     """(tag, ht, post_id, tags, h) of the posts in each tag's range of buckets whose heavy tags
-    are none of the tag's co-occurring ones: an equi-join on (mask, bucket). Ranges are unfolded
-    in runs of RUN buckets, and a tag whose range is a large part of all buckets
-    meets its masks' posts by mask and a salt instead of bucket by bucket."""
-    masked = open_tags.withColumn("mask", F.explode("masks"))
-    wide = (F.col("hi") - F.col("lo")) * 4 >= nb
-    runs = masked.filter(~wide).withColumn("run", F.explode(F.sequence(
-        F.col("lo"), F.col("hi") - 1, F.lit(RUN).cast("bigint"))))
-    step = F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, "hi") - 1))
-    narrow = (runs.select("tag", "ht", "b0", "mask", step.alias("step"))
-              .withColumn("bucket", F.pmod(F.col("b0") + F.col("step"), F.lit(nb)))
-              .join(posts, ["mask", "bucket"]).select("tag", "ht", "post_id", "tags", "h"))
-    salt = F.pmod(F.col("bucket"), F.lit(SALT))
-    broad = (masked.filter(wide).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
-             .join(posts.withColumn("salt", salt), ["mask", "salt"])
-             .filter(F.pmod(F.col("bucket") - F.col("b0"), F.lit(nb)).between(F.col("lo"), F.col("hi") - 1))
-             .select("tag", "ht", "post_id", "tags", "h"))
-    return narrow.unionByName(broad)
+    are none of the tag's co-occurring ones. A range meets at most five cells of a power of two of
+    buckets, each dealt to parts of bounded size: an equi-join on (level, cell, part), with
+    one AND of two bitmaps for each post that is met. Rows that leave the join are candidates."""
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("hi") - F.col("lo")) / 4.0))).cast("int")
+    wide = cut_lineage(open_tags.withColumn("level", level))
+    levels = sorted(r["level"] for r in wide.select("level").distinct().collect())  # at most 32
+    cells = F.expr(f"greatest(1L, shiftright({nb}L, level))")
+    first, last = (F.expr(f"shiftright(b0 + {x}, level)") for x in ("lo", "hi - 1"))
+    asks = (wide.withColumn("at", F.explode(F.sequence(first, F.least(last, first + cells - 1))))
+            .withColumn("cell", F.pmod("at", cells))
+            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), _parts(bucket_posts) - 1))))
+    held = (posts.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+            .withColumn("cell", F.expr("shiftright(bucket, level)"))
+            .withColumn("part", F.pmod(F.xxhash64("post_id"), _parts(bucket_posts))))
+    return (asks.join(held, ["level", "cell", "part"])
+            .where((F.col("mask").bitwiseAND(F.col("with")) == 0)
+                   & F.pmod(F.col("bucket") - F.col("b0"), F.lit(nb).cast("bigint")).between(F.col("lo"), F.col("hi") - 1))
+            .select("tag", "ht", "post_id", "tags", "h"))
 
 
 def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int,
@@ -100,12 +108,12 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
                     first_buckets: int | None = None) -> DataFrame:
     """(tag, post_id, rank) — the first k clean posts in t's circular order.
 
-    Posts carry a mask of the HEAVY commonest tags, and a tag meets only posts whose mask is
-    disjoint from its co-occurring heavy tags: a tag that is on most posts therefore does not
-    make every other tag scan them. Each tag's first range is sized from a lower bound of its
-    clean share among the posts left, so most tags close in one round; a tag whose range held
-    too few clean posts doubles its range. ``first_buckets`` fixes the first range instead
-    (tests use it to force rounds).
+    Posts carry a bitmap of the HEAVY commonest tags, and a tag has the bitmap of its co-occurring
+    heavy tags: posts whose bitmaps meet are never candidates. Each tag's first range is sized
+    from its clean share of a sample of bitmaps, less an upper bound of the posts that its other
+    co-occurring tags make dirty, so most tags close in one round with about 2k candidates; a tag
+    whose range held too few clean posts doubles its range. Samples and bounds size ranges only.
+    ``first_buckets`` fixes the first range instead (tests use it to force rounds).
     """
     n = tp.count()
     bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, n) / bucket_posts))))
@@ -118,32 +126,32 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
                F.lit(0).cast("bigint"))
     posts = tp.select("post_id", "tags", mask.alias("mask"), hash32(F.lit(seed), F.col("post_id")).alias("h"))
     posts = cut_lineage(posts.withColumn("bucket", F.shiftright("h", shift).cast("bigint")))
-    # at most 2 ** HEAVY masks: a bounded list with the posts of each
-    held = {r["mask"]: r["n"] for r in posts.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}
-    known = sorted(held)
+    # a bounded sample of bitmaps, for the sizes of ranges
+    drawn = posts.select("mask", "h", "post_id").orderBy(F.xxhash64(F.lit(seed), "h"), "post_id").limit(SAMPLE).collect()
+    held = Counter(r["mask"] for r in drawn)
     per_tag = tpost.groupBy("tag").agg(F.count(F.lit(1)).alias("np")).withColumnRenamed("tag", "other")
-    number = sum([F.when(F.col("other") == h, bit(i)).otherwise(0) for i, h in enumerate(heavy)],
-                 F.lit(0).cast("bigint"))
-    # posts per tag, summed over each tag's co-occurring tags that no mask tells: an upper bound
-    # of the posts that are dirty although their mask allows them
+    numbered = F.create_map(*[x for i, h in enumerate(heavy) for x in (F.lit(h), bit(i))]) if heavy else None
+    number = F.coalesce(numbered[F.col("other")], F.lit(0).cast("bigint")) if heavy else F.lit(0).cast("bigint")
+    # posts per tag, summed over each tag's co-occurring tags that no bitmap tells: an upper bound
+    # of the posts that are dirty although their bitmap allows them
     others = (cooc.join(per_tag, "other").groupBy("tag")
               .agg(F.sum(number).alias("with"), F.sum(F.when(number == 0, F.col("np")).otherwise(0)).alias("dirty_ub")))
     tags = common.select("tag", hash32(F.lit(seed), F.col("tag")).alias("ht")).join(others, "tag", "left")
-    tags = tags.withColumn("b0", F.shiftright("ht", shift).cast("bigint"))
-    masks = F.array(*[F.lit(m).cast("bigint") for m in known])
-    tags = tags.withColumn("masks", F.filter(masks, lambda m: m.bitwiseAND(F.coalesce("with", F.lit(0))) == 0))
-    counts = F.create_map(*[F.lit(x).cast("bigint") for m in known for x in (m, held[m])]) if known else None
-    left = F.aggregate("masks", F.lit(0).cast("bigint"), lambda acc, m: acc + counts[m]) if known else F.lit(0)
+    tags = tags.withColumn("b0", F.shiftright("ht", shift).cast("bigint")).withColumn("with", F.coalesce("with", F.lit(0).cast("bigint")))
+    masks = F.array(*[F.struct(F.lit(m).cast("bigint").alias("m"), F.lit(c).cast("bigint").alias("c")) for m, c in sorted(held.items())])
+    free = F.aggregate(masks, F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(
+        x["m"].bitwiseAND(F.col("with")) == 0, x["c"]).otherwise(0)) if held else F.lit(0)
     if first_buckets is None:
-        clean_lb = F.greatest(left - F.coalesce("dirty_ub", F.lit(0)), F.ceil(left / 20), F.lit(1))
-        hi = F.ceil(F.lit(2.0 * k * nb) / clean_lb)
+        left = F.greatest(free, F.lit(0.25)) * (n / max(1, len(drawn)))
+        clean = F.greatest(left - F.coalesce("dirty_ub", F.lit(0)), left / 20, F.lit(1.0))
+        hi = F.ceil(F.lit(2.0 * k * nb) / clean)
     else:
         hi = F.lit(first_buckets)
     hi = F.least(F.lit(nb).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), hi.cast("bigint")))
-    open_tags = cut_lineage(tags.select("tag", "ht", "b0", "masks", F.lit(0).cast("bigint").alias("lo"), hi.alias("hi")))
+    open_tags = cut_lineage(tags.select("tag", "ht", "b0", "with", F.lit(0).cast("bigint").alias("lo"), hi.alias("hi")))
     found = None
     while True:
-        cand = _scanned(open_tags, posts, nb)
+        cand = _scanned(open_tags, posts, nb, bucket_posts)
         dirty_c = (cand.select("tag", "post_id", F.explode("tags").alias("other"))
                    .join(cooc, ["tag", "other"], "left_semi").select("tag", "post_id").distinct())
         clean = (cand.join(dirty_c, ["tag", "post_id"], "left_anti")
@@ -161,7 +169,7 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
             break
         open_tags = cut_lineage(
             open_tags.join(still, "tag", "left_semi")
-            .select("tag", "ht", "b0", "masks", F.col("hi").alias("lo"),
+            .select("tag", "ht", "b0", "with", F.col("hi").alias("lo"),
                     F.least(F.col("hi") * 2, F.lit(nb).cast("bigint")).alias("hi")))
     return top_k(found, ["tag"], [F.col("off"), F.col("post_id")], k).drop("off")
 

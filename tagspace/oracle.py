@@ -351,10 +351,14 @@ def twin_views(raw: str = "SELECT vec_id AS post_id, CAST(label AS VARCHAR) AS g
 
 
 def pair_views(num_groups: int, threshold: int, seed: int, n_samples: int, k: int = 100,
-               hot: bool = False) -> dict:
+               hot: bool = False, heavy: int = 0) -> dict:
     """Pair generator by full joins: anti join for clean posts, row_number for samples."""
     s = str(seed)
     posts = posts_event()
+    if heavy:
+        own = " || ".join(f"CASE WHEN CAST(floor(post_id * {2 * j + 3} / {j + 1}) AS BIGINT) % 10 < 3 THEN ' #heavy{j}' ELSE '' END"
+                          for j in range(heavy))
+        posts = f"SELECT * REPLACE (text || {own} AS text) FROM ({posts})"
     if hot:
         posts = f"""SELECT * REPLACE (CASE WHEN post_id % 10 = 0 THEN text ELSE text || ' #all' END AS text)
                     FROM ({posts})"""

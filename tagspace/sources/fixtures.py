@@ -63,6 +63,13 @@ def with_hot_tag(posts: DataFrame) -> DataFrame:
         F.concat("text", F.lit(" #all"))))
 
 
+def with_heavy_tags(posts: DataFrame, tags: int = 20) -> DataFrame:
+    """Posts with ``tags`` more tags, each on three posts in ten."""
+    own = [F.when(F.pmod(F.floor(F.col("post_id") * (2 * j + 3) / (j + 1)), F.lit(10)) < 3, F.lit(f" #heavy{j}")).otherwise("")
+           for j in range(tags)]
+    return posts.withColumn("text", F.concat("text", *own))
+
+
 def event_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding table keyed by post: event e takes vector ``e mod count``."""
     emb = table(spark, sf_dir, "embeddings")

@@ -56,6 +56,28 @@ def test_hot_tag_does_not_make_every_tag_scan_all_posts(spark, monkeypatch):
     assert sum(rows) < 0.2 * common.count() * tp.count()
 
 
+def test_twenty_heavy_tags_give_few_candidates(spark, monkeypatch):
+    """Candidates stay near twice the posts asked for, although most posts carry a heavy tag; and
+    what a small first range leaves open is found in further rounds."""
+    posts = FX.with_heavy_tags(FX.posts_event(spark, SF), 20)
+    tp = PR.tagged_posts(posts).select("post_id", "grp", "tags").cache()
+    ments = tp.select("post_id", "grp", F.posexplode("tags").alias("pos", "tag"))
+    common = TG.common_tags(ments, 5, 10).select("tag")
+    cooc = PR.tag_cooccurrence_of_lists(tp, common)
+    rows, real = [], PR._scanned
+
+    def counted(*args):
+        out = real(*args)
+        rows.append(out.count())
+        return out
+    monkeypatch.setattr(PR, "_scanned", counted)
+    whole = {(r.tag, r.post_id, r["rank"]) for r in PR.clean_negatives(tp.select("post_id", "tags"), common, cooc, 42).collect()}
+    assert sum(rows) < 0.05 * common.count() * tp.count()
+    small = {(r.tag, r.post_id, r["rank"]) for r in PR.clean_negatives(
+        tp.select("post_id", "tags"), common, cooc, 42, bucket_posts=4, first_buckets=3).collect()}
+    assert small == whole
+
+
 def test_pair_invariants_and_split(spark):
     posts = FX.posts_event(spark, SF)
     ds = PR.pair_dataset(posts, 5, 10, 42, 230).cache()
