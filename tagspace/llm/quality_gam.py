@@ -238,7 +238,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
                 [batch.column(0), batch.column(2), *(pa.array(c) for c in x.T)], names=["doc_id", "y", *FEATURES])
 
     got = rows.select("doc_id", "text", "y").mapInArrow(
-        run, "doc_id long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+        run, "doc_id long, y int, " + ", ".join(f"{f} double" for f in FEATURES))
+    # one row of a repeated doc_id (with the least features), so that the bound holds for rows too
+    got = got.groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("x")).select("doc_id", "x.*").toPandas()
     got = got.sort_values(["doc_id", *FEATURES])
     return fit(got[FEATURES].to_numpy(np.float64), got["y"].to_numpy(np.float64))
 
@@ -277,5 +279,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """``docs`` without the rows that score below ``cut``; its columns stay as they are."""
-    return with_scores(docs, train(docs, labels), "_quality_score").where(F.col("_quality_score") >= cut).drop("_quality_score")
+    """``docs`` without the rows that score below ``cut``; its columns stay as they are,
+    whatever their names."""
+    score = "quality_score"
+    while score in docs.columns:
+        score = "_" + score
+    return with_scores(docs, train(docs, labels), score).where(F.col(score) >= cut).drop(score)
