@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagspace.functions.text import tags_of
+from tagspace.operators.taglists import text_matches_tags  # noqa: F401  (F20, kept under this name)
 
 
 def mentions(posts: DataFrame, text: str = "text", group: str = "grp",
@@ -83,10 +84,3 @@ def tag_cooccurrence(posts: DataFrame, filter_tags: DataFrame | None = None,
         t = restrict_to(t, filter_tags)
     edges = t.select("tag", F.explode("tags").alias("other"))
     return edges.distinct()
-
-
-def text_matches_tags(posts: DataFrame, tags, literal: bool = False,
-                      text: str = "text") -> DataFrame:
-    """posts whose text matches any ``#tag`` (substring regex); no column added."""
-    from tagspace.functions.predicates import text_mentions_any
-    return posts.filter(text_mentions_any(tags, text, literal))

@@ -46,3 +46,18 @@ def test_encoder_dispatch():
     EM.register_encoder("sbert-ht", lambda: EM.numpy_hash_encoder(8))
     assert EM.encoder_for("sbert-ht") == "registered"
     assert EM.encoder_for("sbert-ht", legacy_dispatch=True) == "batched"
+
+
+def test_tag_lists_literal_and_whole(spark):
+    import random
+    import re
+    r = random.Random(6)
+    parts = ["#k1", "#k10", "#k.1", "#kx1", "#K1", "##k1", "#k1#k2", "#ü", "#k1-", "#k1_", "#k1\u0301", "k1", " ", "#", "#1", "\n"]
+    rows = [(i, "A", "".join(r.choice(parts) for _ in range(r.randrange(6)))) for i in range(300)] + [(900, "A", None), (901, "A", "")]
+    df = _posts(spark, rows)
+    for tags in (["k1"], ["k.1", "ü"], ["k1", "k2", "", "not a tag"], [f"k{i}" for i in range(1000)]):
+        ids = lambda **kw: {x.post_id for x in TG.text_matches_tags(df, tags, **kw).collect()}  # noqa: E731, B023
+        assert ids(literal=True) == {i for i, _, t in rows if t is not None and any("#" + x in t for x in tags)}
+        own = {i: set(re.findall(r"#[\w]+", t or "")) for i, _, t in rows}
+        assert ids(whole_tag=True) == {i for i in own if own[i] & {"#" + x for x in tags if x}}
+    assert TG.text_matches_tags(df, []).count() == 0
