@@ -69,18 +69,20 @@ def _every_post(posts: DataFrame, found: DataFrame, dim: int) -> DataFrame:
 def hash_embed(posts: DataFrame, dim: int = 32, text: str = "text") -> DataFrame:
     """Signed feature hashing: (post_id, n_tokens, embedding array<double>[dim]), one row
     per post; a post without tokens has the zero vector."""
-    toks = posts.select("post_id", F.explode(tokens(text)).alias("tok"))
+    # a post without tokens keeps a row, whose token is null and counts for nothing
+    toks = posts.select("post_id", F.explode_outer(tokens(text)).alias("tok"))
     h = hash32(F.col("tok"))
-    toks = toks.select("post_id", F.pmod(h, F.lit(dim)).cast("int").alias("b"),
-                       F.when(F.shiftright(h, 31) == 0, 1.0).otherwise(-1.0).alias("sg"))
-    cells = toks.groupBy("post_id", "b").agg(F.sum("sg").alias("v"), F.count(F.lit(1)).alias("c"))
-    per = cells.groupBy("post_id").agg(F.sum("c").alias("n_tokens"),
-                                       F.map_from_entries(F.collect_list(F.struct("b", "v")))
-                                       .alias("m"))
+    some = F.col("tok").isNotNull()
+    toks = toks.select("post_id", F.when(some, F.pmod(h, F.lit(dim)).cast("int")).alias("b"),
+                       F.when(some, F.when(F.shiftright(h, 31) == 0, 1.0).otherwise(-1.0)).alias("sg"))
+    cells = toks.groupBy("post_id", "b").agg(F.sum("sg").alias("v"), F.count("sg").alias("c"))
+    cell = F.when(F.col("b").isNotNull(), F.struct("b", "v"))  # collect_list leaves nulls out
+    per = cells.groupBy("post_id").agg(F.sum("c").cast("bigint").alias("n_tokens"),
+                                       F.map_from_entries(F.collect_list(cell)).alias("m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                       lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
     raw = per.select("post_id", "n_tokens", vec.alias("embedding"))
-    return _every_post(posts, unit_embeddings(raw).withColumnRenamed("u", "embedding"), dim)
+    return unit_embeddings(raw).withColumnRenamed("u", "embedding").select("post_id", "n_tokens", "embedding")
 
 
 def encode_batches(posts: DataFrame, make_encoder: Callable[[], Callable], dim: int,
