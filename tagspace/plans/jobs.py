@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from tagspace.operators.masks import apply_mask
 from tagspace.operators.salience import PARTY_NAME_DICT, salience_matrix
 from tagspace.plans.experiment import experiment_grid
 from tagspace.plans.grid import Config
+from tagspace.session import cut_lineage
 from tagspace.sources import files as FS
 from tagspace.sources import sinks as SK
 
@@ -55,10 +58,8 @@ def gather_job(spark: SparkSession, path: str, out: str, year_lower: int = 2013,
                                 group_col=group_col, merge=merge, fmt=fmt, **kw)
     ds = PR.pair_dataset(posts, num_groups, threshold, seed, n_samples, k)
     split = PR.split_dataset(ds, seed)
-    train = split.filter(F.col("split") == "train")
-    val = split.filter(F.col("split") == "val")
     year = year_lower if year_lower == year_upper else f"{year_lower}-{year_upper}"
-    return SK.write_pairs(train, val, out, year, suffix)
+    return SK.write_split(split, out, year, suffix)
 
 
 # the groups that the embedding job writes when none are listed (fixed values)
@@ -83,14 +84,19 @@ def embed_job(spark: SparkSession, path: str, out: str, year: int, model: str =
 
 def evaluate_job(spark: SparkSession, pairs_path: str, split: str = "val", model: str = "hash-32",
                  dim: int | None = None, words: DataFrame | None = None,
-                 fmt: str = "csv") -> DataFrame:
-    """Validation pairs → embeddings of both texts by ``model`` → correlations (M3)."""
+                 fmt: str = "csv", out: str | None = None) -> DataFrame:
+    """Validation pairs → embeddings of both texts by ``model`` → correlations (M3), written to
+    ``out`` where it is given."""
     pairs = FS.read_pairs(spark, pairs_path, fmt, split)
     texts = (pairs.select(F.col("sent1").alias("text")).union(pairs.select(F.col("sent2")))
              .distinct().withColumn("post_id", F.md5("text")))
     emb = EM.encode_posts(texts, model, dim, words).select(F.col("post_id").alias("id"), "embedding")
     p = pairs.select(F.md5("sent1").alias("id1"), F.md5("sent2").alias("id2"), "label")
-    return pair_similarity_eval(p, emb)
+    result = pair_similarity_eval(p, emb)
+    if out is not None:
+        result = cut_lineage(result)
+        SK.write_evaluation(result, out, model, split)
+    return result
 
 
 def experiment_job(spark: SparkSession, posts_path: str, emb_path: str, salience_path: str,
@@ -99,14 +105,18 @@ def experiment_job(spark: SparkSession, posts_path: str, emb_path: str, salience
                    schema: T.StructType | None = None, id_col: str = "tweet_id",
                    group_col: str = "party", merge=None, **kw) -> str:
     """X1 by path: posts and salience table of ``year``, the embeddings that ``model`` made of
-    it → Mantel tests per configuration → result rows appended to ``out``."""
+    it → Mantel tests per configuration → result rows committed to ``out`` (read by
+    ``read_results``); a repeated run, of the same model, year, evaluation and configurations,
+    replaces its rows."""
     more = {} if schema is None else {"schema": schema}
     posts = FS.read_posts(spark, posts_path, year, id_col=id_col, group_col=group_col, merge=merge,
                           fmt=fmt, **more)
     emb = FS.read_embeddings(spark, emb_path, SK.safe_name(model), year).select("post_id", "embedding")
     y = salience_matrix(FS.read_salience(spark, salience_path), year, groups, salience_mode, name_map=name_map)
     res = experiment_grid(posts, emb, y, groups, configs, **kw)
-    return SK.write_results(result_columns(res, model, year, f"{salience_mode}_manifesto_matrix"), out)
+    evaluation = f"{salience_mode}_manifesto_matrix"
+    runs = hashlib.md5(repr([*configs]).encode()).hexdigest()[:12]
+    return SK.commit_results(result_columns(res, model, year, evaluation), out, f"{model}-{year}-{evaluation}-{runs}")
 
 
 def result_columns(res: DataFrame, model: str, year: int, evaluation: str) -> DataFrame:

@@ -30,10 +30,15 @@ def write_pairs(train: DataFrame, val: DataFrame, out: str, year, suffix: str |
                 quote_all: bool = False) -> str:
     """CSV pairs (sent1, sent2, label), partitioned by year and split; only the written
     partitions are replaced, other years stay."""
+    both = (train.select("sent1", "sent2", "label").withColumn("split", F.lit("train"))
+            .unionByName(val.select("sent1", "sent2", "label").withColumn("split", F.lit("val"))))
+    return write_split(both, out, year, suffix, quote_all)
+
+
+def write_split(pairs: DataFrame, out: str, year, suffix: str | None = None, quote_all: bool = False) -> str:
+    """S6 of one frame with a ``split`` column, so that what makes the pairs runs once."""
     tag = f"{year}" if not suffix else f"{year}_{suffix}"
-    df = (train.select("sent1", "sent2", "label").withColumn("split", F.lit("train"))
-          .unionByName(val.select("sent1", "sent2", "label").withColumn("split", F.lit("val")))
-          .withColumn("year", F.lit(tag)))
+    df = pairs.select("sent1", "sent2", "label", "split").withColumn("year", F.lit(tag))
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year", "split").option("header", True)
      .option("quoteAll", quote_all).option("escape", '"').csv(out))
@@ -57,8 +62,48 @@ def write_filtered(emb: DataFrame, out: str, mode: str, config: str) -> str:
     return out
 
 
+def commit_results(results: DataFrame, out: str, run: str) -> str:
+    """The result rows of one run, in place of those that it left before.
+
+    Rows are staged in a folder of their own; a line (run, folder, number) in the list of
+    commits, one file that appears whole or not at all, makes them count. A job that ends before
+    that line leaves nothing that ``read_results`` reads; a repeated run has one more line,
+    and the last one counts.
+    """
+    spark = results.sparkSession
+    folder = f"{safe_name(run)}-{uuid.uuid4().hex}"
+    results.write.parquet(f"{out}/data/{folder}")
+    before = _commits(spark, out).where(F.col("run") == run).agg(F.max("number")).first()[0] if _has_commits(spark, out) else None
+    line = spark.createDataFrame([(run, folder, (before or 0) + 1)], "run string, folder string, number long")
+    line.coalesce(1).write.mode("append").parquet(f"{out}/commits")
+    return out
+
+
+def read_results(spark: SparkSession, out: str) -> DataFrame:
+    """The committed rows of every run (its last commit)."""
+    last = _commits(spark, out).groupBy("run").agg(F.max_by("folder", F.struct("number", "folder")).alias("folder"))
+    folders = sorted(r["folder"] for r in last.collect())  # one per run
+    return spark.read.parquet(*[f"{out}/data/{f}" for f in folders])
+
+
+def _commits(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("run string, folder string, number long").parquet(f"{out}/commits")
+
+
+def _has_commits(spark: SparkSession, out: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/commits")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def write_evaluation(result: DataFrame, out: str, model: str, split: str) -> str:
+    """X6's result rows by model and split; a repeated evaluation replaces its own."""
+    (result.withColumn("model", F.lit(safe_name(model))).withColumn("split", F.lit(split))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "split").parquet(out))
+    return out
+
+
 def write_results(results: DataFrame, out: str, fmt: str = "parquet") -> str:
-    """Append result rows (one per configuration and method, named by model and year)."""
+    """Plain append of result rows; ``commit_results`` keeps each run's rows once."""
     w = results.write.mode("append")
     if fmt == "csv":
         w.option("header", True).option("quoteAll", True).csv(out)

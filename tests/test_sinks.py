@@ -66,3 +66,23 @@ def test_rerun_and_other_year_keep_partitions(spark):
     for _ in range(2):
         SK.write_filtered(emb, out, "time", "time-(6, 9)")
     assert spark.read.parquet(out).count() == 1
+
+
+def test_results_are_committed_once_per_run(spark):
+    out = SK.scratch_path(spark, "committed")
+    row = lambda x: spark.createDataFrame([("full", x), ("time", x)], "mode string, r double")
+    SK.commit_results(row(0.1), out, "m/a 2013")
+    SK.commit_results(row(0.2), out, "other")
+    SK.commit_results(row(0.3), out, "m/a 2013")  # the same run again
+    row(0.9).write.parquet(f"{out}/data/killed")  # a job that ended between its rows and the commit
+    assert sorted((r.mode, r.r) for r in SK.read_results(spark, out).collect()) == [
+        ("full", 0.2), ("full", 0.3), ("time", 0.2), ("time", 0.3)]
+
+
+def test_evaluation_is_written_by_model_and_split(spark):
+    out = SK.scratch_path(spark, "evaluation")
+    row = spark.createDataFrame([("cosine", 0.5)], "metric string, pearson double")
+    for model, split in (("a/b", "val"), ("c", "val"), ("a/b", "val"), ("a/b", "train")):
+        SK.write_evaluation(row, out, model, split)
+    assert sorted((r.model, r.split) for r in spark.read.parquet(out).collect()) == [
+        ("a_b", "train"), ("a_b", "val"), ("c", "val")]
