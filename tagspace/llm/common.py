@@ -4,7 +4,7 @@ folder, size-checked broadcasts and vectorised word hashing over Arrow batches."
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,33 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def without(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` without the rows whose ids ``find`` returns (doc_id) for rows (doc_id, text).
+
+    Rows are told apart by doc_id, null too, and text: where an id is null or repeated, ``find``
+    sees each of its different texts under a number of its own above all ids. Rows that agree in
+    both go or stay together. Other columns, whatever their names, stay as they are.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    odd_ids = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+                      .select(F.col("doc_id").alias("odd_id")), "odd-ids")
+    if odd_ids.isEmpty():
+        gone = written(find(rows).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    of_odd = F.col("doc_id").eqNullSafe(F.col("odd_id"))
+    after = F.lit((rows.agg(F.max("doc_id")).first()[0] or 0) + 1)
+    odd = written(rows.join(odd_ids, of_odd, "left_semi").distinct()
+                  .select((after + F.monotonically_increasing_id()).alias("row_id"), "doc_id", "text"), "odd")
+    seen = rows.join(odd_ids, of_odd, "left_anti").unionByName(odd.select(F.col("row_id").alias("doc_id"), "text"))
+    gone = written(find(seen).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    digest = lambda text: F.sha2(text.cast("string").cast("binary"), 256)
+    lost = (odd.join(gone, F.col("row_id") == F.col("gone_id"), "left_semi")
+            .select(F.col("doc_id").alias("lost_id"), digest(F.col("text")).alias("lost_sha256")))
+    out = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return out.join(lost, docs["doc_id"].eqNullSafe(lost["lost_id"])
+                    & digest(docs["text"]).eqNullSafe(lost["lost_sha256"]), "left_anti")
+
+
 def slices(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have about ``most`` bytes together."""
     n, at = len(offsets) - 1, 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
                  .where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        at = written(_small_star(_large_star(at)), "stars")
+        before, at = at, written(_small_star(_large_star(at)), "stars")
+        release(before)
         now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -12,31 +12,43 @@ pairs are formed:
 1. every document is compared with the smallest of the smallest members of its buckets;
 2. while buckets hold several components, every document in such a bucket is compared with one
    more centre of its buckets, for ``STARS`` rounds: at most one pair per document and round;
-3. in buckets that still do, members outside the largest component are compared with all others
-   of another component, in tiles of bounded size, by their registers and then by their sets.
+3. buckets of at most ``FEW`` members that still do give their pairs of different components;
+4. the larger ones that still do are compared in groups. Buckets that share documents hold largely
+   the same ones, once per band; a group is therefore all documents of buckets that hang together,
+   each once, or a single bucket where that moves fewer rows. Groups are cut into tiles of two
+   blocks of at most about ``BLOCK`` documents; a tile compares registers, then counts the shingles
+   that its documents have in common by one matrix product, and returns at most one link for
+   each of its documents.
 
 A link between two members of one bucket is thus either found or joins documents that are already
-in one component. What remains is the chance that a pair at the threshold shares no band:
-(1 - 0.85^5)^25, less than one in a million; at 80 percent (1 - 0.8^5)^25, 5 in 100,000.
+in one component, but for two chances: that a pair at the threshold shares no band, (1 - 0.85^5)^25,
+less than one in a million (at 80 percent (1 - 0.8^5)^25, 5 in 100,000), and that its registers
+estimate it six standard deviations too low (less than one in ten million).
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, slices, text_buffers, word_hashes, word_spans, written
+from .common import mix, release, shingle_hashes, slices, small, text_buffers, without, word_hashes, word_spans, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, MANTISSA = 25, 5, 10
-#: Rounds of one comparison per document; members of a bucket that meet as many others in one group.
-STARS, TILE = 2, 256
+#: Rounds of one comparison per document; members of a bucket whose pairs are formed.
+STARS, FEW = 2, 4
+#: Documents of one side of a tile and shingles that they have together, on average at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Columns (shingles) of the matrices that a tile multiplies at a time.
+COLUMNS = 2048
+#: Parts that the members of a bucket are dealt to when they meet a table of too many buckets to broadcast.
+SALT = 16
 #: Standard deviations below the threshold from which an estimate lets a pair go.
 DEVIATIONS = 6.0
 #: Chance that two registers of equally large, disjoint sets agree, times 2**MANTISSA.
@@ -186,6 +198,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _by_bucket(rows: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (key, ...) joined to ``buckets``, one row per key, without all members of a bucket
+    going to one task: a short table is broadcast, of a longer one each member meets a copy."""
+    buckets = written(buckets, "buckets")
+    few = small(buckets)
+    if few is not buckets:
+        return rows.join(few, "key", how)
+    salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return (rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+            .join(salted, ["key", "salt"], how).drop("salt"))
+
+
 def _active(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(key, doc_id, label) of the buckets with several components."""
     if labels is None:
@@ -195,42 +219,124 @@ def _active(members: DataFrame, labels: DataFrame | None) -> DataFrame:
                 .select("key", "doc_id", F.coalesce("component", "doc_id").alias("label")))
     open_ = (rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
              .where("low < high").select("key"))
-    return rows.join(open_, "key", "left_semi")
+    return _by_bucket(rows, open_, "left_semi")
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def _with_centres(active: DataFrame, priority) -> DataFrame:
     """One pair for each document with a centre of another component: a bucket's centre is its
     member of least priority, and a document takes the least of its buckets' centres."""
     centre = active.groupBy("key").agg(F.min(F.struct(priority.alias("p"), "doc_id", "label")).alias("c"))
-    own = (active.join(centre, "key").where(F.col("label") != F.col("c.label"))
+    own = (_by_bucket(active, centre).where(F.col("label") != F.col("c.label"))
            .groupBy("doc_id").agg(F.min("c").alias("c")))
-    return own.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-
-
-def _tiles(active: DataFrame, sketched: DataFrame, tile: int) -> DataFrame:
-    """Rows of the tiles (key, i, j): on the left members outside the bucket's largest component,
-    on the right all members. A tile has at most about ``tile`` rows on either side."""
-    sizes = active.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    shape = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"),
-                                     F.sum("n").alias("all"), F.max("n").alias("largest"))
-    rows = (active.join(shape, "key")
-            .select("key", "doc_id", "label", (F.col("label") != F.col("major")).alias("minor"),
-                    F.ceil(F.col("all") / tile).cast("int").alias("wide"),
-                    F.ceil((F.col("all") - F.col("largest")) / tile).cast("int").alias("deep"))
-            .join(sketched.select("doc_id", "n_shingles", "registers"), "doc_id"))
-    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["key", "doc_id", "label", "n_shingles", "registers"]
-    left = rows.where("minor").select(*own, part("deep").alias("i"), upto("wide").alias("j"), F.lit(True).alias("left"))
-    right = rows.select(*own, upto("deep").alias("i"), part("wide").alias("j"), F.lit(False).alias("left"))
-    return left.unionByName(right)
-
-
-def _by_tile(rows: DataFrame, work: Callable[[pa.Table], list[tuple]], schema: str) -> DataFrame:
-    """``work`` on the rows of each tile; the output has the columns of ``schema``."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.bool_() if x.endswith("boolean") else pa.int32() if x.endswith("int") else pa.int64()
-             for x in schema.split(", ")]
+    return own.select(*_ordered("doc_id", "c.doc_id")).distinct()
+
+
+def _few(active: DataFrame, few: int = FEW) -> DataFrame:
+    """Pairs of different components in buckets of at most ``few`` members."""
+    ids = F.sort_array(F.collect_list(F.struct("doc_id", "label")))
+    held = active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= few).select("key")
+    rows = _by_bucket(active, held, "left_semi").groupBy("key").agg(ids.alias("ids"))
+    one = rows.select("ids", F.posexplode("ids").alias("at", "x"))
+    both = one.select("x", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("y"))
+    return both.where("x.label <> y.label").select(*_ordered("x.doc_id", "y.doc_id")).distinct()
+
+
+def _groups(active: DataFrame, nodes: DataFrame, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(gid, doc_id, label, blocks) of the groups in which the members of open buckets are compared:
+    all documents of connected buckets, or the buckets by themselves, whichever moves fewer rows."""
+    sized = active.join(nodes.select("doc_id", "n_shingles"), "doc_id")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("total") / shingles)).cast("int")
+    size = [F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")]
+    lowest = active.groupBy("key").agg(F.min("doc_id").alias("low"))
+    whole = components(_by_bucket(active, lowest).select(F.col("low").alias("a"), F.col("doc_id").alias("b")))
+    of = written(sized.join(whole.withColumnRenamed("node", "doc_id"), "doc_id"), "hanging")
+    once = of.select("component", "doc_id", "label", "n_shingles").distinct()
+    joint = once.groupBy("component").agg(*size).select("component", blocks.alias("blocks"), "n")
+    apart = of.groupBy("component", "key").agg(*size).select("component", "key", blocks.alias("blocks"), "n")
+    apart = written(apart, "apart")
+    cost = (apart.groupBy("component").agg(F.sum(F.col("blocks") * F.col("n")).alias("cost"))
+            .join(joint, "component"))
+    cheap = written(cost.select("component", (F.col("n") * F.col("blocks") <= F.col("cost")).alias("joined"), "blocks"), "cheap")
+    together = (once.join(small(cheap.where("joined")), "component")
+                .select(F.struct(F.lit(0).alias("kind"), F.col("component").alias("id")).alias("gid"), "doc_id", "label", "blocks"))
+    shape = apart.join(cheap.where("NOT joined").select("component"), "component", "left_semi").select("key", "blocks")
+    alone = (_by_bucket(active, shape)
+             .select(F.struct(F.lit(1).alias("kind"), F.col("key").alias("id")).alias("gid"), "doc_id", "label", "blocks"))
+    return together.unionByName(alone)
+
+
+def _tiles(groups: DataFrame) -> DataFrame:
+    """A row of (gid, lo, hi, block, ...) for each tile of a document: its block and any block."""
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = groups.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("gid.kind", "gid.id", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                       "block", "doc_id", "label")
+
+
+def common_shingles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left`` with the sets ``right``."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    used = np.union1d(left, right)
+    place = np.full(len(sets), -1)
+    place[used] = np.arange(len(used))
+    owner = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    _, column, n = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True, return_counts=True)
+    shared = n[column] > 1
+    owner, column = owner[shared], (np.cumsum(n > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        held = np.zeros((len(used), COLUMNS), np.float32)
+        held[owner[a:b], column[a:b] - at] = 1
+        out += (held[place[left]] @ held[place[right]].T).astype(np.int64)  # whole numbers up to COLUMNS
+    return out
+
+
+def _links_in_tile(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a tile's documents, at most one for each document."""
+    label, n, ids, block = (rows.column(c).to_numpy() for c in ("label", "n_shingles", "doc_id", "block"))
+    if rows.column("lo")[0].as_py() == rows.column("hi")[0].as_py():
+        names, count = np.unique(label, return_counts=True)
+        left, right = np.flatnonzero(label != names[count.argmax()]), np.arange(len(ids))
+    else:
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    if not len(left) or (label == label[0]).all():
+        return []
+    registers = _matrix(rows.column("registers").to_pylist())
+    equal = np.zeros((len(left), len(right)), np.int16)
+    for j in range(registers.shape[1]):
+        equal += registers[left, j][:, None] == registers[right, j][None, :]
+    a, b = n[left][:, None], n[right][None, :]
+    likely = ((label[left][:, None] != label[right][None, :])
+              & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+              & (estimated(equal / registers.shape[1], a, b) >= least_estimate(percent)))
+    some, others = likely.any(axis=1), likely.any(axis=0)
+    left, right, likely = left[some], right[others], likely[some][:, others]
+    if not len(left):
+        return []
+    common = common_shingles([np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()], left, right)
+    linked = likely & (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common))
+    out, part = [], np.unique(label, return_inverse=True)[1]
+    for k in np.flatnonzero(linked.any(axis=1)):
+        to = right[linked[k]]
+        parts, first = np.unique(part[to], return_index=True)
+        new = parts != part[left[k]]
+        out += [tuple(sorted((int(ids[left[k]]), int(ids[to[f]])))) for f in first[new]]
+        if new.any():
+            part[np.isin(part, parts)] = part[left[k]]
+    return out
+
+
+def _across(active: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, **sizes) -> DataFrame:
+    """Links between components in the open buckets, enough of them to join what is linked."""
+    rows = (_tiles(_groups(active, nodes, **sizes)).join(nodes.select("doc_id", "n_shingles", "registers"), "doc_id")
+            .join(sets, "doc_id"))
+    tile = ["kind", "id", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last tile, which the next batch may go on with
@@ -240,84 +346,15 @@ def _by_tile(rows: DataFrame, work: Callable[[pa.Table], list[tuple]], schema: s
             rows = pa.Table.from_batches(held) if held else None
             if rows is None or not rows.num_rows:
                 continue
-            tile = np.column_stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-            edge = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(axis=1)]))
-            ends = np.append(edge[1:], len(tile))
-            out = [row for a, b in list(zip(edge, ends, strict=True))[:None if batch is None else -1]
-                   for row in work(rows.slice(a, b - a))]
+            at = np.column_stack([rows.column(c).to_numpy() for c in tile])
+            edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
+            ends = np.append(edge[1:], len(at))
+            done = list(zip(edge, ends, strict=True))[:None if batch is None else -1]
+            out = [link for a, b in done for link in _links_in_tile(rows.slice(a, b - a), percent)]
             held = rows.slice(edge[-1]).to_batches()
-            cols = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
-
-
-def _likely_in_tile(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(left row, right rows) of a tile whose sizes and registers allow a link, in the first
-    band only that the two have in common."""
-    left, label, n, ids = (rows.column(c).to_numpy() for c in ("left", "label", "n_shingles", "doc_id"))
-    registers = _matrix(rows.column("registers").to_pylist())
-    key = rows.column("key")[0].as_py()
-    band = next(b for b in range(BANDS) if _band_keys(registers[:1], b)[0] == key)
-    right = np.flatnonzero(~left)
-    low = least_estimate(percent)
-    for x in np.flatnonzero(left):
-        at = right[(label[right] != label[x])
-                   & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
-        if not len(at):
-            continue
-        equal = registers[at] == registers[x]
-        ok = estimated(equal.mean(axis=1), n[at], n[x]) >= low
-        first = equal[ok].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-        at = at[ok][first == band]
-        # two documents outside the largest component are on either side: one order is enough
-        both = np.isin(ids[at], ids[left])
-        at = at[~both | (ids[at] > ids[x])]
-        if len(at):
-            yield int(x), at
-
-
-def _across(active: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Links of members outside their bucket's largest component with members of any other.
-
-    Registers tell which rows of a tile have a likely partner; only those get their full sets,
-    and are verified inside the tile, so that no pair leaves it but links. Of the links of a tile
-    those that join components are enough.
-    """
-    rows = written(_tiles(active, sketched, tile), "tiles")
-
-    def mark(part: pa.Table) -> list[tuple]:
-        found: set[int] = set()
-        for x, at in _likely_in_tile(part, percent):
-            found.add(x)
-            found.update(at.tolist())
-        key, i, j, left, ids = (part.column(c) for c in ("key", "i", "j", "left", "doc_id"))
-        return [(key[r].as_py(), i[r].as_py(), j[r].as_py(), left[r].as_py(), ids[r].as_py()) for r in found]
-
-    marked = written(_by_tile(rows, mark, "key long, i int, j int, left boolean, doc_id long"), "marked")
-    tile_row = ["key", "i", "j", "left", "doc_id"]
-
-    def verify(part: pa.Table) -> list[tuple]:
-        label, ids = part.column("label").to_numpy(), part.column("doc_id").to_numpy()
-        shingles = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
-        low: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while low.get(x, x) != x:
-                x = low[x]
-            return x
-
-        out = []
-        for x, at in _likely_in_tile(part, percent):
-            for y in at.tolist():
-                p, q = root(int(label[x])), root(int(label[y]))
-                if p != q and _link(shingles[x], shingles[y], percent):
-                    low[max(p, q)] = min(p, q)
-                    out.append((int(ids[x]), int(ids[y])))
-        return out
-
-    rows = rows.join(marked, tile_row, "left_semi").join(sets, "doc_id")
-    return _by_tile(rows, verify, "a long, b long").distinct()
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -347,21 +384,35 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
 
     def verified(pairs: DataFrame) -> DataFrame:
         likely = written(_likely(pairs, nodes, percent), "likely")
-        return written(_linked(likely, sets, percent), "links")
+        found = written(_linked(likely, sets, percent), "links")
+        release(likely)
+        return found
+
+    def still_active(rows: DataFrame) -> DataFrame:
+        left = written(_active(rows.drop("label"), labels), "active")
+        release(rows)
+        return left
 
     tested = links = labels = None
-    active = members
-    for turn in range(STARS):
-        active = written(_active(active.drop("label"), labels), "active")
-        pairs = _with_centres(active, F.xxhash64(F.lit(turn), "doc_id") if turn else F.col("doc_id"))
+    active, compared = members, []
+    for turn in range(STARS + 1):
+        active = still_active(active)
+        if turn < STARS:
+            pairs = _with_centres(active, F.xxhash64(F.lit(turn), "doc_id") if turn else F.col("doc_id"))
+        else:
+            pairs = _few(active)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = verified(pairs)
+        compared.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "labels")
-    active = written(_active(active.drop("label"), labels), "active")
-    links = links.unionByName(written(_across(active, nodes, sets, percent), "links"))
-    labels = written(components(links), "labels")
+    larger = active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("key")
+    active = written(_active(_by_bucket(active.drop("label"), larger, "left_semi"), labels), "active")
+    if not active.isEmpty():
+        links = links.unionByName(written(_across(active, nodes, sets, percent), "links"))
+        labels = written(components(links), "labels")
+    release(active, nodes, sets, *compared)  # the result reads none of them
 
     out = (sketched.select("doc_id", *key).join(equal, key, "left")
            .withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
@@ -371,6 +422,6 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents of a group but its smallest doc_id."""
-    gone = near_groups(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without the documents of a group but its smallest doc_id. Rows are told apart by
+    doc_id, null too, and text; of a group the rows whose id is null or repeated go first."""
+    return without(docs, lambda rows: near_groups(rows, percent).where(~F.col("kept")))

@@ -119,11 +119,50 @@ def test_near_across_finds_links_between_small_components(spark):
     sketched, sets = near_dedup.sketches(frame(spark, rows)).cache(), near_dedup.shingle_sets(frame(spark, rows))
     label = F.when(F.col("doc_id") < 10, 0).otherwise(F.col("doc_id")).alias("label")
     active = sketched.select("doc_id", label, F.explode("bands").alias("key"))
-    for tile in (1, 4, 100):
-        got = {(r.a, r.b) for r in near_dedup._across(active, sketched, sets, 85, tile).collect()}
+    for size in ({"block": 1}, {"block": 7}, {}, {"shingles": 200}):
+        got = {(r.a, r.b) for r in near_dedup._across(active, sketched, sets, 85, **size).collect()}
         assert {tuple(sorted(p)) for p in got} == {(i, i + 1) for i in range(10, 40, 2)}
 
 
+def test_common_shingles_against_sets(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(near_dedup, "COLUMNS", 16)
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 300, r.integers(0, 200)).astype(np.uint64)) for _ in range(30)]
+    left, right = np.array([3, 0, 29, 7]), np.arange(30)
+    want = [[len(set(sets[a].tolist()) & set(sets[b].tolist())) for b in right] for a in left]
+    assert near_dedup.common_shingles(sets, left, right).tolist() == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_large_group_of_near_copies_against_all_pairs(spark, percent, monkeypatch):
+    """Copies about as far from one another as the threshold: most are in no large component."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    base = words(150, 5)
+    rows = []
+    for i in range(220):
+        r = random.Random(i)
+        rows.append((i, " ".join(w if r.random() > 0.02 else f"x{r.randrange(10 ** 6)}" for w in base)))
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    low = {i: i for i in sets}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                p, q = root(a), root(b)
+                low[max(p, q)] = min(p, q)
+    want = {i: root(i) for i in sets}
+    assert 5 < len(set(want.values())) < 215
+    got = {x.doc_id: x.component_id for x in near_dedup.near_groups(frame(spark, rows), percent).collect()}
+    assert got == want
+
+
 def brute_repeats(rows, n=100):
     seen, out = set(), {}
     for i, t in rows:
