@@ -47,7 +47,7 @@ STARS, FEW = 2, 4
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Columns (shingles) of the matrices that a tile multiplies at a time.
 COLUMNS = 2048
-#: Parts that the members of a bucket are dealt to when they meet a table of too many buckets to broadcast.
+#: Parts that the members of a bucket are dealt to.
 SALT = 16
 #: Standard deviations below the threshold from which an estimate lets a pair go.
 DEVIATIONS = 6.0
@@ -199,12 +199,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _by_bucket(rows: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` (key, ...) joined to ``buckets``, one row per key, without all members of a bucket
-    going to one task: a short table is broadcast, of a longer one each member meets a copy."""
-    buckets = written(buckets, "buckets")
-    few = small(buckets)
-    if few is not buckets:
-        return rows.join(few, "key", how)
+    """``rows`` (key, doc_id, ...) joined to ``buckets``, one row per key: members are dealt to
+    ``SALT`` parts of their bucket, each of which meets a copy, so no bucket goes to one task."""
     salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return (rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
             .join(salted, ["key", "salt"], how).drop("salt"))
@@ -406,12 +402,14 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
         compared.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        labels = written(components(links), "labels")
+        if turn < STARS:
+            labels = written(components(links), "labels")
     larger = active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("key")
-    active = written(_active(_by_bucket(active.drop("label"), larger, "left_semi"), labels), "active")
-    if not active.isEmpty():
-        links = links.unionByName(written(_across(active, nodes, sets, percent), "links"))
-        labels = written(components(links), "labels")
+    wide = written(_by_bucket(active, larger, "left_semi"), "wide")
+    if not wide.isEmpty():
+        links = links.unionByName(written(_across(wide, nodes, sets, percent), "links"))
+    labels = written(components(links), "labels")
+    compared.append(wide)
     release(active, nodes, sets, *compared)  # the result reads none of them
 
     out = (sketched.select("doc_id", *key).join(equal, key, "left")
