@@ -34,6 +34,8 @@ from tagspace.session import cut_lineage
 
 PIVOTS, DRAWN, CELL_ROWS, TILE_ROWS = 1024, 4, 256, 4096
 SAMPLE, MOST = 512, 0.1
+#: Vectors from which a search by cells is tried unasked: the pairs of fewer are soon multiplied.
+FEW = 8192
 #: Angles and similarities closer than this are not told apart.
 SLACK = 1e-6
 #: Bounds that are held, and rows that are returned at a time.
@@ -231,12 +233,15 @@ def _zero_rows(placed: DataFrame, cells: Cells) -> DataFrame:
                        F.lit(0.0).alias("best_sim"), F.col("x.id").alias("best_id"), others.alias("excl_sim"))
 
 
-def pruned(u: DataFrame, compare: Compare, schema: str, most: float = MOST,
-           cell_rows: int = CELL_ROWS) -> tuple[DataFrame, Search] | None:
+def pruned(u: DataFrame, compare: Compare, schema: str, most: float = MOST, cell_rows: int = CELL_ROWS,
+           least: int = 0) -> tuple[DataFrame, Search] | None:
     """Partial bests (rows of ``schema``) of all vectors ``u`` (id, grp, u), to be reduced per row
-    and group; and what was multiplied. None where bounds would leave more than ``most`` of the pairs."""
-    u = cut_lineage(u.select("id", "grp", "u"))
+    and group; and what was multiplied. None where bounds would leave more than ``most`` of the pairs,
+    or where there are fewer than ``least`` vectors."""
     n = u.count()
+    if n < max(least, 2 * cell_rows):
+        return None
+    u = cut_lineage(u.select("id", "grp", "u"))
     pivots = _pivots(u, min(PIVOTS, n // cell_rows))
     if len(pivots) < 2:
         return None

@@ -93,11 +93,12 @@ def _reduced(parts: DataFrame) -> DataFrame:
         F.max("excl_sim").alias("excl_sim"))
 
 
-def nearest_pruned(vecs: DataFrame, most: float = nearest.MOST,
-                   cell_rows: int = nearest.CELL_ROWS) -> tuple[DataFrame, nearest.Search] | None:
+def nearest_pruned(vecs: DataFrame, most: float = nearest.MOST, cell_rows: int | None = None,
+                   least: int = 0) -> tuple[DataFrame, nearest.Search] | None:
     """The rows of ``nearest_by_group`` without multiplying all pairs, and how many were; None
-    where more than ``most`` of them would be."""
-    got = nearest.pruned(unit_embeddings(vecs.select("id", "grp", "embedding")), _side, _bests_schema(vecs), most, cell_rows)
+    where more than ``most`` of them would be, or there are fewer than ``least`` vectors."""
+    got = nearest.pruned(unit_embeddings(vecs.select("id", "grp", "embedding")), _side, _bests_schema(vecs), most,
+                         cell_rows or nearest.CELL_ROWS, least)
     return got and (_reduced(got[0]), got[1])
 
 
@@ -107,7 +108,7 @@ def nearest_by_group(vecs: DataFrame, n_blocks: int | None = None) -> DataFrame:
     ``vecs`` has (id, grp, embedding); ids may be of any orderable type. With ``n_blocks`` all
     pairs are multiplied, in a grid of so many tiles a side.
     """
-    if n_blocks is None and (got := nearest_pruned(vecs)):
+    if n_blocks is None and (got := nearest_pruned(vecs, least=nearest.FEW)):
         return got[0]
     schema = _bests_schema(vecs)
     u = unit_embeddings(vecs.select("id", "grp", "embedding"))

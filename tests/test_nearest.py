@@ -59,6 +59,7 @@ def test_vectors_without_clusters_are_left_to_all_pairs(spark):
 @pytest.mark.parametrize("cell_rows", [8, 10 ** 6])
 def test_similarity_matrix_either_way(spark, cell_rows, monkeypatch):
     monkeypatch.setattr(nearest, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(nearest, "FEW", 0)
     v = spark.createDataFrame(clustered(200, 20, spread=0.02), VECS)
     tiles = {(r.g1, r.g2): r.value for r in TW.twin_similarity_matrix(v, n_blocks=2).collect()}
     got = {(r.g1, r.g2): r.value for r in TW.twin_similarity_matrix(v).collect()}
