@@ -3,8 +3,8 @@
 The benchmark's words are the vocabulary; other words of the corpus have no weight against it.
 Passages are windows of ``WINDOW`` words, every ``STEP`` words, of documents and of items. Their
 TF-IDF vectors, with counts over all documents, span the term space whose leading directions a
-randomised SVD finds, fitted on the items and on about ``FIT_DOCUMENTS`` documents: each task multiplies its passages with a thin matrix and back, and the sums,
-one row per term, are added by Spark. Passages whose latent vectors have a cosine of at least
+randomised SVD finds, fitted on the items and on all documents: each task multiplies its passages
+with a thin matrix and back, and the sums, one row per term, are added by Spark. Passages whose latent vectors have a cosine of at least
 ``COSINE`` with a window of an item are candidates. A candidate's surroundings are compared with
 the whole item: the longest common subsequence of their content words, and the share of the item's
 last sentence (its answer) that is there, decide.
@@ -12,8 +12,8 @@ last sentence (its answer) that is there, decide.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +27,6 @@ from .common import BETWEEN_ALNUM, slices, text_buffers, word_hashes, word_spans
 WINDOW, STEP = 32, 16
 #: Latent dimensions, further ones while they are sought, and passes of the power iteration.
 RANK, OVER, PASSES = 96, 16, 2
-#: Documents, chosen by a hash of doc_id, that the SVD is fitted on (expected number); all are searched.
-FIT_DOCUMENTS = 10_000
 COSINE = 0.6
 #: Share of passages from which a word is no content word, and least content words of an item.
 COMMON, LEAST_WORDS = 0.01, 6
@@ -36,6 +34,8 @@ COMMON, LEAST_WORDS = 0.01, 6
 ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 #: Items that one search holds at a time; more items are searched in blocks of so many.
 BLOCK_ITEMS = 1000
+#: Vocabulary up to which a task adds up its passages' products of terms before it multiplies.
+GRAM_TERMS = 4096
 #: Tokens of one vectorised step.
 STEP_TOKENS = 50_000
 
@@ -222,22 +222,41 @@ def _passages(place: np.ndarray, term: np.ndarray, idf: np.ndarray):
     return weighted(np.concatenate([half - 1, half]), np.concatenate([term, term]), idf)
 
 
+def _add_gram(gram: np.ndarray, passage: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
+    """Adds w w' of every passage to the upper half of the flat ``gram``; terms ascend in a passage."""
+    terms, at, apart = math.isqrt(len(gram)), np.arange(len(term)), 0
+    while len(at):
+        np.add.at(gram, term[at] * terms + term[at + apart], w[at] * w[at + apart])
+        apart += 1
+        at = at[at + apart < len(term)]
+        at = at[passage[at] == passage[at + apart]]
+
+
 def _multiplied(tokens: DataFrame, items: Items, thin: np.ndarray) -> np.ndarray:
-    """A'(A thin) over the documents' passages A: tasks add up their own, Spark adds the tasks'."""
+    """A'(A thin) over the documents' passages A: tasks add up their own, Spark adds the tasks'.
+    With a vocabulary of at most ``GRAM_TERMS`` a task forms A'A of its passages first."""
     k, thin = thin.shape[1], thin.astype(np.float32)
+    terms = len(thin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(thin), k))
+        total = np.zeros((terms, k))
+        gram = np.zeros(terms * terms, np.float32) if terms <= GRAM_TERMS else None
         for batch in batches:
             for _, _, place, term in _steps(batch, items.content):
                 passage, term, w, edge = _passages(place, term, items.idf)
+                if gram is not None:
+                    _add_gram(gram, passage, term, w)
+                    continue
                 down = np.add.reduceat(thin[term] * w[:, None], edge, axis=0)
                 back = np.repeat(down, np.diff(np.append(edge, len(w))), axis=0) * w[:, None]
                 order = np.argsort(term, kind="stable")
                 own, first = np.unique(term[order], return_index=True)
                 total[own] += np.add.reduceat(back[order], first, axis=0)
+        if gram is not None:
+            upper = gram.reshape(terms, terms)
+            total = upper @ thin + upper.T @ thin - upper.diagonal()[:, None] * thin
         some = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, j]) for j in range(k))],
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, j].astype(np.float64)) for j in range(k))],
                                          names=["term", *(f"y{j}" for j in range(k))])
 
     rows = (tokens.mapInArrow(run, "term long, " + ", ".join(f"y{j} double" for j in range(k)))
@@ -335,11 +354,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
         if not passages:
             return empty
         items.weigh(passages, holding)
-        share = min(1.0, FIT_DOCUMENTS / max(1, tokens.count()))
-        draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-        some = tokens.where(draw < int(share * (1 << 30)))
-        weight = passages * share / len(items.windows()[2])  # items and documents count alike
-        return _search(tokens, items, latent_directions(some, items, weight))
+        weight = passages / len(items.windows()[2])  # items and documents count alike
+        return _search(tokens, items, latent_directions(tokens, items, weight))
 
     for r in rows.toLocalIterator():
         block.append(tuple(r))
