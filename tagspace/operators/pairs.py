@@ -15,7 +15,12 @@ T x N anti join (R7): posts are dealt into hash buckets; each open tag scans
 its next range of buckets (the range doubles every round), dirty candidates
 are removed by joining their tags to the co-occurrence edges, and a tag closes
 once k clean posts lie in the part of its order already scanned completely.
+A tag that co-occurs with the heaviest tags scans only the posts without them.
 The result equals the full anti join followed by a per-tag top k.
+
+Pairs of a tag are formed from one row that holds its two samples: a bound on the
+hash, with room to spare, leaves little more than ``n_samples`` of them, and a tag
+that it leaves too few takes all its pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ HEAVY = 62          # commonest tags that a post's bitmap tells
 SAMPLE = 1024       # bitmaps that size the first ranges
 CELL_BITS, MOST_BITS = 12, 26  # posts that a part of a cell holds, and buckets, as powers of two
 N_SAMPLES = 230     # pairs per label and tag (function default; the command line used 320)
+SPARE = 10.0        # standard deviations of pairs that the hash bound leaves beyond those asked for
 
 
 def tagged_posts(posts: DataFrame, text: str = "text") -> DataFrame:
@@ -58,49 +64,96 @@ def positive_sample(tag_posts: DataFrame, common: DataFrame, seed: int, salt: st
     return top_k(tp, ["tag"], order, k)
 
 
+def _first_pairs(held: DataFrame, seed: int, salt: str, n_samples: int, triangle: bool) -> DataFrame:
+    """(tag, id1, id2): the first ``n_samples`` pairs of each row (tag, a, b) in md5 order, of all
+    of ``a`` with all of ``b``, or with ``triangle`` of each element of ``a`` with those after it."""
+    after = lambda i: F.slice("a", i + 2, F.greatest(F.size("a") - i - 1, F.lit(0)))
+    order = lambda x, y: hash_hex(F.lit(seed), F.lit(salt), F.col("tag"), x, y)
+    pair = lambda x, y: F.struct(order(x, y).alias("o"), x.alias("id1"), y.alias("id2"))
+    size = F.size("a").cast("bigint")
+    m = F.floor(size * (size - 1) / 2) if triangle else size * F.size("b")
+    share = (n_samples + SPARE * math.sqrt(n_samples)) / F.greatest(F.col("m"), F.lit(1))
+    edge = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share * TWO32).cast("bigint")), 8, "0")))
+    held = cut_lineage(held.withColumn("m", m).where("m > 0").withColumn("edge", edge))  # one row per tag
+    left = held.select("tag", "edge", "a", "b", F.posexplode("a").alias("i", "id1"))
+    left = left.select("tag", "edge", "id1", F.explode(after(F.col("i")) if triangle else F.col("b")).alias("id2"))
+    near = left.select("tag", "id1", "id2", order(F.col("id1"), F.col("id2")).alias("o"), "edge").where("o < edge")
+    near = near.groupBy("tag").agg(F.collect_list(F.struct("o", "id1", "id2")).alias("near"))
+    if triangle:
+        every = F.transform("a", lambda x, i: F.transform(after(i), lambda y: pair(x, y)))
+    else:
+        every = F.transform("a", lambda x: F.transform("b", lambda y: pair(x, y)))
+    enough = F.coalesce(F.size("near"), F.lit(0)) >= F.least(F.col("m"), F.lit(n_samples))
+    chosen = F.when(enough, F.col("near")).otherwise(F.flatten(every))
+    return (held.join(near, "tag", "left")
+            .select("tag", F.explode(F.slice(F.sort_array(chosen), 1, n_samples)).alias("p"))
+            .select("tag", "p.id1", "p.id2"))
+
+
+def _held(sample: DataFrame, out: str) -> DataFrame:
+    """(tag, out): the posts of each tag's sample (at most k) in the order of their rank."""
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "post_id")))
+    return sample.groupBy("tag").agg(F.transform(ranked, lambda x: x["post_id"]).alias(out))
+
+
 def positive_pairs(sample: DataFrame, seed: int, n_samples: int = N_SAMPLES) -> DataFrame:
     """(tag, id1, id2): n_samples 2-combinations of the sample, md5 order.
 
     id1 precedes id2 in the sample order. At most k(k-1)/2 pairs per tag are formed.
     """
-    a = sample.select("tag", F.col("post_id").alias("id1"), F.col("rank").alias("r1"))
-    b = sample.select("tag", F.col("post_id").alias("id2"), F.col("rank").alias("r2"))
-    pairs = a.join(b, "tag").filter(F.col("r1") < F.col("r2")).select("tag", "id1", "id2")
-    order = [hash_hex(F.lit(seed), F.lit("pp"), F.col("tag"), F.col("id1"), F.col("id2"))]
-    return top_k(pairs, ["tag"], order, n_samples, salt_buckets=0).drop("rank")
+    return _first_pairs(_held(sample, "a").withColumn("b", F.lit(None)), seed, "pp", n_samples, True)
 
 
-def heavy_tags(tpost: DataFrame, most: int = HEAVY) -> list[str]:
-    """The tags on the most posts (at most ``most``, so a bounded list)."""
-    top = tpost.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(most)
-    return [r["tag"] for r in top.collect()]
+def heavy_tags(per_tag: DataFrame, cooc: DataFrame, most: int = HEAVY) -> list[str]:
+    """The tags on the most posts (at most ``most``, so a bounded list), by the number of tags
+    that co-occur with them: what most tags co-occur with comes first."""
+    top = per_tag.orderBy(F.desc("np"), "other").limit(most)
+    asked = cooc.join(F.broadcast(top), "other").groupBy("other").agg(F.count(F.lit(1)).alias("asked"))
+    rows = top.join(asked, "other", "left").select("other", "np", F.coalesce("asked", F.lit(0)).alias("asked")).collect()
+    return [r["other"] for r in sorted(rows, key=lambda r: (-r["asked"], -r["np"], r["other"]))]
 
 
-def _parts(bucket_posts: int):
-    """Parts that a cell of ``2 ** level`` buckets is dealt to, of about ``2 ** CELL_BITS`` posts each."""
-    return F.expr(f"greatest(1L, shiftright(shiftleft({bucket_posts}L, level), {CELL_BITS}))")
+def _depths(posts: DataFrame, n: int, heavy: int) -> list[tuple[int, int]]:
+    """(depth, posts): numbers of first heavy tags, where the posts that have none of them are at
+    most half as many as at the depth before; so all depths together hold at most 2n posts."""
+    has = {r["clear"]: r["n"] for r in posts.groupBy("clear").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = [(0, n)]
+    for depth in range(1, heavy + 1):
+        left = sum(c for clear, c in has.items() if clear >= depth)
+        if 2 * left <= out[-1][1] and out[-1][1]:
+            out.append((depth, left))
+    return out
 
 
-def _scanned(open_tags: DataFrame, posts: DataFrame, nb: int, bucket_posts: int) -> DataFrame:
-    """(tag, ht, post_id, tags, h) of the posts in each tag's range of buckets whose heavy tags
+def _scanned(open_tags: DataFrame, posts: DataFrame, nb: int, depths: list[tuple[int, int]]) -> DataFrame:
+    """(tag, ht, post_id, rest, h) of the posts in each tag's range of buckets whose heavy tags
     are none of the tag's co-occurring ones. A range meets at most five cells of a power of two of
-    buckets, each dealt to parts of bounded size: an equi-join on (level, cell, part), with
-    one AND of two bitmaps for each post that is met. Rows that leave the join are candidates."""
+    buckets among the posts of its depth, each dealt to parts of bounded size: an equi-join on
+    (depth, level, cell, part), with one AND of two bitmaps for each post that is met. Rows that
+    leave the join are candidates."""
     level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("hi") - F.col("lo")) / 4.0))).cast("int")
     wide = cut_lineage(open_tags.withColumn("level", level))
-    levels = sorted(r["level"] for r in wide.select("level").distinct().collect())  # at most 32
+    size = dict(depths)
+    used = sorted((r["depth"], r["level"]) for r in wide.select("depth", "level").distinct().collect())  # at most 63 x 32
+    # about 2 ** CELL_BITS posts in each part of a cell
+    shapes = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(x).alias("level"), F.lit(max(
+        1, ((size[d] << x) // nb) >> CELL_BITS)).alias("parts")) for d, x in used]) if used else None
+    if not used:
+        shapes = F.array().cast("array<struct<depth:int,level:int,parts:int>>")
+    parts = F.element_at(F.filter(shapes, lambda s: (s["depth"] == F.col("depth")) & (s["level"] == F.col("level"))), 1)["parts"]
     cells = F.expr(f"greatest(1L, shiftright({nb}L, level))")
     first, last = (F.expr(f"shiftright(b0 + {x}, level)") for x in ("lo", "hi - 1"))
     asks = (wide.withColumn("at", F.explode(F.sequence(first, F.least(last, first + cells - 1))))
             .withColumn("cell", F.pmod("at", cells))
-            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), _parts(bucket_posts) - 1))))
-    held = (posts.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))))
+    held = posts.withColumn("s", F.explode(F.filter(shapes, lambda s: s["depth"] <= F.col("clear"))))
+    held = (held.select("post_id", "rest", "mask", "h", "bucket", "s.depth", "s.level", "s.parts")
             .withColumn("cell", F.expr("shiftright(bucket, level)"))
-            .withColumn("part", F.pmod(F.xxhash64("post_id"), _parts(bucket_posts))))
-    return (asks.join(held, ["level", "cell", "part"])
+            .withColumn("part", F.pmod(F.xxhash64("post_id"), F.col("parts")).cast("int")).drop("parts"))
+    return (asks.join(held, ["depth", "level", "cell", "part"])
             .where((F.col("mask").bitwiseAND(F.col("with")) == 0)
                    & F.pmod(F.col("bucket") - F.col("b0"), F.lit(nb).cast("bigint")).between(F.col("lo"), F.col("hi") - 1))
-            .select("tag", "ht", "post_id", "tags", "h"))
+            .select("tag", "ht", "post_id", "rest", "h"))
 
 
 def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int,
@@ -109,33 +162,41 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
     """(tag, post_id, rank) — the first k clean posts in t's circular order.
 
     Posts carry a bitmap of the HEAVY commonest tags, and a tag has the bitmap of its co-occurring
-    heavy tags: posts whose bitmaps meet are never candidates. Each tag's first range is sized
-    from its clean share of a sample of bitmaps, less an upper bound of the posts that its other
-    co-occurring tags make dirty, so most tags close in one round with about 2k candidates; a tag
-    whose range held too few clean posts doubles its range. Samples and bounds size ranges only.
+    heavy tags: posts whose bitmaps meet are never candidates, and other tags alone are left to
+    check. Each tag's first range is sized from its clean share of a sample of bitmaps and from the
+    posts of its other co-occurring tags, as if these were spread independently, so most tags close
+    in one round with about 2k candidates; a tag whose range held too few clean posts doubles its
+    range. Samples and estimates size ranges only.
     ``first_buckets`` fixes the first range instead (tests use it to force rounds).
     """
     n = tp.count()
     bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, n) / bucket_posts))))
     nb, shift = 1 << bits, 32 - bits
     width = 1 << shift
-    tpost = tag_post(tp)
-    heavy = heavy_tags(tpost)
+    cooc = cut_lineage(cooc)  # (tag, other), read for the sizes and in every round
+    per_tag = cut_lineage(tp.select(F.explode(F.array_distinct("tags")).alias("other"))
+                          .groupBy("other").agg(F.count(F.lit(1)).alias("np")))
+    heavy = heavy_tags(per_tag, cooc)
     bit = lambda at: F.lit(1 << at).cast("bigint")
-    mask = sum([F.when(F.array_contains("tags", h), bit(i)).otherwise(0) for i, h in enumerate(heavy)],
-               F.lit(0).cast("bigint"))
-    posts = tp.select("post_id", "tags", mask.alias("mask"), hash32(F.lit(seed), F.col("post_id")).alias("h"))
-    posts = cut_lineage(posts.withColumn("bucket", F.shiftright("h", shift).cast("bigint")))
+    numbered = F.create_map(*[x for i, h in enumerate(heavy) for x in (F.lit(h), bit(i))]) if heavy else None
+    zero = F.lit(0).cast("bigint")
+    mask = F.aggregate("tags", zero, lambda acc, t: acc.bitwiseOR(F.coalesce(numbered[t], zero))) if heavy else zero
+    told = F.array(*[F.lit(h) for h in heavy]).cast("array<string>")
+    posts = tp.select("post_id", F.array_except("tags", told).alias("rest"), mask.alias("mask"),
+                      hash32(F.lit(seed), F.col("post_id")).alias("h"))
+    # the number of the first heavy tag that a post has
+    lowest = F.col("mask").bitwiseAND(-F.col("mask"))
+    clear = F.when(F.col("mask") == 0, len(heavy)).otherwise(F.round(F.log2(lowest.cast("double"))).cast("int"))
+    posts = cut_lineage(posts.withColumn("bucket", F.shiftright("h", shift).cast("bigint")).withColumn("clear", clear))
+    depths = _depths(posts, n, len(heavy))
     # a bounded sample of bitmaps, for the sizes of ranges
     drawn = posts.select("mask", "h", "post_id").orderBy(F.xxhash64(F.lit(seed), "h"), "post_id").limit(SAMPLE).collect()
     held = Counter(r["mask"] for r in drawn)
-    per_tag = tpost.groupBy("tag").agg(F.count(F.lit(1)).alias("np")).withColumnRenamed("tag", "other")
-    numbered = F.create_map(*[x for i, h in enumerate(heavy) for x in (F.lit(h), bit(i))]) if heavy else None
-    number = F.coalesce(numbered[F.col("other")], F.lit(0).cast("bigint")) if heavy else F.lit(0).cast("bigint")
-    # posts per tag, summed over each tag's co-occurring tags that no bitmap tells: an upper bound
-    # of the posts that are dirty although their bitmap allows them
+    number = F.coalesce(numbered[F.col("other")], zero) if heavy else zero
+    # share of posts without any of a tag's co-occurring tags that no bitmap tells, as a logarithm
+    none = F.log1p(-F.least(F.col("np") / F.lit(float(max(1, n))), F.lit(0.999)))
     others = (cooc.join(per_tag, "other").groupBy("tag")
-              .agg(F.sum(number).alias("with"), F.sum(F.when(number == 0, F.col("np")).otherwise(0)).alias("dirty_ub")))
+              .agg(F.sum(number).alias("with"), F.sum(F.when(number == 0, none).otherwise(0.0)).alias("none")))
     tags = common.select("tag", hash32(F.lit(seed), F.col("tag")).alias("ht")).join(others, "tag", "left")
     tags = tags.withColumn("b0", F.shiftright("ht", shift).cast("bigint")).withColumn("with", F.coalesce("with", F.lit(0).cast("bigint")))
     masks = F.array(*[F.struct(F.lit(m).cast("bigint").alias("m"), F.lit(c).cast("bigint").alias("c")) for m, c in sorted(held.items())])
@@ -143,20 +204,27 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
         x["m"].bitwiseAND(F.col("with")) == 0, x["c"]).otherwise(0)) if held else F.lit(0)
     if first_buckets is None:
         left = F.greatest(free, F.lit(0.25)) * (n / max(1, len(drawn)))
-        clean = F.greatest(left - F.coalesce("dirty_ub", F.lit(0)), left / 20, F.lit(1.0))
+        clean = F.greatest(left * F.exp(F.coalesce("none", F.lit(0.0))), left / 20, F.lit(1.0))
         hi = F.ceil(F.lit(2.0 * k * nb) / clean)
     else:
         hi = F.lit(first_buckets)
     hi = F.least(F.lit(nb).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), hi.cast("bigint")))
-    open_tags = cut_lineage(tags.select("tag", "ht", "b0", "with", F.lit(0).cast("bigint").alias("lo"), hi.alias("hi")))
+    # the deepest depth whose heavy tags all co-occur with the tag
+    depth = F.greatest(*[F.when(F.col("with").bitwiseAND(F.lit((1 << d) - 1).cast("bigint")) == (1 << d) - 1, d).otherwise(0)
+                         for d, _ in depths], F.lit(0))
+    open_tags = cut_lineage(tags.select("tag", "ht", "b0", "with", depth.alias("depth"), F.lit(0).cast("bigint").alias("lo"), hi.alias("hi")))
+    edges = cooc.where(~F.col("other").isin(heavy)) if heavy else cooc
+    edges = edges.withColumn("met", F.lit(True))
     found = None
     while True:
-        cand = _scanned(open_tags, posts, nb, bucket_posts)
-        dirty_c = (cand.select("tag", "post_id", F.explode("tags").alias("other"))
-                   .join(cooc, ["tag", "other"], "left_semi").select("tag", "post_id").distinct())
-        clean = (cand.join(dirty_c, ["tag", "post_id"], "left_anti")
-                 .select("tag", "post_id",
-                         F.pmod(F.col("h") - F.col("ht"), F.lit(TWO32)).alias("off")))
+        cand = _scanned(open_tags, posts, nb, depths).select(
+            "tag", "post_id", F.pmod(F.col("h") - F.col("ht"), F.lit(TWO32)).alias("off"), F.posexplode_outer("rest").alias("at", "other"))
+        # a candidate (as often as its row is there) without any tag that co-occurs with the tag
+        dirty = F.max(F.col("met") & F.col("post_id").isNotNull())
+        clean = (cand.join(edges, ["tag", "other"], "left").groupBy("tag", "post_id", "off")
+                 .agg(dirty.alias("dirty"), F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0)).alias("times"))
+                 .where(~F.coalesce("dirty", F.lit(False)))
+                 .select("tag", "post_id", "off", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("at")).drop("at"))
         clean = cut_lineage(clean)
         found = clean if found is None else found.unionByName(clean)
         # offsets below the end of each tag's scanned range are complete
@@ -169,7 +237,7 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
             break
         open_tags = cut_lineage(
             open_tags.join(still, "tag", "left_semi")
-            .select("tag", "ht", "b0", "with", F.col("hi").alias("lo"),
+            .select("tag", "ht", "b0", "with", "depth", F.col("hi").alias("lo"),
                     F.least(F.col("hi") * 2, F.lit(nb).cast("bigint")).alias("hi")))
     return top_k(found, ["tag"], [F.col("off"), F.col("post_id")], k).drop("off")
 
@@ -177,11 +245,7 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
 def negative_pairs(pos2: DataFrame, neg: DataFrame, seed: int,
                    n_samples: int = N_SAMPLES) -> DataFrame:
     """(tag, id1, id2): n_samples of positive × clean negative, md5 order."""
-    a = pos2.select("tag", F.col("post_id").alias("id1"))
-    b = neg.select("tag", F.col("post_id").alias("id2"))
-    pairs = a.join(b, "tag")  # at most k × k rows per tag
-    order = [hash_hex(F.lit(seed), F.lit("np"), F.col("tag"), F.col("id1"), F.col("id2"))]
-    return top_k(pairs, ["tag"], order, n_samples, salt_buckets=0).drop("rank")
+    return _first_pairs(_held(pos2, "a").join(_held(neg, "b"), "tag"), seed, "np", n_samples, False)
 
 
 def pair_parts(posts: DataFrame, num_groups: int = 3, threshold: int = 50, seed: int = 42,
