@@ -256,11 +256,10 @@ def q_category_distance(spark, d):
 def _event_profile(spark, d, num_groups=5, threshold=50):
     posts = FX.posts_event(spark, d)
     ments = TG.mentions(posts)
-    common = TG.common_tags(ments, num_groups, threshold)
-    ments = TG.restrict_to(ments, common)
+    common = cut_lineage(TG.common_tags(ments, num_groups, threshold))
+    ments = TG.restrict_to(ments, common).join(DS.often_used(common), "tag", "left")
     dim = DIM
-    emb = DS.unit_embeddings(FX.event_embeddings(spark, d), dim=dim)
-    prof = DS.tag_group_vectors(ments, emb, EVENT_GROUPS, dim=dim)
+    prof = DS.tag_group_vectors(ments, FX.event_embeddings(spark, d), EVENT_GROUPS, dim=dim)
     # tags × groups rows, the narrow waist every matrix reads: written once
     return cut_lineage(DS.complete_tags(prof, len(EVENT_GROUPS)))
 

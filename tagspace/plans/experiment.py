@@ -4,17 +4,15 @@ Plan, for any number of configurations:
 
 1. mentions of the posts, restricted to tags that pass the common-tag test on
    all posts (every configuration is a subset, so this is a safe superset);
-2. join to the unit embeddings on post_id (the one shuffle of vectors);
-3. each mention row is tagged with its *atoms*: one structured atom (month,
+2. each mention row is tagged with its *atoms*: one structured atom (month,
    elected, incumbent, content) and, per random seed, the index of the smallest
-   grid fraction that keeps the post. Aggregating by (atom, tag, grp) sums the
-   vectors with map-side partial aggregation — 1 + seeds rows per mention
-   instead of one per configuration;
-4. atoms are expanded to the configurations that contain them (a small table)
-   and summed again per (config, tag, grp);
-5. per configuration: common tags, complete tags, per-tag distances by the
-   centroid identity, mean over tags, then the Mantel tests against the
-   salience matrix.
+   grid fraction that keeps the post; atoms are expanded to the configurations that
+   contain them (a small table). Counts per (config, tag, grp) decide which tags each
+   configuration keeps: common and complete ones;
+3. the mentions of kept tags join the stored vectors on post_id and are shuffled once by tag,
+   as floats; all sums per (config, tag, grp) and the distances of each tag, by the centroid
+   identity, are then formed where the rows lie. Tags used very often are summed before;
+4. per configuration: mean over tags, then the Mantel tests against the salience matrix.
 """
 
 from __future__ import annotations
@@ -26,7 +24,7 @@ from tagspace.functions.hashing import unit_draw
 from tagspace.functions.predicates import content as content_pred
 from tagspace.functions.vectors import vector_sum
 from tagspace.operators import tags as TG
-from tagspace.operators.distance import tag_distance_matrix, unit_embeddings
+from tagspace.operators.distance import OFTEN, matrix_of, often_used, summed_by_tag, tag_distance_cells
 from tagspace.operators.mantel import mantel
 from tagspace.plans.grid import Config, config_table
 from tagspace.session import cut_lineage
@@ -148,8 +146,8 @@ def config_profiles(posts: DataFrame, emb: DataFrame, configs: list[Config], gro
     keep_cols = ("month", "el", "inc", "cont", *[f"_b{s}" for s in fr])
     ments = TG.mentions(base, keep=keep_cols)
     # every configuration is a subset of the posts: tags failing on all posts fail everywhere
-    cand = TG.common_tags(ments, num_groups, threshold, count_null_group=count_null_group)
-    # the mention table feeds three branches: written once instead of re-extracted
+    cand = cut_lineage(TG.common_tags(ments, num_groups, threshold, count_null_group=count_null_group))
+    # the mention table feeds two branches: written once instead of re-extracted
     ments = cut_lineage(TG.restrict_to(ments, cand))
     atoms = _atoms(fr, configs)
     ac = atom_configs(spark, configs, fr)
@@ -158,32 +156,29 @@ def config_profiles(posts: DataFrame, emb: DataFrame, configs: list[Config], gro
         return (df.select(*cols, F.explode(atoms).alias("a")).select(*cols, "a.*")
                 .filter((F.col("kind") == "s") | (F.col("b") >= 0)))
 
-    # counts: (config, tag, grp) → common and complete (config, tag)
-    c1 = (atom_rows(ments, ["tag", "grp"]).groupBy(*ATOM, "tag", "grp")
+    # counts: (config, tag, grp) → common and complete (config, tag); every key holds the tag, so
+    # one shuffle of the mentions by tag serves them all
+    c1 = (atom_rows(ments.select(*keep_cols, "tag", "grp").repartition("tag"), ["tag", "grp"]).groupBy(*ATOM, "tag", "grp")
           .agg(F.count(F.lit(1)).alias("n")))
     c2 = c1.join(ac, ATOM).groupBy("config", "tag", "grp").agg(F.sum("n").alias("n"))
-    nq = F.count_distinct("grp")
-    if count_null_group:
-        nq = nq + F.max(F.col("grp").isNull().cast("int"))
-    listed = F.count_distinct(F.when(F.col("grp").isin(list(groups)), F.col("grp")))
+    # the rows of a (config, tag) are its groups, each once
     keep = (c2.groupBy("config", "tag")
-            .agg(F.sum("n").alias("_n"), nq.alias("_g"), listed.alias("_l"))
+            .agg(F.sum("n").alias("_n"), F.sum((F.col("grp").isNotNull() | F.lit(count_null_group)).cast("int")).alias("_g"),
+                 F.sum(F.coalesce(F.col("grp").isin(list(groups)), F.lit(False)).cast("int")).alias("_l"))
             .filter((F.col("_g") >= num_groups) & (F.col("_n") >= threshold)
                     & (F.col("_l") == len(groups)))
-            .select("config", "tag"))
-
-    # vectors: only of tags that some configuration keeps, one shuffle by post_id, then
-    # partial sums per atom
-    keep = cut_lineage(keep)
-    rows = (ments.filter(F.col("grp").isin(list(groups)))
-            .join(keep.select("tag").distinct(), "tag", "left_semi")
-            .join(unit_embeddings(emb, dim=dim), "post_id"))
-    v1 = (atom_rows(rows, ["tag", "grp", "u"]).groupBy(*ATOM, "tag", "grp")
-          .agg(F.count(F.lit(1)).cast("bigint").alias("n"), vector_sum("u", dim=dim).alias("s")))
-    v2 = v1.join(ac, ATOM).select("config", "tag", "grp", "n", "s")
-    v2 = v2.join(keep, ["config", "tag"], "left_semi")
-    return v2.groupBy("config", "tag", "grp").agg(F.sum("n").alias("n"),
-                                                  vector_sum("s", dim=dim).alias("s"))
+            .groupBy("tag").agg(F.collect_list("config").alias("kept")))
+
+    # vectors: only of tags that some configuration keeps, one shuffle by post_id and one by tag
+    rows = (ments.filter(F.col("grp").isin(list(groups))).join(cut_lineage(keep), "tag")
+            .join(often_used(cand, OFTEN * len(configs)), "tag", "left"))
+
+    def profile(rows):
+        each = atom_rows(rows, ["tag", "grp", "kept", "u"]).join(ac, ATOM).where(F.expr("array_contains(kept, config)"))
+        return each.groupBy("config", "tag", "grp").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                                        vector_sum("u", dim=dim).alias("s"))
+
+    return summed_by_tag(rows, emb.select("post_id", "embedding"), profile, dim)
 
 
 def experiment_grid(posts: DataFrame, emb: DataFrame, salience: DataFrame, groups,
@@ -194,14 +189,14 @@ def experiment_grid(posts: DataFrame, emb: DataFrame, salience: DataFrame, group
     tag distance matrix against the salience matrix (g1, g2, value), and the number of tags
     that the matrix is made of. A configuration without common tags has NULL r, p and z."""
     spark = posts.sparkSession
-    # (config, tag, grp) rows, read by both sides of the group-pair join: written once
-    prof = cut_lineage(config_profiles(posts, emb, configs, groups, num_groups, threshold,
-                                       dim=dim))
-    x = tag_distance_matrix(prof, ("config",), agg, dim=dim)
+    prof = config_profiles(posts, emb, configs, groups, num_groups, threshold, dim=dim)
+    # a few rows per configuration, and the number of its tags: no vectors are written
+    cells = cut_lineage(tag_distance_cells(prof, ("config",), agg, dim=dim))
+    x = matrix_of(cells, ("config",))
     cfg = config_table(spark, configs)  # one row per configuration
     res = mantel(x, salience, list(groups), keys=("config",), methods=methods, perms=perms,
                  runs=cfg.select("config"))
-    n_tags = prof.groupBy("config").agg(F.count_distinct("tag").alias("n_tags"))
+    n_tags = cells.where(F.col("g1").isNull()).select("config", "n_tags")
     return (res.join(F.broadcast(cfg), "config").join(n_tags, "config", "left")
             .withColumn("n_tags", F.coalesce("n_tags", F.lit(0)).cast("bigint")))
 
