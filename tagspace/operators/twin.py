@@ -38,30 +38,43 @@ BLOCK_ROWS = 512    # rows of a tile that meet the other side at a time
 
 
 def _side(a: pd.DataFrame, b: pd.DataFrame) -> list[pd.DataFrame]:
-    """Bests of the rows of ``a`` among ``b``, block by block of ``a``."""
-    if b.empty:  # a tile of which one side has no vectors
+    """Bests of the rows of ``a`` among ``b``, block by block of ``a``. ``b`` is laid out once, group
+    by group and by id, so that a group is a slice of the products, and argmax takes the smallest id."""
+    if a.empty or b.empty:  # a tile of which one side has no vectors
         return []
-    return [p for i in range(0, len(a), BLOCK_ROWS) for p in _block(a.iloc[i:i + BLOCK_ROWS], b)]
-
-
-def _block(a: pd.DataFrame, b: pd.DataFrame) -> list[pd.DataFrame]:
-    ua, ub = np.stack(a["u"].to_numpy()), np.stack(b["u"].to_numpy())
-    sims = ua @ ub.T
-    ids_a = a["id"].to_numpy()
-    ids_b = b["id"].to_numpy()
-    grp_b = b["grp"].to_numpy()
-    parts = []
-    rows = np.arange(len(a))
-    for g in pd.unique(grp_b):
-        cols = np.flatnonzero(grp_b == g)
-        cols = cols[np.argsort(ids_b[cols], kind="stable")]  # argmax takes the first: smallest id
+    ids, grp, groups, order, at = b["id"].to_numpy(), b["grp"].to_numpy(), [], [], 0
+    for g in pd.unique(grp):
+        cols = np.flatnonzero(grp == g)
+        cols = cols[np.argsort(ids[cols], kind="stable")]
+        groups.append((g, slice(at, at + len(cols)), ids[cols]))
+        order.append(cols)
+        at += len(cols)
+    if not groups or not at:
+        return []
+    ub = np.stack(b["u"].to_numpy()[np.concatenate(order)])
+    return [p for i in range(0, len(a), BLOCK_ROWS) for p in _block(a.iloc[i:i + BLOCK_ROWS], ub, groups)]
+
+
+def _block(a: pd.DataFrame, ub: np.ndarray, groups: list[tuple]) -> list[pd.DataFrame]:
+    sims = np.stack(a["u"].to_numpy()) @ ub.T
+    ids_a, rows, parts = a["id"].to_numpy(), np.arange(len(a)), []
+    for g, cols, ids in groups:
+        if not len(ids):
+            continue
         sg = sims[:, cols]
         j = sg.argmax(axis=1)
         best = sg[rows, j]
-        excl = np.where(ids_a[:, None] == ids_b[cols][None, :], -np.inf, sg).max(axis=1)
+        # the row itself, which only its own group holds
+        first = np.searchsorted(ids, ids_a)
+        own = np.flatnonzero(ids[np.minimum(first, len(ids) - 1)] == ids_a)
+        excl = best.copy()
+        for r in own:
+            sg[r, first[r]:np.searchsorted(ids, ids_a[r], "right")] = -np.inf
+        if len(own):
+            excl[own] = sg[own].max(axis=1)
         parts.append(pd.DataFrame({
             "a_id": ids_a, "a_grp": a["grp"].to_numpy(), "g": g, "best_sim": best,
-            "best_id": ids_b[cols][j], "excl_sim": np.where(np.isneginf(excl), np.nan, excl)}))
+            "best_id": ids[j], "excl_sim": np.where(np.isneginf(excl), np.nan, excl)}))
     return parts
 
 
