@@ -35,6 +35,9 @@ from pyspark.sql import types as T
 
 from tagspace.session import cut_lineage
 
+#: Tasks, for each core of the session, that ranges of a given size are read by at least.
+TASKS_PER_CORE = 4
+
 _PIECES = "file string, owner long, start long, first boolean, text string"
 
 
@@ -69,7 +72,12 @@ def text_lines(spark: SparkSession, path: str, range_bytes: int | None = None,
                  F.col("_metadata.file_block_start").alias("start")).createGlobalTempView(name)
     out = spark.table(f"global_temp.{name}")  # the caller's settings hold for all but the ranges
     spark.catalog.dropGlobalTempView(name)
-    return out
+    if range_bytes is None:
+        return out
+    # ranges may be small, and tasks need not: a task reads several, one after the other
+    plain = spark.read.option("lineSep", "\n").text(path)
+    tasks = (plain if where is None else plain.where(where)).rdd.getNumPartitions()
+    return out.coalesce(max(1, tasks, TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, int, pa.Array]]:
