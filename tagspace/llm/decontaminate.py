@@ -309,7 +309,8 @@ def _search(tokens: DataFrame, items: Items, directions: np.ndarray) -> DataFram
                 seen: set[tuple[int, int]] = set()
                 for a in range(0, len(z), 4096):
                     cos = z[a:a + 4096] @ queries.T
-                    for p, q in zip(*np.nonzero(cos >= COSINE), strict=True):
+                    near = np.flatnonzero(cos >= COSINE)  # flat: several times faster than by two axes
+                    for p, q in zip(*np.divmod(near, cos.shape[1]), strict=True):
                         at, k = int(number[a + p]) * STEP, int(item[q])
                         if (at, k) in seen:
                             continue
