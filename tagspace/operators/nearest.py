@@ -10,8 +10,10 @@ them and a vector whose angle to the pivot is known. So:
 2. it then visits every other cell whose bound reaches the lower bound of some group, and asks for
    those groups' members. No other members can be nearer, or as near.
 
-A visit joins a vector with the members of a cell, in tiles of at most about ``TILE_ROWS`` visitors and as
-many members, whatever the size of the cell. Zero vectors have no angle: they are a cell of their
+Visitors, dealt by a hash, and members, dealt by cell, meet in a grid of tiles: about ``SIDE`` tiles a
+side, of ``TILE_ROWS`` to ``WIDE_ROWS`` rows, whatever the size of a cell. A vector is copied once per tile of
+its row or column; which cells and groups of a tile it visits is decided, and the bests over all
+of them are kept, inside the tile. So the rows that move do not grow with the visits. Zero vectors have no angle: they are a cell of their
 own, with bound 0, and as visitors (similar to nothing) they get each group's smallest id.
 
 Vectors without clusters have no bounds that help. Before the visits ``SAMPLE`` vectors make theirs;
@@ -21,8 +23,9 @@ all pairs. The choice changes the work, not the result.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,16 +35,15 @@ from pyspark.sql import functions as F
 
 from tagspace.session import cut_lineage
 
-PIVOTS, DRAWN, CELL_ROWS, TILE_ROWS = 1024, 4, 256, 4096
+PIVOTS, DRAWN, CELL_ROWS = 1024, 4, 256
+TILE_ROWS, WIDE_ROWS, SIDE, BLOCK_ROWS = 4096, 32768, 8, 512
 SAMPLE, MOST = 512, 0.1
 #: Vectors from which a search by cells is tried unasked: the pairs of fewer are soon multiplied.
 FEW = 8192
 #: Angles and similarities closer than this are not told apart.
 SLACK = 1e-6
-#: Bounds that are held, and rows that are returned at a time.
-BOUNDS, OUT_ROWS = 1 << 21, 16384
-
-Compare = Callable[[pd.DataFrame, pd.DataFrame], list[pd.DataFrame]]
+#: Bounds, or similarities, that are held at a time.
+BOUNDS = 1 << 21
 
 
 @dataclass
@@ -151,74 +153,112 @@ def _first_visits(placed: DataFrame, shared) -> DataFrame:
     return placed.where(F.col("cell") < len(shared.value.pivots)).mapInPandas(run, ", ".join([*fields, "seen array<int>"]))
 
 
-def _visits(rows: DataFrame, shared) -> DataFrame:
-    """(id, grp, u, cell, asks, work): the cells that a vector visits, the groups (as bits) that it
-    asks for there, and with how many members it meets. Rows (id, grp, u, seen) make their first
-    visits; with ``found``, the best similarities known in each group, those that remain."""
-    again = "found" in rows.columns
+def _dealt(held: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(cell, tile, parts): neighbouring cells share a tile of at most ``most`` members; a cell of more
+    is cut into parts with a tile each."""
+    out, tile, filled = [], 0, 0
+    for cell, n in enumerate(held.tolist()):
+        parts = math.ceil(n / most)
+        if filled and filled + n > most:
+            tile, filled = tile + 1, 0
+        if parts:
+            out.append((cell, tile, parts))
+            tile, filled = (tile + parts, 0) if parts > 1 else (tile, filled + n)
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells: Cells = shared.value
-        at = {g: k for k, g in enumerate(cells.groups)}
-        for pdf in frames:
-            if pdf.empty:
-                continue
-            own = _matrix(pdf["u"])
-            for part in cells.steps(len(pdf)):
-                some = pdf.iloc[part]
-                seen = np.zeros((len(some), cells.count.size), bool)
-                seen[np.arange(len(some))[:, None], np.stack(some["seen"].to_numpy())] = True
-                wanted = seen.reshape(len(some), *cells.count.shape)
-                if again:
-                    least = np.full((len(some), len(at)), -np.inf)
-                    for r, found in enumerate(some["found"]):
-                        for x in found:
-                            if x["sim"] is not None:
-                                least[r, at[x["g"]]] = x["sim"]
-                    bound = cells.bounds(own[part])
-                    wanted = ~wanted & (bound >= least[:, None] - SLACK) & (bound > -np.inf)
-                row, cell = np.nonzero(wanted.any(axis=2))
-                for a in range(0, len(row), OUT_ROWS):
-                    r, c = row[a:a + OUT_ROWS], cell[a:a + OUT_ROWS]
-                    asks = wanted[r, c]
-                    yield some[["id", "grp", "u"]].iloc[r].assign(
-                        cell=c.astype(np.int32), asks=[x.tobytes() for x in np.packbits(asks, axis=1)],
-                        work=(asks * cells.count[c]).sum(axis=1))
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, grp string, u array<double>, cell int, asks binary, work long")
-
-
-def _visited(visits: DataFrame, placed: DataFrame, cells: Cells, compare: Compare, schema: str) -> tuple[DataFrame, int]:
-    """Bests of the visitors among the members that they ask for; pairs multiplied."""
-    calls = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("work").alias("work")).collect()  # a row per cell
-    held = cells.count.sum(axis=1)
-    shape = [(r["cell"], max(1, math.ceil(r["n"] / TILE_ROWS)), max(1, math.ceil(int(held[r["cell"]]) / TILE_ROWS))) for r in calls]
-    grid = F.broadcast(placed.sparkSession.createDataFrame(shape, "cell int, deep int, wide int"))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    come = visits.join(grid, "cell").select("id", "grp", "u", "cell", "asks", part("deep").alias("i"), every("wide").alias("j"))
-    stay = placed.join(grid, "cell").select("id", "grp", "u", "cell", F.lit(None).cast("binary").alias("asks"),
-                                            every("deep").alias("i"), part("wide").alias("j"))
-    groups, names = cells.groups, [x.split()[0] for x in schema.split(", ")]
+
+def _tile(a: pd.DataFrame, b: pd.DataFrame, cells: Cells, again: bool) -> pd.DataFrame:
+    """Bests of the visitors ``a`` among those members ``b`` that they ask for: in the cell they have
+    ``seen`` for a group or, ``again``, in any other whose bound reaches the least that they know."""
+    groups = len(cells.groups)
+    at = {g: k for k, g in enumerate(cells.groups)}
+    codes = pd.factorize(pd.concat([a["id"], b["id"]], ignore_index=True), sort=True)[0]
+    ids_a, ids = codes[:len(a)], codes[len(a):]
+    key = b["cell"].to_numpy().astype(np.int64) * groups + np.array([at[g] for g in b["grp"]])
+    order = np.lexsort((ids, key))  # so that argmax takes the smallest id
+    key, ids, ub = key[order], ids[order], _matrix(b["u"])[order]
+    edges = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
+    present = np.unique(key // groups)
+    placed = present[present < len(cells.pivots)]
+    parts = []
+    step = max(BLOCK_ROWS, 4 * BOUNDS // len(present))
+    for start in range(0, len(a), step):
+        some = a.iloc[start:start + step]
+        own, own_ids, seen = _matrix(some["u"]), ids_a[start:start + step], _matrix(some["seen"]) // groups
+        shape = len(some), groups
+        best, excl, who, work = np.full(shape, -np.inf), np.full(shape, -np.inf), np.full(shape, -1), np.zeros(shape, np.int64)
+        if again:
+            angle = np.arccos(np.clip(own @ cells.pivots[placed].T, -1.0, 1.0))
+            least = _matrix(some["least"])
+            reach = np.arccos(np.clip(least - 2 * SLACK, -1.0, 1.0)) + SLACK
+        for s, e in itertools.pairwise(edges):
+            c, k = divmod(int(key[s]), groups)
+            if not again:
+                asks = seen[:, k] == c
+            elif c == len(cells.pivots):
+                asks = (least[:, k] <= SLACK) & (seen[:, k] != c)
+            else:
+                t = angle[:, np.searchsorted(placed, c)]
+                asks = (t - cells.high[c, k] <= reach[:, k]) & (cells.low[c, k] - t <= reach[:, k]) & (seen[:, k] != c)
+            asking = np.flatnonzero(asks)
+            rows = max(1, BOUNDS // (e - s))
+            for r in (asking[i:i + rows] for i in range(0, len(asking), rows)):
+                sims = own[r] @ ub[s:e].T
+                j = sims.argmax(axis=1)
+                sim = sims[np.arange(len(r)), j]
+                other = sim.copy()
+                first = np.searchsorted(ids[s:e], own_ids[r])
+                same = np.flatnonzero(ids[s + np.minimum(first, e - s - 1)] == own_ids[r])
+                for q in same:  # the row itself, and rows of its id
+                    sims[q, first[q]:np.searchsorted(ids[s:e], own_ids[r[q]], "right")] = -np.inf
+                if len(same):
+                    other[same] = sims[same].max(axis=1)
+                old = best[r, k]
+                better = (sim > old) | ((sim == old) & (ids[s + j] < ids[who[r, k]]))
+                best[r[better], k], who[r[better], k] = sim[better], (s + j)[better]
+                excl[r, k] = np.maximum(excl[r, k], other)
+                work[r, k] += e - s
+        r, k = np.nonzero(work)
+        parts.append(pd.DataFrame({
+            "a_id": some["id"].to_numpy()[r], "a_grp": some["grp"].to_numpy()[r], "k": k.astype(np.int32), "best_sim": best[r, k],
+            "best_id": b["id"].to_numpy()[order[who[r, k]]],
+            "excl_sim": np.where(np.isneginf(excl[r, k]), np.nan, excl[r, k]), "work": work[r, k]}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def _visited(rows: DataFrame, n: int, placed: DataFrame, shared) -> DataFrame:
+    """(a_id, a_grp, k, best_sim, best_id, excl_sim, work): bests in group number k, and with how many
+    members they were compared. Rows (id, grp, u, seen) make their first visits; with ``least``,
+    the best similarity known in each group, those that remain. A vector is copied once per tile of
+    its row or column, however many cells it visits. ``n``: number of rows."""
+    cells: Cells = shared.value
+    again, held = "least" in rows.columns, cells.count.sum(axis=1)
+    most = min(WIDE_ROWS, max(TILE_ROWS, math.ceil(int(held.sum()) / SIDE)))
+    dealt, deep = _dealt(held, most), max(1, math.ceil(n / most))
+    wide = max(tile + parts for _, tile, parts in dealt)
+    grid = F.broadcast(placed.sparkSession.createDataFrame(dealt, "cell int, tile int, parts int"))  # a row per cell
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if not again:
+        rows = rows.withColumn("least", F.lit(None).cast("array<double>"))
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    come = rows.select("id", "grp", "u", F.lit(None).cast("int").alias("cell"), "seen", "least",
+                       part(F.lit(deep)).alias("i"), every(wide).alias("j"))
+    stay = placed.join(grid, "cell").select(
+        "id", "grp", "u", "cell", F.lit(None).cast("array<int>").alias("seen"), F.lit(None).cast("array<double>").alias("least"),
+        every(deep).alias("i"), (F.col("tile") + part(F.col("parts"))).alias("j"))
+    kind = placed.schema["id"].dataType.simpleString()
+    schema = f"a_id {kind}, a_grp string, k int, best_sim double, best_id {kind}, excl_sim double, work long"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        comes = pdf["asks"].notna().to_numpy()
+        comes = pdf["seen"].notna().to_numpy()
         a, b = pdf[comes], pdf[~comes]
-        parts = []
-        if len(a) and len(b):
-            asks = np.unpackbits(np.array([np.frombuffer(x, np.uint8) for x in a["asks"]]), axis=1)
-            for k, g in enumerate(groups):
-                of = b[b["grp"].isna() if g is None else b["grp"] == g]
-                if len(of) and asks[:, k].any():
-                    parts += compare(a[asks[:, k] > 0], of)
-        if not parts:
+        out = _tile(a, b, shared.value, again) if len(a) and len(b) else pd.DataFrame()
+        if out.empty:
             return pd.DataFrame({c: [] for c in names}, dtype=object)
-        out = pd.concat(parts, ignore_index=True)
         return out.astype({c: object for c in names if not pd.api.types.is_numeric_dtype(out[c])})
 
-    rows = come.unionByName(stay).groupBy("cell", "i", "j").applyInPandas(tile, schema)
-    return rows, sum(r["work"] for r in calls)
+    return come.unionByName(stay).groupBy("i", "j").applyInPandas(tile, schema)
 
 
 def _zero_rows(placed: DataFrame, cells: Cells) -> DataFrame:
@@ -233,11 +273,11 @@ def _zero_rows(placed: DataFrame, cells: Cells) -> DataFrame:
                        F.lit(0.0).alias("best_sim"), F.col("x.id").alias("best_id"), others.alias("excl_sim"))
 
 
-def pruned(u: DataFrame, compare: Compare, schema: str, most: float = MOST, cell_rows: int = CELL_ROWS,
+def pruned(u: DataFrame, most: float = MOST, cell_rows: int = CELL_ROWS,
            least: int = 0) -> tuple[DataFrame, Search] | None:
-    """Partial bests (rows of ``schema``) of all vectors ``u`` (id, grp, u), to be reduced per row
-    and group; and what was multiplied. None where bounds would leave more than ``most`` of the pairs,
-    or where there are fewer than ``least`` vectors."""
+    """Partial bests (a_id, a_grp, g, best_sim, best_id, excl_sim) of all vectors ``u`` (id, grp, u), to
+    be reduced per row and group; and what was multiplied. None where bounds would leave more than
+    ``most`` of the pairs, or where there are fewer than ``least`` vectors."""
     n = u.count()
     if n < max(least, 2 * cell_rows):
         return None
@@ -248,23 +288,28 @@ def pruned(u: DataFrame, compare: Compare, schema: str, most: float = MOST, cell
     placed = cut_lineage(_placed(u, pivots))
     cells = _cells(placed, pivots)
     shared = placed.sparkSession.sparkContext.broadcast(cells)
+    numbers, unknown = F.sequence(F.lit(0), F.lit(len(cells.groups) - 1)), F.lit(-math.inf)
+    own = F.get(F.array(*[F.lit(g).cast("string") for g in cells.groups]), F.col("k"))
 
-    def search(rows: DataFrame) -> tuple[DataFrame, int]:
+    def search(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
         first = cut_lineage(_first_visits(rows, shared))
-        found, pairs = _visited(cut_lineage(_visits(first, shared)), placed, cells, compare, schema)
-        found = cut_lineage(found)
+        found = cut_lineage(_visited(first, n, placed, shared).withColumn("g", own))
         # the row itself is no bound for its own group
         sim = F.when(F.col("g").eqNullSafe(F.col("a_grp")), F.col("excl_sim")).otherwise(F.col("best_sim"))
-        known = (found.groupBy("a_id", "g").agg(F.max(sim).alias("sim"))
-                 .groupBy(F.col("a_id").alias("id")).agg(F.collect_list(F.struct("g", "sim")).alias("found")))
-        other = cut_lineage(_visits(first.join(known, "id", "left").withColumn("found", F.coalesce("found", F.array())), shared))
-        more, again = _visited(other, placed, cells, compare, schema)
-        return found.unionByName(more), pairs + again
+        known = (found.groupBy("a_id", "a_grp", "k").agg(F.max(sim).alias("sim"))
+                 .groupBy("a_id", "a_grp").agg(F.map_from_entries(F.collect_list(F.struct("k", "sim"))).alias("m"))
+                 .select("a_id", "a_grp", F.transform(numbers, lambda k: F.coalesce(F.col("m")[k], unknown)).alias("least")))
+        same = F.col("id").eqNullSafe(F.col("a_id")) & F.col("grp").eqNullSafe(F.col("a_grp"))
+        none = F.transform(numbers, lambda k: unknown)
+        other = first.join(known, same, "left").select("id", "grp", "u", "seen", F.coalesce("least", none).alias("least"))
+        both = found.unionByName(cut_lineage(_visited(other, n, placed, shared).withColumn("g", own)))
+        return both.drop("k", "work"), both.agg(F.sum("work")).first()[0] or 0
 
     draw = placed.where(F.col("cell") < len(pivots)).orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE)
     draw = cut_lineage(draw)
-    _, pairs = search(draw)
-    if pairs > most * draw.count() * n:
+    drawn = draw.count()
+    _, pairs = search(draw, drawn)
+    if pairs > most * drawn * n:
         return None
-    rows, pairs = search(placed)
+    rows, pairs = search(placed, n)
     return rows.unionByName(_zero_rows(placed, cells)), Search(n, len(pivots), pairs)

@@ -110,8 +110,7 @@ def nearest_pruned(vecs: DataFrame, most: float = nearest.MOST, cell_rows: int |
                    least: int = 0) -> tuple[DataFrame, nearest.Search] | None:
     """The rows of ``nearest_by_group`` without multiplying all pairs, and how many were; None
     where more than ``most`` of them would be, or there are fewer than ``least`` vectors."""
-    got = nearest.pruned(unit_embeddings(vecs.select("id", "grp", "embedding")), _side, _bests_schema(vecs), most,
-                         cell_rows or nearest.CELL_ROWS, least)
+    got = nearest.pruned(unit_embeddings(vecs.select("id", "grp", "embedding")), most, cell_rows or nearest.CELL_ROWS, least)
     return got and (_reduced(got[0]), got[1])
 
 

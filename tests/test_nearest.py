@@ -64,3 +64,22 @@ def test_similarity_matrix_either_way(spark, cell_rows, monkeypatch):
     tiles = {(r.g1, r.g2): r.value for r in TW.twin_similarity_matrix(v, n_blocks=2).collect()}
     got = {(r.g1, r.g2): r.value for r in TW.twin_similarity_matrix(v).collect()}
     assert got == pytest.approx(tiles, abs=1e-9)
+
+
+def test_bests_are_kept_inside_a_tile(spark):
+    """A vector whose group is missing in its cluster visits most cells: it leaves a row per group all the same."""
+    r = np.random.default_rng(5)
+    rows = [(i, g, v) for i, (_, g, v) in enumerate(clustered(600, 12))]
+    rows = [(i, "rare" if r.random() < 0.02 else g, v) for i, g, v in rows] + [(3, "other", rows[40][2])]  # an id in two groups
+    u = TW.unit_embeddings(spark.createDataFrame(rows, "id long, grp string, embedding array<double>"))
+    parts, search = nearest.pruned(u, most=1.0, cell_rows=8)
+    visits = parts.count()
+    assert visits <= 2 * len(rows) * 6  # of first visits and of the others; a row per visited cell would be many more
+    assert search.pairs > 0.05 * len(rows) ** 2
+    want = bests(TW.nearest_by_group(u.withColumnRenamed("u", "embedding"), n_blocks=2))
+    assert bests(TW._reduced(parts)) == want
+
+
+def test_cells_are_dealt_to_tiles():
+    assert nearest._dealt(np.array([3, 2, 0, 25, 1, 9]), 10) == [(0, 0, 1), (1, 0, 1), (3, 1, 3), (4, 4, 1), (5, 4, 1)]
+    assert nearest._dealt(np.array([10, 1]), 10) == [(0, 0, 1), (1, 1, 1)]
