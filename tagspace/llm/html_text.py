@@ -2,15 +2,23 @@
 
 A page is read once into blocks of three zones: content (inside article, else main), furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, by element, role
-or class) and open (none of these). Plain elements whose class or id says content count as main. The tokens of furniture and open blocks of all pages of a
-host form one stream per page; the stream's suffixes, cut at ``RUN`` tokens, are brought
-together by host and prefix, which is a suffix array as far as runs of that length are concerned.
-A run found on at least ``PAGES`` distinct pages of a host is boilerplate: open blocks lose the
-covered tokens and keep their unique runs.
-
-Article elements are protected: copies of an article, or a sentence that several articles of a
-host share, are content. Therefore a page with an article consists of that article's blocks, and
-the repeated runs decide pages that do not mark their content.
+or class) and open (none of these). Plain elements whose class or id says content count as main. The tokens of
+furniture, open blocks and what else the content leaves out form streams, and so do the blocks of content,
+each for itself. The streams' suffixes of all pages of a host are brought together by their first ``RUN`` tokens.
+A run that the outside streams of at least ``PAGES`` distinct pages hold is boilerplate. These runs decide what no article does:
+
+* a page that marks no content loses the covered tokens of its open blocks and keeps their unique runs;
+* a page that marks its content, by main or by name, loses the blocks of it outside of articles that boilerplate
+  runs cover from the first token to the last, such as a notice that other pages hold in their footer.
+
+A common extension of three pages' suffixes that is longer than ``RUN`` covers what the runs inside it
+cover, and nothing covers less than a run: to sort the suffixes beyond their first ``RUN`` tokens would not cover
+another token, so they are grouped by these (by a 64-bit hash) and not sorted further.
+
+Article elements are protected: copies of an article, a sentence that several articles of a
+host share, and one that stands in the host's adverts as well, are content, so none of their blocks goes. Runs
+inside content make no boilerplate, blocks that are covered in part stay whole, and where covered blocks
+would be more than half of a page's content (the page is a copy of others that do not mark theirs) all stay.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, word_hashes, word_spans, written
+from .common import mix, small, word_hashes, word_spans, written
 
 #: Tokens of a repeated run, and distinct pages of the host from which it is boilerplate.
 RUN, PAGES = 8, 3
@@ -209,10 +217,11 @@ def run_hashes(texts: list[str], run: int = RUN) -> np.ndarray:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, key, host, text, open, runs): ``text`` of pages that mark their content,
-    else ``open``, the blocks that repeated runs have still to clean."""
-    schema = ("page_id long, url string, key long, host string, text string, open array<string>, "
-              "runs array<long>")
+    """(page_id, url, key, host, marked, blocks, free, runs, asks): the blocks of the content of pages that
+    mark it, else the open ones; which of them are of no article; the runs outside of content; and the
+    runs that may clean the blocks: all of an open page's stream, the first of each free block of content."""
+    schema = ("page_id long, url string, key long, host string, marked boolean, blocks array<string>, "
+              "free array<boolean>, runs array<long>, asks array<long>")
     page_html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")),
                                     r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -222,22 +231,41 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, opens, runs = [], [], []
+            marked, kept, free, runs, asks = [], [], [], [], []
             for i in range(batch.num_rows):
                 blocks = page_blocks(batch.column(4)[i].as_py())
                 zone = content_zones(blocks)
-                texts.append("\n".join(t for z, t in blocks if z in zone) if zone else None)
-                rest = [t for z, t in blocks if z == "open"]
-                opens.append(None if zone else rest)
-                streams = [run_hashes([t for z, t in blocks if z == "furniture"]), run_hashes(rest)]
-                runs.append(np.unique(np.concatenate(streams)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())),
-                 pa.array(runs, pa.list_(pa.int64()))], names=[x.split()[0] for x in schema.split(", ")])
+                own = [(z != "article", t) for z, t in blocks if z in (zone or {"open"})]
+                rest = run_hashes([t for z, t in blocks if z != "furniture" and z not in zone])
+                marked.append(bool(zone))
+                kept.append([t for _, t in own])
+                free.append([f for f, _ in own])
+                runs.append(np.unique(np.concatenate([run_hashes([t for z, t in blocks if z == "furniture"]), rest])))
+                heads = block_heads([t for f, t in own if f]) if zone else []
+                asks.append(np.array(sorted({h for h in heads if h is not None}), np.int64) if zone else np.unique(rest))
+            lists = [pa.array(kept, pa.list_(pa.string())), pa.array(free, pa.list_(pa.bool_())),
+                     *(pa.array(x, pa.list_(pa.int64())) for x in (runs, asks))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(marked, pa.bool_()), *lists],
+                                             names=[x.split()[0] for x in schema.split(", ")])
 
     return rows.mapInArrow(parse, schema)
 
 
+def block_heads(blocks: list[str], run: int = RUN) -> list[int | None]:
+    """The hash of each block's first run; None for a block of fewer tokens."""
+    heads = [b.split(" ", run)[:run] for b in blocks]
+    return [int(run_hashes([" ".join(h)], run)[0]) if len(h) == run else None for h in heads]
+
+
+def without_covered(blocks: list[str], free: list[bool], repeated: set[int], run: int = RUN) -> list[str]:
+    """Blocks of content without those ``free`` ones that repeated runs cover wholly, unless these are
+    more than half of its tokens."""
+    kept = [b for b, f, h in zip(blocks, free, block_heads(blocks, run), strict=True)
+            if not f or h not in repeated or not repeated.issuperset(run_hashes([b], run).tolist())]
+    tokens = [sum(b.count(" ") + 1 for b in x) for x in (kept, blocks)]
+    return kept if 2 * tokens[0] >= tokens[1] else blocks
+
+
 def unique_runs(blocks: list[str], repeated: set[int], run: int = RUN) -> str:
     """The blocks without the tokens that repeated runs cover; what is left keeps its blocks."""
     tokens = [t.split() for t in blocks]
@@ -271,20 +299,42 @@ def main_text(pages: DataFrame, least_pages: int = PAGES) -> DataFrame:
     repeated = (parsed.select("host", "key", F.explode("runs").alias("run")).distinct()
                 .groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"))
                 .where(F.col("n") >= least_pages).select("host", "run"))
-    marked = parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    unmarked = parsed.where(F.col("text").isNull())
-    found = (unmarked.select("key", "host", F.explode("runs").alias("run")).distinct()
-             .join(repeated, ["host", "run"], "left_semi")
-             .groupBy("key").agg(F.collect_set("run").alias("found")))
-    rows = unmarked.join(found, "key", "left").select("page_id", "url", "open", "found")
+    repeated = written(repeated, "repeated")
+
+    def found(asked: DataFrame) -> DataFrame:
+        """(key, found): those runs of a page that are repeated ones of its host."""
+        hits = asked.distinct().join(repeated, ["host", "run"], "left_semi")
+        return written(hits.groupBy("key").agg(F.collect_set("run").alias("found")), "found")
+
+    def hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
+        """The rows with what was found for them; others are left out before texts move."""
+        return rows.join(small(hits.select("key")), "key", "left_semi").join(hits, "key")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, host, blocks, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                runs = [run_hashes([b]) for b, h in zip(blocks, block_heads(blocks), strict=True) if h in hits]
+                runs = np.unique(np.concatenate(runs))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(runs), pa.int64()), pa.array([host] * len(runs), pa.string()),
+                                                  pa.array(runs, pa.int64())], names=["key", "host", "run"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [unique_runs(o or [], set(f or ())) for o, f in
-                     zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = ["\n".join(without_covered(b, free, set(f))) if m else unique_runs(b, set(f or ()))
+                     for m, b, free, f in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
 
+    asks = lambda rows: rows.select("key", "host", F.explode("asks").alias("run"))
+    marked, unmarked = parsed.where("marked"), parsed.where("NOT marked")
+    # content whose blocks begin with a repeated run is asked about all runs of these blocks
+    begun = found(asks(marked))
+    covered = found(hit(marked, begun).select("key", "host", "blocks", "found")
+                    .mapInArrow(rest, "key long, host string, run long"))
+    columns = ["page_id", "url", "marked", "blocks", "free", "found"]
+    rows = (unmarked.join(found(asks(unmarked)), "key", "left").select(*columns)
+            .unionByName(hit(marked, covered).select(*columns)))
     cleaned = rows.mapInArrow(clean, "page_id long, url string, text string")
-    return marked.unionByName(cleaned).select(
+    whole = marked.join(small(covered.select("key")), "key", "left_anti").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
+    return whole.unionByName(cleaned).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -1,5 +1,6 @@
 """Tags that never end, letters that change their length in lower case, and the choice of the zone."""
 
+import random
 import time
 
 import pytest
@@ -36,3 +37,51 @@ def test_zone_by_amount_of_text():
     assert text(page) == "Headline\na body of many words\ncard"
     assert text("<main><p>more</p><article><p>the article itself</p></article></main>") == "the article itself"
     assert html_text.content_zones([("open", "x"), ("furniture", "y")]) == set()
+
+
+def test_runs_decide_inside_content_too(spark):
+    notice = "we use small files to measure visits and to show adverts please agree"
+    shared = "a sentence of nine words that several articles share"
+    own = [" ".join(f"p{i}w{k}" for k in range(30)) for i in range(5)]
+    part = notice + " or read on"
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{own[i]}</p><p>{shared}</p></article><footer>{notice}</footer>") for i in range(3)]
+    rows += [(3, "http://h.example/3", f"<main><p>{own[3]}</p><p>{notice}</p><p>{shared}</p><p>short</p></main>"),
+             (4, "http://h.example/4", f"<main><p>{own[4]}</p><p>{part}</p></main>"),
+             (5, "http://h.example/5", f"<div class=content><p>{notice}</p><p>short</p></div>"),
+             (6, "http://other.example/6", f"<main><p>{own[3]}</p><p>{notice}</p></main>"),
+             (7, "http://h.example/7", f"<article><p>{own[4]}</p><p>{notice}</p></article>"),
+             (8, "http://h.example/8", f"<main><p>{own[4]}</p><p>{notice}</p><article>{notice}</article></main>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert [got[i] for i in range(3)] == [f"{own[i]}\n{shared}" for i in range(3)]
+    assert got[3] == f"{own[3]}\n{shared}\nshort"          # a notice from other pages' footers
+    assert got[4] == f"{own[4]}\n{part}"                   # covered in part only
+    assert got[5] == f"{notice}\nshort"                     # most of the content: a copy
+    assert got[6] == f"{own[3]}\n{notice}"                  # another host
+    assert got[7] == f"{own[4]}\n{notice}"                  # articles keep all their text
+    assert got[8] == f"{own[4]}\n{notice}"                  # the article's one stays, the one beside it goes
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_cover_what_common_extensions_cover(seed):
+    """Brute force over a real suffix array: sorted suffixes, common extensions of PAGES distinct pages."""
+    r = random.Random(seed)
+    phrases = [[r.choice("abc") for _ in range(r.randint(3, 14))] for _ in range(4)]
+    pages = [[w for _ in range(4) for w in r.choice(phrases) + [r.choice("xyz")] * r.randint(0, 2)] for _ in range(6)]
+    suffixes = sorted((p[k:], n, k) for n, p in enumerate(pages) for k in range(len(p)))
+    covered = [set() for _ in pages]
+    for i in range(len(suffixes)):
+        common, seen = len(suffixes[i][0]), set()
+        for j in range(i, len(suffixes)):
+            both = zip(suffixes[i][0], suffixes[j][0])
+            common = min(common, next((k for k, (x, y) in enumerate(both) if x != y), min(len(suffixes[i][0]), len(suffixes[j][0]))))
+            if common < html_text.RUN:
+                break
+            seen.add(suffixes[j][1])
+            if len(seen) >= html_text.PAGES:
+                for _, n, k in suffixes[i:j + 1]:
+                    covered[n].update(range(k, k + common))
+    runs = [set(html_text.run_hashes([" ".join(p)]).tolist()) for p in pages]
+    repeated = {h for p in runs for h in p if sum(h in q for q in runs) >= html_text.PAGES}
+    for p, c in zip(pages, covered):
+        assert html_text.unique_runs([" ".join(p)], repeated) == " ".join(w for k, w in enumerate(p) if k not in c)
