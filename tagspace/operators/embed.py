@@ -1,7 +1,7 @@
 """Text embeddings.
 
-* ``word_average`` (E2): mean of unit word vectors, as a join of tokens with a
-  word-vector table (no per-row model call). Words missing from the table are
+* ``word_average`` (E2): mean of unit word vectors, as a join of the words of blocks of
+  posts with a word-vector table (no per-row model call). Words missing from the table are
   skipped.
 * ``hash_embed`` (built-in encoder): signed feature hashing of whitespace tokens
   into ``dim`` md5 buckets, L2-normalised — pure Spark expressions.
@@ -14,22 +14,29 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagspace.functions.hashing import hash32
 from tagspace.functions.text import flatten_newlines
-from tagspace.functions.vectors import vector_sum
+from tagspace.functions.vectors import of_length
 from tagspace.operators.distance import unit_embeddings
 
 # whitespace as Java, RE2 and Python all read it (vertical tab included)
 TOKEN_PATTERN = r"[^ \t\n\x0B\f\r]+"
 ENCODE_BATCH = 64
+#: Posts of a block of ``word_average``, and tokens whose vectors it holds at a time.
+BLOCK_POSTS, BLOCK_TOKENS = 16384, 32768
+#: Fewer posts make smaller blocks: so many of them, of at least so many posts, keep tasks busy.
+LEAST_BLOCKS, LEAST_POSTS = 16, 1024
 # names of the built-in encoder: hash-32 hashes into 32 dimensions
 HASH_MODEL = r"hash[-/_](\d+)"
 
@@ -46,24 +53,58 @@ def word_average(posts: DataFrame, words: DataFrame, text: str = "text",
     ``words`` is a table (word, vector) with one row per word; tokens that it lacks are
     skipped. Every post has a row: one without known tokens has n_tokens 0 and the zero
     vector (``dim`` long; without ``dim`` an empty one).
+
+    Posts are dealt by their id into blocks of about ``BLOCK_POSTS``. A block gets the vector of
+    each of its words once, as stored, and sums there: no vector moves per post and word.
     """
-    # count tokens per (post, word) first: the vector join then runs on few rows
-    cnt = (posts.select("post_id", F.explode(tokens(text)).alias("word"))
-           .groupBy("post_id", "word").agg(F.count(F.lit(1)).alias("c")))
-    unit = unit_embeddings(words.select("word", "vector"), "vector", dim=dim)
-    agg = cnt.join(unit, "word").groupBy("post_id").agg(
-        F.sum("c").alias("n_tokens"), vector_sum("u", weight="c", dim=dim).alias("s"))
-    mean = agg.select("post_id", "n_tokens",
-                      F.transform("s", lambda x: x / F.col("n_tokens")).alias("embedding"))
-    return _every_post(posts, mean, dim or 0)
-
-
-def _every_post(posts: DataFrame, found: DataFrame, dim: int) -> DataFrame:
-    """One row per post; those not found have no tokens and the zero vector."""
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return posts.select("post_id").join(found, "post_id", "left").select(
-        "post_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"),
-        F.coalesce("embedding", zero).alias("embedding"))
+    n = posts.count()
+    blocks = max(1, math.ceil(n / BLOCK_POSTS), min(LEAST_BLOCKS, math.ceil(n / LEAST_POSTS)))
+    dealt = posts.select(F.pmod(F.xxhash64("post_id"), F.lit(blocks)).cast("int").alias("block"), "post_id",
+                         F.col(text).alias("text")).repartition(blocks, "block")
+    # posts without an id count no tokens
+    needed = (dealt.select("block", "post_id", F.explode(tokens("text")).alias("word"))
+              .groupBy("block", "word").agg(F.count("post_id").alias("n")).where("n > 0"))
+    vectors = words.select("word", F.col("vector") if dim is None else of_length("vector", dim).alias("vector"))
+    sent = needed.join(vectors, "word").select(F.col("block").alias("to"), "word", "vector").repartition(blocks, "to")
+    kind = posts.schema["post_id"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _block_means(left, right, dim)
+
+    return (dealt.select("block", "post_id", tokens("text").alias("tokens")).groupBy("block")
+            .cogroup(sent.groupBy("to"))
+            .applyInArrow(run, f"post_id {kind}, n_tokens bigint, embedding array<double>"))
+
+
+def _block_means(posts: pa.Table, words: pa.Table, dim: int | None) -> pa.Table:
+    """Means of a block's posts (post_id, tokens) by its words (word, vector)."""
+    column = words["vector"].combine_chunks()
+    length = pc.list_value_length(column)
+    if len(words) and (column.null_count or pc.min(length) != pc.max(length)):
+        raise ValueError("the word vectors have not all one length")
+    wide = (dim or 0) if not len(words) else length[0].as_py()
+    vectors = column.flatten().to_numpy(zero_copy_only=False).reshape(len(words), wide)
+    norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
+    norm[norm == 0] = 1.0
+    ids = posts["post_id"].combine_chunks().dictionary_encode()
+    of = ids.indices.fill_null(len(ids.dictionary)).to_numpy(zero_copy_only=False)
+    n, sums = np.zeros(len(ids.dictionary) + 1, np.int64), np.zeros((len(ids.dictionary) + 1, wide))
+    at, known = 0, words["word"].combine_chunks()
+    for chunk in posts["tokens"].chunks:
+        sizes = pc.list_value_length(chunk).fill_null(0).to_numpy(zero_copy_only=False)
+        found = pc.index_in(chunk.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+        rows = np.repeat(of[at:at + len(chunk)], sizes)[found >= 0]
+        at, found = at + len(chunk), found[found >= 0]
+        n += np.bincount(rows, minlength=len(n))
+        for i in range(0, len(found), BLOCK_TOKENS):
+            r, w = rows[i:i + BLOCK_TOKENS], found[i:i + BLOCK_TOKENS]
+            first = np.flatnonzero(np.diff(r, prepend=-1))
+            np.add.at(sums, r[first], np.add.reduceat(vectors[w].astype(np.float64) / norm[w, None], first))
+    n[-1], sums[-1] = 0, 0.0  # posts without an id
+    means = (sums / np.maximum(n, 1)[:, None])[of]
+    sizes = np.where((n[of] > 0) | (dim is not None), wide, 0)
+    return pa.table({"post_id": posts["post_id"], "n_tokens": pa.array(n[of], pa.int64()), "embedding": pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(means[sizes > 0].ravel(), pa.float64()))})
 
 
 def hash_embed(posts: DataFrame, dim: int = 32, text: str = "text") -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from tagspace.operators import embed as EM
@@ -17,6 +19,31 @@ def test_word_average_skips_unseen_words_and_keeps_posts(spark):
     assert got["x2"] == got["x3"] == got["x4"] == (0, [0.0, 0.0])
 
 
+def test_word_average_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(EM, "BLOCK_POSTS", 3)
+    monkeypatch.setattr(EM, "BLOCK_TOKENS", 4)
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(i + 3))) for i in range(12)] + [(5, "w1 w1 w9"), (None, "w1"), (20, None)]
+    vec = {f"w{k}": [float(k), 1.0, -2.0] for k in range(5)} | {"w9": [0.0, 0.0, 0.0]}
+    posts = spark.createDataFrame(rows, "post_id long, text string")
+    words = spark.createDataFrame(list(vec.items()), "word string, vector array<float>")
+    out = EM.word_average(posts, words, dim=3)
+    got = sorted(((r.post_id is None, r.post_id), r.n_tokens, list(r.embedding)) for r in out.collect())
+    want = []
+    for i, _ in rows:
+        own = [vec[w] for j, t in rows if i is not None and j == i for w in (t or "").split() if w in vec]
+        unit = [[x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v] for v in own]
+        want.append(((i is None, i), len(own), [sum(c) / len(own) for c in zip(*unit)] if own else [0.0] * 3))
+    want.sort()
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2] == pytest.approx(w[2]) for g, w in zip(got, want))
+    # the posts are dealt once, and what comes back is not summed in another shuffle
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "HashAggregate(keys=[post_id" not in plan
+    assert EM.word_average(posts.limit(0), words).count() == 0
+    assert {len(r.embedding) for r in EM.word_average(posts, words).collect() if r.n_tokens == 0} == {0}
+
+
 def test_dispatch_by_name(spark):
     posts = _posts(spark)
     assert EM.encode_posts(posts, "hash-8").count() == 4
