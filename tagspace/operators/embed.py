@@ -86,16 +86,23 @@ def _block_means(posts: pa.Table, words: pa.Table, dim: int | None) -> pa.Table:
     vectors = column.flatten().to_numpy(zero_copy_only=False).reshape(len(words), wide)
     norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
     norm[norm == 0] = 1.0
+    words = words["word"].combine_chunks().dictionary_encode()
+    known, codes = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+    times = np.bincount(codes, minlength=len(known))
+    if len(known) < len(codes):  # a word of several rows counts with each
+        unit = np.zeros((len(known), wide))
+        np.add.at(unit, codes, vectors / norm[:, None])
+        vectors, norm = unit, np.ones(len(known))
     ids = posts["post_id"].combine_chunks().dictionary_encode()
     of = ids.indices.fill_null(len(ids.dictionary)).to_numpy(zero_copy_only=False)
     n, sums = np.zeros(len(ids.dictionary) + 1, np.int64), np.zeros((len(ids.dictionary) + 1, wide))
-    at, known = 0, words["word"].combine_chunks()
+    at = 0
     for chunk in posts["tokens"].chunks:
         sizes = pc.list_value_length(chunk).fill_null(0).to_numpy(zero_copy_only=False)
         found = pc.index_in(chunk.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
         rows = np.repeat(of[at:at + len(chunk)], sizes)[found >= 0]
         at, found = at + len(chunk), found[found >= 0]
-        n += np.bincount(rows, minlength=len(n))
+        n += np.bincount(rows, times[found], len(n)).astype(np.int64)
         for i in range(0, len(found), BLOCK_TOKENS):
             r, w = rows[i:i + BLOCK_TOKENS], found[i:i + BLOCK_TOKENS]
             first = np.flatnonzero(np.diff(r, prepend=-1))
