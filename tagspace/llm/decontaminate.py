@@ -36,8 +36,8 @@ ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 BLOCK_ITEMS = 1000
 #: Vocabulary up to which a task adds up its passages' products of terms before it multiplies.
 GRAM_TERMS = 4096
-#: Tokens of one vectorised step.
-STEP_TOKENS = 50_000
+#: Tokens of one vectorised step, and passages whose vectors are summed together.
+STEP_TOKENS, SUM_ROWS = 50_000, 1024
 
 
 def _words(text: str | None) -> list[str]:
@@ -222,6 +222,23 @@ def _passages(place: np.ndarray, term: np.ndarray, idf: np.ndarray):
     return weighted(np.concatenate([half - 1, half]), np.concatenate([term, term]), idf)
 
 
+def _sums(thin: np.ndarray, term: np.ndarray, w: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """thin[term] * w summed over each passage, its terms in order. Passages of like length are summed
+    together, ``SUM_ROWS`` at a time, one term of each in a step: their sums stay in the cache."""
+    size = np.diff(np.append(edge, len(term)))
+    order = np.argsort(-size, kind="stable")
+    out = np.empty((len(edge), thin.shape[1]), np.result_type(thin, w))
+    for a in range(0, len(order), SUM_ROWS):
+        own = order[a:a + SUM_ROWS]
+        at, left = edge[own], size[own]  # longest first
+        total = thin[term[at]] * w[at, None]
+        for j in range(1, left[0]):
+            at = at[:np.searchsorted(-left, -j)]  # passages of more than j terms
+            total[:len(at)] += thin[term[at + j]] * w[at + j, None]
+        out[own] = total
+    return out
+
+
 def _add_gram(gram: np.ndarray, passage: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
     """Adds w w' of every passage to the upper half of the flat ``gram``; terms ascend in a passage."""
     terms, at, apart = math.isqrt(len(gram)), np.arange(len(term)), 0
@@ -247,7 +264,7 @@ def _multiplied(tokens: DataFrame, items: Items, thin: np.ndarray) -> np.ndarray
                 if gram is not None:
                     _add_gram(gram, passage, term, w)
                     continue
-                down = np.add.reduceat(thin[term] * w[:, None], edge, axis=0)
+                down = _sums(thin, term, w, edge)
                 back = np.repeat(down, np.diff(np.append(edge, len(w))), axis=0) * w[:, None]
                 order = np.argsort(term, kind="stable")
                 own, first = np.unique(term[order], return_index=True)
@@ -293,7 +310,7 @@ def _search(tokens: DataFrame, items: Items, directions: np.ndarray) -> DataFram
     window, term, item = items.windows()
     passage, term, w, edge = weighted(window, term, items.idf)
     queries = np.zeros((len(item), directions.shape[1]))
-    queries[passage[edge]] = np.add.reduceat(directions[term] * w[:, None], edge, axis=0)
+    queries[passage[edge]] = _sums(directions, term, w, edge)
     queries, thin = _unit(queries), directions.astype(np.float32)
     longest = max(len(own) for own in items.words)
     schema = "doc_id long, item_id long, cosine double, common double, answer double"
@@ -303,7 +320,7 @@ def _search(tokens: DataFrame, items: Items, directions: np.ndarray) -> DataFram
             out = []
             for ids, base, place, term in _steps(batch, items.content):
                 passage, own, w, edge = _passages(place, term, items.idf)
-                z = _unit(np.add.reduceat(thin[own] * w[:, None], edge, axis=0))
+                z = _unit(_sums(thin, own, w, edge))
                 number = passage[edge]
                 best: dict[tuple[int, int], tuple] = {}
                 seen: set[tuple[int, int]] = set()
