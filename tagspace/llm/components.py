@@ -18,26 +18,30 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    ends = F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "vu"])
+    return down.join(low, "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node of ``edges``, from larger to smaller nodes, has one edge down or only edges up."""
+    ends = (edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+            .unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))))
+    other = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down + up > 1")
+    return other.agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``edges`` (a, b): the smallest node reachable.
 
-    Each step is written to the shared folder; the loop ends when a step changes no edge, which
-    takes a number of steps that is logarithmic in the longest path. A node with any number of
-    edges is aggregated before the shuffle, and its join is one that Spark splits when skewed.
+    Each step is written to the shared folder; the loop ends when the edges are stars around smallest
+    nodes, which takes a number of steps that is logarithmic in the longest path, none if they are stars at
+    first. A node with any number of edges is aggregated before the shuffle, and its join is one that Spark
+    splits when skewed.
     """
-    at = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-                 .where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
+    at = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                 .distinct(), "edges")
+    while not _stars(at):
         before, at = at, written(_small_star(_large_star(at)), "stars")
         release(before)
-        now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
     low = at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(low)

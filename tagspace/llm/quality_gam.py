@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         run, "doc_id long, y int, " + ", ".join(f"{f} double" for f in FEATURES))
     # one row of a repeated doc_id (with the least features), so that the bound holds for rows too
     got = got.groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("x")).select("doc_id", "x.*").toPandas()
-    got = got.sort_values(["doc_id", *FEATURES])
+    got = got.sort_values("doc_id")
     return fit(got[FEATURES].to_numpy(np.float64), got["y"].to_numpy(np.float64))
 
 
