@@ -37,7 +37,7 @@ BLOCK_ITEMS = 1000
 #: Vocabulary up to which a task adds up its passages' products of terms before it multiplies.
 GRAM_TERMS = 4096
 #: Tokens of one vectorised step, and passages whose vectors are summed together.
-STEP_TOKENS, SUM_ROWS = 50_000, 1024
+STEP_TOKENS, SUM_ROWS = 50_000, 512
 
 
 def _words(text: str | None) -> list[str]:
@@ -223,19 +223,27 @@ def _passages(place: np.ndarray, term: np.ndarray, idf: np.ndarray):
 
 
 def _sums(thin: np.ndarray, term: np.ndarray, w: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """thin[term] * w summed over each passage, its terms in order. Passages of like length are summed
-    together, ``SUM_ROWS`` at a time, one term of each in a step: their sums stay in the cache."""
+    """thin[term] * w summed over each passage. Passages of equal length are summed together,
+    ``SUM_ROWS`` at a time, one term of each in a step: their sums stay in the cache. The terms after
+    the first are added in 8 lanes, as numpy adds."""
     size = np.diff(np.append(edge, len(term)))
-    order = np.argsort(-size, kind="stable")
     out = np.empty((len(edge), thin.shape[1]), np.result_type(thin, w))
-    for a in range(0, len(order), SUM_ROWS):
-        own = order[a:a + SUM_ROWS]
-        at, left = edge[own], size[own]  # longest first
-        total = thin[term[at]] * w[at, None]
-        for j in range(1, left[0]):
-            at = at[:np.searchsorted(-left, -j)]  # passages of more than j terms
-            total[:len(at)] += thin[term[at + j]] * w[at + j, None]
-        out[own] = total
+    for n in np.unique(size).tolist():
+        equal = np.flatnonzero(size == n)
+        for a in range(0, len(equal), SUM_ROWS):
+            own = equal[a:a + SUM_ROWS]
+            rows = (thin[term[at]] * w[at, None] for at in (edge[own] + j for j in range(n)))
+            total, left = next(rows), n - 1
+            if left >= 8:
+                lane = [next(rows) for _ in range(8)]
+                for j in range(8, left - left % 8):
+                    lane[j % 8] += next(rows)
+                rest = ((lane[0] + lane[1]) + (lane[2] + lane[3])) + ((lane[4] + lane[5]) + (lane[6] + lane[7]))
+            elif left:
+                rest = next(rows)
+            for row in rows:
+                rest += row
+            out[own] = total + rest if left else total
     return out
 
 
