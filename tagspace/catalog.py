@@ -13,7 +13,7 @@ from tagspace import oracle as O
 from tagspace.functions import predicates as P
 from tagspace.functions import text as T
 from tagspace.operators import tags as TG
-from tagspace.session import cut_lineage
+from tagspace.session import Scratch, cut_lineage
 from tagspace.sources import fixtures as FX
 
 QUERIES: dict = {}
@@ -753,11 +753,13 @@ def q_read_pairs(spark, d):
     FX.posts_event(spark, d).write.parquet(src)
     posts = FS.read_posts_range(spark, src, 2024, 2024, EVENT_POST_SCHEMA, id_col="post_id",
                                 group_col="grp", merge={}, fmt="parquet")
-    ds = cut_lineage(PR.split_dataset(PR.pair_dataset(posts, **PAIR_ARGS), 42))
+    scratch = Scratch(spark)  # the dataset is written there once, and read by each of the writes
+    ds = PR.split_dataset(PR.pair_dataset(posts, **PAIR_ARGS, scratch=scratch), 42)
     train, val = ds.filter("split = 'train'"), ds.filter("split = 'val'")
     out = SK.scratch_path(spark, "pairs")
     for year, suffix in ((2013, None), (2017, "b"), (2013, None)):
         SK.write_pairs(train, val, out, year, suffix)
+    scratch.clear()
     parts = [FS.read_pairs(spark, f"{out}/year={y}", split=p).withColumns({"year": F.lit(y), "split": F.lit(p)})
              for y in ("2013", "2017_b") for p in ("train", "val")]
     all_ = parts[0]

@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from tagspace.functions.hashing import TWO32, hash32, hash_hex
 from tagspace.functions.text import tags_of
 from tagspace.operators import tags as TG
-from tagspace.operators.topk import top_k
-from tagspace.session import cut_lineage
+from tagspace.session import Scratch, cut_lineage
 
 K_POSTS = 100       # posts sampled per side and tag
 HEAVY = 62          # commonest tags that a post's bitmap tells
 SAMPLE = 1024       # bitmaps that size the first ranges
 CELL_BITS, MOST_BITS = 12, 26  # posts that a part of a cell holds, and buckets, as powers of two
+GROUP_POSTS = 1 << 14  # posts of a tag that a task sorts at a time
+LIST_TAGS = 1024    # tags whose pairs a task forms
 N_SAMPLES = 230     # pairs per label and tag (function default; the command line used 320)
 SPARE = 10.0        # standard deviations of pairs that the hash bound leaves beyond those asked for
 
@@ -56,38 +57,82 @@ def tag_post(tp: DataFrame) -> DataFrame:
     return tp.select(F.explode("tags").alias("tag"), "post_id").distinct()
 
 
+def _sample_lists(tag_posts: DataFrame, common: DataFrame, seed: int, salts: tuple[str, ...],
+                  k: int = K_POSTS) -> DataFrame:
+    """(tag, *salts): the first k distinct posts of each tag in the md5 order of each salt, as lists.
+
+    (tag, post_id) moves once for all salts. ``common`` may have the tags' mentions as ``n``; the
+    posts of a tag of many (at most one in GROUP_POSTS rows of them) are dealt to several groups.
+    """
+    tp = TG.restrict_to(tag_posts, common)
+    sizes = common if "n" in common.columns else tp.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    many = sizes.where(F.col("n") > GROUP_POSTS).select("tag", F.ceil(F.col("n") / GROUP_POSTS).cast("int").alias("groups"))
+    part = F.pmod(F.xxhash64("post_id"), F.coalesce("groups", F.lit(1))).cast("int")
+    dealt = tp.join(F.broadcast(many), "tag", "left").select("tag", "post_id", part.alias("part"))
+    # a struct, so that a post without an id counts as before
+    sets = dealt.repartition("tag", "part").groupBy("tag", "part").agg(F.collect_set(F.struct("post_id")).alias("set"))
+
+    def first_of(salt: str):
+        order = lambda x: F.unhex(hash_hex(F.lit(seed), F.lit(salt), F.col("tag"), x["post_id"])).alias("o")
+        return F.slice(F.sort_array(F.transform("set", lambda x: F.struct(order(x), x["post_id"].alias("post_id")))), 1, k)
+
+    firsts = sets.select("tag", *[first_of(s).alias(s) for s in salts]).groupBy("tag").agg(*[F.flatten(F.collect_list(s)).alias(s) for s in salts])
+    return firsts.select("tag", *[F.transform(F.slice(F.sort_array(s), 1, k), lambda x: x["post_id"]).alias(s) for s in salts])
+
+
+def _ranked(lists: DataFrame, of: str) -> DataFrame:
+    """(tag, post_id, rank) of each tag's list."""
+    return lists.select("tag", F.posexplode(of).alias("at", "post_id")).select("tag", "post_id", (F.col("at") + 1).alias("rank"))
+
+
 def positive_sample(tag_posts: DataFrame, common: DataFrame, seed: int, salt: str = "pos",
                     k: int = K_POSTS) -> DataFrame:
     """(tag, post_id, rank) — up to k posts with the tag, md5 order."""
-    tp = TG.restrict_to(tag_posts, common)
-    order = [hash_hex(F.lit(seed), F.lit(salt), F.col("tag"), F.col("post_id"))]
-    return top_k(tp, ["tag"], order, k)
+    return _ranked(_sample_lists(tag_posts, common, seed, (salt,), k), salt)
 
 
-def _first_pairs(held: DataFrame, seed: int, salt: str, n_samples: int, triangle: bool) -> DataFrame:
-    """(tag, id1, id2): the first ``n_samples`` pairs of each row (tag, a, b) in md5 order, of all
-    of ``a`` with all of ``b``, or with ``triangle`` of each element of ``a`` with those after it."""
+def _first_pairs(held: DataFrame, seed: int, salt: str, n_samples: int, triangle: bool,
+                 partitions: int | None = None) -> DataFrame:
+    """(tag, ids, first, second): the first ``n_samples`` pairs of each row (tag, a, b) in md5 order, of
+    all of ``a`` with all of ``b``, or with ``triangle`` of each element of ``a`` with those after it;
+    as places in ``ids``, the posts of both.
+
+    A tag's pairs are formed, bounded and sorted in the task that has its row: no pair is shuffled.
+    """
     after = lambda i: F.slice("a", i + 2, F.greatest(F.size("a") - i - 1, F.lit(0)))
     order = lambda x, y: hash_hex(F.lit(seed), F.lit(salt), F.col("tag"), x, y)
-    pair = lambda x, y: F.struct(order(x, y).alias("o"), x.alias("id1"), y.alias("id2"))
+    place = (lambda i, j: i + 1 + j) if triangle else (lambda i, j: F.size("a") + j)
+    pair = lambda o, i, j: F.struct(F.unhex(o).alias("o"), i.alias("i"), place(i, j).alias("j"))
+    sides = ["a"] if triangle else ["a", "b"]
     size = F.size("a").cast("bigint")
     m = F.floor(size * (size - 1) / 2) if triangle else size * F.size("b")
     share = (n_samples + SPARE * math.sqrt(n_samples)) / F.greatest(F.col("m"), F.lit(1))
     edge = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share * TWO32).cast("bigint")), 8, "0")))
-    held = cut_lineage(held.withColumn("m", m).where("m > 0").withColumn("edge", edge))  # one row per tag
-    left = held.select("tag", "edge", "a", "b", F.posexplode("a").alias("i", "id1"))
-    left = left.select("tag", "edge", "id1", F.explode(after(F.col("i")) if triangle else F.col("b")).alias("id2"))
-    near = left.select("tag", "id1", "id2", order(F.col("id1"), F.col("id2")).alias("o"), "edge").where("o < edge")
-    near = near.groupBy("tag").agg(F.collect_list(F.struct("o", "id1", "id2")).alias("near"))
+    held = held.repartition("tag") if partitions is None else held.repartition(partitions, "tag")  # one row per tag
+    held = held.withColumn("m", m).where("m > 0").withColumn("edge", edge)
+    left = held.select("tag", "m", "edge", *sides, F.posexplode("a").alias("i", "id1"))
+    left = left.select("*", F.posexplode(after(F.col("i")) if triangle else F.col("b")).alias("j", "id2"))
+    # the lists themselves stay with one pair, whether it is near or not
+    one, near = (F.col("i") == 0) & (F.col("j") == 0), F.col("o") < F.col("edge")
+    left = left.withColumn("o", order(F.col("id1"), F.col("id2"))).where(near | one)
+    left = left.select("tag", F.when(one, F.struct(*sides, "m")).alias("whole"), F.when(near, pair(F.col("o"), F.col("i"), F.col("j"))).alias("p"))
+    near = left.groupBy("tag").agg(F.first("whole", ignorenulls=True).alias("whole"), F.collect_list("p").alias("near"))
+    near = near.select("tag", "whole.*", "near")
     if triangle:
-        every = F.transform("a", lambda x, i: F.transform(after(i), lambda y: pair(x, y)))
+        every = F.transform("a", lambda x, i: F.transform(after(i), lambda y, j: pair(order(x, y), i, j)))
     else:
-        every = F.transform("a", lambda x: F.transform("b", lambda y: pair(x, y)))
-    enough = F.coalesce(F.size("near"), F.lit(0)) >= F.least(F.col("m"), F.lit(n_samples))
+        every = F.transform("a", lambda x, i: F.transform("b", lambda y, j: pair(order(x, y), i, j)))
+    enough = F.size("near") >= F.least(F.col("m"), F.lit(n_samples))
     chosen = F.when(enough, F.col("near")).otherwise(F.flatten(every))
-    return (held.join(near, "tag", "left")
-            .select("tag", F.explode(F.slice(F.sort_array(chosen), 1, n_samples)).alias("p"))
-            .select("tag", "p.id1", "p.id2"))
+    return (near.select("tag", F.concat(*sides).alias("ids"), F.slice(F.sort_array(chosen), 1, n_samples).alias("p"))
+            .select("tag", "ids", F.transform("p", lambda p: p["i"]).alias("first"), F.transform("p", lambda p: p["j"]).alias("second")))
+
+
+def _pair_ids(chosen: DataFrame) -> DataFrame:
+    """(tag, id1, id2) of ``_first_pairs``' rows."""
+    ids, second = F.col("ids"), F.col("second")
+    pairs = F.transform("first", lambda i, n: F.struct(ids[i].alias("id1"), ids[second[n]].alias("id2")))
+    return chosen.select("tag", F.inline(pairs))
 
 
 def _held(sample: DataFrame, out: str) -> DataFrame:
@@ -101,7 +146,7 @@ def positive_pairs(sample: DataFrame, seed: int, n_samples: int = N_SAMPLES) ->
 
     id1 precedes id2 in the sample order. At most k(k-1)/2 pairs per tag are formed.
     """
-    return _first_pairs(_held(sample, "a").withColumn("b", F.lit(None)), seed, "pp", n_samples, True)
+    return _pair_ids(_first_pairs(_held(sample, "a"), seed, "pp", n_samples, True))
 
 
 def heavy_tags(per_tag: DataFrame, cooc: DataFrame, most: int = HEAVY) -> list[str]:
@@ -147,12 +192,13 @@ def _scanned(open_tags: DataFrame, posts: DataFrame, nb: int, depths: list[tuple
             .withColumn("cell", F.pmod("at", cells))
             .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))))
     held = posts.withColumn("s", F.explode(F.filter(shapes, lambda s: s["depth"] <= F.col("clear"))))
-    held = (held.select("post_id", "rest", "mask", "h", "bucket", "s.depth", "s.level", "s.parts")
-            .withColumn("cell", F.expr("shiftright(bucket, level)"))
+    bucket = F.shiftright("h", 32 - (nb.bit_length() - 1)).cast("bigint")
+    held = (held.select("post_id", "rest", "mask", "h", "s.depth", "s.level", "s.parts")
+            .withColumn("bucket", bucket).withColumn("cell", F.expr("shiftright(bucket, level)")).drop("bucket")
             .withColumn("part", F.pmod(F.xxhash64("post_id"), F.col("parts")).cast("int")).drop("parts"))
     return (asks.join(held, ["depth", "level", "cell", "part"])
             .where((F.col("mask").bitwiseAND(F.col("with")) == 0)
-                   & F.pmod(F.col("bucket") - F.col("b0"), F.lit(nb).cast("bigint")).between(F.col("lo"), F.col("hi") - 1))
+                   & F.pmod(bucket - F.col("b0"), F.lit(nb).cast("bigint")).between(F.col("lo"), F.col("hi") - 1))
             .select("tag", "ht", "post_id", "rest", "h"))
 
 
@@ -169,12 +215,26 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
     range. Samples and estimates size ranges only.
     ``first_buckets`` fixes the first range instead (tests use it to force rounds).
     """
+    lists = _clean_lists(tp, common, cooc, seed, Scratch(tp.sparkSession), k, bucket_posts, first_buckets)
+    return _ranked(lists, "b")
+
+
+def _clean_lists(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int, scratch: Scratch,
+                 k: int = K_POSTS, bucket_posts: int = 64, first_buckets: int | None = None) -> DataFrame:
+    """(tag, b): ``clean_negatives`` as one list per tag, kept in ``scratch``; what finds them is
+    written compressed, step by step, and removed."""
+    with Scratch(tp.sparkSession) as own:
+        return scratch.keep(_found_clean(tp, common, cooc, seed, own, k, bucket_posts, first_buckets))
+
+
+def _found_clean(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int, own: Scratch, k: int,
+                 bucket_posts: int, first_buckets: int | None) -> DataFrame:
     n = tp.count()
     bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, n) / bucket_posts))))
     nb, shift = 1 << bits, 32 - bits
     width = 1 << shift
-    cooc = cut_lineage(cooc)  # (tag, other), read for the sizes and in every round
-    per_tag = cut_lineage(tp.select(F.explode(F.array_distinct("tags")).alias("other"))
+    cooc = own.keep(cooc)  # (tag, other), read for the sizes and in every round
+    per_tag = own.keep(tp.select(F.explode(F.array_distinct("tags")).alias("other"))
                           .groupBy("other").agg(F.count(F.lit(1)).alias("np")))
     heavy = heavy_tags(per_tag, cooc)
     bit = lambda at: F.lit(1 << at).cast("bigint")
@@ -187,7 +247,7 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
     # the number of the first heavy tag that a post has
     lowest = F.col("mask").bitwiseAND(-F.col("mask"))
     clear = F.when(F.col("mask") == 0, len(heavy)).otherwise(F.round(F.log2(lowest.cast("double"))).cast("int"))
-    posts = cut_lineage(posts.withColumn("bucket", F.shiftright("h", shift).cast("bigint")).withColumn("clear", clear))
+    posts = own.keep(posts.withColumn("clear", clear))
     depths = _depths(posts, n, len(heavy))
     # a bounded sample of bitmaps, for the sizes of ranges
     drawn = posts.select("mask", "h", "post_id").orderBy(F.xxhash64(F.lit(seed), "h"), "post_id").limit(SAMPLE).collect()
@@ -214,56 +274,64 @@ def clean_negatives(tp: DataFrame, common: DataFrame, cooc: DataFrame, seed: int
                          for d, _ in depths], F.lit(0))
     open_tags = cut_lineage(tags.select("tag", "ht", "b0", "with", depth.alias("depth"), F.lit(0).cast("bigint").alias("lo"), hi.alias("hi")))
     edges = cooc.where(~F.col("other").isin(heavy)) if heavy else cooc
-    edges = edges.withColumn("met", F.lit(True))
     found = None
     while True:
-        cand = _scanned(open_tags, posts, nb, depths).select(
-            "tag", "post_id", F.pmod(F.col("h") - F.col("ht"), F.lit(TWO32)).alias("off"), F.posexplode_outer("rest").alias("at", "other"))
-        # a candidate (as often as its row is there) without any tag that co-occurs with the tag
-        dirty = F.max(F.col("met") & F.col("post_id").isNotNull())
-        clean = (cand.join(edges, ["tag", "other"], "left").groupBy("tag", "post_id", "off")
-                 .agg(dirty.alias("dirty"), F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0)).alias("times"))
-                 .where(~F.coalesce("dirty", F.lit(False)))
-                 .select("tag", "post_id", "off", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("at")).drop("at"))
-        clean = cut_lineage(clean)
+        with Scratch(tp.sparkSession) as of_round:
+            cand = of_round.keep(_scanned(open_tags, posts, nb, depths).select(
+                "tag", "post_id", F.pmod(F.col("h") - F.col("ht"), F.lit(TWO32)).alias("off"), "rest"))
+            # a candidate (as often as its row is there) without any tag that co-occurs with the tag
+            dirty = of_round.keep(cand.select("tag", "post_id", F.explode("rest").alias("other")).where(F.col("post_id").isNotNull())
+                                  .join(edges, ["tag", "other"], "left_semi").select("tag", "post_id").distinct())
+            clean = own.keep(cand.drop("rest").join(dirty, ["tag", "post_id"], "left_anti"))
         found = clean if found is None else found.unionByName(clean)
         # offsets below the end of each tag's scanned range are complete
         limit = (F.col("b0") + F.col("hi")) * F.lit(width) - F.col("ht")
         status = (open_tags.filter(F.col("hi") < nb).join(found, "tag", "left")
                   .groupBy("tag").agg(F.sum(F.when(F.col("off") < limit, 1).otherwise(0))
                                       .alias("_c")))
-        still = status.filter(F.col("_c") < k).select("tag")
+        still = own.keep(status.filter(F.col("_c") < k).select("tag"))
         if still.isEmpty():  # the usual case: every tag closed in this round
             break
         open_tags = cut_lineage(
             open_tags.join(still, "tag", "left_semi")
             .select("tag", "ht", "b0", "with", "depth", F.col("hi").alias("lo"),
                     F.least(F.col("hi") * 2, F.lit(nb).cast("bigint")).alias("hi")))
-    return top_k(found, ["tag"], [F.col("off"), F.col("post_id")], k).drop("off")
+    # ranges hold about twice k clean posts of a tag
+    firsts = found.groupBy("tag").agg(F.slice(F.sort_array(F.collect_list(F.struct("off", "post_id"))), 1, k).alias("firsts"))
+    return firsts.select("tag", F.transform("firsts", lambda x: x["post_id"]).alias("b"))
 
 
 def negative_pairs(pos2: DataFrame, neg: DataFrame, seed: int,
                    n_samples: int = N_SAMPLES) -> DataFrame:
     """(tag, id1, id2): n_samples of positive × clean negative, md5 order."""
-    return _first_pairs(_held(pos2, "a").join(_held(neg, "b"), "tag"), seed, "np", n_samples, False)
+    return _pair_ids(_first_pairs(_held(pos2, "a").join(_held(neg, "b"), "tag"), seed, "np", n_samples, False))
 
 
-def pair_parts(posts: DataFrame, num_groups: int = 3, threshold: int = 50, seed: int = 42,
-               n_samples: int = N_SAMPLES, k: int = K_POSTS):
-    """(tagged posts, positive pairs, negative pairs) of the pair generator.
+def _pair_lists(posts: DataFrame, num_groups: int, threshold: int, seed: int, n_samples: int, k: int,
+                own: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tagged posts, positive pairs, negative pairs), the pairs as ``_first_pairs`` has them.
 
     The tagged posts are written once without their text (post_id, grp, tags):
-    every step reads them, and texts are attached to the final pairs only.
+    every step reads them, and texts are attached to the posts of the final pairs only.
     """
-    tp = cut_lineage(tagged_posts(posts).drop("text"))
+    tp = own.keep(tagged_posts(posts).drop("text"))
     ments = tp.select("post_id", "grp", F.posexplode("tags").alias("pos", "tag"))
-    common = cut_lineage(TG.common_tags(ments, num_groups, threshold).select("tag"))
-    cooc = tag_cooccurrence_of_lists(tp, common)
-    tpost = tag_post(tp)
-    pos = positive_pairs(positive_sample(tpost, common, seed, "pos", k), seed, n_samples)
-    pos2 = positive_sample(tpost, common, seed, "pos2", k)
-    neg = clean_negatives(tp.select("post_id", "tags"), common, cooc, seed, k)
-    return tp, pos, negative_pairs(pos2, neg, seed, n_samples)
+    common = own.keep(TG.common_tags(ments, num_groups, threshold).select("tag", "n"))
+    samples = own.keep(_sample_lists(tp.select(F.explode(F.array_distinct("tags")).alias("tag"), "post_id"),
+                                     common, seed, ("pos", "pos2"), k))
+    neg = _clean_lists(tp.select("post_id", "tags"), common, tag_cooccurrence_of_lists(tp, common), seed, own, k)
+    least = int(tp.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    partitions = max(least, math.ceil(common.count() / LIST_TAGS))
+    pos = _first_pairs(samples.select("tag", F.col("pos").alias("a")), seed, "pp", n_samples, True, partitions)
+    both = samples.select("tag", F.col("pos2").alias("a")).join(neg, "tag")
+    return tp, pos, _first_pairs(both, seed, "np", n_samples, False, partitions)
+
+
+def pair_parts(posts: DataFrame, num_groups: int = 3, threshold: int = 50, seed: int = 42,
+               n_samples: int = N_SAMPLES, k: int = K_POSTS):
+    """(tagged posts, positive pairs, negative pairs) of the pair generator."""
+    tp, pos, neg = _pair_lists(posts, num_groups, threshold, seed, n_samples, k, Scratch(posts.sparkSession))
+    return tp, _pair_ids(pos), _pair_ids(neg)
 
 
 def tag_cooccurrence_of_lists(tp: DataFrame, filter_tags: DataFrame) -> DataFrame:
@@ -273,20 +341,42 @@ def tag_cooccurrence_of_lists(tp: DataFrame, filter_tags: DataFrame) -> DataFram
     return t.select("tag", F.explode("tags").alias("other")).distinct()
 
 
-def with_texts(pairs: DataFrame, posts: DataFrame, text: str = "text") -> DataFrame:
-    """Attach both texts of each pair from the post table (two joins on post_id)."""
-    t1 = posts.select(F.col("post_id").alias("id1"), F.col(text).alias("sent1"))
-    t2 = posts.select(F.col("post_id").alias("id2"), F.col(text).alias("sent2"))
-    return pairs.join(t1, "id1").join(t2, "id2")
+def _with_text_lists(chosen: DataFrame, posts: DataFrame, text: str = "text") -> DataFrame:
+    """Attach the texts of each row's posts, from the post table by post_id, as lists beside ``ids``:
+    none for a post that the table lacks, several for one that it has several times.
+
+    A text moves once per tag whose pairs it is in, not once per pair.
+    """
+    t = posts.select("post_id", F.struct(F.col(text).alias("text")).alias("t"))
+    got = (chosen.select("tag", "label", F.posexplode("ids").alias("at", "post_id")).join(t, "post_id", "left")
+           .groupBy("tag", "label").agg(F.sort_array(F.collect_list(F.struct("at", "t"))).alias("got")))
+    none = F.array().cast("array<string>")
+    single = F.transform("got", lambda x: F.when(x["t"].isNotNull(), F.array(x["t"]["text"])).otherwise(none))
+    several = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.transform(
+        F.filter("got", lambda x: (x["at"] == i) & x["t"].isNotNull()), lambda x: x["t"]["text"]))
+    texts = F.when(F.size("got") == F.size("ids"), single).otherwise(several)
+    return chosen.join(got, ["tag", "label"]).select("tag", "label", "ids", "first", "second", texts.alias("texts"))
+
+
+def _pair_rows(lists: DataFrame) -> DataFrame:
+    """(tag, id1, id2, sent1, sent2, label): the pairs of ``_with_text_lists``' rows, formed as they are read."""
+    ids, texts, second = F.col("ids"), F.col("texts"), F.col("second")
+    pair = lambda i, j: F.flatten(F.transform(texts[i], lambda x: F.transform(texts[j], lambda y: F.struct(
+        ids[i].alias("id1"), ids[j].alias("id2"), x.alias("sent1"), y.alias("sent2")))))
+    pairs = F.flatten(F.transform("first", lambda i, n: pair(i, second[n])))
+    return lists.select("tag", "label", F.inline(pairs)).select("tag", "id1", "id2", "sent1", "sent2", "label")
 
 
 def pair_dataset(posts: DataFrame, num_groups: int = 3, threshold: int = 50, seed: int = 42,
-                 n_samples: int = N_SAMPLES, k: int = K_POSTS) -> DataFrame:
-    """(tag, id1, id2, sent1, sent2, label)."""
-    _, pos, neg = pair_parts(posts, num_groups, threshold, seed, n_samples, k)
-    both = pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
-    # pairs are ids so far: written once, texts are joined to what is read of them
-    return with_texts(cut_lineage(both), posts).select("tag", "id1", "id2", "sent1", "sent2", "label")
+                 n_samples: int = N_SAMPLES, k: int = K_POSTS, scratch: Scratch | None = None) -> DataFrame:
+    """(tag, id1, id2, sent1, sent2, label); written once, as lists per tag, to ``scratch``, which
+    the caller may clear when the pairs have been read."""
+    spark = posts.sparkSession
+    scratch = Scratch(spark) if scratch is None else scratch
+    with Scratch(spark) as own:
+        _, pos, neg = _pair_lists(posts, num_groups, threshold, seed, n_samples, k, own)
+        chosen = own.keep(pos.withColumn("label", F.lit(1))).unionByName(own.keep(neg.withColumn("label", F.lit(0))))
+        return _pair_rows(scratch.keep(_with_text_lists(chosen, posts)))
 
 
 def split_dataset(pairs: DataFrame, seed: int = 42, train_share: float = 0.8,
@@ -294,17 +384,18 @@ def split_dataset(pairs: DataFrame, seed: int = 42, train_share: float = 0.8,
     """Adds ``split`` ('train' for the first floor(share·n) rows in md5 order).
 
     Exact without a window: histograms of 16 more bits of the hash at a time (at most 65,536
-    counts each) find the hash at the boundary. Only hashes are written for it, no texts.
+    counts each) find the hash at the boundary. The hashes are formed as the pairs are read, none is written.
     """
     order = hash_hex(F.lit(seed), F.lit("split"), F.col("tag"), F.col("id1"), F.col("id2"),
                      F.col("label"))
-    ids = cut_lineage(pairs.select(order.alias("_o")))
-    n = ids.count()
-    need, digits, prefix = int(math.floor(train_share * n)), prefix_bits // 4, ""
+    ids = pairs.select(order.alias("_o"))
+    need, digits, prefix = None, prefix_bits // 4, ""
     while True:  # the last training row's hash, 16 bits further in each round
         group = ids.filter(F.col("_o").startswith(prefix)) if prefix else ids
         hist = sorted((r["p"], r["count"]) for r in group.groupBy(
             F.substring("_o", 1, len(prefix) + digits).alias("p")).count().collect())
+        if need is None:
+            need = int(math.floor(train_share * sum(c for _, c in hist)))
         at = 0
         while at < len(hist) and hist[at][1] <= need:
             need -= hist[at][1]

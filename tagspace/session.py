@@ -7,11 +7,13 @@ setting is absent, a scratch folder is made; on a cluster its absence is an erro
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,6 +67,45 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Frames that a job writes for its own later steps: compressed Parquet in a folder of its own
+    under the checkpoint folder, a fraction of a checkpoint's size, gone when the job says so.
+
+    After each write the shuffles behind it are let go, so that the disk holds those of one step.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tagspace-steps/{uuid.uuid4().hex}"
+        self._kept = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written once; what is returned reads the files."""
+        path, self._kept = f"{self.path}/{self._kept}", self._kept + 1
+        df.write.option("compression", "zstd").parquet(path)
+        release_shuffles(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes the files; frames that read them end here."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark removes the files of a shuffle once the driver has collected its plan: collected now,
+    not when the driver's memory happens to fill."""
+    gc.collect()  # plans that Python still holds
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the executors, once per application, so that Python
     functions in tasks can be loaded from any working directory."""

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tagspace.session import ensure_checkpoint_dir
 
 
+FILE_PAIRS = 1 << 20  # pairs of a file
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -27,21 +30,29 @@ def safe_name(model: str) -> str:
 
 
 def write_pairs(train: DataFrame, val: DataFrame, out: str, year, suffix: str | None = None,
-                quote_all: bool = False) -> str:
+                quote_all: bool = False, compression: str = "gzip") -> str:
     """CSV pairs (sent1, sent2, label), partitioned by year and split; only the written
     partitions are replaced, other years stay."""
     both = (train.select("sent1", "sent2", "label").withColumn("split", F.lit("train"))
             .unionByName(val.select("sent1", "sent2", "label").withColumn("split", F.lit("val"))))
-    return write_split(both, out, year, suffix, quote_all)
+    return write_split(both, out, year, suffix, quote_all, compression)
 
 
-def write_split(pairs: DataFrame, out: str, year, suffix: str | None = None, quote_all: bool = False) -> str:
-    """S6 of one frame with a ``split`` column, so that what makes the pairs runs once."""
+def write_split(pairs: DataFrame, out: str, year, suffix: str | None = None, quote_all: bool = False,
+                compression: str = "gzip") -> str:
+    """S6 of one frame with a ``split`` column, so that what makes the pairs runs once. A compressed
+    file is read by one task, so that it has ``FILE_PAIRS`` pairs at most."""
     tag = f"{year}" if not suffix else f"{year}_{suffix}"
     df = pairs.select("sent1", "sent2", "label", "split").withColumn("year", F.lit(tag))
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("year", "split").option("header", True)
-     .option("quoteAll", quote_all).option("escape", '"').csv(out))
+    conf, writers = pairs.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(writers, "0")
+    conf.set(writers, "2")  # a file for each split: no sort of all pairs by split, which spills
+    try:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("year", "split").option("header", True).option("compression", compression)
+         .option("maxRecordsPerFile", FILE_PAIRS).option("quoteAll", quote_all).option("escape", '"').csv(out))
+    finally:
+        conf.set(writers, before)
     return out
 
 
