@@ -16,7 +16,7 @@ from tagspace.operators.masks import apply_mask
 from tagspace.operators.salience import PARTY_NAME_DICT, salience_matrix
 from tagspace.plans.experiment import experiment_grid
 from tagspace.plans.grid import Config
-from tagspace.session import cut_lineage
+from tagspace.session import Scratch, cut_lineage
 from tagspace.sources import files as FS
 from tagspace.sources import sinks as SK
 
@@ -56,10 +56,10 @@ def gather_job(spark: SparkSession, path: str, out: str, year_lower: int = 2013,
     kw = {} if schema is None else {"schema": schema}
     posts = FS.read_posts_range(spark, path, year_lower, year_upper, id_col=id_col,
                                 group_col=group_col, merge=merge, fmt=fmt, **kw)
-    ds = PR.pair_dataset(posts, num_groups, threshold, seed, n_samples, k)
-    split = PR.split_dataset(ds, seed)
     year = year_lower if year_lower == year_upper else f"{year_lower}-{year_upper}"
-    return SK.write_split(split, out, year, suffix)
+    with Scratch(spark) as scratch:
+        ds = PR.pair_dataset(posts, num_groups, threshold, seed, n_samples, k, scratch)
+        return SK.write_split(PR.split_dataset(ds, seed), out, year, suffix)
 
 
 # the groups that the embedding job writes when none are listed (fixed values)
