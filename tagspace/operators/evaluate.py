@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tagspace.functions.vectors import as_double, dot, norm
 from tagspace.operators.ranks import count_ranks, pearson
-from tagspace.session import cut_lineage
+from tagspace.session import Scratch
 
 METRICS = ("cosine", "manhattan", "euclidean", "dot")
 RANK_DIGITS = 10
@@ -22,9 +22,10 @@ def pair_scores(pairs: DataFrame, emb: DataFrame) -> DataFrame:
     """(id1, id2, label, cosine, manhattan, euclidean, dot). ``emb`` is (id, embedding).
 
     Every pair has a row; one of whose sides has no vector has NULL scores."""
-    e1 = emb.select(F.col("id").alias("id1"), as_double("embedding").alias("e1"))
-    e2 = emb.select(F.col("id").alias("id2"), as_double("embedding").alias("e2"))
-    j = pairs.join(e1, "id1", "left").join(e2, "id2", "left")
+    e1 = emb.select(F.col("id").alias("id1"), F.col("embedding").alias("e1"))
+    e2 = emb.select(F.col("id").alias("id2"), F.col("embedding").alias("e2"))
+    j = pairs.join(e1, "id1", "left").join(e2, "id2", "left")  # vectors move as they are stored
+    j = j.withColumns({"e1": as_double("e1"), "e2": as_double("e2")})
     diff = F.zip_with("e1", "e2", lambda a, b: a - b)
     d = dot("e1", "e2")
     return j.select(
@@ -37,13 +38,15 @@ def pair_scores(pairs: DataFrame, emb: DataFrame) -> DataFrame:
         d.alias("dot"))
 
 
-def pair_similarity_eval(pairs: DataFrame, emb: DataFrame) -> DataFrame:
+def pair_similarity_eval(pairs: DataFrame, emb: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(metric, pearson, spearman, n_pairs, n_scored) — one row per similarity.
 
-    Pairs without both vectors count in n_pairs only. The scores are made once; ranks come
+    Pairs without both vectors count in n_pairs only. The scores are made once and written without
+    the pairs' ids to ``scratch``, which the caller may clear when the result has been read; ranks come
     from counts per (metric, score, label), and the rank of a label from the labels' totals.
     """
-    s = cut_lineage(pair_scores(pairs, emb))
+    scratch = Scratch(pairs.sparkSession) if scratch is None else scratch
+    s = scratch.keep(pair_scores(pairs, emb).select("label", *METRICS))
     long = s.select("label", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("score")) for m in METRICS]))
         .alias("ms")).select("label", "ms.metric", "ms.score")

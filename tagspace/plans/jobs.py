@@ -88,13 +88,14 @@ def evaluate_job(spark: SparkSession, pairs_path: str, split: str = "val", model
     """Validation pairs → embeddings of both texts by ``model`` → correlations (M3), written to
     ``out`` where it is given."""
     pairs = FS.read_pairs(spark, pairs_path, fmt, split)
-    texts = (pairs.select(F.col("sent1").alias("text")).union(pairs.select(F.col("sent2")))
-             .distinct().withColumn("post_id", F.md5("text")))
-    emb = EM.encode_posts(texts, model, dim, words).select(F.col("post_id").alias("id"), "embedding")
-    p = pairs.select(F.md5("sent1").alias("id1"), F.md5("sent2").alias("id2"), "label")
-    result = pair_similarity_eval(p, emb)
+    key = lambda text: F.unhex(F.md5(text))
+    with Scratch(spark) as scratch:
+        texts = scratch.keep(pairs.select(F.col("sent1").alias("text")).union(pairs.select(F.col("sent2"))).distinct())
+        emb = EM.encode_posts(texts.withColumn("post_id", key("text")), model, dim, words)
+        emb = scratch.keep(emb.select(F.col("post_id").alias("id"), "embedding"))
+        p = pairs.select(key("sent1").alias("id1"), key("sent2").alias("id2"), "label")
+        result = cut_lineage(pair_similarity_eval(p, emb, scratch))  # four rows
     if out is not None:
-        result = cut_lineage(result)
         SK.write_evaluation(result, out, model, split)
     return result
 
